@@ -44,7 +44,8 @@ ATTACK_PATTERNS = [
 # ---- end of fixed values ----
 
 PII_KINDS = list(PII_PATTERNS) + list(PII_PATTERNS_GENERIC)
-_ALL = {**PII_PATTERNS, **PII_PATTERNS_GENERIC}
+# word characters and digits of every script count
+_ALL = {kind: "(?U)" + p for kind, p in {**PII_PATTERNS, **PII_PATTERNS_GENERIC}.items()}
 
 
 def attack_patterns(owner_names: list[str] = ()) -> list[tuple[str, str]]:
@@ -56,7 +57,7 @@ def attack_patterns(owner_names: list[str] = ()) -> list[tuple[str, str]]:
 def attack_reason(c: Column, owner_names: list[str] = ()) -> Column:
     """Label of the first matching attack pattern; NULL when there is none."""
     return F.coalesce(
-        *[F.when(c.rlike("(?i)" + pattern), F.lit(label)) for label, pattern in attack_patterns(owner_names)]
+        *[F.when(c.rlike("(?iU)" + pattern), F.lit(label)) for label, pattern in attack_patterns(owner_names)]
     )
 
 
@@ -70,12 +71,10 @@ def pii_values(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
 
     Kinds are matched independently; `udfs.pii_findings` resolves overlaps.
     """
-    return F.concat(
-        *[
-            F.transform(_values(c, kind), lambda t, kind=kind: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
-            for kind in kinds
-        ]
-    )
+    def tagged(kind: str) -> Column:
+        return F.transform(_values(c, kind), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+
+    return F.concat(*[tagged(kind) for kind in kinds])
 
 
 def redact_in_turn(c: Column, kinds: list[str]) -> Column:

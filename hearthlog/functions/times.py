@@ -106,3 +106,9 @@ def iso_week(day: Column) -> Column:
         F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"),
         F.lpad(F.weekofyear(day).cast("string"), 2, "0"),
     )
+
+
+def in_week_of(ts: Column, anchor: Column) -> Column:
+    """Whether a time lies in the Monday-to-Sunday week of `anchor`."""
+    start = F.date_trunc("week", anchor)
+    return (ts >= start) & (ts < start + F.expr("INTERVAL 7 DAYS"))

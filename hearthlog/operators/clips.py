@@ -47,8 +47,10 @@ def sliding_windows(files: DataFrame, total: str, size: float = 8.0, hop: float
     last = F.floor((F.col(total) - width) / F.lit(hop)).cast("int")
     return (
         files.where(F.col(total) > 0)
-        .withColumn("start", F.explode(F.sequence(F.lit(0), last)) * F.lit(hop))
+        .withColumn("_step", F.explode(F.sequence(F.lit(0), last)))
+        .withColumn("start", F.col("_step") * F.lit(hop))
         .withColumn("end", F.col("start") + width)
+        .drop("_step")
     )
 
 

@@ -295,6 +295,14 @@ def _bounded(queries: DataFrame, fetch: int) -> bool:
     return is_small(queries, BROADCAST_ROWS // (2 * fetch))
 
 
+def union_memories(*parts: DataFrame) -> DataFrame:
+    """Memories of several kinds in one table; columns a kind lacks are NULL."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def or_unwindowed(windowed: DataFrame, everything: DataFrame) -> DataFrame:
     """Per query the windowed result, or the unwindowed one where that is empty."""
     both = windowed.withColumn("_side", F.lit(0)).unionByName(everything.withColumn("_side", F.lit(1)))

@@ -191,3 +191,8 @@ def rounded_manifest(clips: DataFrame) -> DataFrame:
         "source", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.round("similarity", 3).alias("similarity"),
         F.round("speech_ratio", 3).alias("speech_ratio"), F.round("rms", 4).alias("rms"),
     )
+
+
+def pending(column: str) -> Column:
+    """Rows not handled yet: their status column is empty."""
+    return F.col(column).isNull()

@@ -293,8 +293,8 @@ def p11(spark, folder):
 
 @query("p12_photo_intent", r"""
 WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'koi purani photo hai ' || text WHEN 1 THEN 'meri तस्वीर ' || text ELSE text END AS asked FROM conversations),
-p AS (SELECT *, regexp_matches(asked, '(?i)\b(?:photo|photos|pic|pics|picture|pictures|image|images|selfie|album)\b|फोटो|तस्वीर|ਫੋਟੋ|ਤਸਵੀਰ') AS photos FROM a)
-SELECT conv_id, turn, photos, photos AND regexp_matches(asked, '(?i)\b(?:meri|mere|mera|apni|apne|apna|khud|my|mine|our)\b') AS own_photos FROM p""")
+p AS (SELECT *, regexp_matches(asked, '(?i)(?:^|[^\p{L}\p{M}\p{N}_])(?:photo|photos|pic|pics|picture|pictures|image|images|selfie|album)(?:$|[^\p{L}\p{M}\p{N}_])|फोटो|तस्वीर|ਫੋਟੋ|ਤਸਵੀਰ') AS photos FROM a)
+SELECT conv_id, turn, photos, photos AND regexp_matches(asked, '(?i)(?:^|[^\p{L}\p{M}\p{N}_])(?:meri|mere|mera|apni|apne|apna|khud|my|mine|our)(?:$|[^\p{L}\p{M}\p{N}_])') AS own_photos FROM p""")
 def p12(spark, folder):
     k = F.col("turn") % 4
     asked = F.when(k == 0, F.concat(F.lit("koi purani photo hai "), "text")).when(

@@ -1 +1,311 @@
+"""Sequence queries: runs, utterances, scenes, context windows, samples, splits."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import clips, select as sel, sequence as seq
+from ..sources import tables as t
+from . import sql as q
+from .catalog import query
+from .training import candidates_with_drops, drop_counts
+
+_RUNS = """runs AS (
+ SELECT *, sum(start) OVER (PARTITION BY conversation_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN lag(speaker) OVER w IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END AS start FROM turns
+  WINDOW w AS (PARTITION BY conversation_id ORDER BY ts, seq))),
+merged AS (
+ SELECT conversation_id, arg_min(ts, seq) AS ts, min(seq) AS seq, min(speaker) AS speaker,
+        string_agg(text, chr(10) ORDER BY ts, seq) AS text, max(ts) AS last_ts, count(*) AS merged
+ FROM runs GROUP BY conversation_id, run)"""
+_US = "epoch_us({c})"
+
+
+def _us(c: str):
+    return F.unix_micros(c).alias(c + "_us")
+
+
+@query("w1_merge_runs", f"""
+WITH {q.EVENT_TURNS}, {_RUNS}
+SELECT conversation_id, seq, speaker, md5(text) AS text_md5, epoch_us(last_ts) AS last_ts_us, merged FROM merged""")
+def w1(spark, folder):
+    m = seq.merge_runs(t.event_turns(spark, folder))
+    return m.select("conversation_id", "seq", "speaker", F.md5("text").alias("text_md5"), _us("last_ts"), "merged")
+
+
+@query("w2_merge_utterances", f"""
+WITH {q.SEGMENTS}, marked AS (
+ SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND start_ms - lag(end_ms) OVER w < 2000 THEN 0 ELSE 1 END AS start
+ FROM segments WINDOW w AS (PARTITION BY audio_ref ORDER BY start_ms, segment_id)),
+g AS (SELECT *, sum(start) OVER (PARTITION BY audio_ref ORDER BY start_ms, segment_id ROWS UNBOUNDED PRECEDING) AS u FROM marked)
+SELECT audio_ref, min(start_ms) AS start_ms, arg_min(segment_id, (start_ms, segment_id)) AS segment_id, min(speaker) AS speaker,
+ string_agg(text, ' ' ORDER BY start_ms, segment_id) AS text, count(*) AS merged FROM g GROUP BY audio_ref, u""")
+def w2(spark, folder):
+    return seq.merge_utterances(t.segments(spark, folder))
+
+
+_SCENES = """lines AS (
+ SELECT conversation_id, ts, seq, CASE WHEN speaker = 'me' THEN 'Me' ELSE coalesce(speaker_name, 'Them') END || ': ' || text AS line,
+   row_number() OVER w AS rn, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000, false) AS gap
+ FROM {src} WINDOW w AS (PARTITION BY conversation_id ORDER BY ts, seq)),
+fold AS (
+ SELECT conversation_id, rn, length(line) AS size, 1 AS scene FROM lines WHERE rn = 1
+ UNION ALL
+ SELECT l.conversation_id, l.rn, CASE WHEN f.size >= 900 OR l.gap THEN length(l.line) ELSE f.size + length(l.line) END,
+   CASE WHEN f.size >= 900 OR l.gap THEN f.scene + 1 ELSE f.scene END
+ FROM fold f JOIN lines l ON l.conversation_id = f.conversation_id AND l.rn = f.rn + 1),
+scenes AS (
+ SELECT l.conversation_id, min(l.seq) AS seq, string_agg(l.line, chr(10) ORDER BY l.rn) AS text, count(*) AS lines
+ FROM fold f JOIN lines l USING (conversation_id, rn) GROUP BY l.conversation_id, f.scene)
+SELECT conversation_id, seq, md5(text) AS text_md5, lines FROM scenes WHERE length(text) >= 60"""
+
+
+@query("w3_scenes_messages", f"WITH RECURSIVE {q.MESSAGES}, {_SCENES.replace('{src}', 'messages')}")
+def w3(spark, folder):
+    return seq.scenes(t.messages(spark, folder)).select("conversation_id", "seq", F.md5("text").alias("text_md5"), "lines")
+
+
+@query("w3_scenes_events", f"WITH RECURSIVE {q.EVENT_TURNS}, {_SCENES.replace('{src}', 'turns')}")
+def w3_events(spark, folder):
+    return seq.scenes(t.event_turns(spark, folder), min_chars=60).select(
+        "conversation_id", "seq", F.md5("text").alias("text_md5"), "lines")
+
+
+_CANDIDATES = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ts, seq) AS i FROM merged),
+pairs AS (
+ SELECT n.conversation_id, n.seq, n.ts, n.last_ts, {q.strip("regexp_replace(n.text, '(?i)\\[media\\]\\s*', '', 'g')")} AS reply,
+   count(*) AS context_turns, sum(length(c.text)) AS context_chars, bool_or(c.speaker = 'other') AS answered,
+   arg_max(c.text, c.i) AS asked
+ FROM numbered n JOIN numbered c ON c.conversation_id = n.conversation_id AND c.i BETWEEN n.i - 6 AND n.i - 1
+ WHERE n.speaker = 'me' GROUP BY ALL),
+cands AS (
+ SELECT *, coalesce({q.target_problem('reply')}, CASE WHEN NOT answered THEN 'no_counterpart_context' END) AS drop_reason,
+   sha1(asked || chr(31) || reply) AS pair_key FROM pairs)"""
+
+
+@query("w4_context_windows", f"""
+WITH {q.MESSAGES}, turns AS (SELECT * FROM messages), {_RUNS}, {_CANDIDATES}
+SELECT conversation_id, seq, context_turns, CAST(context_chars AS BIGINT) AS context_chars, pair_key, drop_reason FROM cands""")
+def w4(spark, folder):
+    c = seq.context_candidates(seq.merge_runs(t.messages(spark, folder)))
+    chars = F.aggregate("context", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return c.select("conversation_id", "seq", F.size("context").cast("long").alias("context_turns"),
+                    chars.alias("context_chars"), "pair_key", "drop_reason")
+
+
+@query("w4_context_windows_documents", f"""
+WITH {q.DOCUMENT_TURNS}, {_RUNS}, {_CANDIDATES}
+SELECT conversation_id, seq, context_turns, CAST(context_chars AS BIGINT) AS context_chars, pair_key, drop_reason FROM cands""")
+def w4_documents(spark, folder):
+    c = seq.context_candidates(seq.merge_runs(t.document_turns(spark, folder)))
+    chars = F.aggregate("context", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return c.select("conversation_id", "seq", F.size("context").cast("long").alias("context_turns"),
+                    chars.alias("context_chars"), "pair_key", "drop_reason")
+
+
+@query("w5_first_wins", """
+SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY sha1(text) ORDER BY source, doc_id) AS rn FROM documents) WHERE rn = 1""")
+def w5(spark, folder):
+    d = t.table(spark, folder, "documents").withColumn("_key", F.sha1("text"))
+    return sel.first_wins(d, ["_key"], F.col("source"), F.col("doc_id")).select("doc_id", "source")
+
+
+@query("w6_dedup_with_cap", """
+WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN md5(CAST(doc_id % 13 AS VARCHAR)) ELSE md5(text) END AS key,
+   row_number() OVER (ORDER BY source, doc_id) AS i FROM documents),
+walk AS (
+ SELECT 1::BIGINT AS i, (SELECT source FROM d WHERE i = 1) AS source, 1 AS kept, true AS taken, map([(SELECT key FROM d WHERE i = 1)], [true]) AS seen
+ UNION ALL
+ SELECT w.i + 1, d.source,
+  CASE WHEN d.source <> w.source THEN 0 ELSE w.kept END + CASE WHEN (d.source <> w.source OR w.kept < 20) AND NOT map_contains(w.seen, d.key) THEN 1 ELSE 0 END,
+  (d.source <> w.source OR w.kept < 20) AND NOT map_contains(w.seen, d.key),
+  CASE WHEN (d.source <> w.source OR w.kept < 20) AND NOT map_contains(w.seen, d.key) THEN map_concat(w.seen, map([d.key], [true])) ELSE w.seen END
+ FROM walk w JOIN d ON d.i = w.i + 1)
+SELECT d.doc_id, d.source FROM walk w JOIN d USING (i) WHERE w.taken""")
+def w6(spark, folder):
+    key = F.when(F.col("doc_id") % 4 == 0, F.md5((F.col("doc_id") % 13).cast("string"))).otherwise(F.md5("text"))
+    d = t.table(spark, folder, "documents").select("doc_id", "source", key.alias("key"))
+    kept, _ = seq.first_with_cap(d, "key", "source", ["doc_id"], 20)
+    return kept.select("doc_id", "source")
+
+
+_EXAMPLES = f"""{q.DOCUMENT_TURNS}, {_RUNS}, {_CANDIDATES},
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_key ORDER BY conversation_id, ts, seq) AS rn FROM cands WHERE drop_reason IS NULL) WHERE rn = 1)"""
+
+
+@query("w7_group_split", f"""
+WITH sizes AS (SELECT user_id, count(*) AS n, md5('17|' || user_id) AS o FROM events GROUP BY user_id),
+ok AS (SELECT * FROM sizes WHERE n <= (SELECT sum(n) FROM sizes) * 0.05),
+run AS (SELECT *, coalesce(sum(n) OVER (ORDER BY o, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ok),
+ev AS (SELECT user_id FROM run WHERE before < (SELECT sum(n) FROM sizes) * 0.05)
+SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM ev) THEN 'eval' ELSE 'train' END AS split FROM events""")
+def w7(spark, folder):
+    e = t.table(spark, folder, "events").select("event_id", "user_id")
+    return sel.split_by_group(e, "user_id").select("event_id", "split")
+
+
+@query("w8_new_and_replay", """
+WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS last_ts FROM events),
+new AS (SELECT * FROM e WHERE last_ts >= '2024-01-20'),
+old AS (SELECT *, row_number() OVER (ORDER BY md5('17|' || event_id), event_id) AS rn FROM e WHERE last_ts < '2024-01-20')
+SELECT event_id, false AS replayed FROM new
+UNION ALL SELECT event_id, true FROM old WHERE rn <= CAST(floor((SELECT count(*) FROM new) * 0.3 / (1 - 0.3)) AS BIGINT)""")
+def w8(spark, folder):
+    e = t.table(spark, folder, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("last_ts"))
+    return sel.new_and_replay(e, "2024-01-20", ["event_id"]).select("event_id", "replayed")
+
+
+@query("w9_balanced_sample", f"""
+WITH {q.MESSAGES}, m AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY md5('7|' || conversation_id || '|' || seq), conversation_id, seq) AS rn
+ FROM messages WHERE speaker = 'me' AND text <> '[media]' AND len({q.words('text')}) >= 3)
+SELECT conversation_id, seq FROM m WHERE rn <= 15 ORDER BY rn, md5('7|' || conversation_id), conversation_id LIMIT 100""")
+def w9(spark, folder):
+    m = t.messages(spark, folder).where(
+        (F.col("speaker") == "me") & (F.col("text") != "[media]") & (F.size(tx.words(F.col("text"))) >= 3))
+    return sel.balanced_sample(m, "conversation_id", ["conversation_id", "seq"], n=100).select("conversation_id", "seq")
+
+
+_SLICES = f"""{q.MESSAGES}, sizes AS (SELECT conversation_id, count(*) AS n FROM messages GROUP BY 1 HAVING count(*) FILTER (speaker = 'me') >= 2),
+longest AS (SELECT * FROM sizes ORDER BY n DESC, conversation_id LIMIT 50),
+picked AS (SELECT conversation_id FROM longest ORDER BY md5('7|' || conversation_id) LIMIT 25),
+slices AS (SELECT * FROM (SELECT m.*, row_number() OVER (PARTITION BY conversation_id ORDER BY ts, seq) AS rn FROM messages m SEMI JOIN picked USING (conversation_id)) WHERE rn <= 14)"""
+
+
+@query("w10_conversation_slices", f"WITH {_SLICES} SELECT conversation_id, seq FROM slices")
+def w10(spark, folder):
+    return seq.conversation_slices(t.messages(spark, folder), min_own=2).select("conversation_id", "seq")
+
+
+@query("f30_rendered_slices", f"""WITH {_SLICES}
+SELECT conversation_id, md5('--- conversation with ' || substr(conversation_id, instr(conversation_id, ':') + 1) || ' ---' || chr(10) ||
+  string_agg('  ' || CASE WHEN speaker = 'me' THEN 'ME' ELSE 'THEM' END || ': ' || text, chr(10) ORDER BY ts, seq)) AS block_md5 FROM slices GROUP BY conversation_id""")
+def f30(spark, folder):
+    s = seq.conversation_slices(t.messages(spark, folder), min_own=2)
+    return seq.rendered_slices(s).select("conversation_id", F.md5("block").alias("block_md5"))
+
+
+_TOKENS = r"CAST(floor(length(regexp_replace(line, '[^\x{0900}-\x{0D7F}]+', '', 'g')) + (length(line) - length(regexp_replace(line, '[^\x{0900}-\x{0D7F}]+', '', 'g'))) / 3.5) AS INTEGER) + 2"
+
+
+@query("w11_token_budget", f"""
+WITH {q.MESSAGES}, l AS (SELECT *, '[' || strftime(ts, '%Y-%m-%d') || ' · ' || source || '] ' || text AS line FROM messages),
+c AS (SELECT *, sum({_TOKENS}) OVER (ORDER BY ts, conversation_id, seq) AS used FROM l)
+SELECT conversation_id, seq, CAST(used AS BIGINT) AS used FROM c WHERE used <= 20000""")
+def w11(spark, folder):
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd"), F.lit(" · "), "source", F.lit("] "), "text")
+    m = t.messages(spark, folder).withColumn("line", line)
+    out = sel.within_budget(m, ["ts", "conversation_id", "seq"], tx.token_estimate(F.col("line")), 20_000, 2)
+    return out.select("conversation_id", "seq", "used")
+
+
+@query("w12_byte_budget", """
+WITH r AS (SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY lang, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents)
+SELECT doc_id, CAST(before AS BIGINT) AS before FROM r WHERE before < 1000000""")
+def w12(spark, folder):
+    d = t.table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    return sel.until_cap(d, ["lang", "doc_id"], F.col("n_chars"), 1_000_000).select("doc_id", "before")
+
+
+@query("w13_sliding_windows", """
+WITH d AS (SELECT doc_id, n_chars / 100.0::DOUBLE AS total, least(8.0::DOUBLE, n_chars / 100.0::DOUBLE) AS width FROM documents WHERE n_chars > 0)
+SELECT doc_id, count(*) AS windows, round(max(s * 4.0::DOUBLE), 6) AS last_start, round(max(s * 4.0::DOUBLE + width), 6) AS last_end
+FROM (SELECT doc_id, width, unnest(range(CAST(floor((total - width) / 4.0) AS BIGINT) + 1)) AS s FROM d) GROUP BY doc_id""")
+def w13(spark, folder):
+    d = t.table(spark, folder, "documents").select("doc_id", (F.col("n_chars") / 100.0).alias("total"))
+    w = clips.sliding_windows(d, "total")
+    return w.groupBy("doc_id").agg(
+        F.count("*").alias("windows"), F.round(F.max("start"), 6).alias("last_start"), F.round(F.max("end"), 6).alias("last_end"))
+
+
+@query("w14_retrieval_queries", f"""
+WITH {q.EVENT_TURNS}, o AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ts, seq) AS i FROM turns),
+b AS (SELECT a.conversation_id, a.seq, a.text, string_agg(p.text, ' ' ORDER BY p.i) AS recent FROM o a
+  LEFT JOIN o p ON p.conversation_id = a.conversation_id AND p.i BETWEEN a.i - 2 AND a.i - 1 AND p.speaker = 'other'
+  WHERE a.speaker = 'other' GROUP BY ALL)
+SELECT conversation_id, seq, CASE WHEN len({q.words('text')}) < 4 AND recent IS NOT NULL THEN recent || ' ' || text ELSE text END AS search_text FROM b""")
+def w14(spark, folder):
+    return seq.retrieval_queries(t.event_turns(spark, folder)).select("conversation_id", "seq", "search_text")
+
+
+@query("w15_recent_history", f"""
+WITH {q.EVENT_TURNS} SELECT conversation_id, seq, count(*) OVER w AS turns, CAST(coalesce(sum(length(text)) OVER w, 0) AS BIGINT) AS chars
+FROM turns WINDOW w AS (PARTITION BY conversation_id ORDER BY ts, seq ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)""")
+def w15(spark, folder):
+    h = seq.recent_history(t.event_turns(spark, folder))
+    chars = F.aggregate("history", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    return h.select("conversation_id", "seq", F.size("history").cast("long").alias("turns"), chars.alias("chars"))
+
+
+@query("w16_normalized_messages", """
+WITH m AS (SELECT user_id, event_id // 20 AS part, ts, event_id, CASE WHEN event_type IN ('view', 'click') THEN 'assistant' WHEN event_type = 'error' THEN 'system' ELSE 'user' END AS role, props FROM events),
+t AS (SELECT *, bool_or(role = 'user') OVER (PARTITION BY part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS opened FROM m WHERE role <> 'system'),
+o AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY part ORDER BY ts, event_id) IS NOT DISTINCT FROM role THEN 0 ELSE 1 END AS start FROM t WHERE opened),
+g AS (SELECT *, sum(start) OVER (PARTITION BY part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+r AS (SELECT part, run, min(role) AS role, string_agg(props, chr(10) ORDER BY ts, event_id) AS content FROM g GROUP BY ALL),
+s AS (SELECT part, arg_min(props, (ts, event_id)) AS system FROM m WHERE role = 'system' GROUP BY part),
+f AS (SELECT part, count(*) AS n, arg_max(role, run) AS last_role, sum(length(content)) AS chars FROM r GROUP BY part),
+p AS (SELECT DISTINCT part FROM m)
+SELECT p.part, CASE WHEN n >= 2 AND last_role = 'assistant' THEN n + CASE WHEN system IS NULL THEN 0 ELSE 1 END END AS turns,
+ CASE WHEN n >= 2 AND last_role = 'assistant' THEN CAST(chars + coalesce(length(system), 0) AS BIGINT) END AS chars
+FROM p LEFT JOIN f USING (part) LEFT JOIN s USING (part)""")
+def w16(spark, folder):
+    role = F.when(F.col("event_type").isin("view", "click"), "assistant").when(F.col("event_type") == "error", "system").otherwise("user")
+    e = t.table(spark, folder, "events").select(F.floor(F.col("event_id") / 20).cast("long").alias("part"), "ts", "event_id", role.alias("role"), "props")
+    ex = e.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "role", F.col("props").alias("content")))).alias("m"))
+    ms = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    ex = ex.withColumn("n", seq.normalized_messages(ms))
+    return ex.select(
+        "part", F.when(F.col("n").isNotNull(), F.size("n").cast("long")).alias("turns"),
+        F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("chars"))
+
+
+_COMBOS = [(lang, src) for lang in ("en", "de", "fr", "es") for src in ("src0", "src1", "src2", "src3", "src5")]
+
+
+@query("w17_coverage_first", f"""
+WITH combos AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(_COMBOS))}) c(lang, source, rank)),
+heads AS (SELECT rank, min(doc_id) AS doc_id FROM documents JOIN combos USING (lang, source) GROUP BY rank)
+SELECT d.doc_id, row_number() OVER (ORDER BY coalesce(h.rank, 999), CASE WHEN h.rank IS NULL THEN md5('0|' || d.doc_id) ELSE '' END, d.doc_id) AS position
+FROM documents d LEFT JOIN heads h USING (doc_id)""")
+def w17(spark, folder):
+    d = t.table(spark, folder, "documents").select("doc_id", "lang", "source")
+    return sel.coverage_first(d, _COMBOS, ["lang", "source"], ["doc_id"]).select("doc_id", "position")
+
+
+@query("w18_diverse_top", """
+WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn, n_chars FROM documents)
+SELECT doc_id FROM r ORDER BY rn > 1, n_chars DESC, doc_id LIMIT 30""")
+def w18(spark, folder):
+    d = t.table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    return clips.diverse_top(d, "source", "n_chars", "doc_id", keep=30).select("doc_id")
+
+
+@query("p5_reference_segments", """
+WITH s AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY length(text) DESC, doc_id) AS rank FROM documents
+ WHERE doc_id % 2 = 0 AND lang IN ('en', 'fr', 'de') AND (doc_id % 20) BETWEEN 6 AND 12 AND length(text) > 40)
+SELECT doc_id AS segment_id, lang, rank FROM s WHERE rank <= 40""")
+def p5(spark, folder):
+    d = t.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("segment_id"), F.when(F.col("doc_id") % 2 == 0, "me").otherwise("other").alias("speaker"),
+        "lang", "text", F.lit(0.0).alias("start_sec"), (F.col("doc_id") % 20).cast("double").alias("end_sec"))
+    return clips.reference_segments(d, ["en", "fr", "de"]).select("segment_id", "lang", F.col("rank").cast("long").alias("rank"))
+
+
+@query("a14_drop_counts", f"""
+WITH {_EXAMPLES} SELECT drop_reason, count(*) AS n FROM cands WHERE drop_reason IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'duplicate', (SELECT count(*) FROM cands WHERE drop_reason IS NULL) - (SELECT count(*) FROM kept)
+  WHERE (SELECT count(*) FROM cands WHERE drop_reason IS NULL) > (SELECT count(*) FROM kept)
+UNION ALL SELECT 'kept', count(*) FROM kept""")
+def a14(spark, folder):
+    return drop_counts(*candidates_with_drops(t.document_turns(spark, folder)))
+
+
+@query("sft_examples", f"""
+WITH {_EXAMPLES}
+SELECT conversation_id, seq, strftime(last_ts, '%Y-%m-%dT%H:%M:%S') AS last_ts, context_turns + 2 AS messages, md5(reply) AS reply_md5 FROM kept""")
+def sft_examples(spark, folder):
+    from .training import build_examples
+
+    ex = build_examples(t.document_turns(spark, folder))
+    return ex.select("conversation_id", "seq", "last_ts", F.size("messages").cast("long").alias("messages"),
+                     F.md5(F.element_at("messages", -1)["content"]).alias("reply_md5"))

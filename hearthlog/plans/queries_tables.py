@@ -1 +1,328 @@
+"""Scans, sinks and table-upkeep queries."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import paths, text as tx, times
+from ..operators import feedback as fb, tables as tb
+from ..session import scratch_dir
+from ..sources import chat, documents as docs, files, tables as t
+from . import sql as q
+from .catalog import query
+from .queries_functions import AS_OF, OWNERS, _PATHS, _SUFFIX, _paths
+
+# ---- scans -----------------------------------------------------------------------
+
+
+@query("sc1_chat_export", f"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'Owner' ELSE 'Guest ' || conv_id % 7 END AS name,
+   CASE turn % 5 WHEN 3 THEN '<Media omitted>' ELSE text END AS text FROM conversations WHERE role <> 'system' AND NOT (role = 'user' AND turn = 6)),
+l AS (SELECT *, {q.strip("array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))")} AS folded FROM c)
+SELECT 'whatsapp:guest' || conv_id AS conversation_id, strftime(make_timestamp(1704067200000000 + (conv_id % 300) * 86400000000 + (conv_id * 7 + turn) % 1440 * 60000000), '%Y-%m-%d %H:%M:%S') AS ts,
+  CASE WHEN name = 'Owner' THEN 'me' ELSE 'other' END AS speaker, name AS speaker_name,
+  md5(CASE WHEN turn % 5 = 3 THEN '[media]' ELSE folded END) AS text_md5, turn % 5 = 3 AS is_media FROM l""")
+def sc1(spark, folder):
+    when = F.timestamp_micros(
+        F.lit(1704067200000000) + (F.col("conv_id") % 300) * 86400000000 + (F.col("conv_id") * 7 + F.col("turn")) % 1440 * 60000000)
+    system = F.col("role") == "system"
+    name = F.when(F.col("role") == "assistant", "Owner").otherwise(F.concat(F.lit("Guest "), (F.col("conv_id") % 7).cast("string")))
+    body = (
+        F.when(F.col("turn") % 5 == 3, "<Media omitted>")
+        .when((F.col("role") == "user") & (F.col("turn") == 6), "This message was deleted")
+        .otherwise(F.col("text"))
+    )
+    stamp = F.date_format(when, "dd/MM/yy, h:mm a")
+    line = F.when(system, F.concat(stamp, F.lit(" - Messages are end-to-end encrypted."))).otherwise(
+        F.concat(stamp, F.lit(" - "), name, F.lit(": "), body))
+    c = t.table(spark, folder, "conversations").select(
+        F.concat(F.lit("/x/WhatsApp Chat with guest"), F.col("conv_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.col("turn"), F.split(line, "\n").alias("lines"))
+    lines = c.select("path", "turn", F.posexplode("lines").alias("pos", "line")).select(
+        "path", (F.col("turn") * 100_000 + F.col("pos")).alias("line_no"), "line")
+    m = chat.parse_chats(lines, ["owner"])
+    return m.select("conversation_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "speaker", "speaker_name",
+                    F.md5("text").alias("text_md5"), "is_media")
+
+
+@query("sc3_media_listing", rf"""
+WITH {_PATHS} SELECT page_id, CASE WHEN {_SUFFIX} IN {q.in_list(paths.AUDIO_SUFFIXES)} THEN 'audio' ELSE 'video' END AS kind FROM paths
+WHERE {_SUFFIX} IN {q.in_list(paths.AUDIO_SUFFIXES + paths.VIDEO_SUFFIXES)}""")
+def sc3(spark, folder):
+    p = _paths(spark, folder)
+    return files.with_suffix(p, paths.AUDIO_SUFFIXES).select("page_id", F.lit("audio").alias("kind")).unionByName(
+        files.with_suffix(p, paths.VIDEO_SUFFIXES).select("page_id", F.lit("video").alias("kind")))
+
+
+@query("sc4_photo_inventory", r"""
+WITH f AS (SELECT o_orderkey, 'dump/' || CASE o_orderkey % 3 WHEN 0 THEN 'DCIM' WHEN 1 THEN 'wedding' ELSE 'facebook' END || '/' ||
+   CASE WHEN o_orderkey % 4 = 0 THEN 'PTT-20230726-' ELSE 'x' END || o_orderkey || CASE WHEN o_orderkey % 5 = 0 THEN '.txt' ELSE '.JPG' END AS path,
+   CAST(o_totalprice AS BIGINT) AS size, o_orderdate FROM orders)
+SELECT path, size, strftime(CASE WHEN o_orderkey % 6 = 0 THEN o_orderdate::TIMESTAMP WHEN o_orderkey % 4 = 0 THEN TIMESTAMP '2023-07-26' ELSE o_orderdate::TIMESTAMP END, '%Y-%m-%d') AS day,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'exif' WHEN o_orderkey % 4 = 0 THEN 'filename' ELSE 'mtime' END AS date_source,
+  CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS rank, split_part(path, '/', 2) AS folder_hint
+FROM f WHERE size >= 20000 AND o_orderkey % 5 <> 0""")
+def sc4(spark, folder):
+    o = t.table(spark, folder, "orders")
+    k = F.col("o_orderkey")
+    path = F.concat(
+        F.lit("dump/"), F.when(k % 3 == 0, "DCIM").when(k % 3 == 1, "wedding").otherwise("facebook"), F.lit("/"),
+        F.when(k % 4 == 0, "PTT-20230726-").otherwise("x"), k.cast("string"), F.when(k % 5 == 0, ".txt").otherwise(".JPG"))
+    o = o.withColumn("path", path)
+    listed = o.select("path", F.col("o_orderdate").cast("timestamp").alias("mtime"), F.round("o_totalprice").cast("long").alias("size"))
+    exif = o.where(k % 6 == 0).select(
+        "path", F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss").alias("capture"), F.lit(None).cast("string").alias("modified"))
+    p = files.photo_inventory(listed, exif, F.expr(AS_OF), OWNERS)
+    return p.select("path", "size", F.date_format("taken_at", "yyyy-MM-dd").alias("day"), "date_source", "rank", "folder_hint")
+
+
+@query("sc5_unseen_files", """
+SELECT 'd/' || doc_id AS path FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)""")
+def sc5(spark, folder):
+    d = t.table(spark, folder, "documents").select(
+        "doc_id", F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    # labelled documents were seen; those of quality 0 have changed since
+    manifest = d.join(t.table(spark, folder, "labels"), "doc_id").select(
+        "path", F.when(F.col("quality") == 1, F.col("sha256")).otherwise(F.sha2("sha256", 256)).alias("sha256"))
+    return files.unseen(d, manifest).select("path")
+
+
+@query("sc6_profile_facts", """
+WITH s AS (SELECT n_name, s_name, s_suppkey, s_acctbal FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT s_name || ' is a supplier. How I talk to them: politely. Typical topics: ' || n_name || ', money' AS text, s_name AS counterpart FROM s
+UNION ALL SELECT '[decision patterns] trade with ' || n_name, '' FROM (SELECT DISTINCT n_name FROM s)
+UNION ALL SELECT '[life phase ' || n_name || '] selling', '' FROM (SELECT DISTINCT n_name FROM s)""")
+def sc6(spark, folder):
+    s = t.table(spark, folder, "supplier").join(t.table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    person = F.struct(
+        F.col("s_name").alias("contact"), F.lit("a supplier").alias("likely_relationship"), F.lit("politely").alias("how_he_talks_to_them"),
+        F.array("n_name", F.lit("money")).alias("typical_topics"))
+    doc = s.groupBy("n_name").agg(F.collect_list(person).alias("people")).select(F.to_json(F.struct(
+        F.lit("2024-01-01T00:00:00").alias("generated_at"), F.struct("people").alias("relationships"),
+        F.struct(F.array(F.concat(F.lit("trade with "), "n_name")).alias("decision_patterns")).alias("behaviour"),
+        F.struct(F.array(F.struct(F.col("n_name").alias("period"), F.lit("selling").alias("what_they_were_doing"))).alias("phases")).alias("trajectory"),
+    )).alias("json"))
+    profiles = doc.select(F.from_json("json", docs.PROFILE_SCHEMA).alias("d")).select("d.*")
+    return docs.profile_facts(profiles).select("text", "counterpart")
+
+
+@query("sc7_jsonl_round_trip", f"""
+WITH {q.MESSAGES} SELECT CASE WHEN speaker = 'me' THEN 'assistant' ELSE 'user' END AS role, md5(text) AS text_md5, count(*) AS n FROM messages GROUP BY ALL""")
+def sc7(spark, folder):
+    m = t.messages(spark, folder).select(
+        F.lit("train").alias("split"),
+        F.array(F.struct(F.when(F.col("speaker") == "me", "assistant").otherwise("user").alias("role"), F.col("text").alias("content"))).alias("messages"))
+    path = scratch_dir(spark, "jsonl")
+    tb.write_splits(m, path)
+    back = files.read_examples(spark, path).select(F.explode("messages").alias("m"))
+    return back.groupBy(F.col("m.role").alias("role"), F.md5("m.content").alias("text_md5")).agg(F.count("*").alias("n"))
+
+
+@query("sc8_source_exclusion", f"WITH {q.MESSAGES} SELECT conversation_id, seq, epoch_us(ts) AS ts_us FROM messages WHERE source NOT IN ('video')")
+def sc8(spark, folder):
+    m = t.messages(spark, folder).where(~F.col("source").isin("video"))
+    return m.select("conversation_id", "seq", F.unix_micros("ts").alias("ts_us"))
+
+
+@query("sc9_segments", f"WITH {q.SEGMENTS} SELECT audio_ref, segment_id, start_ms, end_ms FROM segments")
+def sc9(spark, folder):
+    return t.segments(spark, folder).select("audio_ref", "segment_id", "start_ms", "end_ms")
+
+
+@query("sc10_vector_scan", """
+SELECT vec_id, label, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2 FROM embeddings""")
+def sc10(spark, folder):
+    from ..functions.vectors import dot
+
+    e = t.table(spark, folder, "embeddings")
+    return e.select("vec_id", "label", F.size("embedding").cast("long").alias("dims"), F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
+
+
+@query("sc11_sections", """
+SELECT doc_id, 'Voice and tone' AS heading, md5('## Voice and tone' || chr(10) || 'short lines') AS body_md5 FROM documents
+UNION ALL SELECT doc_id, lang, md5('### ' || lang || chr(10) || rtrim(replace(text, '#', ''), E' \\n\\t\\r')) FROM documents""")
+def sc11(spark, folder):
+    d = t.table(spark, folder, "documents").select(
+        "doc_id", F.concat(F.lit("intro\n## Voice and tone\nshort lines\n\n### "), "lang", F.lit("\n"), F.replace("text", F.lit("#"), F.lit(""))).alias("text"))
+    return docs.sections(d, "doc_id", "text").select("doc_id", "heading", F.md5("body").alias("body_md5"))
+
+
+@query("sc12_folder_traces", r"""
+SELECT DISTINCT regexp_replace(url, '/[^/]*$', '') AS folder FROM pages WHERE regexp_replace(url, '/[^/]*$', '') <> '' ORDER BY 1 LIMIT 400""")
+def sc12(spark, folder):
+    return files.folder_traces(t.table(spark, folder, "pages").select(F.col("url").alias("path")))
+
+
+# ---- sinks ------------------------------------------------------------------------
+
+
+@query("sk1_insert_or_ignore", f"""
+WITH {q.MESSAGES} SELECT conversation_id, seq, sha256(concat_ws(chr(31), source, conversation_id, strftime(ts, '%Y-%m-%dT%H:%M:%S'), coalesce(speaker_name, ''), text)) AS content_hash FROM messages""")
+def sk1(spark, folder):
+    m = t.messages(spark, folder)
+    path = scratch_dir(spark, "messages")
+    tb.insert_messages(m.where("seq < 4"), path)
+    tb.insert_messages(m, path)  # the first rows are met again and ignored
+    return spark.read.parquet(path).select("conversation_id", "seq", "content_hash")
+
+
+@query("sk2_natural_key", f"""
+WITH {q.SEGMENTS} SELECT segment_id FROM (SELECT *, row_number() OVER (PARTITION BY audio_ref, start_ms // 3600000, speaker ORDER BY segment_id) AS rn FROM segments WHERE segment_id % 2 = 0) s
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM segments o WHERE o.segment_id % 2 = 1 AND o.audio_ref = s.audio_ref AND o.start_ms // 3600000 = s.start_ms // 3600000 AND o.speaker = s.speaker)""")
+def sk2(spark, folder):
+    s = t.segments(spark, folder).withColumn("hour", F.floor(F.col("start_ms") / 3600000))
+    stored, incoming = s.where("segment_id % 2 = 1"), s.where("segment_id % 2 = 0")
+    return tb.new_rows(incoming, stored, ["audio_ref", "hour", "speaker"], F.col("segment_id")).select("segment_id")
+
+
+@query("sk3_upsert_manifest", """
+SELECT user_id AS path, arg_max(event_id, (ts, event_id)) AS item_count FROM events GROUP BY 1""")
+def sk3(spark, folder):
+    e = t.table(spark, folder, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("item_count"), F.struct("ts", "event_id").alias("at"))
+    claimed = tb.upserted(e.where("item_count % 2 = 0").limit(0), e.where("item_count % 2 = 0"), ["path"], "at")
+    return tb.upserted(claimed, e.where("item_count % 2 = 1"), ["path"], "at").select("path", "item_count")
+
+
+@query("sk4_upsert_digest", """
+WITH w AS (SELECT isoyear(ts) || '-W' || lpad(CAST(week(ts) AS VARCHAR), 2, '0') AS period, ts, event_id, props FROM events)
+SELECT period, arg_max(props, (ts, event_id)) AS text FROM w GROUP BY 1""")
+def sk4(spark, folder):
+    e = t.table(spark, folder, "events").select(times.iso_week(F.col("ts")).alias("period"), F.struct("ts", "event_id").alias("created_at"), F.col("props").alias("text"))
+    old, new = e.where("created_at.event_id % 3 = 0"), e.where("created_at.event_id % 3 > 0")
+    return tb.upserted(tb.upserted(old.limit(0), old, ["period"], "created_at"), new, ["period"], "created_at").select("period", "text")
+
+
+@query("sk5_write_splits", """
+SELECT CASE WHEN conv_id % 10 = 0 THEN 'eval' ELSE 'train' END AS split, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1""")
+def sk5(spark, folder):
+    c = t.table(spark, folder, "conversations").select(
+        F.when(F.col("conv_id") % 10 == 0, "eval").otherwise("train").alias("split"),
+        F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))
+    path = scratch_dir(spark, "splits")
+    tb.write_splits(c, path)
+    back = spark.read.schema("messages array<struct<role:string,content:string>>, split string").json(path)
+    return back.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length(F.get("messages", F.lit(0))["content"])).alias("chars"))
+
+
+_FEEDBACK = """feedback AS (SELECT doc_id AS id, source AS prompt, left(text, 200) AS rejected, CASE doc_id % 4 WHEN 0 THEN left(text, 199) || '!' WHEN 1 THEN 'no ' || lang WHEN 2 THEN '  ' ELSE NULL END AS chosen FROM documents)"""
+
+
+def _feedback(spark, folder):
+    k = F.col("doc_id") % 4
+    return t.table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("prompt"), F.left("text", F.lit(200)).alias("rejected"),
+        F.when(k == 0, F.concat(F.left("text", F.lit(199)), F.lit("!"))).when(k == 1, F.concat(F.lit("no "), "lang")).when(k == 2, "  ").alias("chosen"),
+        F.lit(None).cast("string").alias("counterpart"), F.lit(None).cast("timestamp").alias("exported_at"))
+
+
+@query("sk6_preference_batch", f"""
+WITH {_FEEDBACK} SELECT prompt, chosen, md5({q.strip('rejected')}) AS rejected_md5, '' AS counterpart FROM feedback WHERE id % 4 = 1""")
+def sk6(spark, folder):
+    pairs = fb.preference_pairs(_feedback(spark, folder)).where("usable")
+    path = scratch_dir(spark, "preferences")
+    tb.write_preferences(pairs, path, "20240101")
+    back = spark.read.schema("prompt string, chosen string, rejected string, counterpart string").json(path + "/dpo_20240101.jsonl")
+    return back.select("prompt", "chosen", F.md5("rejected").alias("rejected_md5"), "counterpart")
+
+
+@query("v13_preference_pairs")
+def v13(spark, folder):
+    return fb.preference_pairs(_feedback(spark, folder)).select("id", "usable")
+
+
+@query("v13_edit_similarity", f"""
+WITH {_FEEDBACK} SELECT id, round(1.0 - levenshtein(chosen, rejected) / CAST(greatest(length(chosen), length(rejected)) AS DOUBLE), 6) AS similarity FROM feedback WHERE chosen IS NOT NULL""")
+def v13_edit(spark, folder):
+    f = _feedback(spark, folder).where(F.col("chosen").isNotNull())
+    return f.select("id", F.round(fb.edit_similarity(F.col("chosen"), F.col("rejected")), 6).alias("similarity"))
+
+
+@query("sk7_memory_append", f"WITH {q.MEMORIES} SELECT kind, count(*) AS n FROM memories GROUP BY 1")
+def sk7(spark, folder):
+    m = t.memories(spark, folder)
+    path = scratch_dir(spark, "memories")
+    tb.append(m.where("kind <> 'diary'"), path, ["kind"])
+    tb.append(m.where("kind = 'diary'"), path, ["kind"])
+    return spark.read.parquet(path).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("sk8_replaced_slice", f"""
+WITH {q.MEMORIES} SELECT memory_id, kind FROM memories WHERE kind NOT IN ('photo', 'forward')
+UNION ALL SELECT memory_id + 1000000, kind FROM memories WHERE kind IN ('photo', 'forward') AND memory_id % 2 = 0""")
+def sk8(spark, folder):
+    m = t.memories(spark, folder).select("memory_id", "kind")
+    fresh = m.where("kind IN ('photo', 'forward') AND memory_id % 2 = 0").withColumn("memory_id", F.col("memory_id") + 1_000_000)
+    return tb.replaced_slice(m, "kind", ["photo", "forward"], fresh)
+
+
+@query("sk9_marks_and_labels", """
+SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 2 = 0 THEN 'now' WHEN d.doc_id % 2 = 1 THEN 'before' END AS indexed_at,
+  CASE WHEN l.doc_id IS NOT NULL THEN 'q' || l.quality ELSE d.source END AS person FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def sk9(spark, folder):
+    d = t.table(spark, folder, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 1, "before").alias("indexed_at"), F.col("source").alias("person"))
+    labels = t.table(spark, folder, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("person"))
+    return tb.assigned(tb.marked(d, labels, ["doc_id"], "indexed_at", F.lit("now")), labels, ["doc_id"], "person")
+
+
+@query("sk10_resets", f"""
+WITH {q.MESSAGES}, {q.PHOTOS}, {q.SEGMENTS}, {q.MEMORIES}
+SELECT 'messages' AS what, count(*) AS n FROM messages WHERE source NOT IN ('call', 'video')
+UNION ALL SELECT 'mtime photos', count(*) FROM photos WHERE date_source IN ('mtime', 'exif_modified')
+UNION ALL SELECT 'segments', count(*) FROM segments WHERE NOT starts_with(audio_ref, 'rec1')
+UNION ALL SELECT 'memories', count(*) FROM memories WHERE kind <> 'episodic'""")
+def sk10(spark, folder):
+    m = tb.reset_labels(t.messages(spark, folder))
+    p = t.photos(spark, folder)
+    imputed = p.withColumn("date_source", F.when(F.col("date_source") == "exif_modified", "folder_median").otherwise(F.col("date_source")))
+    back = tb.reset_imputed(imputed, p.select("id", F.col("taken_at").alias("mtime"))).where("date_source = 'mtime'")
+    s = t.segments(spark, folder)
+    left, _ = tb.reset_transcripts(s, s.select("audio_ref"), F.startswith("audio_ref", F.lit("rec1")))
+    mem = t.memories(spark, folder)
+    kept = tb.replaced_slice(mem, "kind", ["episodic"], mem.limit(0))
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(m, "messages").unionByName(count(back, "mtime photos")).unionByName(count(left, "segments")).unionByName(count(kept, "memories"))
+
+
+@query("sk11_log_append", """
+SELECT event_id, event_type IN ('click', 'view') AS valid FROM events""")
+def sk11(spark, folder):
+    e = t.table(spark, folder, "events").select("event_id", F.when(F.col("event_type").isin("click", "view"), "happy").otherwise("bored").alias("mood"))
+    from ..operators.moods import MOODS
+
+    ok, bad = tb.split_valid(e, F.col("mood").isin(MOODS))
+    return ok.select("event_id", F.lit(True).alias("valid")).unionByName(bad.select("event_id", F.lit(False).alias("valid")))
+
+
+@query("sk12_manifests", """
+SELECT 'c/' || event_id AS audio, props AS prompt, event_type AS lang, value AS seconds, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'said' END AS transcript FROM events WHERE value BETWEEN 3 AND 90""")
+def sk12(spark, folder):
+    e = t.table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("c/"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("question"),
+        F.col("event_type").alias("lang"), F.col("value").alias("seconds"), F.when(F.col("event_id") % 3 > 0, "said").alias("transcript"),
+        F.col("value").between(3, 90).alias("accepted"))
+    return tb.accepted_manifest(e)
+
+
+@query("sk12_rounded_manifest", """
+SELECT 'c' || event_id AS source, round(value, 2) AS start, round(value + 8, 2) AS "end", round(value / 500, 3) AS similarity, round(value / 400, 3) AS speech_ratio, round(value / 7000, 4) AS rms FROM events""")
+def sk12_rounded(spark, folder):
+    v = F.col("value")
+    e = t.table(spark, folder, "events").select(
+        F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("source"), v.alias("start"), (v + 8).alias("end"),
+        (v / 500).alias("similarity"), (v / 400).alias("speech_ratio"), (v / 7000).alias("rms"))
+    return tb.rounded_manifest(e)
+
+
+@query("sk13_schema_evolution", """
+SELECT event_id, CAST(-1 AS INTEGER) AS face_count, CAST(NULL AS VARCHAR) AS dupe_of FROM events""")
+def sk13(spark, folder):
+    e = t.table(spark, folder, "events").select("event_id")
+    return tb.evolved(e, {"event_id": "bigint", "face_count": "int", "dupe_of": "string"}, {"face_count": -1})
+
+
+@query("sk14_changed_rows", rf"""
+WITH c AS (SELECT doc_id, text, {q.strip(r"regexp_replace(text, '\s{2,}', ' ', 'g')")} AS cleaned FROM documents)
+SELECT doc_id, md5(cleaned) AS text_md5 FROM c WHERE cleaned <> text""")
+def sk14(spark, folder):
+    d = t.table(spark, folder, "documents").select("doc_id", "text")
+    return tb.changed_rows(d, {"text": tx.squeeze_pairs(F.col("text"))}).select("doc_id", F.md5("text").alias("text_md5"))

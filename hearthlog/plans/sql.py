@@ -23,13 +23,13 @@ DOCUMENT_TURNS = """turns AS (
  FROM documents)"""
 
 SEGMENTS = """segments AS (
- SELECT 'rec' || user_id AS audio_ref, event_id AS segment_id, epoch_ms(ts) AS start_ms,
-        epoch_ms(ts) + CAST(round(value * 60000) AS BIGINT) AS end_ms, event_type AS speaker, props AS text
+ SELECT 'rec' || user_id AS audio_ref, event_id AS segment_id, epoch_us(ts) // 1000 AS start_ms,
+        epoch_us(ts) // 1000 + CAST(round(value * 60000) AS BIGINT) AS end_ms, event_type AS speaker, props AS text
  FROM events WHERE event_type IN ('view', 'click'))"""
 
 DIARIZED = """diarized AS (
- SELECT 'rec' || user_id AS audio_ref, event_id AS turn_id, epoch_ms(ts) AS start_ms,
-        epoch_ms(ts) + CAST(round(value * 60000) AS BIGINT) AS end_ms, event_type AS label
+ SELECT 'rec' || user_id AS audio_ref, event_id AS turn_id, epoch_us(ts) // 1000 AS start_ms,
+        epoch_us(ts) // 1000 + CAST(round(value * 60000) AS BIGINT) AS end_ms, event_type AS label
  FROM events WHERE event_type NOT IN ('view', 'click'))"""
 
 MOODS = """moods AS (

@@ -1,7 +1,7 @@
 """Sectioned markdown and nested profile documents."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 
@@ -83,22 +83,17 @@ def profile_facts(profiles: DataFrame) -> DataFrame:
     )
     fact = lambda text: F.struct(text.alias("text"), F.lit("").alias("counterpart"))
     empty = F.array().cast("array<struct<text:string,counterpart:string>>")
-    behaviours = [
-        F.coalesce(
-            F.transform(
-                F.try_element_at("behaviour", F.lit(k)),
-                lambda i, k=k: fact(F.concat(F.lit(f"[{k.replace('_', ' ')}] "), i)),
-            ),
-            empty,
-        )
-        for k in BEHAVIOURS
-    ]
+
+    def items(key: str) -> Column:
+        label = F.lit(f"[{key.replace('_', ' ')}] ")
+        return F.coalesce(F.transform(F.try_element_at("behaviour", F.lit(key)), lambda i: fact(F.concat(label, i))), empty)
+
     phases = F.transform(
         "trajectory.phases",
         lambda p: fact(F.concat(F.lit("[life phase "), none(p["period"]), F.lit("] "), none(p["what_they_were_doing"]))),
     )
     facts = F.concat(
-        F.coalesce(F.transform("relationships.people", person), empty), *behaviours, F.coalesce(phases, empty)
+        F.coalesce(F.transform("relationships.people", person), empty), *[items(k) for k in BEHAVIOURS], F.coalesce(phases, empty)
     )
     return profiles.select("generated_at", F.explode(facts).alias("f")).select(
         F.col("f.text").alias("text"), F.lit("fact").alias("kind"), F.lit("mind_model").alias("source"),

@@ -12,7 +12,11 @@ def listing(spark: SparkSession, folder: str, suffixes: list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select(
         F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")
-    ).where(paths.suffix(F.col("path")).isin(suffixes))
+    ).transform(with_suffix, suffixes)
+
+
+def with_suffix(files: DataFrame, suffixes: list[str]) -> DataFrame:
+    return files.where(paths.suffix(F.col("path")).isin(suffixes))
 
 
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One given table; times without a zone are taken as session time (UTC)."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    for column, kind in df.dtypes:
+        if kind == "timestamp_ntz":
+            df = df.withColumn(column, F.col(column).cast("timestamp"))
+    return df
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +62,7 @@ def document_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """View and click events as transcript segments, `value` seconds long, in ms."""
+    """View and click events as transcript segments, `value` minutes long, in ms."""
     e = table(spark, folder, "events").where("event_type in ('view', 'click')")
     return e.select(
         F.concat(F.lit("rec"), F.col("user_id").cast("string")).alias("audio_ref"),
