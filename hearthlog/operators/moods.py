@@ -1,7 +1,7 @@
 """Mood readings: classification, freshness and smoothing."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .ordered import layout, look_back
 
@@ -97,7 +97,7 @@ def smoothed_level(
 
     halo = math.ceil(math.log(1e-20) / math.log(keep))
     lay = with_halo(layout(levels, [key], order, rows_per_block), halo)
-    schema = lay.df.schema.add("level", "double")
+    schema = T.StructType([*lay.df.schema.fields, T.StructField("level", T.DoubleType())])
 
     def fold(pdf):
         pdf = pdf.sort_values(order, kind="stable")

@@ -306,12 +306,12 @@ def sk12(spark, folder):
 
 
 @query("sk12_rounded_manifest", """
-SELECT 'c' || event_id AS source, round(value, 2) AS start, round(value + 8, 2) AS "end", round(value / 500, 3) AS similarity, round(value / 400, 3) AS speech_ratio, round(value / 7001, 4) AS rms FROM events""")
+SELECT 'c' || event_id AS source, round(value, 2) AS start, round(value + 8, 2) AS "end", round(value / 503, 3) AS similarity, round(value / 401, 3) AS speech_ratio, round(value / 7001, 4) AS rms FROM events""")
 def sk12_rounded(spark, folder):
     v = F.col("value")
     e = t.table(spark, folder, "events").select(
         F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("source"), v.alias("start"), (v + 8).alias("end"),
-        (v / 500).alias("similarity"), (v / 400).alias("speech_ratio"), (v / 7001).alias("rms"))
+        (v / 503).alias("similarity"), (v / 401).alias("speech_ratio"), (v / 7001).alias("rms"))
     return tb.rounded_manifest(e)
 
 

@@ -14,8 +14,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """`conversations` as the message table: assistant is the owner, system rows go."""
-    c = table(spark, folder, "conversations").where("role <> 'system'")
+    """`conversations` as the message table."""
+    return as_messages(table(spark, folder, "conversations"))
+
+
+def as_messages(conversations: DataFrame) -> DataFrame:
+    """Assistant is the owner, system rows go."""
+    c = conversations.where("role <> 'system'")
     pick = F.col("conv_id") % 4
     return c.select(
         F.when(pick == 0, "whatsapp").when(pick == 1, "call").when(pick == 2, "voice_note").otherwise("video").alias("source"),
@@ -34,7 +39,11 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_turns(spark: SparkSession, folder: str) -> DataFrame:
     """`events` as one conversation for each user: bursts of the same speaker occur."""
-    return table(spark, folder, "events").select(
+    return as_event_turns(table(spark, folder, "events"))
+
+
+def as_event_turns(events: DataFrame) -> DataFrame:
+    return events.select(
         F.lit("event").alias("source"),
         F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("conversation_id"),
         F.col("ts"),
@@ -88,7 +97,11 @@ def diarized_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 def moods(spark: SparkSession, folder: str) -> DataFrame:
     """`events` as mood readings; the score is value / 500."""
-    return table(spark, folder, "events").select(
+    return as_moods(table(spark, folder, "events"))
+
+
+def as_moods(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id"),
         F.col("ts").alias("created_at"),
