@@ -129,8 +129,8 @@ def collapse_repeats(c: Column) -> Column:
     """
     alternatives = []
     for n in range(1, 7):
-        more = r"(?: \S+){%d}" % (n - 1) if n > 1 else ""
-        alternatives.append(rf"(\S+{more})(?: \{n}(?!\S)){{2,}}")
+        more = r"(?: \S++){%d}" % (n - 1) if n > 1 else ""
+        alternatives.append(rf"(\S++{more})(?: \{n}(?!\S)){{2,}}")
     # exactly one group captures; the others are empty in the replacement
     once = "".join(f"${n}" for n in range(1, 7))
     return F.regexp_replace(squeeze(c), rf"(?<!\S)(?:{'|'.join(alternatives)})", f"{once} {once}")
@@ -197,15 +197,15 @@ def script_of(c: Column) -> Column:
     dev = _char_count(c, "ऀ-ॿ")
     gur = _char_count(c, "਀-੿")
     lat = _char_count(c, "A-Za-z")
-    tokens = F.regexp_extract_all(F.lower(c), F.lit("[a-z']+"), F.lit(0))
-    known = F.array(*[F.lit(w) for w in ROMAN_HINDI])
-    hits = F.size(F.filter(tokens, lambda w: F.array_contains(known, w)))
+    low = F.lower(c)
+    total = F.regexp_count(low, F.lit("[a-z']+"))
+    hits = F.regexp_count(low, F.lit(rf"(?<![a-z'])(?:{'|'.join(ROMAN_HINDI)})(?![a-z'])"))
     return (
         F.when(c.isNull() | (strip(c) == ""), "unknown")
         .when((gur > 0) & (gur >= dev), "gurmukhi")
         .when((dev > 0) & (dev * 3 >= lat), "devanagari")
         .when(lat == 0, "unknown")
-        .when(hits / F.size(tokens) >= 0.2, "hinglish")
+        .when(hits / total >= 0.2, "hinglish")
         .otherwise("english")
     )
 

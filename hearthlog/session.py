@@ -72,6 +72,20 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+SPREAD_BYTES_PER_CORE = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input too small to occupy the cores out over them.
+
+    Meant for per-row work that costs more than moving the rows. Inputs with
+    enough splits of their own are left alone, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint when it is checked small, else unchanged.
 

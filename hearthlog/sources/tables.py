@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One given table; times without a zone are taken as session time (UTC)."""
@@ -13,6 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table whose rows each get costly work."""
+    return spread(table(spark, folder, name))
+
+
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """`conversations` as the message table."""
     return as_messages(table(spark, folder, "conversations"))
