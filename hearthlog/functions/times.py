@@ -35,7 +35,8 @@ def timestamp_from_name(name: Column, as_of: Column) -> Column:
     """First file-name layout that gives a real date between 2015 and next year."""
     found = []
     for pattern, digits_layout in FILE_NAME_DATES:
-        digits = F.regexp_replace(F.regexp_extract(name, pattern, 0), r"\D", "")
+        found_text = F.nullif(F.regexp_extract(name, pattern, 0), F.lit(""))  # NULL costs no parse
+        digits = F.regexp_replace(found_text, r"\D", "")
         if digits_layout.startswith("yyMM"):
             digits, digits_layout = F.concat(F.lit("20"), digits), "yy" + digits_layout
         ts = F.try_to_timestamp(digits, F.lit(digits_layout))
@@ -48,7 +49,9 @@ def file_timestamp(name: Column, modified: Column, as_of: Column) -> Column:
 
 
 def exif_timestamp(raw: Column) -> Column:
-    return F.try_to_timestamp(F.left(raw, F.lit(19)), F.lit("yyyy:MM:dd HH:mm:ss"))
+    text = F.left(raw, F.lit(19))
+    plausible = F.when(text.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$") & ~F.startswith(text, F.lit("0000")), text)
+    return F.try_to_timestamp(plausible, F.lit("yyyy:MM:dd HH:mm:ss"))
 
 
 def photo_date(

@@ -25,7 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     """Scaled to length one; a zero vector stays as it is."""
     n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    # the one-row array holds the norm, so that it is computed once and not for each element
+    held = F.array(F.struct(a.alias("v"), F.when(n > 0, n).otherwise(1.0).alias("n")))
+    return F.get(F.transform(held, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"])), F.lit(0))
 
 
 def l2_similarity(a: Column, b: Column) -> Column:

@@ -1,9 +1,16 @@
 """Mood readings: classification, freshness and smoothing."""
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .ordered import layout, look_back
+from .ordered import (
+    BLOCK, HALO, drop_halo, layout, look_back, running, sorted_stretches, with_halo, with_halo_range,
+)
 
 # ---- fixed values ----
 MOODS = ["happy", "tired", "stressed", "surprised", "neutral"]
@@ -72,8 +79,6 @@ def sustained_quiet(
 
     `order[0]` is a timestamp; the frame is [now - seconds, now].
     """
-    from .ordered import drop_halo, with_halo_range
-
     micros = int(seconds * 1_000_000)
     df = levels.withColumn("_us", F.unix_micros(order[0]))
     lay = with_halo_range(layout(df, [key], ["_us", *order[1:]], rows_per_block), micros, F.col("_us"))
@@ -91,23 +96,27 @@ def smoothed_level(
     rows before it: what lies further back than the halo weighs less than one
     unit in the last place of a double.
     """
-    import math
-
-    from .ordered import BLOCK, HALO, with_halo
-
     halo = math.ceil(math.log(1e-20) / math.log(keep))
     lay = with_halo(layout(levels, [key], order, rows_per_block), halo)
     schema = T.StructType([*lay.df.schema.fields, T.StructField("level", T.DoubleType())])
 
-    def fold(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        level, out = 0.0, []
-        for p in pdf[peak]:
-            level = level * keep + p * (1 - keep)
-            out.append(level)
-        return pdf.assign(level=out)
+    parts = lay.parts
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, level = None, 0.0
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            heads = (pdf[parts] != pdf[parts].shift()).any(axis=1).to_numpy()
+            heads[0] = tuple(pdf[parts].iloc[0]) != last
+            out = np.empty(len(pdf))
+            for i, (head, p) in enumerate(zip(heads.tolist(), pdf[peak].tolist())):
+                level = (0.0 if head else level) * keep + p * (1 - keep)
+                out[i] = level
+            last = tuple(pdf[parts].iloc[-1])
+            yield pdf.assign(level=out)
 
-    return lay.df.groupBy(*lay.parts).applyInPandas(fold, schema).where(~F.col(HALO)).drop(HALO, BLOCK)
+    return sorted_stretches(lay).mapInPandas(fold, schema).where(~F.col(HALO)).drop(HALO, BLOCK)
 
 
 def mood_at(turns: DataFrame, moods: DataFrame, key: str, rows_per_block: int | None = None) -> DataFrame:
@@ -127,8 +136,6 @@ def mood_at(turns: DataFrame, moods: DataFrame, key: str, rows_per_block: int |
         F.col("_side") == 0,
         F.struct("ts", "_id", F.col("_reading.mood").alias("mood"), F.col("_reading.score").alias("score")),
     )
-    from .ordered import running
-
     out = running(lay, last, "max", "_last").df.where(F.col("_side") == 1)
     fresh = F.col("_last.ts") >= F.col("ts") - F.expr(f"INTERVAL {FRESH_MINUTES} MINUTES")
     return out.select(

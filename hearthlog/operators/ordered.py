@@ -61,12 +61,19 @@ class Layout:
         return (self.df if df is None else df).drop(BLOCK, ALL)
 
 
+def has_hot_keys(df: DataFrame, keys: list[str], rows_per_block: int | None = None) -> bool:
+    """Whether some key has more rows than a block; one narrow count."""
+    counts = df.groupBy(*keys).count()
+    return not counts.where(F.col("count") > (rows_per_block or ROWS_PER_BLOCK)).isEmpty()
+
+
 def layout(
-    df: DataFrame, keys: list[str], order: list[str], rows_per_block: int | None = None
+    df: DataFrame, keys: list[str], order: list[str], rows_per_block: int | None = None, cold: bool = False
 ) -> Layout:
     """Find hot keys with one narrow count and cut only those.
 
     `order` must be unique within a key. Without keys the whole frame is one order.
+    `cold` skips the count when the caller knows that no key is hot.
 
     The driver receives at most rows/rows_per_block keys and a few sampled
     order values for each block.
@@ -75,7 +82,7 @@ def layout(
     if not keys:
         keys = [ALL]
         df = df.withColumn(ALL, F.lit(0))
-    hot_rows = df.groupBy(*keys).count().where(F.col("count") > rows_per_block).collect()
+    hot_rows = [] if cold else df.groupBy(*keys).count().where(F.col("count") > rows_per_block).collect()
     if not hot_rows:
         return Layout(df.withColumn(BLOCK, F.lit(0)), keys, order)
 
@@ -225,6 +232,14 @@ def drop_halo(lay: Layout) -> Layout:
     return lay.with_df(lay.df.where(~F.col(HALO)).drop(HALO))
 
 
+def sorted_stretches(lay: Layout) -> DataFrame:
+    """Rows hash-partitioned by (key, block) and sorted within the partition.
+
+    For folds over a whole partition: many small keys share one pass.
+    """
+    return lay.df.repartition(*[F.col(c) for c in lay.parts]).sortWithinPartitions(*lay.parts, *lay.order)
+
+
 def look_back(lay: Layout, rows: int, **columns: Callable[[WindowSpec], Column]) -> Layout:
     """Evaluate expressions whose window frames reach at most `rows` rows back.
 

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import small_side
+from ..session import checkpoint, small_side
 from .ordered import layout, running
 
 SORT_LIMIT_ROWS = 100_000  # largest n answered by a sort-and-limit
@@ -102,15 +102,19 @@ def exact_rank(
         ).withColumn("_left", F.col("_target") - (F.col("_upto") - F.col("_n")))
 
     rows = df.select(key, value)
-    picked = level(
+    picked = checkpoint(level(
         rows, widths[0], [key],
         lambda h: h.where(F.col("_total") >= min_rows).withColumn("_target", rank_of(F.col("_total")).cast("long")),
-    )
+    ))  # one row for each key
     answers = picked.where(F.col("_min") == F.col("_max")).select(key, F.col("_min").alias("value"))
     for coarse, fine in zip(widths, widths[1:]):
         open_ = picked.where(F.col("_min") < F.col("_max")).select(key, F.col("_b").alias("_in"), F.col("_left"))
+        if open_.isEmpty():
+            break
         inside = rows.withColumn("_in", F.floor(F.col(value) / F.lit(coarse)).cast("long")).join(open_, [key, "_in"])
-        picked = level(inside, fine, [key, "_left"], lambda h: h.withColumn("_target", F.col("_left")).drop("_left"))
+        picked = checkpoint(
+            level(inside, fine, [key, "_left"], lambda h: h.withColumn("_target", F.col("_left")).drop("_left"))
+        )
         answers = answers.unionByName(
             picked.where(F.col("_min") == F.col("_max")).select(key, F.col("_min").alias("value"))
         )

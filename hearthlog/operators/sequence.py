@@ -1,13 +1,15 @@
 """Conversation order: runs, utterances, scenes, context windows, histories."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
-from ..session import checkpoint, is_small, small_side
-from .ordered import BLOCK, Layout, island_start, layout, look_back
+from ..session import checkpoint, small_side
+from .ordered import BLOCK, Layout, has_hot_keys, island_start, layout, look_back, sorted_stretches
 from .select import first_wins, seeded, top_per_group, top_rows
 
 # ---- fixed values ----
@@ -29,12 +31,12 @@ def _folded(order: list[str], value: str, separator: str) -> Column:
     return ordered_join(F.collect_list(F.struct(*order, F.col(value).alias("v"))), separator)
 
 
-def merge_runs(turns: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+def merge_runs(turns: DataFrame, rows_per_block: int | None = None, cold: bool = False) -> DataFrame:
     """Consecutive turns of one speaker become one turn.
 
     (conversation_id, ts, seq) are those of the first turn, `last_ts` of the last.
     """
-    lay = layout(turns, KEY, ORDER, rows_per_block)
+    lay = layout(turns, KEY, ORDER, rows_per_block, cold)
     lay = look_back(lay, 1, _previous=lambda w: F.lag("speaker").over(w))
     lay = island_start(lay, ~F.coalesce(F.col("speaker") == F.col("_previous"), F.lit(False)), "_run")
     return (
@@ -187,25 +189,49 @@ def _mark_scenes(lay: Layout, limit: int) -> DataFrame:
         df = df.join(F.broadcast(_entry_states(lay, limit)), [*KEY, BLOCK], "left")  # one row per block
     else:
         df = df.withColumns({"_carried": F.lit(0), "_open_ts": F.lit(None).cast("timestamp"), "_open_seq": F.lit(None).cast("long")})
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER, kind="stable").reset_index(drop=True)
-        carried = pdf["_carried"].iloc[0]
-        carried = 0 if pd.isna(carried) else int(carried)
-        starts = _Scenes(pdf["_size"].to_numpy(), pdf["_gap"].to_numpy(bool), limit).starts(carried)
-        opener = pd.Series(pd.NA, index=pdf.index, dtype="Int64")
-        opener.iloc[starts] = starts
-        opener = opener.ffill()
-        inside = opener.notna()
-        at = opener.fillna(0).astype(int).to_numpy()
-        pdf["scene_ts"] = pdf["ts"].to_numpy()[at]
-        pdf["scene_seq"] = pdf["seq"].to_numpy()[at]
-        if not inside.all():
-            pdf.loc[~inside, "scene_ts"] = pdf["_open_ts"].iloc[0]
-            pdf.loc[~inside, "scene_seq"] = int(pdf["_open_seq"].iloc[0])
-        return pdf[[f.name for f in out.fields]]
-
-    return df.groupBy(*lay.parts).applyInPandas(mark, out)
+    parts = lay.parts
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One pass over a sorted partition. The scene open at the end of an Arrow
+        batch goes on into the next batch when the stretch does."""
+        last, size, ts, seq = None, 0, pd.NaT, 0
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            pdf = pdf.reset_index(drop=True)
+            heads = (pdf[parts] != pdf[parts].shift()).any(axis=1).to_numpy()
+            goes_on = tuple(pdf[parts].iloc[0]) == last
+            bounds = np.flatnonzero(heads).tolist()  # row 0 is always a head here
+            opener_ts, opener_seq = pdf["ts"].copy(), pdf["seq"].to_numpy(np.int64, copy=True)
+            gaps, sizes = pdf["_gap"].to_numpy(bool), pdf["_size"].to_numpy()
+            row_of = np.empty(len(pdf), np.int64)
+            for lo, hi in zip(bounds, [*bounds[1:], len(pdf)]):
+                if not (lo == 0 and goes_on):
+                    carried = pdf["_carried"].iat[lo]
+                    size = 0 if pd.isna(carried) else int(carried)
+                    ts, seq = pdf["_open_ts"].iat[lo], pdf["_open_seq"].iat[lo]
+                fold = _Scenes(sizes[lo:hi], gaps[lo:hi], limit)
+                starts = fold.starts(size)
+                row_of[lo:hi] = -1
+                for s, e in zip(starts, [*starts[1:], hi - lo]):
+                    row_of[lo + s : lo + e] = lo + s
+                before = starts[0] if starts else hi - lo
+                if before:
+                    opener_ts.iloc[lo : lo + before] = ts
+                    opener_seq[lo : lo + before] = int(seq)
+                if starts:
+                    size = int(fold.total[-1] - fold.total[starts[-1]])
+                    ts, seq = pdf["ts"].iat[lo + starts[-1]], pdf["seq"].iat[lo + starts[-1]]
+                else:
+                    size += int(fold.total[-1])
+            inside = row_of >= 0
+            at = np.where(inside, row_of, np.arange(len(pdf)))
+            pdf["scene_ts"] = opener_ts.where(~inside, opener_ts.take(at).set_axis(pdf.index))
+            pdf["scene_seq"] = np.where(inside, opener_seq[at], opener_seq)
+            last = tuple(pdf[parts].iloc[-1])
+            yield pdf[[f.name for f in out.fields]]
+
+    return sorted_stretches(lay.with_df(df)).mapInPandas(mark, out)
 
 
 def _entry_states(lay: Layout, limit: int) -> DataFrame:
@@ -250,10 +276,10 @@ def _entry_states(lay: Layout, limit: int) -> DataFrame:
 
 def context_candidates(
     merged: DataFrame, context_turns: int = CONTEXT_TURNS, min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
-    rows_per_block: int | None = None,
+    rows_per_block: int | None = None, cold: bool = False,
 ) -> DataFrame:
     """Owner turns with the turns before them, the cleaned reply and a drop reason."""
-    lay = layout(merged, KEY, ORDER, rows_per_block)
+    lay = layout(merged, KEY, ORDER, rows_per_block, cold)
     lay = look_back(
         lay, context_turns,
         context=lambda w: F.collect_list(F.struct("speaker", "text")).over(w.rowsBetween(-context_turns, -1)),
@@ -271,17 +297,18 @@ def context_candidates(
 
 
 def first_with_cap(
-    candidates: DataFrame, key: str, group: str, order: list[str], cap: int
+    candidates: DataFrame, key: str, group: str, order: list[str], cap: int, may_fill: bool = True
 ) -> tuple[DataFrame, DataFrame | None]:
     """First row of each key, taking the groups in turn, each stopping at `cap` kept rows.
 
     Keys met after a group stopped stay free for later groups. Each round finds
     who owns each key, cuts the groups that reached the cap and frees what lay
     beyond; cuts only move earlier, so the rounds end with the exact answer.
-    Returns the kept rows and the cuts (group, `_cut`), None when no group is full.
+    Returns the kept rows and the cuts (group, `_cut`), None when no group is full;
+    `may_fill=False` says that no group has `cap` candidates.
     """
     turn = [F.col(group), *[F.col(c) for c in order]]
-    if is_small(candidates.groupBy(group).count().where(F.col("count") > cap - 1), 0):
+    if not may_fill or not has_hot_keys(candidates, [group], cap - 1):
         return first_wins(candidates, [key], *turn), None
     ids = checkpoint(candidates.select(key, group, *order))
     here = F.struct(*order)

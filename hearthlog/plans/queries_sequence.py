@@ -8,7 +8,7 @@ from ..operators import clips, select as sel, sequence as seq
 from ..sources import tables as t
 from . import sql as q
 from .catalog import query
-from .training import candidates_with_drops, drop_counts
+from .training import example_drops
 
 _RUNS = """runs AS (
  SELECT *, sum(start) OVER (PARTITION BY conversation_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM (
@@ -297,7 +297,7 @@ UNION ALL SELECT 'duplicate', (SELECT count(*) FROM cands WHERE drop_reason IS N
   WHERE (SELECT count(*) FROM cands WHERE drop_reason IS NULL) > (SELECT count(*) FROM kept)
 UNION ALL SELECT 'kept', count(*) FROM kept""")
 def a14(spark, folder):
-    return drop_counts(*candidates_with_drops(t.document_turns(spark, folder)))
+    return example_drops(t.document_turns(spark, folder))
 
 
 @query("sft_examples", f"""

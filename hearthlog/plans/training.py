@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..operators import joins, select as sel, sequence as seq
+from ..operators.ordered import ROWS_PER_BLOCK
+from ..session import checkpoint
 
 
 def candidates_with_drops(
@@ -14,14 +16,43 @@ def candidates_with_drops(
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(candidates, kept, cuts): every owner turn with its drop reason, the first of
     each pair within the conversation cap, and where capped conversations stopped."""
-    rows = messages.where(~F.col("source").isin(list(exclude_sources)))
-    merged = seq.merge_runs(rows, rows_per_block)
-    cands = seq.context_candidates(merged, context_turns, min_words, max_words, rows_per_block)
+    cands, may_fill = candidates(messages, exclude_sources, context_turns, min_words, max_words, cap, rows_per_block)
     good = cands.where(F.col("drop_reason").isNull())
-    kept, cuts = seq.first_with_cap(good, "pair_key", "conversation_id", seq.ORDER, cap)
+    kept, cuts = seq.first_with_cap(good, "pair_key", "conversation_id", seq.ORDER, cap, may_fill)
     return cands, kept, cuts
 
 
+def candidates(
+    messages: DataFrame, exclude_sources: list[str] = ("video",), context_turns: int = seq.CONTEXT_TURNS,
+    min_words: int = seq.MIN_WORDS, max_words: int = seq.MAX_WORDS, cap: int = seq.CONVERSATION_CAP,
+    rows_per_block: int | None = None,
+) -> tuple[DataFrame, bool]:
+    """(owner turns with context and drop reason, whether a conversation can reach the cap).
+
+    One count over two narrow columns of the messages answers both questions of
+    skew: whether a conversation must be cut into blocks and whether one can fill.
+    """
+    rows = messages.where(~F.col("source").isin(list(exclude_sources)))
+    largest = rows.groupBy("conversation_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("speaker") == "me").alias("own")
+    ).agg(F.max("n"), F.max("own")).first()
+    cold = (largest[0] or 0) <= (rows_per_block or ROWS_PER_BLOCK)
+    merged = seq.merge_runs(rows, rows_per_block, cold)
+    return (
+        seq.context_candidates(merged, context_turns, min_words, max_words, rows_per_block, cold),
+        (largest[1] or 0) >= cap,
+    )
+
+
+def example_drops(messages: DataFrame, cap: int = seq.CONVERSATION_CAP, **options) -> DataFrame:
+    """Drop counts of a build; works on the keys and reasons of the candidates only."""
+    cands, may_fill = candidates(messages, cap=cap, **options)
+    narrow = checkpoint(cands.select("conversation_id", *seq.ORDER, "pair_key", "drop_reason"))
+    good = narrow.where(F.col("drop_reason").isNull())
+    kept, cuts = seq.first_with_cap(good, "pair_key", "conversation_id", seq.ORDER, cap, may_fill)
+    return drop_counts(narrow, kept, cuts)
+
+
 def drop_counts(candidates: DataFrame, kept: DataFrame, cuts: DataFrame | None) -> DataFrame:
     """drop_reason, n, with the rows kept under `kept`.
 

@@ -226,16 +226,20 @@ def spoken_turns(frames: DataFrame, rows_per_block: int | None = None) -> DataFr
     lay = island_start(lay, speech & (F.coalesce(F.col("_recent"), F.lit(0)) == 0), "_part")
     rows = lay.done().where(F.col("_part").isNotNull()).select("session", F.col("_part.frame").alias("part"), "frame", "probability")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, done, session = _IDLE, [], int(pdf["session"].iloc[0])
-        pdf = pdf.sort_values("frame")
-        for frame, p in zip(pdf["frame"], pdf["probability"]):
-            state, turn = _step(state, int(frame), p >= SPEECH_PROBABILITY)
-            if turn:
-                done.append((session, *turn))
-        return pd.DataFrame(done, columns=TURN_SCHEMA.fieldNames())
-
-    return rows.groupBy("session", "part").applyInPandas(fold, TURN_SCHEMA)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, _IDLE
+        for pdf in frames:
+            done = []
+            for session, part, frame, p in zip(pdf["session"], pdf["part"], pdf["frame"], pdf["probability"]):
+                if (session, part) != last:
+                    last, state = (session, part), _IDLE
+                state, turn = _step(state, frame, p >= SPEECH_PROBABILITY)
+                if turn:
+                    done.append((session, *turn))
+            yield pd.DataFrame(done, columns=TURN_SCHEMA.fieldNames())
+
+    stretches = rows.repartition("session", "part").sortWithinPartitions("session", "part", "frame")
+    return stretches.mapInPandas(fold, TURN_SCHEMA)
 
 
 def fresh_paths(spark: SparkSession, name: str) -> tuple[str, str]:
