@@ -64,13 +64,13 @@ def similar_links(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, ch
         F.col("_rep").alias("src"), F.col("id").alias("dst")
     )
     items = same.select(F.col("_rep").alias("id"), "vector")
-    chosen = top_rows(items.withColumn("_pick", seeded(3, "id")), pivots, F.col("_pick"))
-    table = np.array([r[0] for r in chosen.select("vector").collect()], dtype=np.float64)  # `pivots` rows
-    if not len(table):
+    chosen = top_rows(items.withColumn("_pick", seeded(3, "id")), 4 * pivots, F.col("_pick"))
+    sample = np.array([r[0] for r in chosen.select("vector").collect()], dtype=np.float64)  # 4 * pivots rows
+    if not len(sample):
         return copies
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)
-    shared = spark.sparkContext.broadcast(table)
+    sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
     angle = math.acos(max(-1.0, min(1.0, threshold)))
+    shared = spark.sparkContext.broadcast(_pivot_table(sample, angle, items.count(), pivots))
 
     placed_schema = T.StructType([
         T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType()),
@@ -134,6 +134,28 @@ def similar_links(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, ch
     return met.groupBy("cell", "_pair").applyInPandas(star, links).unionByName(copies)
 
 
+def _pivot_table(sample: np.ndarray, angle: float, rows: int, most: int) -> np.ndarray:
+    """The first pivots of the sample, as many as make the cells cheapest to compare.
+
+    At wide angles every row visits every cell and one cell is best; at narrow
+    ones many cells rule most pairs out. The choice never changes the links.
+    """
+    best, best_cost = 1, math.inf
+    scale = rows / len(sample)
+    n = 1
+    while n <= min(most, len(sample)):
+        to = np.arccos(np.clip(sample @ sample[:n].T, -1.0, 1.0))
+        home = to.argmin(axis=1)
+        visits = (to <= (to.min(axis=1) + 2 * angle)[:, None]) & (np.arange(n)[None, :] > home[:, None])
+        homes = np.bincount(home, minlength=n) * scale
+        guests = visits.sum(axis=0) * scale
+        cost = float((homes * (homes + guests)).sum() + 1_000 * guests.sum())  # a moved row costs about 1000 pairs
+        if cost < best_cost:
+            best, best_cost = n, cost
+        n *= 4
+    return sample[:best]
+
+
 def connected_components(ids: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the links.
 

@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions import vectors as vx
+from ..functions import text as tx, times, vectors as vx
+from ..session import BROADCAST_ROWS, checkpoint, small_side
 from .select import top_per_group
 
 # ---- fixed values ----
@@ -103,11 +104,16 @@ class _Keeper:
         )
 
 
-def _window_mask(ts: np.ndarray, windows: list[tuple]) -> np.ndarray:
-    """rows x queries: whether a row lies in each query's half-open window."""
-    lo = np.array([-np.inf if w[0] is None else w[0] for w in windows])
-    hi = np.array([np.inf if w[1] is None else w[1] for w in windows])
-    return (ts[:, None] >= lo) & (ts[:, None] < hi)
+def _eligible(pdf: pd.DataFrame, limits: list[tuple]) -> np.ndarray:
+    """rows x queries: whether a row lies in each query's half-open window and kinds."""
+    ts = pdf["_ts"].to_numpy(np.float64)
+    lo = np.array([-np.inf if w[0] is None else w[0] for w in limits])
+    hi = np.array([np.inf if w[1] is None else w[1] for w in limits])
+    ok = (ts[:, None] >= lo) & (ts[:, None] < hi)
+    for q, (_, _, kinds) in enumerate(limits):
+        if kinds is not None:
+            ok[:, q] &= pdf["kind"].isin(list(kinds)).to_numpy()
+    return ok
 
 
 def _union(parts: list[DataFrame], spark) -> DataFrame:
@@ -119,10 +125,10 @@ def _union(parts: list[DataFrame], spark) -> DataFrame:
     return out
 
 
-def _with_window(queries: DataFrame) -> DataFrame:
-    for c in ("lo", "hi"):
+def _with_limits(queries: DataFrame) -> DataFrame:
+    for c, kind in (("lo", "timestamp"), ("hi", "timestamp"), ("kinds", "array<string>")):
         if c not in queries.columns:
-            queries = queries.withColumn(c, F.lit(None).cast("timestamp"))
+            queries = queries.withColumn(c, F.lit(None).cast(kind))
     return queries.withColumns({"_lo": F.unix_micros("lo"), "_hi": F.unix_micros("hi")})
 
 
@@ -131,21 +137,21 @@ def dense_top(
 ) -> DataFrame:
     """query_id, memory_id, similarity, rank (from 0) of the `fetch` nearest memories.
 
-    `queries`: query_id, vector and optional lo, hi. Similarity is 1 - distance
+    `queries`: query_id, vector and optional lo, hi, kinds. Similarity is 1 - distance
     for the squared-L2 metric, or the cosine. Exact: every eligible row is scored.
     """
     spark = memories.sparkSession
     rows = memories.where(F.col("vector").isNotNull()).select(
-        "memory_id", "vector", F.unix_micros("ts").alias("_ts")
+        "memory_id", "vector", "kind", F.unix_micros("ts").alias("_ts")
     )
     parts = []
-    for chunk in _chunks(_with_window(queries), ["query_id", "vector", "_lo", "_hi"], per_pass):
+    for chunk in _chunks(_with_limits(queries), ["query_id", "vector", "_lo", "_hi", "kinds"], per_pass):
         batch = spark.sparkContext.broadcast(  # at most per_pass vectors
-            ([r[0] for r in chunk], np.array([r[1] for r in chunk], dtype=np.float64), [(r[2], r[3]) for r in chunk])
+            ([r[0] for r in chunk], np.array([r[1] for r in chunk], dtype=np.float64), [tuple(r[2:]) for r in chunk])
         )
 
         def score(frames: Iterator[pd.DataFrame], batch=batch) -> Iterator[pd.DataFrame]:
-            ids, q, windows = batch.value
+            ids, q, limits = batch.value
             keeper = _Keeper(len(ids), fetch)
             q2 = (q * q).sum(axis=1)
             for pdf in frames:
@@ -158,7 +164,7 @@ def dense_top(
                 else:
                     scale = np.sqrt(v2)[:, None] * np.sqrt(q2)[None, :]
                     s = np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
-                s[~_window_mask(pdf["_ts"].to_numpy(np.float64), windows)] = -np.inf
+                s[~_eligible(pdf, limits)] = -np.inf
                 keeper.add(s, pdf["memory_id"].to_numpy(np.int64))
             yield keeper.frame(ids)
 
@@ -168,48 +174,79 @@ def dense_top(
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"), F.lit(0))
 
 
-def corpus_numbers(memories: DataFrame) -> tuple[int, float]:
-    """(rows, mean terms) of the searched collection."""
-    n, total = memories.agg(F.count(F.lit(1)), F.sum(F.size(terms(F.col("text"))))).first()
-    return n, (total / n if n else 0.0)
+class KeywordIndex:
+    """Collection numbers that keyword scores need: rows, mean length, document frequencies.
+
+    They describe the whole collection, whatever a search filters. Each batch of
+    new terms costs one pass, in which a task counts into one vector and hands
+    only that on.
+    """
+
+    def __init__(self, memories: DataFrame):
+        self.memories = memories
+        self.rows, self.mean_terms = 0, 0.0
+        self._known: dict[str, int] = {}
+
+    def frequencies(self, vocabulary: list[str]) -> dict[str, int]:
+        """Rows that hold each term, for the terms of one pass."""
+        new = [w for w in vocabulary if w not in self._known]
+        if len(self._known) + len(new) > 10 * BROADCAST_ROWS:  # keep the driver's copy small
+            self._known.clear()
+            new = vocabulary
+        if new:
+            wanted = self.memories.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(new)})
+
+            def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                at = wanted.value
+                found, rows, total = np.zeros(len(at), np.int64), 0, 0
+                for pdf in frames:
+                    rows += len(pdf)
+                    for words in pdf["_terms"]:
+                        total += len(words)
+                        hits = at.keys() & set(words)
+                        found[[at[w] for w in hits]] += 1
+                ix = np.flatnonzero(found)
+                yield pd.DataFrame({"ix": [-2, -1, *ix], "n": [rows, total, *found[ix]]})
+
+            parts = self.memories.select(terms(F.col("text")).alias("_terms")).mapInPandas(count, "ix long, n long")
+            sums = dict(parts.groupBy("ix").agg(F.sum("n")).collect())  # one row for each asked term
+            self.rows = sums.get(-2, 0)
+            self.mean_terms = sums.get(-1, 0) / self.rows if self.rows else 0.0
+            self._known.update({w: sums.get(i, 0) for i, w in enumerate(new)})
+        return {w: self._known[w] for w in vocabulary}
 
 
 def keyword_top(
-    queries: DataFrame, memories: DataFrame, fetch: int, per_pass: int = QUERIES_PER_PASS
+    queries: DataFrame, memories: DataFrame, fetch: int, index: KeywordIndex | None = None, per_pass: int = QUERIES_PER_PASS
 ) -> DataFrame:
     """query_id, memory_id, score, rank (from 0): best BM25 matches with a score above 0.
 
-    `queries`: query_id, text and optional lo, hi. Document frequencies are
-    counted for the query terms only; the postings of a common term are never
-    shuffled, since each task scores its own rows.
+    `queries`: query_id, text and optional lo, hi, kinds. The postings of a
+    common term are never shuffled, since each task scores its own rows.
     """
     spark = memories.sparkSession
-    rows = memories.select("memory_id", terms(F.col("text")).alias("_terms"), F.unix_micros("ts").alias("_ts"))
-    n_rows, mean_terms = corpus_numbers(memories)
-    asked = _with_window(queries).withColumn("_terms", F.array_distinct(terms(F.col("text"))))
+    index = index or KeywordIndex(memories)
+    asked = _with_limits(queries).withColumn("_terms", F.array_distinct(terms(F.col("text"))))
     parts = []
-    for chunk in _chunks(asked, ["query_id", "_terms", "_lo", "_hi"], per_pass):
+    for chunk in _chunks(asked, ["query_id", "_terms", "_lo", "_hi", "kinds"], per_pass):
         vocabulary = sorted({w for r in chunk for w in r[1]})
-        if not vocabulary or not n_rows:
+        df = index.frequencies(vocabulary)
+        if not vocabulary or not index.rows:
             continue
-        wanted = F.broadcast(  # the terms of at most per_pass queries
-            spark.createDataFrame([(w, i) for i, w in enumerate(vocabulary)], "_term string, _ix int")
-        )
-        found = rows.select("memory_id", F.explode(F.array_distinct("_terms")).alias("_term")).join(wanted, "_term")
-        df = dict(found.groupBy("_ix").agg(F.count(F.lit(1))).collect())
         at = {w: i for i, w in enumerate(vocabulary)}
         weights = np.zeros((len(vocabulary), len(chunk)))
         for q, r in enumerate(chunk):
             for w in r[1]:
-                d = df.get(at[w], 0)
-                weights[at[w], q] = np.log(1.0 + (n_rows - d + 0.5) / (d + 0.5))
-        batch = spark.sparkContext.broadcast(([r[0] for r in chunk], at, weights, [(r[2], r[3]) for r in chunk]))
+                weights[at[w], q] = np.log(1.0 + (index.rows - df[w] + 0.5) / (df[w] + 0.5))
+        batch = spark.sparkContext.broadcast(([r[0] for r in chunk], at, weights, [tuple(r[2:]) for r in chunk]))
+        rows = memories.select("memory_id", "kind", F.unix_micros("ts").alias("_ts"), terms(F.col("text")).alias("_terms"))
+        mean_terms = index.mean_terms
 
         def score(frames: Iterator[pd.DataFrame], batch=batch) -> Iterator[pd.DataFrame]:
-            ids, at, weights, windows = batch.value
+            ids, at, weights, limits = batch.value
             keeper = _Keeper(len(ids), fetch)
             for pdf in frames:
                 if not len(pdf):
@@ -221,7 +258,7 @@ def keyword_top(
                         tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * len(words) / mean_terms))
                         s[i] = tf @ weights[ix.astype(int)]
                 s[s <= 0] = -np.inf
-                s[~_window_mask(pdf["_ts"].to_numpy(np.float64), windows)] = -np.inf
+                s[~_eligible(pdf, limits)] = -np.inf
                 keeper.add(s, pdf["memory_id"].to_numpy(np.int64))
             yield keeper.frame(ids)
 
@@ -264,19 +301,20 @@ def fuse_key(ts: Column, text: Column) -> Column:
 
 def search(
     queries: DataFrame, memories: DataFrame, limit: int, as_of: Column, max_trust: str = "secret",
-    kinds: list[str] = (), metric: str = "l2", per_pass: int = QUERIES_PER_PASS,
+    kinds: list[str] = (), metric: str = "l2", index: KeywordIndex | None = None, per_pass: int = QUERIES_PER_PASS,
 ) -> DataFrame:
     """The `limit` best memories of each query with `score` and `rank` (from 1).
 
-    `queries`: query_id, text, vector and optional lo, hi.
+    `queries`: query_id, text, vector and optional lo, hi, kinds.
     """
     eligible = memories.where(search_filter(max_trust, kinds))
     fetch = fetch_size(limit)
-    dense = dense_top(queries, eligible, fetch, metric, per_pass)
-    keyword = keyword_top(queries, eligible, fetch, per_pass)
+    # both lists are short and used twice: write them once instead of scoring twice
+    dense = checkpoint(dense_top(queries, eligible, fetch, metric, per_pass))
+    keyword = checkpoint(keyword_top(queries, eligible, fetch, index or KeywordIndex(memories), per_pass))
     # only the few fetched rows get their text and metadata back
     hits = dense.select("memory_id").union(keyword.select("memory_id")).distinct()
-    full = eligible.join(F.broadcast(hits) if _bounded(queries, fetch) else hits, "memory_id")
+    full = eligible.join(small_side(hits), "memory_id")
     row = F.struct(*[F.col(c) for c in memories.columns])
     full = full.select("memory_id", row.alias("row"), fuse_key(F.col("ts"), F.col("text")).alias("key"))
     fused = fuse(dense.join(full, "memory_id"), keyword.join(full, "memory_id"))
@@ -289,12 +327,6 @@ def search(
     )
 
 
-def _bounded(queries: DataFrame, fetch: int) -> bool:
-    from ..session import BROADCAST_ROWS, is_small
-
-    return is_small(queries, BROADCAST_ROWS // (2 * fetch))
-
-
 def union_memories(*parts: DataFrame) -> DataFrame:
     """Memories of several kinds in one table; columns a kind lacks are NULL."""
     out = parts[0]
@@ -372,30 +404,29 @@ def gather(
     `queries`: query_id, text, vector. The time window is read from the text;
     photo questions get a second search and their own weights.
     """
-    from ..functions import text as tx, times
-    from ..session import checkpoint, small_side
-
     trust = "public" if guest else "secret"
     q = queries.withColumn("_w", times.time_window(F.col("text"), as_of)).select(
         "query_id", "text", "vector", F.col("_w.lo").alias("lo"), F.col("_w.hi").alias("hi"),
         tx.wants_photos(F.col("text")).alias("photos"), tx.wants_own_photos(F.col("text")).alias("own"),
     )
     q = checkpoint(q)
-    rows = search(q, memories, 4 * limit, as_of, trust, metric=metric)
+    index = KeywordIndex(memories)
+    rows = checkpoint(search(q, memories, 4 * limit, as_of, trust, metric=metric, index=index))
     windowed = q.where(F.col("lo").isNotNull())
-    if not windowed.isEmpty():
-        found = checkpoint(rows)
-        empty = windowed.join(found.select("query_id").distinct(), "query_id", "left_anti").drop("lo", "hi")
-        rows = found if empty.isEmpty() else found.unionByName(search(empty, memories, 4 * limit, as_of, trust, metric=metric))
-    asks = q.where("photos")
+    empty = checkpoint(windowed.join(rows.select("query_id").distinct(), "query_id", "left_anti").drop("lo", "hi"))
+    if not empty.isEmpty():
+        rows = checkpoint(
+            rows.unionByName(search(empty, memories, 4 * limit, as_of, trust, metric=metric, index=index))
+        )
+    # photo questions are also searched among pictures alone, within the window they name;
+    # one without any result at all has ended
+    asks = q.where("photos").join(rows.select("query_id").distinct(), "query_id", "left_semi").withColumn(
+        "kinds", F.when(F.col("own"), F.array(F.lit("photo"))).otherwise(F.array(F.lit("photo"), F.lit("forward")))
+    )
     if asks.isEmpty():
         rows = rows.withColumn("_from", F.lit(0))
     else:
-        own = search(asks.where("own"), memories, 2 * limit, as_of, trust, ["photo"], metric)
-        any_ = search(asks.where(~F.col("own")), memories, 2 * limit, as_of, trust, ["photo", "forward"], metric)
-        answered = rows.select("query_id").distinct()  # no results at all ends the question
-        extra = own.unionByName(any_).join(answered, "query_id", "left_semi")
-        rows = union_results(rows, extra)
+        rows = union_results(rows, search(asks, memories, 2 * limit, as_of, trust, metric=metric, index=index))
     flags = small_side(q.select("query_id", "photos", "own"))
     rows = drop_forwards(rows.join(flags, "query_id"), F.col("own"))
     rows = rows.withColumn("score", F.col("score") * intent_weight(F.col("kind"), F.col("photos")))

@@ -394,7 +394,7 @@ SELECT o_orderkey, CASE k WHEN 0 THEN CASE WHEN y BETWEEN 2015 AND 2027 THEN y |
  WHEN 2 THEN CASE WHEN m <= 2 THEN '2019-1' || m || '-26 13:49:52' END
  WHEN 3 THEN '2023-07-26 00:00:00' WHEN 4 THEN '2024-12-01 21:19:09' WHEN 5 THEN '2020-12-16 14:36:00' END AS taken_at FROM n""")
 def f1(spark, folder):
-    return t.table(spark, folder, "orders").select(
+    return t.texts(spark, folder, "orders").select(
         "o_orderkey",
         F.date_format(times.timestamp_from_name(F.expr(_NAME), F.expr(AS_OF)), "yyyy-MM-dd HH:mm:ss").alias("taken_at"))
 
@@ -413,7 +413,7 @@ def f9(spark, folder):
         F.when(k < 4, F.col("o_orderdate").cast("timestamp")),
         F.expr(AS_OF),
     )
-    return t.table(spark, folder, "orders").withColumn("d", d).select(
+    return t.texts(spark, folder, "orders").withColumn("d", d).select(
         "o_orderkey", F.date_format("d.taken_at", "yyyy-MM-dd HH:mm:ss").alias("taken_at"), F.col("d.date_source").alias("date_source"))
 
 
@@ -421,7 +421,7 @@ def f9(spark, folder):
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN strftime(o_orderdate, '%Y-%m-%d 01:02:03') END AS ts FROM orders""")
 def f10(spark, folder):
     raw = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.date_format("o_orderdate", "yyyy:MM:dd 01:02:03"), F.lit(" extra"))).otherwise("junk")
-    return t.table(spark, folder, "orders").select(
+    return t.texts(spark, folder, "orders").select(
         "o_orderkey", F.date_format(times.exif_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 

@@ -62,7 +62,7 @@ SELECT path, size, strftime(CASE WHEN o_orderkey % 6 = 0 THEN o_orderdate::TIMES
   CASE o_orderkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS rank, split_part(path, '/', 2) AS folder_hint
 FROM f WHERE size >= 20000 AND o_orderkey % 5 <> 0""")
 def sc4(spark, folder):
-    o = t.table(spark, folder, "orders")
+    o = t.texts(spark, folder, "orders")
     k = F.col("o_orderkey")
     path = F.concat(
         F.lit("dump/"), F.when(k % 3 == 0, "DCIM").when(k % 3 == 1, "wedding").otherwise("facebook"), F.lit("/"),

@@ -124,7 +124,7 @@ def as_moods(events: DataFrame) -> DataFrame:
 
 def memories(spark: SparkSession, folder: str) -> DataFrame:
     """`documents` with vectors as the memory table (documents without one keep NULL)."""
-    d = table(spark, folder, "documents")
+    d = texts(spark, folder, "documents")
     v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     kind = F.col("doc_id") % 5
     trust = F.col("doc_id") % 3
