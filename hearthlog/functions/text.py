@@ -4,9 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # ---- fixed values: these must equal the archive format's for equal results ----
-WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                 　"
-SPACES = r"[\s\x1c-\x1f\x85   -     　]+"
-INVISIBLE_MARKS = "‎‏﻿"
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "[ \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+INVISIBLE_MARKS = "\u200e\u200f\ufeff"
 EDITED_NOTE = r"(?i)\s*<This message was edited>\s*"
 INLINE_MEDIA = r"(?i)\s*<(?:Media omitted|attached:[^>]*)>\s*"
 MEDIA_TEXTS = [

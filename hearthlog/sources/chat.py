@@ -5,26 +5,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths, text as tx
 from ..operators.ordered import island_start, layout
+from ..session import small_side
 
 # ---- fixed values ----
 HEADER = (
-    r"^[‎‏﻿]*\[?(\d{1,2})[./-](\d{1,2})[./-](\d{2,4}),?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+    "^[\u200e\u200f\ufeff]*"
+    r"\[?(\d{1,2})[./-](\d{1,2})[./-](\d{2,4}),?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
     r"(?:\s*([AaPp])\.?\s?[Mm]\.?)?\]?\s*(?:-\s+)?(.*)$"
 )
-# line ends that the exporter's reader recognises
-LINE_BREAK = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85  ]"
+# line ends besides \n and \r that the source system recognises
+LINE_BREAK = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # ---- end of fixed values ----
 
 
 def read_chat_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, line_no, line) of every text file below `folder`."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
+    """(path, line_no, line) of every text file below `folder`.
+
+    Large files are read in splits. A line's number is made of where its split
+    starts and its position in the task: a task holds at most one split's worth
+    of bytes and a line at least one, so numbers rise along each file.
+    """
+    lines = spark.read.text(folder, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"), "value",
     )
-    return files.select(
+    pieces = lines.select("path", "_start", "_at", F.posexplode(F.split("value", LINE_BREAK)).alias("_piece", "line"))
+    return pieces.select(
         F.url_decode(F.regexp_replace(F.replace("path", F.lit("+"), F.lit("%2B")), r"^file:/*", "/")).alias("path"),
-        F.posexplode(F.split("value", LINE_BREAK)).alias("line_no", "line"),
+        ((F.col("_start") * 2 + F.col("_at")) * (1 << 20) + F.col("_piece")).alias("line_no"),
+        "line",
     )
 
 
@@ -81,7 +90,7 @@ def parse_chats(
     text = tx.clean_chat(F.col("raw"))
     seconds = F.when(h["s"] < 60, h["s"]).cast("double")  # no roll-over into the next minute
     return (
-        entries.join(order, "path")
+        entries.join(small_side(order), "path")  # one row for each file
         .withColumn("ts", F.try_make_timestamp(year, month, day, hour, h["mi"], seconds))
         .where(F.col("ts").isNotNull() & (text != "") & ~tx.is_deleted_text(F.col("raw")))
         .select(
