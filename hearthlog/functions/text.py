@@ -148,17 +148,19 @@ def clean_transcript(c: Column) -> Column:
 
 def target_problem(c: Column, min_words: int = 2, max_words: int = 250) -> Column:
     """Why a reply cannot be a training target; NULL when it can."""
-    w = words(c)
-    n = F.size(w)
-    return (
-        F.when(c.rlike(r"(?U)^\W*$") | (F.lower(c) == "[media]"), "empty_or_media")
-        .when(n < min_words, "too_short")
-        .when(n > max_words, "too_long")
-        .when(
-            (n >= 6) & (F.size(F.array_distinct(w)) <= F.greatest(F.lit(2), F.floor(n / 4).cast("int"))),
-            "repetitive",
+
+    def by_words(w: Column) -> Column:
+        n = F.size(w)
+        few = F.greatest(F.lit(2), F.floor(n / 4).cast("int"))
+        return (
+            F.when(n < min_words, "too_short")
+            .when(n > max_words, "too_long")
+            .when((n >= 6) & (F.size(F.array_distinct(w)) <= few), "repetitive")
         )
-    )
+
+    # the one-row array holds the words, so that a text is split once
+    checked = F.get(F.transform(F.array(words(c)), by_words), F.lit(0))
+    return F.when(c.rlike(r"(?U)^\W*$") | (F.lower(c) == "[media]"), "empty_or_media").otherwise(checked)
 
 
 def trust_tier(c: Column) -> Column:

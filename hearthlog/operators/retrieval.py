@@ -337,9 +337,8 @@ def union_memories(*parts: DataFrame) -> DataFrame:
 
 def or_unwindowed(windowed: DataFrame, everything: DataFrame) -> DataFrame:
     """Per query the windowed result, or the unwindowed one where that is empty."""
-    both = windowed.withColumn("_side", F.lit(0)).unionByName(everything.withColumn("_side", F.lit(1)))
-    first = F.min("_side").over(Window.partitionBy("query_id"))
-    return both.withColumn("_first", first).where(F.col("_side") == F.col("_first")).drop("_side", "_first")
+    answered = small_side(windowed.select("query_id").distinct())
+    return windowed.unionByName(everything.join(answered, "query_id", "left_anti"))
 
 
 def union_results(main: DataFrame, extra: DataFrame) -> DataFrame:
@@ -353,8 +352,8 @@ def union_results(main: DataFrame, extra: DataFrame) -> DataFrame:
 
 def drop_forwards(results: DataFrame, own_photos: Column) -> DataFrame:
     """For own-photo questions drop forwards, unless nothing else is left."""
-    others = F.count_if(F.col("kind") != "forward").over(Window.partitionBy("query_id"))
-    return results.withColumn("_others", others).where(
+    others = results.groupBy("query_id").agg(F.count_if(F.col("kind") != "forward").alias("_others"))
+    return results.join(small_side(others), "query_id").where(
         ~(own_photos & (F.col("kind") == "forward") & (F.col("_others") > 0))
     ).drop("_others")
 

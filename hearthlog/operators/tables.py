@@ -142,19 +142,24 @@ def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
 
 
 def insert_messages(messages: DataFrame, path: str) -> int:
-    """Append the messages not stored yet; returns how many were new."""
+    """Append the messages not stored yet; returns how many were new.
+
+    Equal hashes mean equal source and time, so only the stored partitions and
+    row groups within the batch's sources and time span are read.
+    """
     from ..session import checkpoint
 
     spark = messages.sparkSession
-    hashed = with_hash(messages)
+    fresh = checkpoint(first_wins(with_hash(messages), ["content_hash"], F.col("ts"), F.col("seq")))
     if exists(spark, path):
-        fresh = new_rows(hashed, spark.read.parquet(path), ["content_hash"], F.col("ts"), F.col("seq"))
-    else:
-        fresh = first_wins(hashed, ["content_hash"], F.col("ts"), F.col("seq"))
-    fresh = checkpoint(fresh)
+        span = fresh.agg(F.min("ts"), F.max("ts"), F.collect_set("source")).first()  # sources are few
+        stored = spark.read.parquet(path).where(
+            F.col("source").isin(span[2]) & F.col("ts").between(span[0], span[1])
+        )
+        fresh = checkpoint(fresh.join(stored.select("content_hash"), "content_hash", "left_anti"))
     n = fresh.count()
     if n:
-        append(fresh, path, ["source"])
+        append(fresh.sortWithinPartitions("source", "ts"), path, ["source"])
     return n
 
 

@@ -89,15 +89,15 @@ def sc5(spark, folder):
 @query("sc6_profile_facts", """
 WITH s AS (SELECT n_name, s_name, s_suppkey, s_acctbal FROM supplier JOIN nation ON n_nationkey = s_nationkey)
 SELECT s_name || ' is a supplier. How I talk to them: politely. Typical topics: ' || n_name || ', money' AS text, s_name AS counterpart FROM s
-UNION ALL SELECT '[decision patterns] trade with ' || n_name, '' FROM (SELECT DISTINCT n_name FROM s)
-UNION ALL SELECT '[life phase ' || n_name || '] selling', '' FROM (SELECT DISTINCT n_name FROM s)""")
+UNION ALL SELECT '[decision patterns] trade with ' || n_name, '' FROM s
+UNION ALL SELECT '[life phase ' || n_name || '] selling', '' FROM s""")
 def sc6(spark, folder):
     s = t.table(spark, folder, "supplier").join(t.table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     person = F.struct(
         F.col("s_name").alias("contact"), F.lit("a supplier").alias("likely_relationship"), F.lit("politely").alias("how_he_talks_to_them"),
         F.array("n_name", F.lit("money")).alias("typical_topics"))
-    doc = s.groupBy("n_name").agg(F.collect_list(person).alias("people")).select(F.to_json(F.struct(
-        F.lit("2024-01-01T00:00:00").alias("generated_at"), F.struct("people").alias("relationships"),
+    doc = s.select(F.to_json(F.struct(
+        F.lit("2024-01-01T00:00:00").alias("generated_at"), F.struct(F.array(person).alias("people")).alias("relationships"),
         F.struct(F.array(F.concat(F.lit("trade with "), "n_name")).alias("decision_patterns")).alias("behaviour"),
         F.struct(F.array(F.struct(F.col("n_name").alias("period"), F.lit("selling").alias("what_they_were_doing"))).alias("phases")).alias("trajectory"),
     )).alias("json"))

@@ -113,7 +113,10 @@ def index_diary(entries: DataFrame, memories_path: str, log_path: str, state: st
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["id"])
         if tb.exists(spark, memories_path):
-            stored = spark.read.parquet(memories_path).select(F.col("entry_id").alias("id"))
+            lo, hi = batch.agg(F.min("id"), F.max("id")).first()  # ids rise, so old files are skipped
+            stored = spark.read.parquet(memories_path).where(F.col("entry_id").between(lo, hi)).select(
+                F.col("entry_id").alias("id")
+            )
             fresh = fresh.join(stored, "id", "left_anti")
         memories = fresh.select(
             F.col("id").alias("entry_id"), tx.diary_sentence(F.col("day"), F.col("text")).alias("text"),
