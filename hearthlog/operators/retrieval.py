@@ -173,8 +173,13 @@ def dense_top(
     return best.select("query_id", "memory_id", F.col("score").alias("similarity"), (F.col("rank") - 1).alias("rank"))
 
 
+def term_text(text: Column) -> Column:
+    """Lower-cased words of a text, one space between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{Nd}\p{Pc}]+", " "))
+
+
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"), F.lit(0))
+    return F.filter(F.split(term_text(text), " "), lambda w: w != "")
 
 
 class KeywordIndex:
@@ -204,14 +209,15 @@ class KeywordIndex:
                 found, rows, total = np.zeros(len(at), np.int64), 0, 0
                 for pdf in frames:
                     rows += len(pdf)
-                    for words in pdf["_terms"]:
+                    for text in pdf["_terms"]:
+                        words = text.split()
                         total += len(words)
                         hits = at.keys() & set(words)
                         found[[at[w] for w in hits]] += 1
                 ix = np.flatnonzero(found)
                 yield pd.DataFrame({"ix": [-2, -1, *ix], "n": [rows, total, *found[ix]]})
 
-            parts = self.memories.select(terms(F.col("text")).alias("_terms")).mapInPandas(count, "ix long, n long")
+            parts = self.memories.select(term_text(F.col("text")).alias("_terms")).mapInPandas(count, "ix long, n long")
             sums = dict(parts.groupBy("ix").agg(F.sum("n")).collect())  # one row for each asked term
             self.rows = sums.get(-2, 0)
             self.mean_terms = sums.get(-1, 0) / self.rows if self.rows else 0.0
@@ -242,7 +248,7 @@ def keyword_top(
             for w in r[1]:
                 weights[at[w], q] = np.log(1.0 + (index.rows - df[w] + 0.5) / (df[w] + 0.5))
         batch = spark.sparkContext.broadcast(([r[0] for r in chunk], at, weights, [tuple(r[2:]) for r in chunk]))
-        rows = memories.select("memory_id", "kind", F.unix_micros("ts").alias("_ts"), terms(F.col("text")).alias("_terms"))
+        rows = memories.select("memory_id", "kind", F.unix_micros("ts").alias("_ts"), term_text(F.col("text")).alias("_terms"))
         mean_terms = index.mean_terms
 
         def score(frames: Iterator[pd.DataFrame], batch=batch) -> Iterator[pd.DataFrame]:
@@ -252,7 +258,8 @@ def keyword_top(
                 if not len(pdf):
                     continue
                 s = np.full((len(pdf), len(ids)), -np.inf)
-                for i, words in enumerate(pdf["_terms"]):
+                for i, text in enumerate(pdf["_terms"]):
+                    words = text.split()
                     ix, tf = np.unique([at[w] for w in words if w in at], return_counts=True)
                     if len(ix):
                         tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * len(words) / mean_terms))
@@ -305,13 +312,18 @@ def search(
 ) -> DataFrame:
     """The `limit` best memories of each query with `score` and `rank` (from 1).
 
-    `queries`: query_id, text, vector and optional lo, hi, kinds.
+    `queries`: query_id, text, vector and optional lo, hi, kinds, and `limit`
+    where a query wants fewer rows than the call.
     """
     eligible = memories.where(search_filter(max_trust, kinds))
     fetch = fetch_size(limit)
     # both lists are short and used twice: write them once instead of scoring twice
     dense = checkpoint(dense_top(queries, eligible, fetch, metric, per_pass))
     keyword = checkpoint(keyword_top(queries, eligible, fetch, index or KeywordIndex(memories), per_pass))
+    if "limit" in queries.columns:
+        own = small_side(queries.select("query_id", F.col("limit").alias("_limit")))
+        cut = F.col("rank") < F.greatest(F.col("_limit") * 4, F.lit(24))  # each query's own fetch size
+        dense, keyword = dense.join(own, "query_id").where(cut).drop("_limit"), keyword.join(own, "query_id").where(cut).drop("_limit")
     # only the few fetched rows get their text and metadata back
     hits = dense.select("memory_id").union(keyword.select("memory_id")).distinct()
     full = eligible.join(small_side(hits), "memory_id")
@@ -322,9 +334,10 @@ def search(
     scored = fused.withColumn(
         "score", F.round(vx.recency_score(F.col("similarity"), age_days, RECENCY_HALFLIFE_DAYS, RECENCY_WEIGHT), _SCORE_DIGITS)
     )
-    return top_per_group(scored, ["query_id"], limit, F.col("score").desc(), F.col("row.memory_id")).select(
-        "query_id", "row.*", "similarity", "score", "rank"
-    )
+    best = top_per_group(scored, ["query_id"], limit, F.col("score").desc(), F.col("row.memory_id"))
+    if "limit" in queries.columns:
+        best = best.join(own, "query_id").where(F.col("rank") <= F.col("_limit"))
+    return best.select("query_id", "row.*", "similarity", "score", "rank")
 
 
 def union_memories(*parts: DataFrame) -> DataFrame:
@@ -409,23 +422,33 @@ def gather(
         tx.wants_photos(F.col("text")).alias("photos"), tx.wants_own_photos(F.col("text")).alias("own"),
     )
     q = checkpoint(q)
-    index = KeywordIndex(memories)
-    rows = checkpoint(search(q, memories, 4 * limit, as_of, trust, metric=metric, index=index))
-    windowed = q.where(F.col("lo").isNotNull())
-    empty = checkpoint(windowed.join(rows.select("query_id").distinct(), "query_id", "left_anti").drop("lo", "hi"))
-    if not empty.isEmpty():
-        rows = checkpoint(
-            rows.unionByName(search(empty, memories, 4 * limit, as_of, trust, metric=metric, index=index))
+    # what a question may need is searched in one pass over the memories: the
+    # question itself (0), the same without its window (1), pictures alone (2)
+    kinds = F.when(F.col("own"), F.array(F.lit("photo"))).otherwise(F.array(F.lit("photo"), F.lit("forward")))
+    no_time, no_kinds = F.lit(None).cast("timestamp"), F.lit(None).cast("array<string>")
+
+    def form(number: int, lo: Column, hi: Column, kinds: Column, rows: int) -> Column:
+        return F.struct(
+            F.lit(number).alias("form"), lo.alias("lo"), hi.alias("hi"), kinds.alias("kinds"), F.lit(rows).alias("limit")
         )
-    # photo questions are also searched among pictures alone, within the window they name;
-    # one without any result at all has ended
-    asks = q.where("photos").join(rows.select("query_id").distinct(), "query_id", "left_semi").withColumn(
-        "kinds", F.when(F.col("own"), F.array(F.lit("photo"))).otherwise(F.array(F.lit("photo"), F.lit("forward")))
+
+    forms = F.array_compact(F.array(
+        form(0, F.col("lo"), F.col("hi"), no_kinds, 4 * limit),
+        F.when(F.col("lo").isNotNull(), form(1, no_time, no_time, no_kinds, 4 * limit)),
+        F.when(F.col("photos"), form(2, F.col("lo"), F.col("hi"), kinds, 2 * limit)),
+    ))
+    asked = q.select("query_id", "text", "vector", F.explode(forms).alias("f")).select(
+        (F.col("query_id") * 3 + F.col("f.form")).alias("query_id"), "text", "vector", "f.lo", "f.hi", "f.kinds", "f.limit"
+    )
+    found = checkpoint(search(asked, memories, 4 * limit, as_of, trust, metric=metric))
+    found = found.withColumn("_form", F.pmod("query_id", F.lit(3))).withColumn(
+        "query_id", F.floor(F.col("query_id") / 3).cast("long")
     )
-    if asks.isEmpty():
-        rows = rows.withColumn("_from", F.lit(0))
-    else:
-        rows = union_results(rows, search(asks, memories, 2 * limit, as_of, trust, metric=metric, index=index))
+    of_form = lambda n: found.where(F.col("_form") == n).drop("_form")
+    rows = or_unwindowed(of_form(0), of_form(1))
+    # a question without any result at all ends there
+    extra = of_form(2).join(rows.select("query_id").distinct(), "query_id", "left_semi")
+    rows = union_results(rows, extra)
     flags = small_side(q.select("query_id", "photos", "own"))
     rows = drop_forwards(rows.join(flags, "query_id"), F.col("own"))
     rows = rows.withColumn("score", F.col("score") * intent_weight(F.col("kind"), F.col("photos")))
