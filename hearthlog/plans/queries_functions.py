@@ -115,7 +115,28 @@ def f14(spark, folder):
     return t.texts(spark, folder, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("f15_time_window")
+_MONTH_NAMES = "|".join(sorted(times.MONTHS, key=len, reverse=True))
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+_PHRASES = list(times.RELATIVE_DAYS.items())
+
+
+def _relative(far: str, near: str) -> str:
+    return " ".join(
+        f"WHEN contains(t, '{p}') THEN " + (far if d >= 4000 else near.replace("{d}", str(max(d, 1)))) for p, d in _PHRASES)
+
+
+@query("f15_time_window", rf"""
+WITH m AS (SELECT CAST({list(times.MONTHS)} AS VARCHAR[]) AS names),
+a AS (SELECT conv_id, turn, lower(CASE turn % 4 WHEN 0 THEN 'what happened in ' || names[conv_id % {len(times.MONTHS)} + 1] || ' ' || (conv_id % 60 + 1985)
+  WHEN 1 THEN 'between ' || (conv_id % 60 + 1985) || ' and 2020' WHEN 2 THEN 'pichle hafte ' || text ELSE text END) AS t FROM conversations, m),
+y AS (SELECT *, list_filter(CAST(regexp_extract_all(t, '(?:19[89]\d|20[0-4]\d)') AS INTEGER[]), lambda x: x BETWEEN 2008 AND 2027) AS years,
+  regexp_extract(t, '(?:^|{_EDGE})({_MONTH_NAMES})(?:$|{_EDGE})', 1) AS name FROM a),
+n AS (SELECT *, CAST(map_extract(MAP {{{", ".join(f"'{k}': {v}" for k, v in times.MONTHS.items())}}}, name)[1] AS INTEGER) AS month,
+  list_min(years) AS lo_year, list_max(years) AS hi_year FROM y)
+SELECT conv_id, turn, strftime(CASE WHEN len(years) = 1 AND month IS NOT NULL THEN make_date(lo_year, month, 1) WHEN len(years) > 0 THEN make_date(lo_year, 1, 1)
+   {_relative("DATE '2008-01-01'", "DATE '2026-01-01' - {d}")} END, '%Y-%m-%d') AS lo,
+ strftime(CASE WHEN len(years) = 1 AND month IS NOT NULL THEN make_date(lo_year + month // 12, month % 12 + 1, 1) WHEN len(years) > 0 THEN make_date(hi_year + 1, 1, 1)
+   {_relative("DATE '2020-01-01'", "DATE '2026-01-02'")} END, '%Y-%m-%d') AS hi FROM n""")
 def f15(spark, folder):
     month = F.element_at(F.array(*[F.lit(m) for m in list(times.MONTHS)]), (F.col("conv_id") % len(times.MONTHS) + 1).cast("int"))
     year = (F.col("conv_id") % 60 + 1985).cast("string")
