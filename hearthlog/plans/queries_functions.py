@@ -129,7 +129,7 @@ def _relative(far: str, near: str) -> str:
 WITH m AS (SELECT CAST({list(times.MONTHS)} AS VARCHAR[]) AS names),
 a AS (SELECT conv_id, turn, lower(CASE turn % 4 WHEN 0 THEN 'what happened in ' || names[conv_id % {len(times.MONTHS)} + 1] || ' ' || (conv_id % 60 + 1985)
   WHEN 1 THEN 'between ' || (conv_id % 60 + 1985) || ' and 2020' WHEN 2 THEN 'pichle hafte ' || text ELSE text END) AS t FROM conversations, m),
-y AS (SELECT *, list_filter(CAST(regexp_extract_all(t, '(?:19[89]\d|20[0-4]\d)') AS INTEGER[]), lambda x: x BETWEEN 2008 AND 2027) AS years,
+y AS (SELECT *, list_filter(CAST(regexp_extract_all(t, '\b(?:19[89]\d|20[0-4]\d)\b') AS INTEGER[]), lambda x: x BETWEEN 2008 AND 2027) AS years,
   regexp_extract(t, '(?:^|{_EDGE})({_MONTH_NAMES})(?:$|{_EDGE})', 1) AS name FROM a),
 n AS (SELECT *, CAST(map_extract(MAP {{{", ".join(f"'{k}': {v}" for k, v in times.MONTHS.items())}}}, name)[1] AS INTEGER) AS month,
   list_min(years) AS lo_year, list_max(years) AS hi_year FROM y)
