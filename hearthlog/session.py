@@ -93,22 +93,3 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     return F.broadcast(df) if is_small(df, rows) else df
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Make the package importable in the Python workers of this session."""
-    import zipfile
-    from pathlib import Path
-
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "hearthlog.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(target))
-        _SHIPPED.add(sc.applicationId)
-    return spark

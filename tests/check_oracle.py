@@ -61,13 +61,13 @@ def compare(spark_df, con, sql):
 
 def main():
     from hearthlog.plans import catalog
-    from hearthlog.session import local_session, ship
+    from hearthlog.session import local_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     catalog.load()
     names = sys.argv[2:] or list(catalog.QUERIES)
     names = [q for q in catalog.QUERIES if any(q == n or (n.endswith("*") and q.startswith(n[:-1])) for n in names)]
-    spark = ship(local_session(8))
+    spark = local_session(8)
     con = connect(folder)
     bad = 0
     for name in names:

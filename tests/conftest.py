@@ -8,10 +8,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 @pytest.fixture(scope="session")
 def spark():
-    from hearthlog.session import local_session, ship
+    from hearthlog.session import local_session
 
-    session = ship(local_session(4, **{
+    session = local_session(4, **{
         "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}))
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
     yield session
     session.stop()
