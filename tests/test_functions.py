@@ -87,9 +87,9 @@ def test_token_estimate(spark):
 
 
 def test_counterpart(spark):
-    ids = ["call:Ann 2025-10-14 13-38-46", "whatsapp:.Jaya", "whatsapp:+91 98765 43210", "voice_notes", "whatsapp:-...Pachi"]
+    ids = ["call:Ann 2025-10-14 13-38-46", "whatsapp:.Mira", "whatsapp:+91 98765 43210", "voice_notes", "whatsapp:-...Nils"]
     got = apply(spark, ids, lambda c: tx.counterpart_label(tx.counterpart_name(c), F.lit(None)))
-    assert got == ["Ann", "Jaya", "an unsaved number", "voice_notes", "Pachi"]
+    assert got == ["Ann", "Mira", "an unsaved number", "voice_notes", "Nils"]
 
 
 def test_forward_signs(spark):

@@ -150,39 +150,39 @@ def test_relationships_and_loose_names(spark):
     people = spark.createDataFrame([(0, "Ann / Annie", "friend."), (1, "Bob", ""), (2, "bob", "cousin")], "position int, contact string, relationship string")
     got = {r["alias"]: r["label"] for r in joins.relationship_aliases(people).collect()}
     assert got == {"ann": "Ann (friend)", "annie": "Annie (friend)", "bob": "bob (cousin)"}
-    names = spark.createDataFrame([("Rosh....Lodu (close)",), ("o",), ("zed",), ("",), ("ANN",)], "name string")
-    who = spark.createDataFrame([(0, "rosh"), (1, "Bob"), (2, "Ann"), (3, "Annabelle of the long name")], "pos int, who string")
+    names = spark.createDataFrame([("Tomm....Big (close)",), ("o",), ("zed",), ("",), ("ANN",)], "name string")
+    who = spark.createDataFrame([(0, "tomm"), (1, "Bob"), (2, "Ann"), (3, "Annabelle of the long name")], "pos int, who string")
     found = {r["name"]: r["person"] for r in joins.loose_match(names, "name", who, "who", "pos").collect()}
-    assert found == {"Rosh....Lodu (close)": "rosh", "o": "rosh", "zed": None, "": None, "ANN": "Ann"}
+    assert found == {"Tomm....Big (close)": "tomm", "o": "tomm", "zed": None, "": None, "ANN": "Ann"}
 
 
 CHAT = """13/07/23, 9:10 pm - Messages are end-to-end encrypted.
-13/07/23, 9:15 pm - Rohan: hello
+13/07/23, 9:15 pm - Sunil: hello
 second line
 
 13/07/23, 9:16 pm - Owner: <Media omitted>
 01/08/23, 12:05 am - Owner: midnight: yes
-01/08/23, 12:30 pm - Rohan: This message was deleted
-[02/08/23, 9:15:42 PM] Rohan: ‎image omitted
-13/13/23, 9:15 pm - Rohan: no such day
-02/08/23, 10:00 pm - Rohan created group
+01/08/23, 12:30 pm - Sunil: This message was deleted
+[02/08/23, 9:15:42 PM] Sunil: ‎image omitted
+13/13/23, 9:15 pm - Sunil: no such day
+02/08/23, 10:00 pm - Sunil created group
 tail of the bad day's entry
 """
 
 
 def test_chat_files(spark, tmp_path):
     (tmp_path / "sub dir").mkdir()
-    (tmp_path / "sub dir" / "WhatsApp Chat with Rohan.txt").write_text(CHAT, encoding="utf-8")
+    (tmp_path / "sub dir" / "WhatsApp Chat with Sunil.txt").write_text(CHAT, encoding="utf-8")
     (tmp_path / "Chat with B.txt").write_text("7/26/23, 21:15 - B: month first <This message was edited>\n", encoding="utf-8")
     m = chat.read_chats(spark, str(tmp_path), ["owner"])
     got = sorted((r["conversation_id"], r["ts"], r["speaker"], r["speaker_name"], r["text"], r["is_media"]) for r in m.collect())
     d = datetime
     assert got == [
         ("whatsapp:B", d(2023, 7, 26, 21, 15), "other", "B", "month first", False),
-        ("whatsapp:Rohan", d(2023, 7, 13, 21, 15), "other", "Rohan", "hello\nsecond line", False),
-        ("whatsapp:Rohan", d(2023, 7, 13, 21, 16), "me", "Owner", "[media]", True),
-        ("whatsapp:Rohan", d(2023, 8, 1, 0, 5), "me", "Owner", "midnight: yes", False),
-        ("whatsapp:Rohan", d(2023, 8, 2, 21, 15, 42), "other", "Rohan", "[media]", True),
+        ("whatsapp:Sunil", d(2023, 7, 13, 21, 15), "other", "Sunil", "hello\nsecond line", False),
+        ("whatsapp:Sunil", d(2023, 7, 13, 21, 16), "me", "Owner", "[media]", True),
+        ("whatsapp:Sunil", d(2023, 8, 1, 0, 5), "me", "Owner", "midnight: yes", False),
+        ("whatsapp:Sunil", d(2023, 8, 2, 21, 15, 42), "other", "Sunil", "[media]", True),
     ]
     path = str(tmp_path / "store")
     assert tb.insert_messages(m, path) == 5
