@@ -9,6 +9,8 @@ from ..session import checkpoint, small_side
 from .ordered import layout, running
 
 SORT_LIMIT_ROWS = 100_000  # largest n answered by a sort-and-limit
+GROUP_LIMIT_ROWS = 1_000  # default of spark.sql.optimizer.windowGroupLimitThreshold
+_SLICES = 64
 
 
 def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -22,7 +24,15 @@ def seeded(seed: int | str, *columns: str) -> Column:
 
 
 def top_per_group(df: DataFrame, groups: list[str], n: int, *order: Column) -> DataFrame:
-    """First n rows of each group with `rank`; groups are cut before the shuffle."""
+    """First n rows of each group with `rank`; groups are cut before the shuffle.
+
+    The optimizer cuts groups in the map tasks only for small n. A larger n gets
+    a first cut within slices of each group, so that no task sorts a whole group.
+    """
+    if n > GROUP_LIMIT_ROWS:
+        sliced = Window.partitionBy(*groups, "_slice").orderBy(*order)
+        df = df.withColumn("_slice", F.spark_partition_id() % _SLICES).withColumn("_in", F.row_number().over(sliced))
+        df = df.where(F.col("_in") <= n).drop("_slice", "_in")
     w = Window.partitionBy(*groups).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 

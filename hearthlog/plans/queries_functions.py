@@ -153,7 +153,8 @@ def f15(spark, folder):
     )
 
 
-@query("f16_recover_years")
+@query("f16_recover_years", rf"""
+SELECT conv_id, turn, '2017 में ' || {q.strip(r"regexp_replace(text, '\s+', ' ', 'g')")} AS text FROM conversations""")
 def f16(spark, folder):
     said = F.concat(F.lit("दो हज़ार सत्रह में "), "text")
     return t.texts(spark, folder, "conversations").select("conv_id", "turn", udfs.recover_years(2027)(said).alias("text"))

@@ -165,3 +165,13 @@ def test_seeded_sample_is_whole_and_repeatable(spark):
         assert same(small, big) == 60
     finally:
         sel.SORT_LIMIT_ROWS = sel_limit
+
+
+def test_large_group_limits(turns):
+    order = [F.col("ts").desc(), F.col("seq")]
+    want = sel.top_per_group(turns, ["conversation_id"], 150, *order)
+    most, sel.GROUP_LIMIT_ROWS = sel.GROUP_LIMIT_ROWS, 10
+    try:
+        assert same(sel.top_per_group(turns, ["conversation_id"], 150, *order), want) == 190
+    finally:
+        sel.GROUP_LIMIT_ROWS = most
