@@ -9,21 +9,22 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from zlib import crc32  # noqa: F401  (the digest that tests recompute)
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import ranked, with_uid
+from .tokens import WordIds
 
 CAPACITY = 2048
 # Branch and bound: fillings looked at for one largest piece, nodes before the
 # incumbent is taken as it stands.
 FILLINGS, NODES = 24, 4_000
-# Words whose ids a worker remembers; when full it starts again.
-REMEMBERED = 200_000
+# Bytes of ids that a worker gathers before it hands them on.
+YIELD_BYTES = 4 << 20
 
 Filling = tuple[tuple[int, ...], int]  # lengths from largest to smallest, times used
 
@@ -32,34 +33,30 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     """Pieces of at most `capacity` ids: key, piece, start, length, ids (little-endian unsigned 32-bit).
 
     A document is the tokenizer's ids and then `closing`; only longer ones are
-    cut. A null text is empty, one closing id. The tokenizer never joins
-    across ASCII blanks, so a text is the ids of its words one after another,
-    and the ids of a word are remembered.
+    cut. A null text is empty, one closing id. Repeated rows give their pieces
+    each. Other columns are not read.
     """
     schema = f"key {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        made = Tokenizer.from_file(tokenizer)
-        known: dict[bytes, bytes] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordIds(tokenizer)
         end, width = np.array([closing], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows = []
-            for k, t in zip(batch["key"], batch["text"]):
-                words = (t or "").encode("utf-8", "surrogatepass").split()
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                if new:
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        new = list(dict.fromkeys(words))
-                    for w, e in zip(new, made.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([*map(known.__getitem__, words), end])
-                rows += [(k, at // width, at // 4, len(part) // 4, part) for at in range(0, len(ids), width) for part in (ids[at:at + width],)]
-            yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids"])
-
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, schema).withColumnRenamed("key", key)
+            kind, rows, size = batch.schema.field("key").type, [], 0
+            out = pa.schema([("key", kind), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+            for at in range(batch.num_rows):
+                k, ids = batch.column(0)[at].as_py(), words.of(batch.column(1)[at].as_py()) + end
+                for first in range(0, len(ids), width):
+                    part = ids[first:first + width]
+                    rows.append((k, first // width, first // 4, len(part) // 4, part))
+                size += len(ids)
+                if size > YIELD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
