@@ -8,9 +8,9 @@ from ..session import checkpoint, is_small
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # rows that one window partition of a distributed rank may hold on average
-ROWS_PER_BUCKET = 50_000
-# copies of the right side that a salted join makes of its rows
-SALTS = 16
+ROWS_PER_BUCKET = 20_000
+# heaviest keys of a join that are broadcast; any other has less than 1 / HOT_KEYS of the rows
+HOT_KEYS = 1000
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -55,17 +55,18 @@ def ranked(df: DataFrame, keys: list[str], bucket: str, order: list, name: str)
             .withColumn(name, F.col("__before") + F.col("__inside") - 1).drop("__before", "__inside"))
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join `right`, stored and unique by keys that are never null, to rows whose keys may be very uneven.
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """Join the columns of `right` to rows whose keys may be very uneven; `weight` counts a key's rows on the left.
 
-    A right side checked small is broadcast. A larger one is copied to every
-    salt, so that no key of the left side meets in one task.
+    `right` is stored and unique by keys that are never null. If it is checked
+    small it is broadcast. Otherwise its heaviest keys are, and the rows of
+    all others are shuffled, so that no key of the left side fills one task.
     """
     if is_small(right):
-        return left.join(F.broadcast(right), keys, how)
-    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (left.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-            .join(salted, [*keys, "__salt"], how).drop("__salt"))
+        return left.join(F.broadcast(right.drop(weight)), keys, how)
+    hot = checkpoint(right.orderBy(F.col(weight).desc()).limit(HOT_KEYS)).drop(weight)
+    others = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.drop(weight), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(others)
 
 
 def without(docs: DataFrame, losers: DataFrame, key: str) -> DataFrame:

@@ -97,7 +97,7 @@ def _normal(logs: Column) -> Column:
 def _tally(rows: DataFrame, key: str, name: str) -> DataFrame:
     """Soft counts of each language by a key that is never null."""
     sums = [F.sum(F.col("soft")[i]) for i in range(len(LANGUAGES))]
-    return checkpoint(rows.groupBy(key).agg(F.array(*sums).alias(name)))
+    return checkpoint(rows.groupBy(key).agg(F.array(*sums).alias(name), F.count("*").alias("n")))
 
 
 def fused(rows: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def fused(rows: DataFrame) -> DataFrame:
     whole = [everything[i] for i in range(n)]
     share = F.array(*[F.lit((w + 1.0) / (sum(whole) + n)) for w in whole])
     for c in ("declared", "suffix", "host", "domain"):
-        rows = lookup(rows, _tally(rows, f"__{c}", f"by_{c}"), [f"__{c}"])
+        rows = lookup(rows, _tally(rows, f"__{c}", f"by_{c}"), [f"__{c}"], "n")
     kinds = {c: rows.select(F.col(f"__{c}")).distinct().count() + 1 for c in ("declared", "suffix")}
 
     def others(c: str) -> Column:

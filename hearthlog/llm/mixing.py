@@ -48,9 +48,9 @@ def rates(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     times its source is cut to that and the excess shared again by weight
     until none is above. Only sums pass through the driver.
     """
-    by_source = _ordered(sizes.groupBy("__none", "__source").agg(F.sum("size").alias("source_size")))
+    by_source = _ordered(sizes.groupBy("__none", "__source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
     pattern = F.array(*[F.lit(float(w)) for w in weights])
-    table = checkpoint(by_source.select("__none", "__source", "source_size", F.get(pattern, F.pmod("place", F.lit(len(weights)))).alias("weight")))
+    table = checkpoint(by_source.select("__none", "__source", "source_size", "n_rows", F.get(pattern, F.pmod("place", F.lit(len(weights)))).alias("weight")))
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
     while True:
@@ -63,14 +63,14 @@ def rates(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     table = table.withColumn("target", target).withColumn("rate", rate).withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
     table = checkpoint(table)
-    tried = lookup(sizes, table.select("__none", "__source", "base", "part"), ["__none", "__source"], "inner").groupBy("__none", "__source").agg(
+    tried = lookup(sizes, table.select("__none", "__source", "base", "part", "n_rows"), ["__none", "__source"], "n_rows", "inner").groupBy("__none", "__source").agg(
         *[F.sum(F.col("size") * _copies(F.lit(k), seed)).alias(f"t{k}") for k in range(DRAWS)])
     off = F.least(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(DRAWS)])["k"]
     return checkpoint(table.join(tried, ["__none", "__source"]).select(*table.columns, off.alias("draw")))
 
 
 def _with_copies(keyed: DataFrame, table: DataFrame, seed: str) -> DataFrame:
-    return lookup(keyed, table, ["__none", "__source"], "inner").withColumn("copies", _copies(F.col("draw"), seed))
+    return lookup(keyed, table, ["__none", "__source"], "n_rows", "inner").withColumn("copies", _copies(F.col("draw"), seed))
 
 
 def _sizes(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:

@@ -23,6 +23,8 @@ CAPACITY = 2048
 # Branch and bound: fillings looked at for one largest piece, nodes before the
 # incumbent is taken as it stands.
 FILLINGS, NODES = 24, 4_000
+# Rows of a bucket of the rank within a length: the offsets are a table of lengths and buckets.
+ROWS_PER_BUCKET = 50_000
 # Bytes of ids that a worker gathers before it hands them on.
 YIELD_BYTES = 4 << 20
 
@@ -240,7 +242,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     in a sequence are gapless from 0. Equal lengths are dealt in any order.
     No pieces give no rows. Pieces should be narrow: they are shuffled once.
     """
-    pieces = with_uid(pieces, "__bucket")
+    pieces = with_uid(pieces, "__bucket", ROWS_PER_BUCKET)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = places(solve(histogram, capacity))
     where = (table[:, 0] << 48) + table[:, 1]

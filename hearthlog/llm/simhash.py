@@ -109,7 +109,9 @@ def _links(groups: pd.Series) -> pd.Series:
 
 def links(prints: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of a frame of distinct fingerprints, enough to connect all that link."""
-    at_anchor = prints.select("fingerprint", F.explode(_anchors("fingerprint")).alias("anchor")).groupBy("anchor").agg(F.collect_list("fingerprint").alias("members"))
+    # dealt out anew, as each small row becomes many
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at_anchor = prints.repartition(parts, "fingerprint").select("fingerprint", F.explode(_anchors("fingerprint")).alias("anchor")).groupBy("anchor").agg(F.collect_list("fingerprint").alias("members"))
     found = at_anchor.where(F.size("members") > 1).select(F.explode(_links("members")).alias("l"))
     return found.select(F.least("l.a", "l.b").alias("a"), F.greatest("l.a", "l.b").alias("b")).distinct()
 
@@ -143,14 +145,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     like any other. Equal fingerprints are one node. No rows give no rows.
     """
     marked = checkpoint(fingerprints(docs, key, text))
-    nodes = checkpoint(marked.groupBy(F.col("fingerprint").alias("node")).agg(F.min("id").alias("rank")))
+    nodes = checkpoint(marked.groupBy(F.col("fingerprint").alias("node")).agg(F.min("id").alias("rank"), F.count("*").alias("n")))
     # a null rank must not win: it sorts first in a struct
     ranked = nodes.select("node", F.coalesce("rank", F.lit((1 << 63) - 1)).alias("rank"))
     found = checkpoint(links(nodes.select(F.col("node").alias("fingerprint"))))
     reached = components(ranked, found)
     label = F.coalesce(F.nullif("label", F.lit((1 << 63) - 1)), "rank")
-    named = checkpoint(nodes.join(reached, "node", "left").select(F.col("node").alias("fingerprint"), label.alias("component_id")))
-    return lookup(marked, named, ["fingerprint"]).select(F.col("id").alias(key), "fingerprint", "component_id")
+    named = checkpoint(nodes.join(reached, "node", "left").select(F.col("node").alias("fingerprint"), label.alias("component_id"), "n"))
+    return lookup(marked, named, ["fingerprint"], "n").select(F.col("id").alias(key), "fingerprint", "component_id")
 
 
 def hex_print(fingerprint: str | Column) -> Column:

@@ -42,8 +42,8 @@ def described(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumn("digest", F.sha1("body")).withColumn("bytes", F.octet_length("body").cast("long"))
     # shared payloads only, found from keys and digests
-    shared = checkpoint(rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("key").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    joined = lookup(rows, shared, ["digest"])
+    shared = checkpoint(rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("key").alias("holder"), F.count("*").alias("n")).where("n > 1"))
+    joined = lookup(rows, shared, ["digest"], "n")
     again = F.col("holder").isNotNull() & ~F.col("key").eqNullSafe(F.col("holder"))
     return joined.select("key", "url", "body", "digest", "bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("holder")).alias("refers_to"))
 
