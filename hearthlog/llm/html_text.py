@@ -253,8 +253,9 @@ def _landmark_labels(nodes: list[tuple]) -> list[bool] | None:
 
 def train(pages: DataFrame, key: str = "page_id", payload: str = "html") -> boosting.Trees:
     """Fit on generated layouts and on a bounded sample of the table's own pages that have landmarks."""
-    chosen = (pages.where(F.octet_length(payload) <= SAMPLE_BYTES).select(F.col(payload).alias("html"), F.xxhash64(key).alias("order"))
-              .orderBy("order", "html").limit(SAMPLE_PAGES).select("html").collect())
+    small = pages.where(F.col(key).isNotNull() & (F.octet_length(payload) <= SAMPLE_BYTES)).select(F.col(key).alias("key"), F.col(payload).alias("html"))
+    keys = {r["key"] for r in small.select("key", F.xxhash64("key").alias("order")).orderBy("order", "key").limit(SAMPLE_PAGES).collect()}
+    chosen = small.where(F.col("key").isin(*keys)).groupBy("key").agg(F.min("html").alias("html")).orderBy("key").select("html").collect() if keys else []
     rows, labels = [], []
     for html in labelled_pages():
         nodes, texts = parse(html)

@@ -15,7 +15,8 @@ from ..session import checkpoint
 from .common import ranked, whole, with_uid
 
 SHARDS = 24
-ROUNDS = 8
+# most rounds; a group fills one shard a round, and rounds end when nothing moves
+ROUNDS = 24
 # Proposals to a shard are admitted in the order of these classes: larger
 # groups first, equal ones in hash order.
 SLICES = 64
