@@ -41,6 +41,8 @@ ATTACK_PATTERNS = [
      r"\b(?:pretend|act as if|roleplay|imagine)\b[^.?!]{0,40}"
      r"\b(?:you have no|there are no|you can ignore|without.{0,15}rules)"),
 ]
+# kinds that win when two findings start together; the rest rank last
+PII_SPECIFICITY = {"PHONE_NUMBER": 0, "IN_AADHAAR": 1, "IN_PAN": 1, "IN_UPI": 1, "IN_VEHICLE": 1}
 # ---- end of fixed values ----
 
 PII_KINDS = list(PII_PATTERNS) + list(PII_PATTERNS_GENERIC)
@@ -61,32 +63,47 @@ def attack_reason(c: Column, owner_names: list[str] = ()) -> Column:
     )
 
 
-def _values(c: Column, kind: str) -> Column:
-    found = F.regexp_extract_all(c, F.lit(_ALL[kind]), F.lit(0))
-    return F.filter(found, lambda n: F.call_function("luhn_check", n)) if kind == "CREDIT_CARD" else found
+def _spans(c: Column, kind: str) -> Column:
+    """Matches of one kind with their places, from the texts matched and the texts between them."""
+    found, between = F.regexp_extract_all(c, F.lit(_ALL[kind]), F.lit(0)), F.split(c, _ALL[kind], -1)
+    lengths = lambda texts, n: F.aggregate(F.slice(texts, 1, n), F.lit(0), lambda a, t: a + F.length(t))
 
+    def span(text: Column, i: Column) -> Column:
+        start = lengths(between, i + 1) + lengths(found, i)
+        return F.struct(start.alias("start"), F.lit(PII_SPECIFICITY.get(kind, 2)).alias("rank"), (-F.length(text)).alias("less"),
+                        F.lit(kind).alias("kind"), text.alias("text"), (start + F.length(text)).alias("end"))
+
+    spans = F.transform(found, span)
+    return F.filter(spans, lambda s: F.call_function("luhn_check", s["text"])) if kind == "CREDIT_CARD" else spans
 
-def pii_values(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
-    """array<struct<kind, text>> of every match of every kind, JVM-side.
 
-    Kinds are matched independently; `udfs.pii_findings` resolves overlaps.
+def pii_findings(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
+    """array<struct<start, rank, less, kind, text, end>> with overlaps resolved, whatever the order of `kinds`.
+
+    Of findings that start together the more specific and then the longer
+    comes first; one that ends inside an earlier one is dropped. NULL and
+    clean texts give no findings.
     """
-    def tagged(kind: str) -> Column:
-        return F.transform(_values(c, kind), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+    kind = "array<struct<start:int,rank:int,less:int,kind:string,text:string,end:int>>"
+    spans = F.array_sort(F.concat(*[_spans(c, k) for k in kinds]))
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(kind).alias("kept"))
 
-    return F.concat(*[tagged(kind) for kind in kinds])
+    def keep(so_far: Column, s: Column) -> Column:
+        more = s["end"] > so_far["reach"]
+        return F.struct(F.greatest(so_far["reach"], s["end"]).alias("reach"), F.when(more, F.concat(so_far["kept"], F.array(s))).otherwise(so_far["kept"]).alias("kept"))
 
+    # every identifier holds a digit or an @
+    found = F.when(c.rlike(r"\p{Nd}|@"), F.aggregate(spans.cast(kind), start, keep, lambda done: done["kept"]))
+    return F.coalesce(found, F.array().cast(kind))
 
-def redact_in_turn(c: Column, kinds: list[str]) -> Column:
-    """Replace one kind after the other with its label, JVM-side.
 
-    Equals the span-exact redaction unless findings of two kinds overlap.
-    """
-    for kind in kinds:
-        if kind == "CREDIT_CARD":
-            c = F.aggregate(
-                F.array_distinct(_values(c, kind)), c, lambda text, card: F.replace(text, card, F.lit(PII_LABELS[kind]))
-            )
-        else:
-            c = F.regexp_replace(c, _ALL[kind], PII_LABELS[kind])
-    return c
+def pii_values(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
+    """array<struct<kind, text>> of the findings."""
+    return F.transform(pii_findings(c, kinds), lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text")))
+
+
+def redact(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
+    """Text with each finding replaced by its visible label, from the last to the first."""
+    labels = F.create_map(*[F.lit(x) for pair in PII_LABELS.items() for x in pair])
+    put = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.element_at(labels, s["kind"]), F.substring(t, s["end"] + 1, F.length(t)))
+    return F.aggregate(F.reverse(pii_findings(c, kinds)), c, put)

@@ -16,12 +16,12 @@ MIN_PHOTO_BYTES = 20_000
 OWN_CAMERA = "camera|dcim|100nikon|my ?photo|captured"
 FOLDER_RANKS = [
     (r"whatsapp images[\\/]sent", 3),
-    (r"photos? smj|picasa|collage|wedding", 2),
+    (r"picasa|collage|wedding", 2),
     (r"whatsapp images", 1),
     (r"facebook|/fb/|screenshot|scrss|telegram|download", 0),
 ]
-WANTED_MEDIA_ROOTS = ["my_vids"]
-WANTED_MEDIA = r"(?i)Captured Videos|rec smj5|(^|/)video(/|$)"
+WANTED_MEDIA_ROOTS = ["videos"]
+WANTED_MEDIA = r"(?i)Captured Videos|(^|/)video(/|$)"
 SORT_RULES = [
     (r"(?i)whatsapp chat.*\.txt$", "whatsapp"),
     (r"(?i)(^|/)(PTT-\d{8}|WhatsApp Voice Notes)", "voice_notes"),

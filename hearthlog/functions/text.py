@@ -38,11 +38,13 @@ PHOTO_WORDS = (
     "|फोटो|तस्वीर|ਫੋਟੋ|ਤਸਵੀਰ"
 )
 OWN_WORDS = r"\b(?:meri|mere|mera|apni|apne|apna|khud|my|mine|our)\b"
-ROMAN_HINDI = (
-    "yaar bhai bro hai hain nahi nahin kya kaise kaisa mujhe mera meri tera teri tu tum aap kar karna "
-    "raha rha tha thi hoga chal thik theek acha accha koi kuch abhi phir fir bas matlab yeh woh wo "
-    "ke ka ki ko se me mein par aur toh to ho hu hun gya gaya diya liya pta pata bol"
-).split()
+ROMAN_HINDI = [
+    "yaar", "bhai", "bro", "hai", "hain", "nahi", "nahin", "kya", "kaise", "kaisa", "mujhe", "mera", "meri", "tera",
+    "teri", "tu", "tum", "aap", "kar", "karna", "raha", "rha", "tha", "thi", "hoga", "chal", "thik", "theek",
+    "acha", "accha", "koi", "kuch", "abhi", "phir", "fir", "bas", "matlab", "yeh", "woh", "wo", "ke", "ka", "ki",
+    "ko", "se", "me", "mein", "par", "aur", "toh", "to", "ho", "hu", "hun", "gya", "gaya", "diya", "liya", "pta",
+    "pata", "bol",
+]
 TRANSCRIPT_BOILERPLATE = (
     r"(?i)(?:thanks? for watching|please subscribe|terima kasih|amara\.org|subtitles? by|www\.[\w.]+)"
 )

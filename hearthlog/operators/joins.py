@@ -118,6 +118,17 @@ def rows_in_windows(rows: DataFrame, ts: str, windows: DataFrame, grain: str = "
     )
 
 
+def counts_in_windows(rows: DataFrame, ts: str, windows: DataFrame, query: str, keys: list[str], aggregates: list[Column], grain: str = "month") -> DataFrame:
+    """Aggregates by `keys` of the rows in each query's window; a query without one asks for every row.
+
+    Such queries share one aggregate of all rows, so rows are never repeated for them.
+    """
+    inside = rows_in_windows(rows, ts, windows, grain).groupBy(query, *keys).agg(*aggregates)
+    whole = rows.groupBy(*keys).agg(*aggregates).withColumn("_all", F.lit(1))
+    asking = windows.where(F.col("lo").isNull() & F.col("hi").isNull()).select(query, F.lit(1).alias("_all"))
+    return inside.unionByName(asking.join(whole, "_all").drop("_all").select(*inside.columns))
+
+
 def not_done(items: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """Items without a finished record."""
     return items.join(done.select(*on), on, "left_anti")

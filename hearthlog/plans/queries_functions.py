@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import guard, paths, text as tx, times, udfs
+from ..functions import guard, paths, spoken, text as tx, times
 from ..operators.select import top_rows
 from ..sources import tables as t
 from . import sql as q
@@ -154,10 +154,11 @@ def f15(spark, folder):
 
 
 @query("f16_recover_years", rf"""
-SELECT conv_id, turn, '2017 में ' || {q.strip(r"regexp_replace(text, '\s+', ' ', 'g')")} AS text FROM conversations""")
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '2017 में ' WHEN 1 THEN '2017 ' WHEN 2 THEN '2020 ' ELSE 'सत्रह ' END || {q.strip(r"regexp_replace(text, '\s+', ' ', 'g')")} AS text FROM conversations""")
 def f16(spark, folder):
-    said = F.concat(F.lit("दो हज़ार सत्रह में "), "text")
-    return t.texts(spark, folder, "conversations").select("conv_id", "turn", udfs.recover_years(2027)(said).alias("text"))
+    k = F.col("turn") % 4
+    said = F.when(k == 0, "दो हज़ार सत्रह में ").when(k == 1, "दो शून्य एक सात ").when(k == 2, "ਦੋ ਹਜ਼ਾਰ ਵੀਹ, ").otherwise("सत्रह ")
+    return t.texts(spark, folder, "conversations").select("conv_id", "turn", spoken.recover_years(2027)(F.concat(said, "text")).alias("text"))
 
 
 @query("f22_snippet", rf"""
@@ -351,7 +352,7 @@ def sc2(spark, folder):
 
 @query("f8_folder_rank", rf"""
 WITH {_PATHS} SELECT page_id, CASE WHEN regexp_matches(path, '(?i)(camera|dcim|100nikon|my ?photo|captured|owner)') THEN 3
-  WHEN regexp_matches(path, '(?i)whatsapp images[\\/]sent') THEN 3 WHEN regexp_matches(path, '(?i)(photos? smj|picasa|collage|wedding)') THEN 2
+  WHEN regexp_matches(path, '(?i)whatsapp images[\\/]sent') THEN 3 WHEN regexp_matches(path, '(?i)(picasa|collage|wedding)') THEN 2
   WHEN regexp_matches(path, '(?i)whatsapp images') THEN 1
   WHEN regexp_matches(path, '(?i)(facebook|/fb/|screenshot|scrss|telegram|download)') THEN 0 ELSE 1 END AS rank FROM paths""")
 def f8(spark, folder):
@@ -373,8 +374,8 @@ def f27(spark, folder):
 
 
 @query("p13_skip_media", rf"""
-WITH {_PATHS} SELECT page_id, {_CLASS} = 4 AND split_part(path, '/', 1) NOT IN ('my_vids')
-  AND NOT regexp_matches(path, '(?i)Captured Videos|rec smj5|(^|/)video(/|$)') AS skipped FROM paths""")
+WITH {_PATHS} SELECT page_id, {_CLASS} = 4 AND split_part(path, '/', 1) NOT IN ('videos')
+  AND NOT regexp_matches(path, '(?i)Captured Videos|(^|/)video(/|$)') AS skipped FROM paths""")
 def p13(spark, folder):
     klass = paths.download_class(paths.file_name(F.col("path")))
     return _paths(spark, folder).select("page_id", paths.skip_media(F.col("path"), klass).alias("skipped"))
@@ -451,19 +452,30 @@ def f10(spark, folder):
 
 _SQL_KINDS = ["EMAIL_ADDRESS", "IP_ADDRESS", "IN_PAN", "IN_UPI", "IN_VEHICLE", "IBAN_CODE"]
 _SALTED = ("CASE doc_id % 6 WHEN 0 THEN concat(text, ' pay ab.c', doc_id, '@okaxis now') WHEN 1 THEN concat(text, ' PAN ABCDE1234F.') "
-           "WHEN 2 THEN concat(text, ' car PB 10 AB 1234, ') ELSE text END")
-
-
-@query("f17_pii_kinds", f"WITH s AS (SELECT doc_id, {_SALTED} AS text FROM documents), f AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{ {**guard.PII_PATTERNS, **guard.PII_PATTERNS_GENERIC}[k] }')) AS value FROM s" for k in _SQL_KINDS)
-    + ") SELECT doc_id, kind, value, count(*) AS n FROM f GROUP BY ALL")
+           "WHEN 2 THEN concat(text, ' car PB 10 AB 1234, ') WHEN 3 THEN concat(text, ' call 919876543210 now') "
+           "WHEN 4 THEN concat(text, ' aadhaar 2345 6789 0123, or +91 98765 43210.') ELSE text END")
+# DuckDB has no look-around: the edges are captured instead
+_PHONE, _AADHAAR = r"(?:\+?91[\s\-]?)?[6-9]\d{4}[\s\-]?\d{5}", r"[2-9]\d{3}\s?\d{4}\s?\d{4}"
+_EDGES = {"PHONE_NUMBER": (r"(^|\W)", _PHONE, r"($|\D)"), "IN_AADHAAR": (r"(^|[^\w+])", _AADHAAR, r"($|\W)")}
+_LUHN = """list_sum(list_transform(range(length(value)), lambda i: CAST(substr(value, length(value) - CAST(i AS BIGINT), 1) AS BIGINT) * (1 + i % 2) // 10
+  + CAST(substr(value, length(value) - CAST(i AS BIGINT), 1) AS BIGINT) * (1 + i % 2) % 10)) % 10 = 0"""
+
+
+@query("f17_pii_kinds", f"WITH s AS (SELECT doc_id, {_SALTED} AS text FROM documents), f AS (" + " UNION ALL ".join([
+    *(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{ {**guard.PII_PATTERNS, **guard.PII_PATTERNS_GENERIC}[k] }')) AS value FROM s" for k in _SQL_KINDS),
+    *(f"SELECT doc_id, '{k}', unnest(regexp_extract_all(text, '{a}({p}){z}', 2)) FROM s" for k, (a, p, z) in _EDGES.items()),
+    r"SELECT doc_id, 'CREDIT_CARD', unnest(regexp_extract_all(text, '\b\d{13,19}\b')) FROM s"])
+    + f""") SELECT doc_id, kind, value, count(*) AS n FROM f WHERE (kind <> 'IN_AADHAAR' OR NOT regexp_full_match(value, '{_PHONE}'))
+    AND CASE WHEN kind = 'CREDIT_CARD' THEN {_LUHN} ELSE true END GROUP BY ALL""")
 def f17(spark, folder):
     d = t.texts(spark, folder, "documents").select("doc_id", F.expr(_SALTED).alias("text"))
-    found = d.select("doc_id", F.explode(guard.pii_values(F.col("text"), _SQL_KINDS)).alias("f"))
+    found = d.select("doc_id", F.explode(guard.pii_values(F.col("text"))).alias("f"))
     return found.groupBy("doc_id", F.col("f.kind").alias("kind"), F.col("f.text").alias("value")).agg(F.count("*").alias("n"))
 
 
 def _sql_redacted(c: str, kinds) -> str:
+    for k, (a, p, z) in _EDGES.items():
+        c = rf"regexp_replace({c}, '{a}{p}{z}', '\1{guard.PII_LABELS[k]}\2', 'g')"
     for k in kinds:
         c = f"regexp_replace({c}, '{ {**guard.PII_PATTERNS, **guard.PII_PATTERNS_GENERIC}[k] }', '{guard.PII_LABELS[k]}', 'g')"
     return c
@@ -472,12 +484,12 @@ def _sql_redacted(c: str, kinds) -> str:
 @query("f18_redact_in_turn", f"SELECT doc_id, md5({_sql_redacted('(' + _SALTED + ')', _SQL_KINDS)}) AS text_md5 FROM documents")
 def f18(spark, folder):
     return t.texts(spark, folder, "documents").select(
-        "doc_id", F.md5(guard.redact_in_turn(F.expr(_SALTED), _SQL_KINDS)).alias("text_md5"))
+        "doc_id", F.md5(guard.redact(F.expr(_SALTED), [*_SQL_KINDS, *_EDGES])).alias("text_md5"))
 
 
 @query("f18_redact_spans")
 def f18_spans(spark, folder):
-    return t.texts(spark, folder, "documents").select("doc_id", udfs.redact(F.expr(_SALTED)).alias("text"))
+    return t.texts(spark, folder, "documents").select("doc_id", guard.redact(F.expr(_SALTED)).alias("text"))
 
 
 @query("f19_card_numbers", r"""

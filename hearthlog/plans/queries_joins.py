@@ -88,7 +88,7 @@ _WINDOWS = """windows AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 > 0
 
 
 @query("j9_rows_in_windows", f"""
-WITH {_WINDOWS} SELECT query_id, event_type, count(*) AS n, epoch_us(min(ts)) AS first_us FROM events JOIN windows ON ts >= lo AND ts < hi GROUP BY ALL""")
+WITH {_WINDOWS} SELECT query_id, event_type, count(*) AS n, epoch_us(min(ts)) AS first_us FROM events JOIN windows ON lo IS NULL OR (ts >= lo AND ts < hi) GROUP BY ALL""")
 def j9(spark, folder):
     base = F.expr("TIMESTAMP '2023-12-25 00:00:00'")
     on = F.col("item_id") % 4 > 0
@@ -96,8 +96,8 @@ def j9(spark, folder):
     w = t.table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.when(on, day(F.col("item_id"))).alias("lo"),
         F.when(on, day(F.col("item_id") + F.col("item_id") % 7)).alias("hi"))
-    rows = joins.rows_in_windows(t.table(spark, folder, "events"), "ts", w, grain="day")
-    return rows.groupBy("query_id", "event_type").agg(F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("first_us"))
+    return joins.counts_in_windows(t.table(spark, folder, "events"), "ts", w, "query_id", ["event_type"],
+                                   [F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("first_us")], grain="day")
 
 
 @query("j11_mood_at_turn", f"""

@@ -323,8 +323,10 @@ def sk13(spark, folder):
 
 
 @query("sk14_changed_rows", rf"""
-WITH c AS (SELECT doc_id, text, {q.strip(r"regexp_replace(text, '\s{2,}', ' ', 'g')")} AS cleaned FROM documents)
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', '.  ') ELSE text END AS text FROM documents),
+c AS (SELECT doc_id, text, {q.strip(r"regexp_replace(text, '\s{2,}', ' ', 'g')")} AS cleaned FROM d)
 SELECT doc_id, md5(cleaned) AS text_md5 FROM c WHERE cleaned <> text""")
 def sk14(spark, folder):
-    d = t.table(spark, folder, "documents").select("doc_id", "text")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(". "), F.lit(".  "))).otherwise(F.col("text"))
+    d = t.table(spark, folder, "documents").select("doc_id", raw.alias("text"))
     return tb.changed_rows(d, {"text": tx.squeeze_pairs(F.col("text"))}).select("doc_id", F.md5("text").alias("text_md5"))

@@ -44,6 +44,13 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def _local_folder(master: str) -> str:
+    """A folder of this machine, which only a session on this machine alone may use."""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder the cluster names.
 
@@ -51,8 +58,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _local_folder(sc.master))
     return df.checkpoint(eager=True)
 
 
@@ -64,7 +70,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         import uuid
 
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), name)
+    return os.path.join(_local_folder(sc.master), name)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

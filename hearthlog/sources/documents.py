@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 
 # ---- fixed values ----
-GUEST_NOTE = (
-    "This is only a description of how he speaks. You do not have his history, "
-    "his relationships, or any detail about his life, and you must not invent any."
-)
+GUEST_NOTE = "This card describes a manner of speaking only. No history, relation or fact of a life is in it, and none may be made up."
 BEHAVIOURS = [
     "values", "motivations", "decision_patterns", "emotional_patterns", "communication_habits",
     "recurring_concerns", "interests",

@@ -15,7 +15,7 @@ from ..session import scratch_dir
 # ---- fixed values ----
 FRAME_MS, SPEECH_PROBABILITY = 32, 0.5
 SILENCE_TO_END_MS, MIN_SPEECH_MS, MAX_TURN_MS = 900, 400, 30_000
-REFUSAL = "nah yaar, ye nahi hoga. tu kuch aur pooch le — project ya kaam ka kuch ho to bata."
+REFUSAL = "That is not something to answer here. Please ask about something else."
 # ---- end of fixed values ----
 
 
@@ -124,7 +124,7 @@ def index_diary(entries: DataFrame, memories_path: str, log_path: str, state: st
             F.concat(F.lit("diary:"), F.col("id").cast("string")).alias("conversation_id"), F.lit("secret").alias("trust"),
         )
         tb.append(memories, memories_path)
-        tb.append(batch.select("id"), log_path)
+        tb.append(fresh.select("id"), log_path)
 
     run_batches(entries, state, handle)
 
@@ -135,7 +135,7 @@ def guarded_turns(messages: DataFrame, kinds: list[str], owner_names: list[str]
     `messages`: created_at, guest (boolean), message, reply. Owner turns are never logged.
     """
     reason = guard.attack_reason(F.col("message"), owner_names)
-    redacted = guard.redact_in_turn(F.col("reply"), kinds)
+    redacted = guard.redact(F.col("reply"), kinds)
     found = F.array_sort(F.array_distinct(F.transform(guard.pii_values(F.col("reply"), kinds), lambda f: f["kind"])))
     return (
         messages.where("guest")

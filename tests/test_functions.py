@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.functions import guard, paths, text as tx, times, udfs
+from hearthlog.functions import guard, paths, spoken, text as tx, times
 
 
 def apply(spark, values, fn):
@@ -130,19 +130,19 @@ def test_time_window(spark):
 
 
 def test_recover_years(spark):
-    got = apply(spark, ["दो हज़ार सत्रह में क्या", "दो शून्य एक सात में", "ਦੋ ਹਜ਼ਾਰ ਵੀਹ", "सत्रह लोग आए", "hello there", None, "बीस सत्रह, में"], udfs.recover_years(2027))
+    got = apply(spark, ["दो हज़ार सत्रह में क्या", "दो शून्य एक सात में", "ਦੋ ਹਜ਼ਾਰ ਵੀਹ", "सत्रह लोग आए", "hello there", None, "बीस सत्रह, में"], spoken.recover_years(2027))
     assert got == ["2017 में क्या", "2017 में", "2020", "सत्रह लोग आए", "hello there", None, "2017 में"]
 
 
 def test_pii(spark):
     texts = ["call +919876543210 now", "98765 43210", "aadhaar 2345 6789 0123", "PAN ABCDE1234F", "pay a.b@okaxis", "mail a.b@mail.com", "PB 10 AB 1234",
              "costs 1500 rupees", "card 4111111111111111", "card 4111111111111112", "ip 10.0.0.255 ok", None]
-    got = apply(spark, texts, udfs.redact)
+    got = apply(spark, texts, guard.redact)
     assert got == ["call [phone] now", "[phone]", "aadhaar [aadhaar]", "PAN [pan]", "pay [upi]", "mail [email]", "[vehicle]",
                    "costs 1500 rupees", "card [card]", "card 4111111111111112", "ip [ip] ok", None]
-    kinds = [[f["kind"] for f in r] for r in apply(spark, texts[:3], udfs.pii_findings)]
+    kinds = [[f["kind"] for f in r] for r in apply(spark, texts[:3], guard.pii_findings)]
     assert kinds == [["PHONE_NUMBER"], ["PHONE_NUMBER"], ["IN_AADHAAR"]]
-    chain = apply(spark, texts[3:7], lambda c: guard.redact_in_turn(c, ["IN_PAN", "IN_UPI", "EMAIL_ADDRESS", "IN_VEHICLE"]))
+    chain = apply(spark, texts[3:7], lambda c: guard.redact(c, ["IN_PAN", "IN_UPI", "EMAIL_ADDRESS", "IN_VEHICLE"]))
     assert chain == got[3:7]
 
 
@@ -172,3 +172,36 @@ def test_tolerant_json(spark):
 
 def test_iso_week(spark):
     assert apply(spark, ["2026-07-27", "2024-12-30", "2021-01-03"], lambda c: times.iso_week(c.cast("date"))) == ["2026-W31", "2025-W01", "2020-W53"]
+
+
+def slow_findings(text, kinds):
+    """Findings of one text by a plain scan: sorted, then those inside an earlier one dropped."""
+    import re
+
+    patterns = {**guard.PII_PATTERNS, **guard.PII_PATTERNS_GENERIC}
+
+    def luhn(number):
+        digits = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(number))]
+        return sum(d // 10 + d % 10 for d in digits) % 10 == 0
+
+    spans = sorted((m.start(), guard.PII_SPECIFICITY.get(k, 2), m.start() - m.end(), k, m.group(), m.end())
+                   for k in kinds for m in re.finditer(patterns[k], text or "") if k != "CREDIT_CARD" or luhn(m.group()))
+    return [s for i, s in enumerate(spans) if all(s[5] > e[5] for e in spans[:i])]
+
+
+def test_findings_agree_with_a_plain_scan_in_any_order_of_kinds(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["919876543210", "+91 98765 43210", "2345 6789 0123", "234567890123", "ABCDE1234F", "ABCDE१२३४F", "a.b@okaxis", "a.b@okaxis.com", "me@mail.org", "PB 10 AB 1234",
+             "4111111111111111", "10.0.0.255", "DE89370400440532013000", "x", "é", " ", ",", "-", "+", "12", "@", " and "]
+    texts = ["call 919876543210 now", None, ""] + ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(400)]
+    kinds = list(guard.PII_KINDS)
+    for order in (kinds, kinds[::-1]):
+        assert [[tuple(s) for s in r] for r in apply(spark, texts, lambda c, o=order: guard.pii_findings(c, o))] == [slow_findings(t, kinds) for t in texts]
+    assert apply(spark, texts[:2], lambda c: guard.redact(c, kinds[::-1])) == ["call [phone] now", None]
+
+
+def test_spoken_years_keep_other_words(spark):
+    texts = ["दो हज़ार सत्रह और दो हज़ार अठारह", "एक दो", "सौ", "", "  a   b ", "दो हज़ार, नौ सौ", "बीस बीस बीस बीस", "उन्नीस सौ नौ दो"]
+    assert apply(spark, texts, spoken.recover_years(2027)) == ["2017 और 2018", "एक दो", "सौ", "", "a b", "2009 सौ", "2020 2020", "उन्नीस सौ नौ दो"]
