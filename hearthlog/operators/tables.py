@@ -1,12 +1,10 @@
 """Table upkeep on plain parquet: insert-or-ignore, upserts, slices, marks.
 
-A change is computed as a new DataFrame; `save` writes it beside the old table
-and swaps folders, so a lost executor or a failed job leaves the old table.
+A change is computed as a new DataFrame; `publish` writes it as the table's next
+version, so a lost executor or a failed job leaves the old one.
 """
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .select import first_wins
@@ -52,6 +50,17 @@ def replaced_slice(existing: DataFrame, column: str, values: list[str], fresh: D
     return existing.where(~F.col(column).isin(values) | F.col(column).isNull()).unionByName(fresh, allowMissingColumns=True)
 
 
+def claimed(existing: DataFrame, files: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows with a count of -1 for the files that have no row yet; a file that crashes later is not tried again."""
+    fresh = files.select(key).distinct().join(existing.select(key), key, "left_anti")
+    return fresh.withColumn(count, F.lit(-1).cast(existing.schema[count].dataType))
+
+
+def rewritten(existing: DataFrame, changed: DataFrame, key: str) -> DataFrame:
+    """The table with the rows of `changed` in place of those with their key."""
+    return existing.join(changed.select(key), key, "left_anti").unionByName(changed)
+
+
 def marked(existing: DataFrame, done: DataFrame, keys: list[str], column: str, value: Column) -> DataFrame:
     """Set `column` on rows whose key is in `done` and that carry no mark yet."""
     hits = done.select(*keys).distinct().withColumn("_hit", F.lit(True))
@@ -123,17 +132,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(make(path))
 
 
-def save(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Replace the table at `path`; `df` may read from it."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the complete versions of the table at `path`, oldest first."""
     fs, make = _fs(spark, path)
-    if fs.exists(make(path)):
-        fs.rename(make(path), make(old))
-    fs.rename(make(fresh), make(path))
-    fs.delete(make(old), True)
+    if not fs.exists(make(path)):
+        return []
+    folders = [str(f.getPath()) for f in fs.listStatus(make(path))]
+    return sorted(f for f in folders if fs.exists(make(f"{f}/_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The last complete version of the table at `path`."""
+    return spark.read.parquet(versions(spark, path)[-1])
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write `df` as the next version of the table at `path`; `df` may read from earlier ones.
+
+    A version counts once its job has ended, so readers see the old table or
+    the new one; what a failed attempt left is overwritten by the next.
+    """
+    done = versions(df.sparkSession, path)
+    number = int(done[-1].rpartition("-")[2]) + 1 if done else 0
+    df.write.mode("overwrite").parquet(f"{path}/version-{number:09d}")
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
@@ -141,6 +162,16 @@ def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def append_log(rows: DataFrame, path: str, partition_by: list[str] = ()) -> None:
+    """Append to a log; every row is stamped with the time of the append."""
+    append(rows.withColumn("created_at", F.current_timestamp()), path, partition_by)
+
+
+def write_manifest(manifest: DataFrame, folder: str) -> None:
+    """An export as JSON lines, in place of an earlier one."""
+    manifest.write.mode("overwrite").json(folder)
+
+
 def insert_messages(messages: DataFrame, path: str) -> int:
     """Append the messages not stored yet; returns how many were new.
 

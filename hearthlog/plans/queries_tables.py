@@ -175,11 +175,18 @@ def sk2(spark, folder):
 
 
 @query("sk3_upsert_manifest", """
-SELECT user_id AS path, arg_max(event_id, (ts, event_id)) AS item_count FROM events GROUP BY 1""")
+SELECT user_id AS path, arg_max(event_id, (ts, event_id)) AS item_count FROM events WHERE event_id % 2 = 1 OR user_id % 2 = 0 GROUP BY 1""")
 def sk3(spark, folder):
     e = t.table(spark, folder, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("item_count"), F.struct("ts", "event_id").alias("at"))
-    claimed = tb.upserted(e.where("item_count % 2 = 0").limit(0), e.where("item_count % 2 = 0"), ["path"], "at")
-    return tb.upserted(claimed, e.where("item_count % 2 = 1"), ["path"], "at").select("path", "item_count")
+    before, results = e.where("item_count % 2 = 0 AND path % 2 = 0"), e.where("item_count % 2 = 1")
+    path = scratch_dir(spark, "manifest")
+    tb.publish(tb.upserted(before.limit(0), before, ["path"], "at"), path)
+    stored = tb.current(spark, path)
+    claims = tb.claimed(stored, results, "path", "item_count").withColumn("at", F.lit(None).cast(stored.schema["at"].dataType))
+    tb.publish(stored.unionByName(claims), path)  # claimed before any file is worked on
+    for _ in range(2):  # the same results a second time change nothing
+        tb.publish(tb.upserted(tb.current(spark, path), results, ["path"], "at"), path)
+    return tb.current(spark, path).select("path", "item_count")
 
 
 @query("sk4_upsert_digest", """
@@ -253,7 +260,11 @@ UNION ALL SELECT memory_id + 1000000, kind FROM memories WHERE kind IN ('photo',
 def sk8(spark, folder):
     m = t.memories(spark, folder).select("memory_id", "kind")
     fresh = m.where("kind IN ('photo', 'forward') AND memory_id % 2 = 0").withColumn("memory_id", F.col("memory_id") + 1_000_000)
-    return tb.replaced_slice(m, "kind", ["photo", "forward"], fresh)
+    path = scratch_dir(spark, "slices")
+    tb.append(m, path, ["kind"])
+    for _ in range(2):  # a second run replaces the slices by the same rows
+        tb.overwrite_partitions(fresh, path, ["kind"])
+    return spark.read.parquet(path).select("memory_id", "kind")
 
 
 @query("sk9_marks_and_labels", """
@@ -263,7 +274,12 @@ def sk9(spark, folder):
     d = t.table(spark, folder, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 2 == 1, "before").alias("indexed_at"), F.col("source").alias("person"))
     labels = t.table(spark, folder, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("person"))
-    return tb.assigned(tb.marked(d, labels, ["doc_id"], "indexed_at", F.lit("now")), labels, ["doc_id"], "person")
+    path = scratch_dir(spark, "marks")
+    tb.publish(d, path)
+    for when in ("now", "later"):  # marks that are there stay
+        table = tb.marked(tb.current(spark, path), labels, ["doc_id"], "indexed_at", F.lit(when))
+        tb.publish(tb.assigned(table, labels, ["doc_id"], "person"), path)
+    return tb.current(spark, path).select("doc_id", "indexed_at", "person")
 
 
 @query("sk10_resets", f"""
@@ -286,13 +302,18 @@ def sk10(spark, folder):
 
 
 @query("sk11_log_append", """
-SELECT event_id, event_type IN ('click', 'view') AS valid FROM events""")
+SELECT event_id, event_type IN ('click', 'view') AS valid, true AS stamped FROM events""")
 def sk11(spark, folder):
     e = t.table(spark, folder, "events").select("event_id", F.when(F.col("event_type").isin("click", "view"), "happy").otherwise("bored").alias("mood"))
     from ..operators.moods import MOODS
 
     ok, bad = tb.split_valid(e, F.col("mood").isin(MOODS))
-    return ok.select("event_id", F.lit(True).alias("valid")).unionByName(bad.select("event_id", F.lit(False).alias("valid")))
+    log, rejects = scratch_dir(spark, "log"), scratch_dir(spark, "rejects")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1"):  # two appends
+        tb.append_log(ok.where(part), log)
+        tb.append_log(bad.where(part), rejects)
+    back = lambda path, valid: spark.read.parquet(path).select("event_id", F.lit(valid).alias("valid"), (F.col("created_at") <= F.current_timestamp()).alias("stamped"))
+    return back(log, True).unionByName(back(rejects, False))
 
 
 @query("sk12_manifests", """
@@ -302,7 +323,10 @@ def sk12(spark, folder):
         F.col("event_id").alias("id"), F.concat(F.lit("c/"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("question"),
         F.col("event_type").alias("lang"), F.col("value").alias("seconds"), F.when(F.col("event_id") % 3 > 0, "said").alias("transcript"),
         F.col("value").between(3, 90).alias("accepted"))
-    return tb.accepted_manifest(e)
+    path = scratch_dir(spark, "manifest")
+    for _ in range(2):
+        tb.write_manifest(tb.accepted_manifest(e), path)
+    return spark.read.schema("audio string, prompt string, lang string, seconds double, transcript string").json(path)
 
 
 @query("sk12_rounded_manifest", """
@@ -312,7 +336,9 @@ def sk12_rounded(spark, folder):
     e = t.table(spark, folder, "events").select(
         F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("source"), v.alias("start"), (v + 8).alias("end"),
         (v / 503).alias("similarity"), (v / 401).alias("speech_ratio"), (v / 7001).alias("rms"))
-    return tb.rounded_manifest(e)
+    path = scratch_dir(spark, "manifest")
+    tb.write_manifest(tb.rounded_manifest(e), path)
+    return spark.read.schema('source string, start double, `end` double, similarity double, speech_ratio double, rms double').json(path)
 
 
 @query("sk13_schema_evolution", """
@@ -325,8 +351,14 @@ def sk13(spark, folder):
 @query("sk14_changed_rows", rf"""
 WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '. ', '.  ') ELSE text END AS text FROM documents),
 c AS (SELECT doc_id, text, {q.strip(r"regexp_replace(text, '\s{2,}', ' ', 'g')")} AS cleaned FROM d)
-SELECT doc_id, md5(cleaned) AS text_md5 FROM c WHERE cleaned <> text""")
+SELECT doc_id, md5(cleaned) AS text_md5, cleaned <> text AS changed FROM c""")
 def sk14(spark, folder):
     raw = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(". "), F.lit(".  "))).otherwise(F.col("text"))
     d = t.table(spark, folder, "documents").select("doc_id", raw.alias("text"))
-    return tb.changed_rows(d, {"text": tx.squeeze_pairs(F.col("text"))}).select("doc_id", F.md5("text").alias("text_md5"))
+    path = scratch_dir(spark, "texts")
+    tb.publish(d.withColumn("changed", F.lit(False)), path)
+    for _ in range(2):  # the second pass finds nothing to change
+        table = tb.current(spark, path)
+        changed = tb.changed_rows(table, {"text": tx.squeeze_pairs(F.col("text"))}).withColumn("changed", F.lit(True))
+        tb.publish(tb.rewritten(table, changed, "doc_id"), path)
+    return tb.current(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "changed")

@@ -287,14 +287,24 @@ def test_table_upkeep(spark, tmp_path):
     b = spark.createDataFrame([(2, "z", 1), (3, "w", 0), (2, "old", 0)], "k int, v string, t int")
     assert sorted(map(tuple, tb.upserted(a, b, ["k"], "t").collect())) == [(1, "x", 1), (2, "z", 1), (3, "w", 0)]
     path = str(tmp_path / "table")
-    tb.save(a, path)
-    tb.save(spark.read.parquet(path).where("k = 2"), path)  # reads the table it replaces
-    assert [r["k"] for r in spark.read.parquet(path).collect()] == [2]
-    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+    tb.publish(a, path)
+    tb.publish(tb.current(spark, path).where("k = 2"), path)  # reads the version before
+    (tmp_path / "table" / "version-000000002").mkdir()  # an attempt that failed
+    assert [r["k"] for r in tb.current(spark, path).collect()] == [2] and len(tb.versions(spark, path)) == 2
+    tb.publish(a, path)
+    assert tb.current(spark, path).count() == 2
+    assert [tuple(r) for r in tb.claimed(a, b, "k", "t").collect()] == [(3, -1)]
+    assert sorted(map(tuple, tb.rewritten(a, b.where("v = 'z'"), "k").collect())) == [(1, "x", 1), (2, "z", 1)]
 
 
 def test_every_query_runs_on_the_smallest_tables(spark):
     import __spark_entry__ as entry
 
+    small, may_be_empty = "/root/testdata/sf0.001", set()
+    for name, run in entry.queries().items():
+        if not name.startswith("op") and name != "pipeline":  # those have tests of their own
+            rows = run(spark, small).count()
+            assert rows > 0 or name in may_be_empty, name
+
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
