@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpoint, small_side
+from ..session import checkpoint
 from .ordered import layout, running
 
 SORT_LIMIT_ROWS = 100_000  # largest n answered by a sort-and-limit
@@ -146,7 +146,7 @@ def split_by_group(
     chosen = until_cap(eligible, ["_order", group], F.col("_size"), target, rows_per_block).select(
         group, F.lit("eval").alias("split")
     )
-    return examples.join(small_side(chosen), group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    return examples.join(chosen, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def new_and_replay(

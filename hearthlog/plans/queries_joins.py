@@ -78,9 +78,7 @@ SELECT d.doc_id, CASE WHEN m.lang = 'ur' THEN 'hi' WHEN m.lang IN ('en','hi','pa
 def j8(spark, folder):
     d = t.table(spark, folder, "documents").select("doc_id", "source", F.when(F.col("lang") == "es", "ur").otherwise(F.col("lang")).alias("lang"))
     hints = agg.majority(d, "source", "lang").select("source", tx.language_hint(F.col("lang")).alias("forced"))
-    from ..session import small_side
-
-    return d.join(small_side(hints), "source").select("doc_id", "forced")
+    return d.join(hints, "source").select("doc_id", "forced")
 
 
 _WINDOWS = """windows AS (SELECT item_id AS query_id, CASE WHEN item_id % 4 > 0 THEN TIMESTAMP '2023-12-25' + to_days(CAST(item_id AS INTEGER)) END AS lo,

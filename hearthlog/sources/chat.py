@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths, text as tx
 from ..operators.ordered import island_start, layout
-from ..session import small_side
 
 # ---- fixed values ----
 HEADER = (
@@ -74,8 +73,9 @@ def parse_chats(
             F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_piece"))), lambda x: x["_piece"]), "\n"
         ).alias("raw"),
     )
-    order = entries.groupBy("path").agg(
-        F.bool_or(F.col("h.d1") > 12).alias("_first"), F.bool_or(F.col("h.d2") > 12).alias("_second")
+    # the date order needs the headers only: no second parse, and its size is left to the planner
+    order = lines.where(is_header & F.contains(rest, F.lit(": "))).groupBy("path").agg(
+        F.bool_or(number(1) > 12).alias("_first"), F.bool_or(number(2) > 12).alias("_second")
     ).select("path", F.when(F.col("_first"), True).when(F.col("_second"), False).otherwise(day_first).alias("_day_first"))
     h = F.col("h")
     day = F.when(F.col("_day_first"), h["d1"]).otherwise(h["d2"])
@@ -90,7 +90,7 @@ def parse_chats(
     text = tx.clean_chat(F.col("raw"))
     seconds = F.when(h["s"] < 60, h["s"]).cast("double")  # no roll-over into the next minute
     return (
-        entries.join(small_side(order), "path")  # one row for each file
+        entries.join(order, "path")  # one row for each file
         .withColumn("ts", F.try_make_timestamp(year, month, day, hour, h["mi"], seconds))
         .where(F.col("ts").isNotNull() & (text != "") & ~tx.is_deleted_text(F.col("raw")))
         .select(
