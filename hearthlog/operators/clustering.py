@@ -24,9 +24,8 @@ MIN_OWNER_SIMILARITY = 0.35
 
 PIVOTS = 256
 CHUNK_ROWS = 2_048
-LEADER_ROWS = 20_000
-MERGE_FAN_IN = 8
-MERGE_CENTROIDS = 50_000
+# Rows settled in order, and so leaders broadcast, at a time; the groups do not depend on it.
+LEADERS_PER_PASS = 1_024
 
 
 def constant_vector(values) -> Column:
@@ -188,88 +187,84 @@ def connected_components(ids: DataFrame, links: DataFrame) -> DataFrame:
 # ---- leader clusters ---------------------------------------------------------------
 
 
-class _Leaders:
-    """Running sums met in order; an item joins the nearest one that is close enough."""
-
-    def __init__(self, threshold: float, strict: bool):
-        self.threshold, self.strict = threshold, strict
-        self.sums: np.ndarray | None = None
-        self.n = 0
-
-    def place(self, v: np.ndarray) -> int:
-        size = np.linalg.norm(v)
-        if self.sums is None:
-            self.sums = np.zeros((16, len(v)))
-            self.norms = np.zeros(16)
-        if self.n and size > 0:
-            norms = self.norms[: self.n]
-            sims = (self.sums[: self.n] @ v) / np.where(norms > 0, norms, np.inf) / size
-            best = int(np.argmax(sims))
-            ok = sims[best] > self.threshold if self.strict else (sims[best] >= self.threshold and sims[best] > 0)
-            if ok:
-                self.sums[best] += v
-                self.norms[best] = np.linalg.norm(self.sums[best])
-                return best
-        if self.n == len(self.sums):
-            self.sums = np.vstack([self.sums, np.zeros_like(self.sums)])
-            self.norms = np.concatenate([self.norms, np.zeros_like(self.norms)])
-        self.sums[self.n], self.norms[self.n] = v, size
-        self.n += 1
-        return self.n - 1
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    v = np.stack(vectors.to_numpy()).astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _close(sims: np.ndarray, threshold: float, strict: bool) -> np.ndarray:
+    sims = np.round(sims, 9)
+    return (sims > threshold if strict else sims >= threshold) & (sims > 0)
+
+
+def _first_leaders(rows: pd.DataFrame, threshold: float, strict: bool) -> pd.DataFrame:
+    """The leaders among rows in id order: those close to no leader before them."""
+    v = _unit_rows(rows["vector"])
+    near = _close(v @ v.T, threshold, strict)
+    taken = np.zeros(len(v), bool)
+    picked = []
+    for i in range(len(v)):
+        if not taken[i]:
+            picked.append(i)
+            taken |= near[i]
+    return rows.iloc[picked]
 
 
 def leader_clusters(
-    vectors: DataFrame, threshold: float = SAME_PERSON, strict: bool = False, unit: bool = False,
-    leader_rows: int = LEADER_ROWS, fan_in: int = MERGE_FAN_IN, merge_centroids: int = MERGE_CENTROIDS,
+    vectors: DataFrame, threshold: float = SAME_PERSON, strict: bool = False, leaders_per_pass: int = LEADERS_PER_PASS
 ) -> DataFrame:
-    """(id, leader): greedy groups; `leader` is the id of the group's first row.
-
-    Rows are taken in id order: each joins the nearest group sum when the cosine
-    reaches the threshold, else it opens a group. Stretches of `leader_rows` rows
-    run in parallel and their group sums are then treated as rows themselves,
-    `fan_in` stretches at a time. An input of one stretch is grouped exactly as
-    a single ordered pass would. When a merge would bring together more than
-    `merge_centroids` sums, they are linked by similarity instead.
+    """(id, leader): in id order a row leads a group if its cosine to every leader
+    before it stays below the threshold; every row joins its nearest leader, ties
+    to the smaller id. `strict` asks for more than the threshold.
+
+    The first `leaders_per_pass` rows that no leader covers are settled in order,
+    and a map pass over the uncovered rows drops those that the new leaders
+    cover. As no later leader changes what an earlier one decided, the groups are
+    those of one ordered pass for any pass size and partitioning. Rows are then
+    compared with the leaders pass by pass where they lie; only (id, leader,
+    cosine) is shuffled. Null and zero vectors are groups of their own.
     """
-    v = vx.unit(F.col("vector")) if unit else F.transform("vector", lambda x: x.cast("double"))
-    placed = numbered(vectors.select("id", v.alias("vector")), ["id"], "_at")
-    rows = placed.select(
-        "id", "vector", F.floor((F.col("_at") - 1) / leader_rows).cast("long").alias("part"), F.col("id").alias("member")
-    )
-    out = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("leader", T.LongType()),
-        T.StructField("part", T.LongType()), T.StructField("sum", T.ArrayType(T.DoubleType())),
-    ])
+    spark = vectors.sparkSession
+    rows = checkpoint(vectors.where(F.col("vector").isNotNull()).select("id", F.col("vector").cast("array<double>").alias("vector")))
+    passes, open_rows = [], rows
+
+    def uncovered(leaders):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, v = leaders.value
+            for pdf in frames:
+                if len(pdf):
+                    covered = _close(_unit_rows(pdf["vector"]) @ v.T, threshold, strict).any(axis=1)
+                    yield pdf[~(covered | pdf["id"].isin(ids).to_numpy())]
+        return run
+
+    def nearest(leaders):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, v = leaders.value
+            for pdf in frames:
+                if not len(pdf):
+                    continue
+                sims = np.round(_unit_rows(pdf["vector"]) @ v.T, 9)
+                best = sims.argmax(axis=1)  # the first, as ids ascend
+                top = sims[np.arange(len(pdf)), best]
+                ok = _close(top, threshold, strict)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[ok], "leader": ids[best[ok]], "similarity": top[ok]})
+        return run
 
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        groups = _Leaders(threshold, strict)
-        at = [groups.place(np.asarray(x, np.float64)) for x in pdf["vector"]]
-        ids = pdf["id"].to_numpy(np.int64)
-        first: dict[int, int] = {}
-        for g, i in zip(at, ids):
-            first.setdefault(g, int(i))
-        leader = np.array([first[g] for g in at], np.int64)
-        sums = [groups.sums[g] if first[g] == i else None for g, i in zip(at, ids)]  # sum once, on the leader's row
-        return pd.DataFrame({"id": ids, "leader": leader, "part": pdf["part"].to_numpy(np.int64), "sum": sums})
-
-    step = checkpoint(rows.groupBy("part").applyInPandas(lead, out))
-    members = step.select("id", "leader")
     while True:
-        sums = step.where(F.col("sum").isNotNull()).select("id", F.col("sum").alias("vector"), F.col("part"))
-        merged = sums.withColumn("part", F.floor(F.col("part") / fan_in).cast("long"))
-        if sums.select("part").distinct().limit(2).count() < 2:
-            return members
-        too_many = merged.groupBy("part").count().where(F.col("count") > merge_centroids)
-        if not too_many.isEmpty():
-            links = similar_links(sums.select("id", "vector"), threshold)
-            roots = connected_components(sums.select("id"), links).select(
-                F.col("id").alias("leader"), F.col("component").alias("_root")
-            )
-            return members.join(roots, "leader").select("id", F.col("_root").alias("leader"))
-        step = checkpoint(merged.groupBy("part").applyInPandas(lead, out))
-        moved = step.select(F.col("id").alias("leader"), F.col("leader").alias("_to"))
-        members = checkpoint(members.join(moved, "leader").select("id", F.col("_to").alias("leader")))
+        head = top_rows(open_rows, leaders_per_pass, F.col("id")).toPandas().sort_values("id")
+        if not len(head):
+            break
+        leaders = _first_leaders(head, threshold, strict)
+        passes.append(spark.sparkContext.broadcast((leaders["id"].to_numpy(np.int64), _unit_rows(leaders["vector"]))))
+        open_rows = checkpoint(open_rows.mapInPandas(uncovered(passes[-1]), open_rows.schema))
+    members = vectors.select("id", F.col("id").alias("_self"))
+    if not passes:
+        return members.select("id", F.col("_self").alias("leader"))
+    found = rows.mapInPandas(nearest(passes[0]), "id long, leader long, similarity double")
+    for more in passes[1:]:
+        found = found.unionByName(rows.mapInPandas(nearest(more), "id long, leader long, similarity double"))
+    best = found.groupBy("id").agg(F.max_by("leader", F.struct("similarity", -F.col("leader"))).alias("leader"))
+    return members.join(best, "id", "left").select("id", F.coalesce("leader", "_self").alias("leader"))
 
 
 def ranked_groups(members: DataFrame, size: Column | None = None) -> DataFrame:

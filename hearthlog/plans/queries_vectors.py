@@ -49,16 +49,34 @@ def j10(spark, folder):
     return cl.connected_components(e, cl.similar_links(e, SIMILAR))
 
 
-@query("v7_leader_clusters")
+def _leaders(test: str) -> str:
+    """Leaders one row after another in id order, then every row to its nearest."""
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
+near AS MATERIALIZED (SELECT a.k, a.id, list(b.id) AS ids FROM e a JOIN e b ON round(list_cosine_similarity(a.v, b.v), 9) {test} GROUP BY a.k, a.id),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS found UNION ALL
+  SELECT n.k, CASE WHEN list_has_any(n.ids, w.found) THEN w.found ELSE list_append(w.found, n.id) END FROM walk w JOIN near n ON n.k = w.k + 1),
+leads AS (SELECT unnest(found) AS leader FROM (SELECT found FROM walk ORDER BY k DESC LIMIT 1)),
+members AS (SELECT e.id, arg_max(leader, (round(list_cosine_similarity(e.v, o.v), 9), -leader)) AS leader FROM e, leads JOIN e o ON o.id = leader
+  WHERE round(list_cosine_similarity(e.v, o.v), 9) {test} GROUP BY e.id)"""
+
+
+@query("v7_leader_clusters", f"""{_leaders(f'>= {cl.SAME_PERSON}')},
+sizes AS (SELECT leader, count(*) AS size FROM members GROUP BY leader),
+ranks AS (SELECT leader, size, row_number() OVER (ORDER BY size DESC, leader) - 1 AS person FROM sizes)
+SELECT id, leader, person, size FROM members JOIN ranks USING (leader)""")
 def v7(spark, folder):
     e = t.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return cl.ranked_groups(cl.leader_clusters(e, cl.SAME_PERSON)).select("id", "leader", "person", "size")
 
 
-@query("v8_speaker_clusters")
+@query("v8_speaker_clusters", f"""{_leaders(f'> {cl.SAME_SPEAKER}')},
+sizes AS (SELECT leader, count(DISTINCT id % {CALLS}) AS calls FROM members GROUP BY leader),
+ranks AS (SELECT leader, calls, row_number() OVER (ORDER BY calls DESC, leader) - 1 AS person FROM sizes)
+SELECT id, leader, person, calls FROM members JOIN ranks USING (leader)""")
 def v8(spark, folder):
     s = speakers(spark, folder)
-    members = cl.leader_clusters(s.select("id", "vector"), cl.SAME_SPEAKER, strict=True, unit=True)
+    members = cl.leader_clusters(s.select("id", "vector"), cl.SAME_SPEAKER, strict=True)
     return cl.ranked_groups(members.join(s.select("id", "audio_ref"), "id"), F.countDistinct("audio_ref")).select(
         "id", "leader", "person", F.col("size").alias("calls"))
 

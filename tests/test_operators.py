@@ -18,38 +18,26 @@ def vectors(n, dim=8, groups=5, noise=0.4, seed=3):
     return [(i, [float(x) for x in centres[rng.integers(groups)] + noise * rng.normal(size=dim)]) for i in range(n)]
 
 
-def test_leader_clusters_match_one_ordered_pass(spark):
-    rows = vectors(120)
-    for strict, unit, threshold in ((False, False, 0.42), (True, True, 0.55)):
-        sums, counts, leaders, want = [], [], [], {}
-        for i, v in rows:
-            v = np.array(v) / (np.linalg.norm(v) if unit else 1)
-            best, best_sim = -1, threshold if strict else 0.0
-            for c, s in enumerate(sums):
-                sim = float(s @ v / np.linalg.norm(s) / np.linalg.norm(v))
-                if sim > best_sim:
-                    best, best_sim = c, sim
-            if best >= 0 and (strict or best_sim >= threshold):
-                sums[best] = sums[best] + v
-            else:
-                sums.append(v)
-                leaders.append(i)
-                best = len(sums) - 1
-            want[i] = leaders[best]
-        df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
-        got = {r["id"]: r["leader"] for r in cl.leader_clusters(df, threshold, strict, unit).collect()}
-        assert got == want
-
-
-def test_leader_clusters_over_many_stretches(spark):
-    rows = vectors(150, noise=0.05)  # well separated: the grouping does not depend on the order
+@pytest.mark.parametrize("strict,threshold", [(False, 0.42), (True, 0.55), (False, 0.9)])
+def test_leader_clusters_match_one_ordered_pass_at_any_pass_size(spark, strict, threshold):
+    rows = vectors(150)  # noisy: many rows are close to several leaders
+    rows += [(200 + i, rows[7][1]) for i in range(40)] + [(300, [0.0] * 8), (301, None), (302, [0.0] * 8)]
+    ok = lambda x: x > threshold if strict else x >= threshold
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
+    sim = lambda i, j: round(float(unit[i] @ unit[j]), 9)
+    leaders, want = [], {}
+    for i in unit:
+        if not any(ok(sim(i, j)) for j in leaders):
+            leaders.append(i)
+    for i, _ in rows:
+        want[i] = max(((sim(i, j), -j) for j in leaders if ok(sim(i, j))))[1] * -1 if i in unit else i
     df = spark.createDataFrame(rows, "id long, vector array<double>")
-    one = {r["id"]: r["leader"] for r in cl.leader_clusters(df, 0.9).collect()}
-    many = {r["id"]: r["leader"] for r in cl.leader_clusters(df, 0.9, leader_rows=10, fan_in=3).collect()}
-    linked = {r["id"]: r["leader"] for r in cl.leader_clusters(df, 0.9, leader_rows=10, fan_in=3, merge_centroids=4).collect()}
-    assert one == many == linked
-    ranked = cl.ranked_groups(cl.leader_clusters(df, 0.9)).select("person", "size").distinct().orderBy("person").collect()
+    for parts, per_pass in ((1, 1000), (5, 7), (3, 1)) if threshold < 0.9 else ((4, 16),):
+        got = {r["id"]: r["leader"] for r in cl.leader_clusters(df.repartition(parts), threshold, strict, per_pass).collect()}
+        assert got == want
+    ranked = cl.ranked_groups(cl.leader_clusters(df, threshold, strict)).select("person", "size").distinct().orderBy("person").collect()
     assert [r["size"] for r in ranked] == sorted((r["size"] for r in ranked), reverse=True)
+    assert cl.leader_clusters(df.where("false"), threshold, strict).count() == 0
 
 
 @pytest.mark.parametrize("threshold", [0.97, 0.9, 0.3])
