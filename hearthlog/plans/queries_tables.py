@@ -210,19 +210,29 @@ def sk5(spark, folder):
     return back.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length(F.get("messages", F.lit(0))["content"])).alias("chars"))
 
 
-_FEEDBACK = """feedback AS (SELECT doc_id AS id, source AS prompt, left(text, 200) AS rejected, CASE doc_id % 4 WHEN 0 THEN left(text, 199) || '!' WHEN 1 THEN 'no ' || lang WHEN 2 THEN '  ' ELSE NULL END AS chosen FROM documents)"""
+_FEEDBACK = """feedback AS (SELECT doc_id AS id, source AS prompt, text AS rejected, CASE WHEN doc_id % 8 = 0 THEN left(text, -1) || '!' WHEN doc_id % 8 = 4 THEN replace(text, 'an', 'na')
+  WHEN doc_id % 4 = 1 THEN 'no ' || lang WHEN doc_id % 4 = 2 THEN '  ' END AS chosen FROM documents)"""
 
 
 def _feedback(spark, folder):
-    k = F.col("doc_id") % 4
+    k, text = F.col("doc_id") % 8, F.col("text")
+    chosen = (F.when(k == 0, F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - 1, F.lit(0))), F.lit("!"))).when(k == 4, F.replace(text, F.lit("an"), F.lit("na")))
+              .when(k % 4 == 1, F.concat(F.lit("no "), "lang")).when(k % 4 == 2, "  "))
     return t.table(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("prompt"), F.left("text", F.lit(200)).alias("rejected"),
-        F.when(k == 0, F.concat(F.left("text", F.lit(199)), F.lit("!"))).when(k == 1, F.concat(F.lit("no "), "lang")).when(k == 2, "  ").alias("chosen"),
+        F.col("doc_id").alias("id"), F.col("source").alias("prompt"), text.alias("rejected"), chosen.alias("chosen"),
         F.lit(None).cast("string").alias("counterpart"), F.lit(None).cast("timestamp").alias("exported_at"))
 
 
-@query("sk6_preference_batch", f"""
-WITH {_FEEDBACK} SELECT prompt, chosen, md5({q.strip('rejected')}) AS rejected_md5, '' AS counterpart FROM feedback WHERE id % 4 = 1""")
+_PAIRS = rf"""{_FEEDBACK},
+pending AS (SELECT id, prompt, {q.strip('chosen')} AS chosen, {q.strip('rejected')} AS rejected FROM feedback WHERE length(trim(coalesce(chosen, ''))) > 0),
+said AS (SELECT id, unnest(regexp_extract_all(chosen, '[^\x20\x09-\x0D]+')) AS word, 1 AS a FROM pending
+  UNION ALL SELECT id, unnest(regexp_extract_all(coalesce(rejected, ''), '[^\x20\x09-\x0D]+')), 0 FROM pending),
+counts AS (SELECT id, word, sum(a) AS a, count(*) - sum(a) AS b FROM said GROUP BY id, word),
+alike AS (SELECT id, round(2.0::DOUBLE * sum(least(a, b)) / sum(a + b), 9) AS similarity FROM counts GROUP BY id),
+pairs AS (SELECT p.*, chosen <> '' AND coalesce(similarity, 0) <= 0.88 AS usable FROM pending p LEFT JOIN alike USING (id))"""
+
+
+@query("sk6_preference_batch", f"WITH {_PAIRS} SELECT prompt, chosen, md5(rejected) AS rejected_md5, '' AS counterpart FROM pairs WHERE usable")
 def sk6(spark, folder):
     pairs = fb.preference_pairs(_feedback(spark, folder)).where("usable")
     path = scratch_dir(spark, "preferences")
@@ -231,18 +241,19 @@ def sk6(spark, folder):
     return back.select("prompt", "chosen", F.md5("rejected").alias("rejected_md5"), "counterpart")
 
 
-@query("v13_preference_pairs")
+@query("v13_preference_pairs", f"WITH {_PAIRS} SELECT id, usable FROM pairs")
 def v13(spark, folder):
     return fb.preference_pairs(_feedback(spark, folder)).select("id", "usable")
 
 
-@query("v13_edit_similarity", f"""
-WITH {_FEEDBACK} SELECT id, round(1.0 - levenshtein(c, r) / CAST(greatest(length(c), length(r)) AS DOUBLE), 6) AS similarity
-FROM (SELECT id, regexp_replace(chosen, '[^ -~]', '?', 'g') AS c, regexp_replace(rejected, '[^ -~]', '?', 'g') AS r FROM feedback WHERE chosen IS NOT NULL)""")
+@query("v13_edit_similarity", """
+WITH plain AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS r FROM conversations), c AS (SELECT *, lead(r) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM plain)
+SELECT conv_id, turn, round(1.0 - levenshtein(c, r) / CAST(greatest(length(c), length(r)) AS DOUBLE), 6) AS similarity FROM c WHERE c IS NOT NULL""")
 def v13_edit(spark, folder):
-    f = _feedback(spark, folder).where(F.col("chosen").isNotNull())
-    plain = lambda c: F.regexp_replace(c, "[^ -~]", "?")  # noqa: E731  (the SQL side compares bytes)
-    return f.select("id", F.round(fb.edit_similarity(plain("chosen"), plain("rejected")), 6).alias("similarity"))
+    plain = F.regexp_replace("text", "[^ -~]", "?")  # the SQL side compares bytes
+    c = t.table(spark, folder, "conversations").select("conv_id", "turn", plain.alias("rejected"))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("rejected").alias("chosen"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(fb.edit_similarity(F.col("chosen"), F.col("rejected")), 6).alias("similarity"))
 
 
 @query("sk7_memory_append", f"WITH {q.MEMORIES} SELECT kind, count(*) AS n FROM memories GROUP BY 1")
