@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import moods as md
+from ..session import scratch_dir
 from ..sources import tables as t
 from ..streaming import streams as st
 from . import sql as q
@@ -82,7 +83,7 @@ b AS (SELECT *, greatest({', '.join(md.MOODS)}) AS best FROM g)
 SELECT user_id, epoch_us(start) AS start_us, CASE {_FIRST} END AS mood, round(best / readings, 6) AS score, readings FROM b""")
 def st4_stream(spark, folder):
     w = st.mood_windows(_mood_stream(spark, folder), "1 hour")
-    out = st.run_to_end(w, *st.fresh_paths(spark, "moods"), mode="complete")
+    out = st.run_changes(w, *st.fresh_paths(spark, "moods"), ["user_id", "start"])
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "mood", F.round("score", 6).alias("score"), "readings")
 
 
@@ -93,7 +94,7 @@ _ST5_AS_OF = "TIMESTAMP '2024-01-30 20:00:00'"
 WITH {q.MOODS}, l AS (SELECT user_id, arg_max(struct_pack(id := id, mood := mood, score := score, at := created_at), (created_at, id)) AS m FROM moods GROUP BY user_id)
 SELECT user_id, m.id AS id, m.mood AS mood, m.score AS score FROM l WHERE m.at >= {_ST5_AS_OF} - INTERVAL 10 MINUTE AND m.score >= 0.35 AND m.mood <> 'neutral'""")
 def st5(spark, folder):
-    latest = st.run_to_end(st.latest_state(_mood_stream(spark, folder)), *st.fresh_paths(spark, "latest"), mode="complete")
+    latest = st.run_changes(st.latest_state(_mood_stream(spark, folder)), *st.fresh_paths(spark, "latest"), ["user_id"], "created_at", "id")
     return st.fresh_state(latest, F.expr(_ST5_AS_OF)).select("user_id", "id", "mood", "score")
 
 
@@ -105,8 +106,14 @@ SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, cou
 
 @query("st6_sessions_stream", _SESSIONS)
 def st6(spark, folder):
-    s = st.conversation_sessions(st.read_table_stream(spark, folder, "events"), "user_id")
-    out = st.run_to_end(s, *st.fresh_paths(spark, "sessions"), mode="complete")
+    closing = scratch_dir(spark, "closing")
+    events = st.read_table_stream(spark, folder, "events").select("user_id", "ts")
+    s = st.conversation_sessions(st.with_closing_rows(events, closing), "user_id")
+    path, state = st.fresh_paths(spark, "sessions")
+    st.run_to_end(s, path, state)
+    end = t.table(spark, folder, "events").agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    end.select(F.lit(None).cast("long").alias("user_id"), "ts").where("ts IS NOT NULL").write.mode("append").parquet(closing)
+    out = st.run_to_end(s, path, state).where("user_id IS NOT NULL")
     return out.select("user_id", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "n")
 
 
@@ -164,7 +171,7 @@ SELECT CAST(ts AS DATE) AS day, CASE event_id % 4 WHEN 0 THEN 'refused' WHEN 3 T
 FROM events WHERE event_type <> 'error' GROUP BY ALL""")
 def st8_windows(spark, folder):
     rows = st.guarded_turns(_guarded(st.read_table_stream(spark, folder, "events")), _KINDS, OWNERS)
-    return st.run_to_end(st.audit_windows(rows), *st.fresh_paths(spark, "audit-days"), mode="complete")
+    return st.run_changes(st.audit_windows(rows), *st.fresh_paths(spark, "audit-days"), ["day", "outcome"])
 
 
 @query("st9_sustained_quiet", """

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import guard
 from ..operators import tables as tb
-from ..operators.moods import MOODS, usable
+from ..operators.moods import FRESH_MINUTES, MOODS, usable
 from ..session import scratch_dir
 
 # ---- fixed values ----
@@ -30,20 +30,42 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_tri
     return df
 
 
-def run_to_end(stream: DataFrame, path: str, state: str, mode: str = "append") -> DataFrame:
-    """Process everything available into a parquet sink and return its rows.
+def run_to_end(stream: DataFrame, path: str, state: str) -> DataFrame:
+    """Process everything available into a parquet sink and return its rows."""
+    query = (stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode("append")
+             .format("parquet").option("path", path).start())
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
 
-    `complete` results replace the sink at every micro-batch.
+def run_changes(stream: DataFrame, path: str, state: str, keys: list[str], *newest: str) -> DataFrame:
+    """Process everything available and return the newest row of each key.
+
+    Every micro-batch adds the rows it changed to the sink, in a folder of its
+    own that a replay overwrites. State ends with the watermark. `newest` orders
+    the changes of a key; by default the later batch wins.
     """
-    spark = stream.sparkSession
-    writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").option("path", path).start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_at={number}")
+
+    query = (stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).outputMode("update")
+             .foreachBatch(handle).start())
     query.awaitTermination()
-    schema = stream.schema
-    return spark.read.schema(schema).parquet(path)
+    spark = stream.sparkSession
+    changes = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_at", T.LongType())])).parquet(path)
+    last = F.max_by(F.struct(*stream.columns), F.struct(*newest, "_at")).alias("_row")
+    return changes.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(last).select("_row.*")
+
+
+def with_closing_rows(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and the rows of a folder, which is made if need be.
+
+    A row put there after the stream's end, later than all by the delay and the
+    gap, moves the watermark on, so that append mode emits the last windows.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
 
 
 def run_batches(stream: DataFrame, state: str, handle: Callable[[DataFrame, int], None]) -> None:
@@ -81,9 +103,13 @@ def mood_windows(moods: DataFrame, width: str = "15 seconds", delay: str = "1 mi
     return w.select("user_id", F.col("window.start").alias("start"), name.alias("mood"), (best / F.col("readings")).alias("score"), "readings")
 
 
-def latest_state(moods: DataFrame) -> DataFrame:
-    """Latest reading of each user."""
-    return moods.groupBy("user_id").agg(
+def latest_state(moods: DataFrame, width: str = f"{FRESH_MINUTES} minutes", delay: str = f"{FRESH_MINUTES} minutes") -> DataFrame:
+    """Latest reading of each user in each stretch of `width`.
+
+    A reading older than that is never used, so state need not outlive the
+    watermark; the sink's newest row of a user is the user's state.
+    """
+    return moods.withWatermark("created_at", delay).groupBy(F.window("created_at", width), "user_id").agg(
         F.max_by(F.struct("id", "mood", "score", "created_at"), F.struct("created_at", "id")).alias("m")
     ).select("user_id", "m.*")
 

@@ -296,3 +296,24 @@ def test_every_query_runs_on_the_smallest_tables(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_streams_drop_late_rows_and_close_windows(spark, tmp_path):
+    source, sink, state, closing = (str(tmp_path / x) for x in ("in", "out", "state", "closing"))
+    put = lambda rows: spark.createDataFrame(rows, "created_at timestamp, outcome string").coalesce(1).write.mode("append").parquet(source)
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    put([(day(1), "answered"), (day(3), "refused"), (day(3, 5), "refused")])
+    counts = lambda: st.run_changes(st.audit_windows(spark.readStream.schema("created_at timestamp, outcome string").parquet(source)), sink, state, ["day", "outcome"])
+    found = lambda df: sorted((r["day"].day, r["outcome"], r["n"]) for r in df.collect())
+    assert found(counts()) == [(1, "answered", 1), (3, "refused", 2)]
+    put([(day(1, 9), "answered"), (day(3, 6), "refused"), (day(3, 1), "answered")])  # the first is days late
+    assert found(counts()) == [(1, "answered", 1), (3, "answered", 1), (3, "refused", 3)]
+
+    rows = spark.readStream.schema("created_at timestamp, outcome string").parquet(source)
+    sessions = st.conversation_sessions(st.with_closing_rows(rows, closing), "outcome", "created_at")
+    sink, state = sink + "-sessions", state + "-sessions"
+    st.run_to_end(sessions, sink, state)
+    spark.createDataFrame([(day(9), None)], "created_at timestamp, outcome string").write.mode("append").parquet(closing)
+    out = st.run_to_end(sessions, sink, state).where("outcome IS NOT NULL")
+    assert sorted((r["outcome"], r["first"].day, r["last"].hour, r["n"]) for r in out.collect()) == [
+        ("answered", 1, 0, 1), ("answered", 1, 9, 1), ("answered", 3, 1, 1), ("refused", 3, 6, 3)]
