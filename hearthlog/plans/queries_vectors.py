@@ -112,7 +112,18 @@ def v10(spark, folder):
     return p.select("audio_ref", "label", F.round("similarity", 6).alias("similarity"))
 
 
-@query("v10_refined_owner")
+def _round(k: int) -> str:
+    """One round: each call's closest voice, the mean of the picks; a settled centroid stays."""
+    return f"""
+p{k} AS MATERIALIZED (SELECT audio_ref, arg_min(v, (-round(list_dot_product(v, c), 9), vec_id)) AS v FROM u, c{k - 1} GROUP BY audio_ref),
+m{k} AS (SELECT list(x ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS x FROM p{k}, generate_series(1, (SELECT len(c) FROM c0)) AS g(i) GROUP BY i)),
+n{k} AS (SELECT list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS c FROM m{k}),
+c{k} AS MATERIALIZED (SELECT CASE WHEN o.settled THEN o.c ELSE n.c END AS c, o.settled OR list_dot_product(n.c, o.c) > {cl.EM_AGREEMENT} AS settled FROM n{k} n, c{k - 1} o)"""
+
+
+@query("v10_refined_owner", f"""WITH {_PICKS}, c0 AS (SELECT c, false AS settled FROM start), {','.join(_round(k) for k in range(1, cl.EM_ROUNDS + 1))}
+SELECT audio_ref, 'S' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS label, round(sim, 6) AS similarity FROM (
+  SELECT audio_ref, vec_id, sim, row_number() OVER (PARTITION BY audio_ref ORDER BY round(sim, 9) DESC, vec_id) AS rn FROM (SELECT *, list_dot_product(v, c) AS sim FROM u, c{cl.EM_ROUNDS})) WHERE rn = 1""")
 def v10_refined(spark, folder):
     c = cl.refine_owner(speakers(spark, folder), _start(spark, folder))
     p = cl.owner_picks(speakers(spark, folder), cl.constant_vector(c))
