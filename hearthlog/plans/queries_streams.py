@@ -45,12 +45,26 @@ def _frames(e):
     ).select("session", (F.col("event_id") * 1000 + F.col("i")).alias("frame"), "probability")
 
 
-@query("st3_spoken_turns")
+_TURNS = f"""
+WITH RECURSIVE k AS (SELECT user_id AS session, event_id, event_type NOT IN ('view', 'error') AS speech, unnest(generate_series(0, CAST(props->>'$.k' AS INT))) AS i FROM events),
+f AS MATERIALIZED (SELECT session, event_id * 1000 + i AS frame, speech, row_number() OVER (PARTITION BY session ORDER BY event_id, i) AS n FROM k),
+w AS (SELECT DISTINCT session, 0::BIGINT AS n, -1::BIGINT AS first_frame, 0 AS frames, 0 AS silence, 0 AS speech_ms, false AS ends FROM k
+ UNION ALL SELECT session, n, CASE WHEN idle THEN -1 WHEN begun THEN first_frame ELSE frame END, CASE WHEN idle THEN 0 ELSE was + 1 END,
+   CASE WHEN idle OR speech THEN 0 ELSE quiet + {st.FRAME_MS} END, CASE WHEN idle THEN 0 WHEN speech THEN said + {st.FRAME_MS} ELSE said END,
+   NOT idle AND ((NOT speech AND quiet + {st.FRAME_MS} >= {st.SILENCE_TO_END_MS}) OR (was + 1) * {st.FRAME_MS} > {st.MAX_TURN_MS})
+ FROM (SELECT w.session, f.n, f.frame, f.speech, w.first_frame, w.first_frame >= 0 AND NOT w.ends AS begun, NOT begun AND NOT f.speech AS idle,
+   CASE WHEN begun THEN w.frames ELSE 0 END AS was, CASE WHEN begun THEN w.silence ELSE 0 END AS quiet, CASE WHEN begun THEN w.speech_ms ELSE 0 END AS said
+   FROM w JOIN f ON f.session = w.session AND f.n = w.n + 1))
+SELECT session, first_frame, CAST(frames AS INTEGER) AS frames, CAST(speech_ms AS INTEGER) AS speech_ms FROM w
+WHERE ends AND (silence < {st.SILENCE_TO_END_MS} OR speech_ms >= {st.MIN_SPEECH_MS})"""
+
+
+@query("st3_spoken_turns", _TURNS)
 def st3(spark, folder):
     return st.spoken_turns(_frames(t.table(spark, folder, "events")))
 
 
-@query("st3_spoken_turns_stream")
+@query("st3_spoken_turns_stream", _TURNS)
 def st3_stream(spark, folder):
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
