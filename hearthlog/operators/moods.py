@@ -1,16 +1,14 @@
 """Mood readings: classification, freshness and smoothing."""
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .ordered import (
-    BLOCK, HALO, drop_halo, layout, look_back, running, sorted_stretches, with_halo, with_halo_range,
-)
+from ..session import checkpoint
+from .ordered import BLOCK, drop_halo, layout, look_back, running, sorted_stretches, with_halo_range
 
 # ---- fixed values ----
 MOODS = ["happy", "tired", "stressed", "surprised", "neutral"]
@@ -92,31 +90,42 @@ def smoothed_level(
 ) -> DataFrame:
     """Exponentially smoothed level `l = keep*l + (1-keep)*peak`, starting at 0.
 
-    The fold runs in order inside each (key, block). A block starts from the
-    rows before it: what lies further back than the halo weighs less than one
-    unit in the last place of a double.
+    The fold runs in order inside each (key, block) from 0. As it is linear, a
+    level that a block of n rows is entered with adds keep**n of itself at the
+    end; one row for each block carries those levels on, and each row adds its
+    share of what its block was entered with.
     """
-    halo = math.ceil(math.log(1e-20) / math.log(keep))
-    lay = with_halo(layout(levels, [key], order, rows_per_block), halo)
-    schema = T.StructType([*lay.df.schema.fields, T.StructField("level", T.DoubleType())])
-
+    lay = layout(levels, [key], order, rows_per_block)
+    schema = T.StructType([*lay.df.schema.fields, T.StructField("level", T.DoubleType()), T.StructField("_pos", T.LongType())])
     parts = lay.parts
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, level = None, 0.0
+        last, level, pos = None, 0.0, 0
         for pdf in frames:
             if not len(pdf):
                 continue
             heads = (pdf[parts] != pdf[parts].shift()).any(axis=1).to_numpy()
             heads[0] = tuple(pdf[parts].iloc[0]) != last
-            out = np.empty(len(pdf))
+            out, at = np.empty(len(pdf)), np.empty(len(pdf), np.int64)
             for i, (head, p) in enumerate(zip(heads.tolist(), pdf[peak].tolist())):
-                level = (0.0 if head else level) * keep + p * (1 - keep)
-                out[i] = level
+                level, pos = (p * (1 - keep), 1) if head else (level * keep + p * (1 - keep), pos + 1)
+                out[i], at[i] = level, pos
             last = tuple(pdf[parts].iloc[-1])
-            yield pdf.assign(level=out)
-
-    return sorted_stretches(lay).mapInPandas(fold, schema).where(~F.col(HALO)).drop(HALO, BLOCK)
+            yield pdf.assign(level=out, _pos=at)
+
+    folded = sorted_stretches(lay).mapInPandas(fold, schema)
+    if not lay.hot:
+        return folded.drop(BLOCK, "_pos")
+    folded = checkpoint(folded)
+    ends = folded.join(F.broadcast(lay.limits.select(key)), key, "left_semi").groupBy(key, BLOCK).agg(
+        F.max("_pos").alias("n"), F.max_by("level", "_pos").alias("end"))
+    start = F.struct(F.array().cast(f"array<struct<{BLOCK}:int,_entered:double>>").alias("found"), F.lit(0.0).alias("level"))
+    through = F.aggregate(F.array_sort(F.collect_list(F.struct(BLOCK, "n", "end"))), start, lambda so_far, b: F.struct(
+        F.concat(so_far["found"], F.array(F.struct(b[BLOCK].alias(BLOCK), so_far["level"].alias("_entered")))).alias("found"),
+        (b["end"] + F.pow(F.lit(keep), b["n"]) * so_far["level"]).alias("level")))
+    entered = ends.groupBy(key).agg(through["found"].alias("_found")).select(key, F.explode("_found").alias("_f")).select(key, "_f.*")
+    share = F.coalesce(F.pow(F.lit(keep), F.col("_pos")) * F.col("_entered"), F.lit(0.0))
+    return folded.join(F.broadcast(entered), [key, BLOCK], "left").withColumn("level", F.col("level") + share).drop(BLOCK, "_pos", "_entered")
 
 
 def mood_at(turns: DataFrame, moods: DataFrame, key: str, rows_per_block: int | None = None) -> DataFrame:

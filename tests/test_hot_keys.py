@@ -109,8 +109,9 @@ def test_moods(turns):
     same(md.smoothed(m, *args, BLOCK_ROWS), md.smoothed(m, *args))
     quiet = lambda b: md.sustained_quiet(m, *args, "score", 700, 4, 2, b)
     same(quiet(BLOCK_ROWS), quiet(None))
-    level = lambda b: md.smoothed_level(m, *args, "score", rows_per_block=b).withColumn("level", F.round("level", 9))
-    same(level(BLOCK_ROWS), level(None))
+    for keep in (0.8, 0.999):  # the second remembers far more rows than a block has
+        level = lambda b: md.smoothed_level(m, *args, "score", keep, b).withColumn("level", F.round("level", 9))
+        same(level(BLOCK_ROWS), level(None))
 
 
 def test_mood_at(turns):
