@@ -2,9 +2,9 @@
 
 Documents of equal text are linked. All start dealt evenly over the shards; in
 each round every group of linked documents pulls its members towards the shard
-where most of them are, as far as that shard's quota has room. Propagation
-works on (group, shard) counts, so a group that holds a third of all rows is 24
-rows. Unlinked documents cost no cut edge wherever they are: they fill up what
+where most of them are, as far as that shard's quota has room beside the groups
+settled there. Propagation works on (group, shard) counts, so a group that
+holds a third of all rows is one row of 24 counts. Unlinked documents cost no cut edge wherever they are: they fill up what
 the quotas leave, which makes the counts exact.
 """
 from __future__ import annotations
@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpoint
-from .common import ranked, whole, with_uid
+from .common import ranked, stored, whole, with_uid
 
 SHARDS = 24
-# most rounds; a group fills one shard a round, and rounds end when nothing moves
-ROUNDS = 24
 # Proposals to a shard are admitted in the order of these classes: larger
 # groups first, equal ones in hash order.
 SLICES = 64
@@ -27,42 +25,74 @@ def quotas(spark: SparkSession, rows: int, shards: int = SHARDS) -> DataFrame:
     return spark.range(shards).select(F.col("id").cast("int").alias("shard"), (F.lit(rows // shards) + F.when(F.col("id") < rows % shards, 1).otherwise(0)).cast("long").alias("quota"))
 
 
-def propagated(counts: DataFrame, quota: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagated(counts: DataFrame, quota: DataFrame) -> DataFrame:
     """(group, shard, n) after label propagation; `counts` has the same columns and fits the quotas.
 
-    A round proposes, for each group, one target: the shard with most of its
-    members among those with room, ties by hash. Members elsewhere move there
-    if the group has more at the target than where they are. Moves are
-    admitted up to the room, the last group in part. The loads never exceed
-    the quotas and the cut never grows. Ends when nothing moves.
+    Room is the quota less the groups settled there, so groups not settled yet
+    give way to each other. A group larger than any quota fills whole shards
+    first. Then a round proposes, for each open group, the shard with most of
+    its members among those with room for all of it, or else any with room, by
+    hash. Proposals are admitted up to the room, and the first always is, so
+    every round settles some. Rounds end when no open group fits a shard: those
+    are fewer than the shards and are cut over the largest rooms.
     """
-    state = checkpoint(counts)
-    by_group = Window.partitionBy("group")
-    for _ in range(rounds):
-        loads = state.groupBy("shard").agg(F.sum("n").alias("load"))
-        room = quota.join(loads, "shard", "left").select("shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("room"))  # one row a shard
-        held = state.join(F.broadcast(room), "shard")
-        pull = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
-        seen = held.withColumn("to", F.max(F.when(F.col("room") > 0, pull)).over(by_group))
-        asks = (seen.where((F.col("to.shard") != F.col("shard")) & (F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard") < F.col("to")))
-                .select("group", "shard", "n", F.col("to.shard").alias("target"))
-                .withColumn("slice", (63 - F.least(F.floor(F.log2("n")), F.lit(63))) * SLICES + F.pmod(F.xxhash64("group"), F.lit(SLICES))))
-        asks = checkpoint(asks)
-        if asks.isEmpty():
+    room = {r.shard: r.quota for r in quota.collect()}  # one entry a shard
+    member = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
+    state = stored(counts.groupBy("group").agg(F.sum("n").alias("size"), F.collect_list(member).alias("members")))
+    placed: list[tuple[str, int, int]] = []
+
+    def fill(group: str, size: int, members: list, least: int = 0) -> int:
+        """Puts members into the largest rooms, near most of them, while more than `least` or the largest room are left."""
+        near = {m.shard: m.n for m in members}
+        while size > 0 and (size >= max(room.values()) or not least):
+            shard = max(room, key=lambda s: (room[s], near.get(s, 0), -s))
+            taken = min(size, room[shard])
+            room[shard] -= taken
+            size -= taken
+            placed.append((group, shard, taken))
+        return size
+
+    over = state.where(F.col("size") > max(room.values(), default=0)).collect()  # fewer than the shards
+    size = F.col("size")
+    for g in sorted(over, key=lambda g: (-g["size"], g.group)):
+        size = F.when(F.col("group") == g.group, F.lit(fill(g.group, g["size"], g.members, 1))).otherwise(size)
+    state = state.withColumn("size", size.cast("long")).where("size > 0")
+    parts = []
+    while True:
+        rooms = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(n).cast("long").alias("room")) for s, n in sorted(room.items())])
+        fits = F.transform(F.filter(rooms, lambda r: r["room"] >= F.col("size")), lambda r: r["shard"])
+        state = state.withColumn("fits", fits)
+        best = F.array_max(F.filter("members", lambda m: F.array_contains("fits", m["shard"])))["shard"]
+        other = F.when(F.size("fits") > 0, F.element_at("fits", (F.pmod(F.xxhash64("group"), F.greatest(F.size("fits"), F.lit(1))) + 1).cast("int")))
+        asks = state.withColumn("target", F.coalesce(best, other)).withColumn(
+            "slice", (63 - F.least(F.floor(F.log2("size")), F.lit(63))) * SLICES + F.pmod(F.xxhash64("group"), F.lit(SLICES)))
+        asks = stored(asks.select("group", "size", "members", "target", "slice"))
+        moving = asks.where("target IS NOT NULL")
+        if moving.isEmpty():
             break
-        sums = asks.groupBy("target", "slice").agg(F.sum("n").alias("m"))  # at most 64 * SLICES rows a shard
+        sums = moving.groupBy("target", "slice").agg(F.sum("size").alias("m"))  # at most 64 * SLICES rows a shard
         before = Window.partitionBy("target").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("target", "slice", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("earlier"))
-        inside = Window.partitionBy("target", "slice").orderBy("group", "shard").rowsBetween(Window.unboundedPreceding, -1)
-        admitted = (asks.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, ["target", "slice"])
-                    .join(F.broadcast(room.select(F.col("shard").alias("target"), "room")), "target")
-                    .withColumn("moved", F.greatest(F.lit(0), F.least("n", F.col("room") - F.col("earlier") - F.col("ahead")))).where("moved > 0"))
-        moves = admitted.select("group", "shard", (-F.col("moved")).alias("n")).unionByName(admitted.select("group", F.col("target").alias("shard"), F.col("moved").alias("n")))
-        state = checkpoint(state.unionByName(moves).groupBy("group", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
-    return state
+        inside = Window.partitionBy("target", "slice").orderBy("group").rowsBetween(Window.unboundedPreceding, 0)
+        upto = F.col("earlier") + F.sum("size").over(inside)
+        decided = moving.join(F.broadcast(sums), ["target", "slice"]).withColumn("settles", upto <= F.element_at(rooms, F.col("target") + 1)["room"])
+        decided = stored(decided.select("group", "size", "members", "target", "settles"))
+        parts.append(decided.where("settles").select("group", F.col("target").alias("shard"), F.col("size").alias("n")))
+        for r in parts[-1].groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            room[r.shard] -= r.n
+        state = decided.where("NOT settles").select("group", "size", "members").unionByName(asks.where("target IS NULL").select("group", "size", "members"))
+    for g in sorted(asks.collect(), key=lambda g: (-g["size"], g.group)):  # each larger than any room, so fewer than the shards
+        fill(g.group, g["size"], g.members)
+    if placed:
+        cut = [F.struct(F.lit(g).alias("group"), F.lit(s).alias("shard"), F.lit(n).cast("long").alias("n")) for g, s, n in placed]
+        parts.append(counts.sparkSession.range(1).select(F.explode(F.array(*cut)).alias("p")).select("p.*"))
+    every = counts.select("group", "shard", "n").limit(0)
+    for part in parts:
+        every = every.unionByName(part)
+    return stored(every.groupBy("group", "shard").agg(F.sum("n").alias("n")))
 
 
-def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """One row per row of `docs`: key, size, text_crc32, law, shard, slot, grown_shard, linked.
 
     Counts by shard are at most one apart (law `rows`); slots are gapless from
@@ -85,7 +115,7 @@ def sharded(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: in
     grouped = base.groupBy("digest", "start").agg(F.count("*").alias("n"))
     grouped = grouped.withColumn("total", F.sum("n").over(Window.partitionBy("digest"))).where("total > 1")
     quota = checkpoint(quotas(spark, rows, shards))
-    settled = propagated(grouped.select(F.col("digest").alias("group"), F.col("start").alias("shard"), "n"), quota, rounds)
+    settled = propagated(grouped.select(F.col("digest").alias("group"), F.col("start").alias("shard"), "n"), quota)
     loads = settled.groupBy("shard").agg(F.sum("n").alias("load"))
     free = quota.join(loads, "shard", "left").select(F.lit("").alias("group"), "shard", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("n"))
 
