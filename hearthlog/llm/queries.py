@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, html_text, language, mixing, packing, quality, sharding, simhash, url_filter, warc
+from . import exact_dedup, html_text, language, manifest, mixing, packing, quality, sharding, simhash, url_filter, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,32 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(read(spark, folder, "pages"), url_filter.train(url_filter.labelled(spark)))
 
 
+# CRC-32 of the decimal doc_id: each character is mixed in and shifted out over eight steps
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+_LEAF = lambda n_chars: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+_SIBLING = "CASE WHEN s.digest IS NULL THEN '.' WHEN s.pos % 2 = 0 THEN 'L' || s.digest ELSE 'R' || s.digest END"
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_LEAF("(n_chars + 1)")} END AS told FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t(lang, lev, pos, n, digest) AS (SELECT lang, 0, pos, n, leaf FROM l
+  UNION ALL SELECT lang, lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, lev, n, pos // 2),
+r AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lev, pos, n, digest) AS (SELECT 0, pos, n, subroot FROM r UNION ALL SELECT lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lev, n, pos // 2),
+v AS (SELECT r.lang, list({_SIBLING} ORDER BY o.lev) AS steps FROM r JOIN u AS o ON o.n > 1 AND o.pos = r.pos >> o.lev LEFT JOIN u AS s ON s.lev = o.lev AND s.pos = xor(o.pos, 1) GROUP BY r.lang),
+w AS (SELECT l.lang, l.pos, list({_SIBLING} ORDER BY o.lev) AS steps FROM l JOIN t AS o ON o.n > 1 AND o.lang IS NOT DISTINCT FROM l.lang AND o.pos = l.pos >> o.lev
+  LEFT JOIN t AS s ON s.lang IS NOT DISTINCT FROM o.lang AND s.lev = o.lev AND s.pos = xor(o.pos, 1) GROUP BY l.lang, l.pos),
+p AS (SELECT doc_id, leaf, coalesce(told, leaf) AS shown, subroot, (SELECT digest FROM u WHERE n = 1) AS root, list_concat(coalesce(w.steps, []), coalesce(v.steps, [])) AS steps
+  FROM l JOIN r ON r.lang IS NOT DISTINCT FROM l.lang LEFT JOIN w ON w.lang IS NOT DISTINCT FROM l.lang AND w.pos = l.pos LEFT JOIN v ON v.lang IS NOT DISTINCT FROM l.lang),
+q AS (SELECT *, list_reduce(list_concat([shown], steps), lambda a, s: CASE WHEN s[1] = 'L' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END) AS folded_root FROM p)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM q""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.audited(read(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
