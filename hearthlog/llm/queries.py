@@ -7,7 +7,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, html_text, language, manifest, mixing, packing, quality, sharding, simhash, url_filter, warc
+from . import alignment, exact_dedup, html_text, language, manifest, mixing, ngram_trie, packing, quality, sharding, simhash, url_filter, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,34 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.audited(read(spark, folder, "documents"))
 
 
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_STEPS = lambda x: f"pow(10.0, floor(-log10({x}) * 4096 + 0.5) / -4096)"
+
+
+@query("op13_ngram_trie", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} AS mark, list_concat(list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), ['']) AS words FROM documents),
+t AS (SELECT r, doc_id, coalesce(mark, 0) AS mark, coalesce(mark % 5 = 1, false) AS held_out, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+c AS (SELECT w, count(*) FILTER (WHERE NOT held_out) AS n, count(*) AS total FROM t GROUP BY w),
+k AS (SELECT *, row_number() OVER (ORDER BY total DESC, w) <= 262144 AS often FROM c),
+z AS (SELECT sum(n) AS tokens, sum(n) + 0.5 * (count(*) FILTER (WHERE n > 0) + 1) AS total FROM c),
+x AS (SELECT *, lag(w, 1, ' ') OVER o AS u, lag(w, 2, ' ') OVER o AS v FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+y AS (SELECT x.*, c.n, CASE WHEN u = ' ' THEN mark ELSE CAST('0x' || substr(md5(v), 1, 8) AS BIGINT) END % greatest(1, CAST(ceil(CASE WHEN k.often THEN k.n ELSE 0 END / 200000.0) AS BIGINT)) AS part
+  FROM x JOIN c USING (w) JOIN k ON k.w = CASE WHEN u = ' ' THEN '' ELSE u END),
+g3 AS (SELECT u, part, v, w, count(*) AS n3 FROM y WHERE NOT held_out GROUP BY ALL), h3 AS (SELECT u, part, v, sum(n3) AS c3, count(*) AS t3 FROM g3 GROUP BY ALL),
+g2 AS (SELECT u, part, w, sum(n3) AS n2 FROM g3 GROUP BY ALL), h2 AS (SELECT u, part, sum(n2) AS c2, count(*) AS t2 FROM g2 GROUP BY ALL),
+p AS (SELECT r, doc_id, held_out, y.n, (y.n + 0.5) / z.total AS p1, coalesce({_STEPS("(n2 - 0.75) / c2")}, 0) AS p2, coalesce({_STEPS("0.75 * t2 / c2")}, 1) AS w2,
+  coalesce({_STEPS("(n3 - 0.75) / c3")}, 0) AS p3, coalesce({_STEPS("0.75 * t3 / c3")}, 1) AS w3, z.tokens
+  FROM y LEFT JOIN h2 USING (u, part) LEFT JOIN g2 USING (u, part, w) LEFT JOIN h3 USING (u, part, v) LEFT JOIN g3 USING (u, part, v, w), z)
+SELECT any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE n > 0) AS n_known, CAST(any_value(tokens) AS BIGINT) AS train_tokens,
+  round(sum(log10(p1)), 6) AS base_score, round(sum(log10(p3 + w3 * (p2 + w2 * p1))), 6) AS score FROM p GROUP BY r""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_trie.scored(read(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
