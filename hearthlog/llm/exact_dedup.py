@@ -54,9 +54,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", suppo
 
     Copies of frequent texts are removed before the shuffle that compares the others.
     """
-    marked = docs.withColumn("__digest", digest(F.col(text)))
-    ids = checkpoint(marked.select(F.col(key).alias("id"), F.col("__digest").alias("digest")))
-    heavy = frequent(ids, F.struct("id"), support).select(F.col("digest").alias("__digest"), F.col("winner.id").alias("__keep"), F.lit(True).alias("__heavy"))
-    left = marked.join(F.broadcast(heavy), "__digest", "left").where(F.col("__heavy").isNull() | F.col(key).eqNullSafe(F.col("__keep")))
-    best = F.row_number().over(Window.partitionBy("__digest").orderBy(F.col(key).desc_nulls_last()))
-    return left.withColumn("__rank", best).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), digest(F.col(text)).alias("digest"))
+    ids = checkpoint(marked.select("id", "digest"))
+    heavy = frequent(ids, F.struct("id"), support).select("digest", F.col("winner.id").alias("keep"), F.lit(True).alias("heavy"))
+    left = marked.join(F.broadcast(heavy), "digest", "left").where(F.col("heavy").isNull() | F.col("id").eqNullSafe(F.col("keep")))
+    best = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last()))
+    return left.withColumn("rank", best).where("rank = 1").select("row.*")

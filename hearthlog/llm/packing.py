@@ -25,8 +25,8 @@ CAPACITY = 2048
 FILLINGS, NODES = 24, 4_000
 # Rows of a bucket of the rank within a length: the offsets are a table of lengths and buckets.
 ROWS_PER_BUCKET = 50_000
-# Bytes of ids that a worker gathers before it hands them on.
-YIELD_BYTES = 4 << 20
+# Characters of text that a worker takes at a time.
+CHUNK_CHARS = 1 << 20
 
 Filling = tuple[tuple[int, ...], int]  # lengths from largest to smallest, times used
 
@@ -43,20 +43,23 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
         end, width = np.array([closing], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            kind, rows, size = batch.schema.field("key").type, [], 0
+
+        def rows(kind: pa.DataType, held: list[tuple]) -> pa.RecordBatch:
             out = pa.schema([("key", kind), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+            pieces = [(k, first // width, first // 4, len(part := ids[first:first + width]) // 4, part)
+                      for (k, _), ids in zip(held, (i + end for i in words.of_all([t for _, t in held]))) for first in range(0, len(ids), width)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), out)], schema=out)
+
+        for batch in batches:
+            kind, held, size = batch.schema.field("key").type, [], 0
             for at in range(batch.num_rows):
-                k, ids = batch.column(0)[at].as_py(), words.of(batch.column(1)[at].as_py()) + end
-                for first in range(0, len(ids), width):
-                    part = ids[first:first + width]
-                    rows.append((k, first // width, first // 4, len(part) // 4, part))
-                size += len(ids)
-                if size > YIELD_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+                held.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py()))
+                size += len(held[-1][1] or "")
+                if size > CHUNK_CHARS:
+                    yield rows(kind, held)
+                    held, size = [], 0
+            if held:
+                yield rows(kind, held)
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 

@@ -1,19 +1,17 @@
 """Token ids of whole texts by a tokenizer file, word by word with remembered words."""
 from __future__ import annotations
 
+import json
+import os
 import re
-from struct import pack
+from itertools import chain
 
-# Words in each of the two generations that a worker remembers.
-REMEMBERED = 200_000
+import numpy as np
+
+# Words that a worker remembers.
+REMEMBERED = 250_000
 # letters that lower-casing and composition leave one character each
 _PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
-# a comma or stop between a letter and a blank is a piece of its own
-_STOP = re.compile(rb"(?<=[a-zA-Z])([,.])(?=[ \t\n\v\f\r]|\Z)")
-
-
-def _packed(ids: list[int]) -> bytes:
-    return pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> str:
@@ -23,62 +21,67 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
 
 
-class _Recent(dict):
-    """What `make` gives for a key, kept for the two last generations of keys."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.older = make, most, {}
-
-    def __missing__(self, key):
-        got = self.older.get(key)
-        if got is None:
-            got = self.make(key)
-        self[key] = got
-        return got
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-
-
 class WordIds:
     """Ids (little-endian unsigned 32-bit) of texts.
 
     A tokenizer whose pieces never hold an ASCII blank gives a text the ids
-    of its words one after another. Plain lower-cased words go straight to the
-    tokenizer's model, which is what its normalizer and splitter would hand
-    on; all others take the whole way.
+    of its words one after another. Words of plain letters are merged by the
+    same ranks, all new ones of a batch at once, with a blank as the byte that
+    ends a word; all others take the tokenizer's whole way.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words = _Recent(self._word, remembered)
-
-    def _core(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return _packed([t.id for t in self.model.tokenize(word)])
-
-    def _word(self, raw: bytes) -> bytes:
-        if raw.isalpha():  # ASCII letters only
-            return self._core(raw.decode().lower())
-        word = raw.decode("utf-8", "replace")
-        core = word.rstrip(",.")
-        if not _PLAIN.fullmatch(core):
-            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        core, end = core.lower().encode(), word[len(core):].encode()
-        if not end and core == raw:
-            return self._core(core.decode())
-        return self.words[core] + (self.words[end] if end else b"")
+        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        letters = _byte_letters()
+        byte_of = {c: bytes([b]) for b, c in enumerate(letters)}
+        # bytes first, then bytes that end a word, then the merges in their order
+        symbols = [*letters, *(c + end for c in letters), *(a + b for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]))]
+        raw = [b"".join(map(byte_of.__getitem__, s.removesuffix(end))) + b" " * s.endswith(end) for s in symbols]
+        self.merged = Encoding("words", pat_str="[^ ]+ ", mergeable_ranks={r: i for i, r in enumerate(raw)}, special_tokens={})
+        self.ids = np.array([vocabulary[s] for s in symbols], "<u4")
+        self.ends = np.array([s.endswith(end) for s in symbols])
+        self.words: dict[bytes, bytes] = {}
+
+    def _merge(self, new: list[bytes], joined: str, ends: int) -> None:
+        """Learn words from their joined text, in which each has `ends` ends."""
+        found = np.array(self.merged.encode_ordinary(joined + " "), np.int64)
+        raw, cuts = self.ids[found].tobytes(), (4 * np.flatnonzero(self.ends[found])[ends - 1::ends] + 4).tolist()
+        self.words.update(zip(new, [raw[p:q] for p, q in zip([0, *cuts], cuts)]))
+
+    def _learn(self, new: list[bytes]) -> None:
+        letters = [w for w in new if w.isalpha()]  # ASCII
+        stopped = [w for w in new if w[-1] in b",." and w[:-1].isalpha()]  # the comma or stop is a piece of its own
+        left = {w: w.decode("utf-8", "replace") for w in set(new).difference(letters, stopped)}
+        more = {w: s for w, s in left.items() if _PLAIN.fullmatch(s)}
+        both = {w: s for w, s in left.items() if s[-1] in ",." and _PLAIN.fullmatch(s, 0, len(s) - 1)}
+        for words, joined, ends in ((letters, b" ".join(letters).decode(), 1), (stopped, b" ".join(stopped).decode(), 2), (list(more), " ".join(more.values()), 1), (list(both), " ".join(both.values()), 2)):
+            if words:
+                self._merge(words, joined.lower().replace(",", " ,").replace(".", " ."), ends)
+        left = {w: s for w, s in left.items() if w not in more and w not in both}
+        for w, e in zip(left, self.tokenizer.encode_batch(list(left.values()), add_special_tokens=False)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def of_all(self, texts: list[str | None]) -> list[bytes]:
+        cut = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            if b"<|" not in raw:  # lower-casing must not make one of the tokenizer's own marks
+                raw = raw.lower()
+            cut.append(raw.split())
+        needed = set(chain.from_iterable(cut))
+        new = needed.difference(self.words)
+        if len(self.words) + len(new) > self.remembered:  # the words of this batch stay
+            self.words = {w: self.words[w] for w in needed if w in self.words}
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def of(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if b"<|" not in raw:  # lower-casing must not make one of the tokenizer's own marks
-            raw = raw.lower()
-        self.words.turn()
-        return b"".join(map(self.words.__getitem__, _STOP.sub(rb" \1", raw).split()))
+        return self.of_all([text])[0]

@@ -2,7 +2,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from hearthlog.llm import mixing, quality, simhash
+from hearthlog.llm import mixing, quality
+from test_llm_similar import brute_force
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -28,14 +29,7 @@ def test_stages_follow_one_another(spark, tmp_path):
                 best[text] = max(best.get(text, -1), r.doc_id)
             assert sorted(r.doc_id for r in left) == sorted(best.values())
         elif name == "simhash_near_dedup":
-            prints = {r.doc_id: simhash.fingerprint(r.text) for r in before}
-            label = {i: i for i in prints}
-            for _ in prints:
-                new = {i: min(label[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
-                if new == label:
-                    break
-                label = new
-            assert sorted(r.doc_id for r in left) == sorted(i for i in label if label[i] == i)
+            assert sorted(r.doc_id for r in left) == sorted(key for key, _ in brute_force([(r.doc_id, r.text) for r in before]))
         elif name == "source_mixing":
             want = Counter({r.doc_id: r.copies for r in mixing.plan(spark.read.parquet(f"{tmp_path}/{number - 1}")).collect()})
             assert Counter(r.doc_id for r in left) == +want
