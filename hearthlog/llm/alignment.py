@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import re
 import uuid
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -37,8 +39,10 @@ from .tokens import _byte_letters
 
 SLICES, FAN = 256, 32
 # text of a chunk that is aligned at a time, units that a worker remembers, pairs it counts before it hands them on
-CHUNK_CHARS, REMEMBERED, COUNTED = 2 << 20, 120_000, 1_000_000
+CHUNK_CHARS, REMEMBERED, COUNTED = 2 << 20, 400_000, 1_000_000
 HELD_BYTES = 64 << 20
+# how the byte-level tokenizer cuts a text before it merges
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # a blank begins a unit unless another blank, or the character that stands for one, is before it
 _UNITS, _IRREGULAR, _BEGIN = re.compile("[ \n][^ \n]*"), re.compile("[\\s▁][ \n]"), re.compile("(?<=[^\\s▁])(?=[ \n])")
 
@@ -50,77 +54,105 @@ def units_of(text: str) -> list[str]:
 
 
 class Tokenizers:
-    """Ids and token bytes of a byte-level (A) and a piece (B) tokenizer."""
+    """Ids and token bytes of a byte-level (A) and a piece (B) tokenizer.
+
+    A's pieces are merged by the ranks of its own file, in the library that is
+    faster at it; ids are those of the file.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
-        letters = _byte_letters()
-        byte_of = {c: i for i, c in enumerate(letters)}
-        self.mark, self.model = letters[ord(" ")], self.a.model
-        self.size_a, self.size_b = self.a.get_vocab_size(), self.b.get_piece_size()
-        self.bytes_a = [bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode() for token in map(self.a.id_to_token, range(self.size_a))]
+        from tiktoken import Encoding
+
+        with open(path_a, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        byte_of = {c: i for i, c in enumerate(_byte_letters())}
+        raw = lambda token: bytes(byte_of[c] for c in token)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ranked = [*byte_of, *(a + b for a, b in merges)]
+        self.a = Encoding("units", pat_str=PATTERN, mergeable_ranks={raw(t): i for i, t in enumerate(ranked)}, special_tokens={})
+        self.ids = np.array([model["vocab"][t] for t in ranked], np.int64)
+        self.b = SentencePieceProcessor(model_file=path_b)
+        self.size_a, self.size_b = int(max(model["vocab"].values())) + 1, self.b.get_piece_size()
+        self.bytes_a = [b""] * self.size_a
+        for token, i in zip(ranked, self.ids.tolist()):
+            self.bytes_a[i] = raw(token)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.size_b))]
         self.blank = self.b.piece_to_id("▁")
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
-
-    def ids_a(self, units: list[str]) -> list[list[int]]:
-        plain = [u.isascii() and u[0] == " " and u[1:].isalpha() for u in units]
-        others = iter(self.a.encode_batch([u for u, p in zip(units, plain) if not p], add_special_tokens=False))
-        return [[t.id for t in self.model.tokenize(self.mark + u[1:])] if p else next(others).ids for u, p in zip(units, plain)]
-
-    def ids_b(self, units: list[str]) -> list[list[int]]:
+        # an id as text with what may follow it
+        self.shown = [f"{i}{end}" for size, ends in ((self.size_a, ",|"), (self.size_b, ",;\n")) for end in ends for i in range(size)]
+
+    def ids_a(self, units: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units and how many each has; `ends` are the ends of their bytes one after another.
+
+        Units are cut where the tokenizer cuts, also with one another as neighbours, unless they end in a blank.
+        """
+        odd = [i for i, u in enumerate(units) if u[-1].isspace()]
+        if not odd:
+            ids = self.ids[np.array(self.a.encode_ordinary("".join(units)), np.int64)]
+            return ids, np.diff(np.searchsorted(np.cumsum(self.length_a[ids]), ends), prepend=-1)
+        own = {i: self.ids[self.a.encode_ordinary(units[i])] for i in odd}
+        rest = [i for i in range(len(units)) if i not in own]
+        sizes = np.diff(ends, prepend=0)
+        ids, n = self.ids_a([units[i] for i in rest], np.cumsum(sizes[rest])) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        parts = dict(zip(rest, np.split(ids, np.cumsum(n)[:-1]))) | own
+        return np.concatenate([parts[i] for i in range(len(units))]), np.array([len(parts[i]) for i in range(len(units))])
+
+    def ids_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The tokenizer puts a blank before a text: that of a unit, or one to be taken off again."""
         found = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return [ids[1:] if u[0] != " " else ids or [self.blank] for u, ids in zip(units, found)]
+        found = [ids[1:] if u[0] != " " else ids or [self.blank] for u, ids in zip(units, found)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, int(n.sum())), n
 
 
 class Aligned:
     """Alignments of units: ids, numbers of groups and links, and distinct linked pairs with how often each is linked."""
 
     def __init__(self, tokenizers: Tokenizers, units: list[str]):
-        t = tokenizers
-        a, b = t.ids_a(units), t.ids_b(units)
+        t = self.tokenizers = tokenizers
         raw = [u.encode("utf-8", "surrogatepass") for u in units]
-        ids_a, ids_b = (np.fromiter((i for x in y for i in x), np.int64) for y in (a, b))
+        (ids_a, self.n_a), (ids_b, self.n_b) = t.ids_a(units, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))), t.ids_b(units)
         self.same = np.ones(len(units), bool)
-        if b"".join(map(t.bytes_a.__getitem__, ids_a.tolist())) != (whole := b"".join(raw)) or b"".join(map(t.bytes_b.__getitem__, ids_b.tolist())) != whole:
-            for i, (x, y, r) in enumerate(zip(a, b, raw)):
-                self.same[i] = b"".join(map(t.bytes_a.__getitem__, x)) == r == b"".join(map(t.bytes_b.__getitem__, y))
-            a, b = ([x if ok else [] for x, ok in zip(y, self.same)] for y in (a, b))
-            ids_a, ids_b = (np.fromiter((i for x in y for i in x), np.int64) for y in (a, b))
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        whole = b"".join(raw)
+        if b"".join(map(t.bytes_a.__getitem__, ids_a.tolist())) != whole or b"".join(map(t.bytes_b.__getitem__, ids_b.tolist())) != whole:
+            split = [np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b))]
+            for i, (x, y, r) in enumerate(zip(*split, raw)):
+                self.same[i] = b"".join(map(t.bytes_a.__getitem__, x.tolist())) == r == b"".join(map(t.bytes_b.__getitem__, y.tolist()))
+            ids_a, ids_b = ids_a[np.repeat(self.same, self.n_a)], ids_b[np.repeat(self.same, self.n_b)]
+            self.n_a, self.n_b = self.n_a * self.same, self.n_b * self.same
         ends_a, ends_b = np.cumsum(t.length_a[ids_a]), np.cumsum(t.length_b[ids_b])
         ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
         per_a, per_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
         unit_of_a = np.repeat(np.arange(len(units)), self.n_a)
-        first_a, first_b = np.concatenate(([0], np.cumsum(per_a))), np.concatenate(([0], np.cumsum(per_b)))
-        unit_of = unit_of_a[first_a[:-1]] if len(ends) else np.zeros(0, np.int64)
+        first_a, first_b = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
+        unit_of = unit_of_a[first_a] if len(ends) else np.zeros(0, np.int64)
         self.n_groups = np.bincount(unit_of, minlength=len(units))
         self.n_links = np.bincount(unit_of, weights=per_a * per_b, minlength=len(units)).astype(np.int64)
         # each A token meets the B tokens of its group; pairs repeated in a unit are counted
         times = per_b[group_a]
         at = np.repeat(first_b[group_a], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        linked = np.repeat(ids_a, times) * t.size_b + ids_b[at]
-        order = np.lexsort((linked, unit := np.repeat(unit_of_a, times)))
+        linked, unit = np.repeat(ids_a, times) * t.size_b + ids_b[at], np.repeat(unit_of_a, times)
+        order = np.lexsort((linked, unit))
         linked, unit = linked[order], unit[order]
-        new = np.concatenate(([True], (linked[1:] != linked[:-1]) | (unit[1:] != unit[:-1]))) if len(linked) else np.zeros(0, bool)
+        new = np.ones(len(linked), bool)
+        new[1:] = (linked[1:] != linked[:-1]) | (unit[1:] != unit[:-1])
         starts = np.flatnonzero(new)
         self.pairs, self.times = linked[starts], np.diff(np.append(starts, len(linked)))
         self.n_pairs = np.bincount(unit[starts], minlength=len(units))
-        self._shown = (ids_a.tolist(), ids_b.tolist(), first_a.tolist(), first_b.tolist())
+        self._tokens = ids_a, ids_b, group_a, group_b, unit_of
 
     def shown(self) -> list[str]:
         """The groups of each unit as text."""
-        ids_a, ids_b, first_a, first_b = self._shown
-        groups = [f"{','.join(map(str, ids_a[p:q]))}|{','.join(map(str, ids_b[r:s]))}" for p, q, r, s in zip(first_a, first_a[1:], first_b, first_b[1:])]
-        ends = np.cumsum(self.n_groups).tolist()
-        return [";".join(groups[e - n:e]) for e, n in zip(ends, self.n_groups.tolist())]
+        t, (ids_a, ids_b, group_a, group_b, unit_of) = self.tokenizers, self._tokens
+        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True), np.append(group_b[1:] != group_b[:-1], True)
+        last_of_unit = np.append(unit_of[1:] != unit_of[:-1], True)[group_b] & last_b if len(group_b) else last_b[:0]
+        codes = np.concatenate((ids_a + t.size_a * last_a[:len(ids_a)], 2 * t.size_a + ids_b + t.size_b * (last_b[:len(ids_b)].astype(np.int64) + last_of_unit)))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        found = iter("".join(map(t.shown.__getitem__, codes[order].tolist())).split("\n"))
+        return [next(found) if n else "" for n in self.n_groups.tolist()]
 
 
 class Remembered:
@@ -131,7 +163,7 @@ class Remembered:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = defaultdict(count().__next__)
         none = np.zeros(0, np.int64)
         self.same = np.zeros(0, bool)
         self.numbers = np.zeros((4, 0), np.int64)  # n_a, n_b, n_groups, n_links
@@ -143,16 +175,17 @@ class Remembered:
             self._clear()
         old, place = len(self.place), self.place
         cut = [units_of(t) for t in texts]
-        at = np.fromiter((place.setdefault(u, len(place)) for units in cut for u in units), np.int64)
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         if len(place) > old:
-            new = Aligned(self.tokenizers, list(place)[old:])
+            new = Aligned(self.tokenizers, list(islice(place, old, None)))
             self.same = np.concatenate((self.same, new.same))
             self.numbers = np.concatenate((self.numbers, [new.n_a, new.n_b, new.n_groups, new.n_links]), axis=1)
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(new.n_pairs)))
             self.pairs, self.times = np.concatenate((self.pairs, new.pairs)), np.concatenate((self.times, new.times))
             if self.keep_shown:
                 self.shown += new.shown()
-        return np.fromiter(map(len, cut), np.int64, len(cut)), at, old
+        return sizes, at, old
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
