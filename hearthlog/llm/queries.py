@@ -157,7 +157,7 @@ _STEPS = lambda x: f"pow(10.0, floor(-log10({x}) * 4096 + 0.5) / -4096)"  # noqa
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} AS mark, list_concat(list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), ['']) AS words FROM documents),
 t AS (SELECT r, doc_id, coalesce(mark, 0) AS mark, coalesce(mark % 5 = 1, false) AS held_out, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
 c AS (SELECT w, count(*) FILTER (WHERE NOT held_out) AS n, count(*) AS total FROM t GROUP BY w),
-k AS (SELECT *, row_number() OVER (ORDER BY total DESC, w) <= 524288 AS often FROM c),
+b AS (SELECT min(p) AS least FROM (SELECT CAST(pow(2, unnest(range(0, 62))) AS BIGINT) AS p) WHERE (SELECT count(*) FROM c WHERE total >= p) <= 524288), k AS (SELECT c.*, total >= least AS often FROM c, b),
 z AS (SELECT sum(n) AS tokens, sum(n) + 0.5 * (count(*) FILTER (WHERE n > 0) + 1) AS total FROM c),
 x AS (SELECT *, lag(w, 1, ' ') OVER o AS u, lag(w, 2, ' ') OVER o AS v FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
 y AS (SELECT x.*, c.n, CASE WHEN u = ' ' THEN mark ELSE CAST('0x' || substr(md5(v), 1, 8) AS BIGINT) END % greatest(1, CAST(ceil(CASE WHEN k.often THEN k.n ELSE 0 END / 200000.0) AS BIGINT)) AS part
