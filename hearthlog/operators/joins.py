@@ -1,48 +1,62 @@
 """Joins: interval overlap, loose names, windows, anti-joins."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import small_side
+from ..session import checkpoint, small_side
+from .ordered import layout, running
 
-BIN_MS = 600_000
+def overlap_by_label(segments: DataFrame, turns: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+    """(audio_ref, segment_id, label, overlap_ms) for each label that overlaps a segment.
 
-
-def _binned(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """One copy of each interval for each time bin it touches."""
-    first = F.floor(F.col(start) / width)
-    last = F.floor(F.greatest(F.col(start), F.col(end) - 1) / width)
-    return df.withColumn("_bin", F.explode(F.sequence(first, last)))
-
-
-def overlap_by_label(segments: DataFrame, turns: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
-    """(segment columns, label, overlap_ms, first_turn) for each overlapping label.
-
-    The range condition becomes an equality on (recording, time bin), so one long
-    recording spreads over many tasks; a pair is counted only in the bin where
-    its overlap begins. The sums are partial aggregates.
+    A sweep over signed events: the time that a label's turns have covered before
+    x is x n(x) - d(x), with n the turns that run at x and d the sum of starts
+    less ends so far. What a segment shares with a label is the difference at its
+    two ends, so the work grows with segments and turns and not with the pairs
+    that overlap. A long recording is cut into blocks, whose totals carry over.
+    The labels of a recording are its speakers, and few.
     """
-    s = _binned(segments.select("audio_ref", "segment_id", F.col("start_ms").alias("_s0"), F.col("end_ms").alias("_s1")), "_s0", "_s1", bin_ms)
-    t = _binned(turns.select("audio_ref", "turn_id", "label", F.col("start_ms").alias("_t0"), F.col("end_ms").alias("_t1")), "_t0", "_t1", bin_ms)
-    begin = F.greatest("_s0", "_t0")
-    overlap = F.least("_s1", "_t1") - begin
-    pairs = s.join(t, ["audio_ref", "_bin"]).where((overlap > 0) & (F.floor(begin / bin_ms) == F.col("_bin")))
-    return pairs.groupBy("audio_ref", "segment_id", "label").agg(
-        F.sum(overlap).alias("overlap_ms"), F.min(F.struct("_t0", "turn_id")).alias("first_turn")
-    )
+    spoken, nothing = turns.where("end_ms > start_ms"), F.lit(None).cast(segments.schema["segment_id"].dataType)
+    edge = lambda at, n: F.struct(F.col(at).cast("long").alias("at"), F.lit(n).alias("n"))
+    events = spoken.select("audio_ref", "label", F.explode(F.array(edge("start_ms", 1), edge("end_ms", -1))).alias("e")).select(
+        "audio_ref", "label", "e.at", "e.n", nothing.alias("segment_id"))
+    asked = segments.where("end_ms > start_ms").select("audio_ref", "segment_id", F.explode(F.array(edge("start_ms", -1), edge("end_ms", 1))).alias("e"))
+    asked = asked.join(spoken.select("audio_ref", "label").distinct(), "audio_ref").select("audio_ref", "label", "e.at", "e.n", "segment_id")
+    # the covered time has no jumps, so the order of events of one moment does not matter
+    lay = layout(events.unionByName(asked), ["audio_ref", "label"], ["at", "n", "segment_id"], rows_per_block)
+    step = F.when(F.col("segment_id").isNull(), F.col("n")).otherwise(0)
+    lay = running(running(lay, step, "sum", "_n"), step * F.col("at"), "sum", "_d")
+    ends = lay.done().where(F.col("segment_id").isNotNull())
+    shared = F.sum(F.col("n") * (F.col("at") * F.col("_n") - F.col("_d")))
+    return ends.groupBy("audio_ref", "segment_id", "label").agg(shared.alias("overlap_ms")).where("overlap_ms > 0")
+
+
+def first_turns(segments: DataFrame, turns: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+    """`segments` (audio_ref, segment_id, label, start_ms, which a turn of the label overlaps) with first_turn, the start and id of the first that does.
+
+    Of the turns that end after the segment starts it is the first to start, so
+    it is a running minimum over the turns from the last end to the first.
+    """
+    known = turns.where("end_ms > start_ms").select("audio_ref", "label", (-F.col("end_ms")).cast("long").alias("_to"), F.lit(1).alias("_kind"), F.struct("start_ms", "turn_id").alias("_turn"))
+    asked = segments.select(*segments.columns, (-F.col("start_ms")).cast("long").alias("_to"), F.lit(0).alias("_kind"))  # before the turns that end there
+    rows = asked.unionByName(known, allowMissingColumns=True)
+    lay = running(layout(rows, ["audio_ref", "label"], ["_to", "_kind", "_turn", "segment_id"], rows_per_block), F.col("_turn"), "min", "first_turn")
+    return lay.done().where("_kind = 0").select(*segments.columns, "first_turn")
 
 
-def assign_speakers(segments: DataFrame, turns: DataFrame, bin_ms: int = BIN_MS) -> DataFrame:
+def assign_speakers(segments: DataFrame, turns: DataFrame, rows_per_block: int | None = None) -> DataFrame:
     """Each segment with the label that overlaps it most; the label met first wins ties."""
-    best = (
-        overlap_by_label(segments, turns, bin_ms)
-        .groupBy("audio_ref", "segment_id")
-        .agg(F.min_by(F.struct("label", "overlap_ms"), F.struct(-F.col("overlap_ms"), "first_turn")).alias("_best"))
-    )
-    return segments.join(best, ["audio_ref", "segment_id"], "left").select(
-        *[c for c in segments.columns if c != "label"],
-        F.col("_best.label").alias("label"), F.col("_best.overlap_ms").alias("overlap_ms"),
-    )
+    of_segment = Window.partitionBy("audio_ref", "segment_id")
+    most = overlap_by_label(segments, turns, rows_per_block).withColumn("_most", F.max("overlap_ms").over(of_segment)).where("overlap_ms = _most")
+    most = checkpoint(most.withColumn("_tied", F.count("*").over(of_segment)).drop("_most"))
+    one, tied = most.where("_tied = 1").drop("_tied"), most.where("_tied > 1").drop("_tied")
+    if not tied.isEmpty():
+        asked = tied.join(segments.select("audio_ref", "segment_id", "start_ms"), ["audio_ref", "segment_id"])
+        spoken = turns.join(tied.select("audio_ref", "label").distinct(), ["audio_ref", "label"], "left_semi")
+        first = first_turns(asked, spoken, rows_per_block)
+        one = one.unionByName(first.groupBy("audio_ref", "segment_id").agg(F.min_by(F.struct("label", "overlap_ms"), "first_turn").alias("_best")).select("audio_ref", "segment_id", "_best.*"))
+    return segments.join(one.withColumnRenamed("label", "_label"), ["audio_ref", "segment_id"], "left").select(
+        *[c for c in segments.columns if c != "label"], F.col("_label").alias("label"), "overlap_ms")
 
 
 def relationship_aliases(people: DataFrame) -> DataFrame:
@@ -60,7 +74,7 @@ def with_labels(rows: DataFrame, name: Column, aliases: DataFrame) -> DataFrame:
     return rows.withColumn("_alias", F.lower(name)).join(side, "_alias", "left").drop("_alias")
 
 
-_ANCHOR = 6
+_PIECE = 6
 
 
 def _pieces(text: Column, length: Column) -> Column:
@@ -71,31 +85,35 @@ def _pieces(text: Column, length: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def contained(short: DataFrame, inner: str, long: DataFrame, outer: str) -> DataFrame:
+    """Rows of the distinct texts of `short` and `long` where `inner` is a part of `outer`.
+
+    A text stands only under its rarest piece of _PIECE characters (a shorter
+    text is one piece), rare among the pieces of `long`, which emits only pieces
+    that are somebody's. So an opening that all texts share gathers nothing.
+    Every pair that meets is then checked in full.
+    """
+    size = F.least(F.length(inner), F.lit(_PIECE))
+    lengths = [r[0] for r in short.select(size.alias("n")).distinct().collect()]  # at most _PIECE
+    if not lengths:
+        lengths = [_PIECE]
+    own = short.withColumn("_key", F.explode(_pieces(F.col(inner), size)))
+    emitted = long.withColumn("_key", F.explode(F.flatten(F.array(*[_pieces(F.col(outer), F.lit(n)) for n in lengths]))))
+    counts = emitted.join(small_side(own.select("_key").distinct()), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"))
+    rarest = own.join(counts, "_key").groupBy(*short.columns).agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"))
+    return emitted.join(small_side(checkpoint(rarest)), "_key").where(F.contains(outer, inner)).drop("_key")
+
+
 def loose_match(names: DataFrame, name: str, people: DataFrame, person: str, position: str) -> DataFrame:
     """(name, person): the first listed person whose name contains or is contained in `name`.
 
-    Substring tests become equality joins: the shorter text has its opening
-    characters among the pieces of the longer one. Only distinct names take part,
-    and every candidate pair is then checked in full.
+    Only distinct names take part; see `contained` for how they meet.
     """
     low = lambda c: F.lower(F.trim(F.col(c)))
     asked = names.select(low(name).alias("_needle")).where(F.col("_needle") != "").distinct()
-    known = people.select(low(person).alias("_who"), F.col(person).alias("_person"), F.col(position).alias("_pos")).where(
-        F.col("_who") != ""
-    )
-
-    def anchored(df: DataFrame, c: str) -> DataFrame:
-        return df.withColumn("_key", F.left(F.col(c), F.lit(_ANCHOR)))
-
-    def pieces(df: DataFrame, c: str) -> DataFrame:
-        lengths = F.array(*[F.lit(i) for i in range(1, _ANCHOR + 1)])
-        return df.withColumn(
-            "_key", F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda n: _pieces(F.col(c), n)))))
-        )
-
-    a = pieces(asked, "_needle").join(anchored(known, "_who"), "_key").where(F.contains("_needle", "_who"))
-    b = anchored(asked, "_needle").join(pieces(known, "_who"), "_key").where(F.contains("_who", "_needle"))
-    found = a.unionByName(b).groupBy("_needle").agg(F.min_by("_person", "_pos").alias("person"))
+    known = people.select(low(person).alias("_who"), F.col(person).alias("_person"), F.col(position).alias("_pos")).where(F.col("_who") != "")
+    both = contained(known, "_who", asked, "_needle").unionByName(contained(asked, "_needle", known, "_who"))
+    found = both.groupBy("_needle").agg(F.min_by("_person", "_pos").alias("person"))
     return names.withColumn("_needle", low(name)).join(found, "_needle", "left").drop("_needle")
 
 

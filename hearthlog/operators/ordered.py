@@ -139,11 +139,11 @@ def _cut_keys(lay: Layout) -> DataFrame:
 
 
 def _agg(how: str) -> Callable[[Column], Column]:
-    return {"sum": F.sum, "max": F.max, "count": F.count}[how]
+    return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[how]
 
 
 def running(lay: Layout, value: Column, how: str, out: str, inclusive: bool = True) -> Layout:
-    """Running sum / max / count of `value` in order within the key.
+    """Running sum / max / min / count of `value` in order within the key.
 
     Exclusive running values are NULL on the first row, as in a window frame.
     """
@@ -161,11 +161,11 @@ def running(lay: Layout, value: Column, how: str, out: str, inclusive: bool = Tr
     over_blocks = (
         Window.partitionBy(*lay.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
-    merge = F.max if how == "max" else F.sum
+    merge = _agg(how) if how in ("max", "min") else F.sum
     carry = totals.select(*lay.keys, BLOCK, merge("_part").over(over_blocks).alias("_carry"))
     df = df.join(F.broadcast(carry), [*lay.keys, BLOCK], "left")  # one row per block
-    if how == "max":
-        total = F.greatest(F.col(out), F.col("_carry"))
+    if how in ("max", "min"):
+        total = (F.greatest if how == "max" else F.least)(F.col(out), F.col("_carry"))
     else:
         total = F.when(
             F.col(out).isNotNull() | F.col("_carry").isNotNull(),

@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx, times, vectors as vx
-from ..session import BROADCAST_ROWS, checkpoint, small_side
+from ..session import checkpoint, scratch_dir, small_side
 from .select import top_per_group
+from .terms import TermTable
 
 # ---- fixed values ----
 TRUST_TIERS = ["public", "personal", "secret"]
@@ -24,8 +25,6 @@ RRF_K = 60
 REDUNDANCY = 0.45
 RECENCY_HALFLIFE_DAYS, RECENCY_WEIGHT = 540.0, 0.25
 FUSE_TEXT_CHARS, UNION_TEXT_CHARS = 80, 60
-# keyword scoring is an engine default in the source system; these are ours
-BM25_K1, BM25_B = 1.2, 0.75
 # ---- end of fixed values ----
 
 QUERIES_PER_PASS = 512
@@ -173,105 +172,17 @@ def dense_top(
     return best.select("query_id", "memory_id", F.col("score").alias("similarity"), (F.col("rank") - 1).alias("rank"))
 
 
-def term_text(text: Column) -> Column:
-    """Lower-cased words of a text, one space between them."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{Nd}\p{Pc}]+", " "))
-
-
-def terms(text: Column) -> Column:
-    return F.filter(F.split(term_text(text), " "), lambda w: w != "")
-
-
-class KeywordIndex:
-    """Collection numbers that keyword scores need: rows, mean length, document frequencies.
-
-    They describe the whole collection, whatever a search filters. Each batch of
-    new terms costs one pass, in which a task counts into one vector and hands
-    only that on.
-    """
-
-    def __init__(self, memories: DataFrame):
-        self.memories = memories
-        self.rows, self.mean_terms = 0, 0.0
-        self._known: dict[str, int] = {}
-
-    def frequencies(self, vocabulary: list[str]) -> dict[str, int]:
-        """Rows that hold each term, for the terms of one pass."""
-        new = [w for w in vocabulary if w not in self._known]
-        if len(self._known) + len(new) > 10 * BROADCAST_ROWS:  # keep the driver's copy small
-            self._known.clear()
-            new = vocabulary
-        if new:
-            wanted = self.memories.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(new)})
-
-            def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                at = wanted.value
-                found, rows, total = np.zeros(len(at), np.int64), 0, 0
-                for pdf in frames:
-                    rows += len(pdf)
-                    for text in pdf["_terms"]:
-                        words = text.split()
-                        total += len(words)
-                        hits = at.keys() & set(words)
-                        found[[at[w] for w in hits]] += 1
-                ix = np.flatnonzero(found)
-                yield pd.DataFrame({"ix": [-2, -1, *ix], "n": [rows, total, *found[ix]]})
-
-            parts = self.memories.select(term_text(F.col("text")).alias("_terms")).mapInPandas(count, "ix long, n long")
-            sums = dict(parts.groupBy("ix").agg(F.sum("n")).collect())  # one row for each asked term
-            self.rows = sums.get(-2, 0)
-            self.mean_terms = sums.get(-1, 0) / self.rows if self.rows else 0.0
-            self._known.update({w: sums.get(i, 0) for i, w in enumerate(new)})
-        return {w: self._known[w] for w in vocabulary}
-
-
-def keyword_top(
-    queries: DataFrame, memories: DataFrame, fetch: int, index: KeywordIndex | None = None, per_pass: int = QUERIES_PER_PASS
-) -> DataFrame:
-    """query_id, memory_id, score, rank (from 0): best BM25 matches with a score above 0.
-
-    `queries`: query_id, text and optional lo, hi, kinds. The postings of a
-    common term are never shuffled, since each task scores its own rows.
-    """
+def term_table(memories: DataFrame, path: str | None = None) -> TermTable:
+    """The term table of `memories`, brought up to date in `path` (a fresh shared folder if there is none)."""
     spark = memories.sparkSession
-    index = index or KeywordIndex(memories)
-    asked = _with_limits(queries).withColumn("_terms", F.array_distinct(terms(F.col("text"))))
-    parts = []
-    for chunk in _chunks(asked, ["query_id", "_terms", "_lo", "_hi", "kinds"], per_pass):
-        vocabulary = sorted({w for r in chunk for w in r[1]})
-        df = index.frequencies(vocabulary)
-        if not vocabulary or not index.rows:
-            continue
-        at = {w: i for i, w in enumerate(vocabulary)}
-        weights = np.zeros((len(vocabulary), len(chunk)))
-        for q, r in enumerate(chunk):
-            for w in r[1]:
-                weights[at[w], q] = np.log(1.0 + (index.rows - df[w] + 0.5) / (df[w] + 0.5))
-        batch = spark.sparkContext.broadcast(([r[0] for r in chunk], at, weights, [tuple(r[2:]) for r in chunk]))
-        rows = memories.select("memory_id", "kind", F.unix_micros("ts").alias("_ts"), term_text(F.col("text")).alias("_terms"))
-        mean_terms = index.mean_terms
+    table = TermTable(spark, path or scratch_dir(spark, "terms"))
+    table.append(memories)
+    return table
 
-        def score(frames: Iterator[pd.DataFrame], batch=batch) -> Iterator[pd.DataFrame]:
-            ids, at, weights, limits = batch.value
-            keeper = _Keeper(len(ids), fetch)
-            for pdf in frames:
-                if not len(pdf):
-                    continue
-                s = np.full((len(pdf), len(ids)), -np.inf)
-                for i, text in enumerate(pdf["_terms"]):
-                    words = text.split()
-                    ix, tf = np.unique([at[w] for w in words if w in at], return_counts=True)
-                    if len(ix):
-                        tf = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * len(words) / mean_terms))
-                        s[i] = tf @ weights[ix.astype(int)]
-                s[s <= 0] = -np.inf
-                s[~_eligible(pdf, limits)] = -np.inf
-                keeper.add(s, pdf["memory_id"].to_numpy(np.int64))
-            yield keeper.frame(ids)
 
-        parts.append(rows.mapInPandas(score, _PARTIAL))
-    best = top_per_group(_union(parts, spark), ["query_id"], fetch, F.col("score").desc(), F.col("memory_id"))
-    return best.select("query_id", "memory_id", "score", (F.col("rank") - 1).alias("rank"))
+def keyword_top(queries: DataFrame, memories: DataFrame, fetch: int, index: TermTable | None = None) -> DataFrame:
+    """query_id, memory_id, score, rank (from 0) of the `fetch` best keyword matches; see `TermTable.top`."""
+    return (index or term_table(memories)).top(queries, memories, fetch)
 
 
 def fuse(dense: DataFrame, keyword: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -308,7 +219,7 @@ def fuse_key(ts: Column, text: Column) -> Column:
 
 def search(
     queries: DataFrame, memories: DataFrame, limit: int, as_of: Column, max_trust: str = "secret",
-    kinds: list[str] = (), metric: str = "l2", index: KeywordIndex | None = None, per_pass: int = QUERIES_PER_PASS,
+    kinds: list[str] = (), metric: str = "l2", index: TermTable | None = None, per_pass: int = QUERIES_PER_PASS,
 ) -> DataFrame:
     """The `limit` best memories of each query with `score` and `rank` (from 1).
 
@@ -319,7 +230,7 @@ def search(
     fetch = fetch_size(limit)
     # both lists are short and used twice: write them once instead of scoring twice
     dense = checkpoint(dense_top(queries, eligible, fetch, metric, per_pass))
-    keyword = checkpoint(keyword_top(queries, eligible, fetch, index or KeywordIndex(memories), per_pass))
+    keyword = checkpoint(keyword_top(queries, eligible, fetch, index or term_table(memories)))
     if "limit" in queries.columns:
         own = small_side(queries.select("query_id", F.col("limit").alias("_limit")))
         cut = F.col("rank") < F.greatest(F.col("_limit") * 4, F.lit(24))  # each query's own fetch size

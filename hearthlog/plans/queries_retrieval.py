@@ -67,7 +67,7 @@ def _terms(c):
     return _TERMS.replace("{c}", c)
 
 
-@query("v3_keyword_top", f"""
+_KEYWORD = f"""
 WITH docs AS (SELECT doc_id, {_terms('text')} AS w FROM documents),
 numbers AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM docs),
 tf AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT doc_id, unnest(w) AS term, len(w) AS n FROM docs) GROUP BY doc_id, term),
@@ -76,13 +76,29 @@ asked AS (SELECT item_id, unnest(list_distinct({_terms('text')})) AS term FROM b
 score AS (SELECT item_id, doc_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score
  FROM asked JOIN tf USING (term) JOIN df USING (term), numbers GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM score)
-SELECT item_id AS query_id, doc_id AS memory_id, round(score, 6) AS score, rank FROM top WHERE rank < 24""")
-def v3(spark, folder):
+SELECT item_id AS query_id, doc_id AS memory_id, round(score, 6) AS score, rank FROM top WHERE rank < 24"""
+
+
+def _keyword(spark, folder, table):
     queries = t.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    k = rt.keyword_top(queries, t.memories(spark, folder), 24)
+    k = rt.keyword_top(queries, t.memories(spark, folder), 24, table)
     return k.select("query_id", "memory_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("v3_keyword_top", _KEYWORD)
+def v3(spark, folder):
+    return _keyword(spark, folder, None)
+
+
+@query("v3_incremental_index", _KEYWORD)
+def v3_incremental(spark, folder):
+    """The table of half the memories, then of all of them: an append adds the rest."""
+    m = t.memories(spark, folder)
+    table = rt.term_table(m.where("memory_id % 2 = 0"))
+    table.append(m)
+    return _keyword(spark, folder, table)
+
+
 @query("v4_rank_fusion", """
 WITH d AS (SELECT doc_id % 20 AS query_id, doc_id // 20 AS key, (n_chars % 1000) / 1000.0::DOUBLE AS similarity,
    row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars % 1000 DESC, doc_id) - 1 AS rank FROM documents WHERE lang <> 'en'),
