@@ -3,14 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import guard
 from ..operators import tables as tb
 from ..operators.moods import FRESH_MINUTES, MOODS, usable
-from ..session import scratch_dir
+from ..session import checkpoint, scratch_dir, small_side
 
 # ---- fixed values ----
 FRAME_MS, SPEECH_PROBABILITY = 32, 0.5
@@ -238,37 +239,95 @@ def spoken_turns_stream(frames: DataFrame) -> DataFrame:
     )
 
 
-def spoken_turns(frames: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+# A turn that is not ended by silence has so many frames; silence of so many ends one.
+_LONGEST, _QUIET = MAX_TURN_MS // FRAME_MS + 1, -(-SILENCE_TO_END_MS // FRAME_MS)
+TURNS_PER_BLOCK = 64
+
+
+def next_starts(at: np.ndarray, wanted: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """First turn that starts at or after each of `wanted`, followed from turn to turn through ascending speech frames `at`.
+
+    Returns where a start is wanted after those below `end`, and the starts of the last of `wanted`.
+    """
+    wanted, starts = wanted.copy(), []
+    while True:
+        place = np.searchsorted(at, wanted)
+        live = (wanted < end) & (place < len(at))
+        if not live.any():
+            return wanted, np.array(starts, np.int64)
+        found = at[np.minimum(place, len(at) - 1)]
+        if live[-1]:
+            starts.append(found[-1])
+        wanted = np.where(live, found + _LONGEST, wanted)
+
+
+def long_stretch_starts(rows: DataFrame, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
+    """(session, part, at) of the turns of long stretches from their speech frames (session, part, at).
+
+    A turn's start fixes the next one: the first speech after it is full. A block
+    of frames maps every place where a start may be wanted to the place where
+    the next block is asked; the maps are composed along the stretch, and each
+    block then follows its own turns. No task reads a whole stretch.
+    """
+    width = turns_per_block * _LONGEST
+    blocks = rows.withColumn("block", F.floor((F.col("at") - F.col("part")) / width).cast("long"))
+    maps = "session long, part long, block long, places array<long>, asked array<long>"
+
+    def mapped(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        session, part, block = key
+        at, begin = np.sort(pdf["at"].to_numpy(np.int64)), part + block * width
+        places = at[at < begin + _LONGEST + _QUIET]
+        asked, _ = next_starts(at, places, begin + width)
+        return pd.DataFrame({"session": [session], "part": [part], "block": [block], "places": [places], "asked": [asked]})
+
+    def composed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, wanted, entries = pdf.sort_values("block"), key[1], []
+        for places, asked in zip(pdf["places"], pdf["asked"]):
+            entries.append(wanted)
+            place = np.searchsorted(places, wanted)
+            wanted = asked[place] if place < len(places) else wanted
+        return pd.DataFrame({"session": key[0], "part": key[1], "block": pdf["block"], "entry": entries})
+
+    def followed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(pdf["at"].to_numpy(np.int64))
+        _, starts = next_starts(at, np.array([pdf["entry"].iloc[0]], np.int64), key[1] + (key[2] + 1) * width)
+        return pd.DataFrame({"session": key[0], "part": key[1], "at": starts})
+
+    steps = blocks.groupBy("session", "part", "block").applyInPandas(mapped, maps)
+    entries = steps.groupBy("session", "part").applyInPandas(composed, "session long, part long, block long, entry long")
+    return blocks.join(entries, ["session", "part", "block"]).groupBy("session", "part", "block").applyInPandas(followed, "session long, part long, at long")
+
+
+def spoken_turns(frames: DataFrame, rows_per_block: int | None = None, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
     """Batch twin: completed turns of each session.
 
-    Any silence of 900 ms leaves the detector idle whatever came before, so a
-    session is cut there first and the stretches are folded in parallel.
+    Silence of 900 ms leaves the detector idle whatever came before, so speech
+    frames apart by that much begin stretches of their own. A stretch that fits
+    into one turn is one; longer ones are followed by `long_stretch_starts`.
+    All else is differences of running counts.
     """
-    from ..operators.ordered import island_start, layout, look_back
+    from ..operators.ordered import layout, running
 
-    needed = -(-SILENCE_TO_END_MS // FRAME_MS)
     speech = F.col("probability") >= SPEECH_PROBABILITY
-    lay = look_back(
-        layout(frames, ["session"], ["frame"], rows_per_block), needed,
-        _recent=lambda w: F.max(speech.cast("int")).over(w.rowsBetween(-needed, -1)),
-    )
-    lay = island_start(lay, speech & (F.coalesce(F.col("_recent"), F.lit(0)) == 0), "_part")
-    rows = lay.done().where(F.col("_part").isNotNull()).select("session", F.col("_part.frame").alias("part"), "frame", "probability")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, _IDLE
-        for pdf in frames:
-            done = []
-            for session, part, frame, p in zip(pdf["session"], pdf["part"], pdf["frame"], pdf["probability"]):
-                if (session, part) != last:
-                    last, state = (session, part), _IDLE
-                state, turn = _step(state, frame, p >= SPEECH_PROBABILITY)
-                if turn:
-                    done.append((session, *turn))
-            yield pd.DataFrame(done, columns=TURN_SCHEMA.fieldNames())
-
-    stretches = rows.repartition("session", "part").sortWithinPartitions("session", "part", "frame")
-    return stretches.mapInPandas(fold, TURN_SCHEMA)
+    lay = running(layout(frames, ["session"], ["frame"], rows_per_block), F.lit(1).cast("long"), "sum", "at")
+    lay = running(lay, F.when(speech, F.col("at")), "max", "_before", inclusive=False)
+    begins = speech & (F.col("_before").isNull() | (F.col("at") - F.col("_before") > _QUIET))
+    lay = running(running(lay, F.when(begins, F.col("at")), "max", "part"), speech.cast("long"), "sum", "said")
+    last = lay.done().groupBy("session").agg(F.max("at").alias("_frames"))
+    spoken = checkpoint(lay.done().where(speech).select("session", "part", "at", "frame", "said"))
+    stretches = checkpoint(spoken.groupBy("session", "part").agg(F.max("at").alias("_end"), F.max("said").alias("_said")))
+    is_long = F.col("_end") + _QUIET - F.col("part") >= _LONGEST
+    long_ones = small_side(stretches.where(is_long).select("session", "part"))
+    starts = stretches.where(~is_long).select("session", "part", F.col("part").alias("at")).unionByName(
+        long_stretch_starts(spoken.join(long_ones, ["session", "part"]).select("session", "part", "at"), turns_per_block))
+    turns = starts.join(spoken, ["session", "part", "at"]).join(stretches, ["session", "part"]).join(small_side(last), "session")
+    ordered = Window.partitionBy("session", "part").orderBy("at")  # one row for a turn
+    heard = (F.coalesce(F.lead("said").over(ordered) - 1, F.col("_said")) - F.col("said") + 1) * FRAME_MS
+    quiet_end = F.col("_end") + _QUIET - F.col("at") + 1  # frames of a turn that silence ends
+    by_silence = quiet_end <= _LONGEST
+    length = F.when(by_silence, quiet_end).otherwise(_LONGEST)
+    turns = turns.select("session", F.col("frame").alias("first_frame"), length.cast("int").alias("frames"), heard.cast("int").alias("speech_ms"), by_silence.alias("_silence"), (F.col("at") + length - 1 <= F.col("_frames")).alias("_ended"))
+    return turns.where(F.col("_ended") & (~F.col("_silence") | (F.col("speech_ms") >= MIN_SPEECH_MS))).drop("_silence", "_ended")
 
 
 def fresh_paths(spark: SparkSession, name: str) -> tuple[str, str]:
