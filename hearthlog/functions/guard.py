@@ -1,6 +1,8 @@
 """Personal identifiers and instruction attacks as column expressions."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # ---- fixed values ----
@@ -63,17 +65,31 @@ def attack_reason(c: Column, owner_names: list[str] = ()) -> Column:
     )
 
 
-def _spans(c: Column, kind: str) -> Column:
-    """Matches of one kind with their places, from the texts matched and the texts between them."""
-    found, between = F.regexp_extract_all(c, F.lit(_ALL[kind]), F.lit(0)), F.split(c, _ALL[kind], -1)
-    lengths = lambda texts, n: F.aggregate(F.slice(texts, 1, n), F.lit(0), lambda a, t: a + F.length(t))
+_WITH_AT = ("EMAIL_ADDRESS", "IN_UPI")
+_FINDINGS = "array<struct<start:int,rank:int,less:int,kind:string,text:string,end:int>>"
+
 
-    def span(text: Column, i: Column) -> Column:
-        start = lengths(between, i + 1) + lengths(found, i)
-        return F.struct(start.alias("start"), F.lit(PII_SPECIFICITY.get(kind, 2)).alias("rank"), (-F.length(text)).alias("less"),
-                        F.lit(kind).alias("kind"), text.alias("text"), (start + F.length(text)).alias("end"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spans(c: Column, kind: str) -> Column:
+    """Matches of one kind with their places, from the texts matched and the texts between them.
 
-    spans = F.transform(found, span)
+    A text without a match is searched once and not split.
+    """
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(F.split(c, _ALL[kind], -1), F.lit(1), F.size(found)), lambda text, gap: F.struct(F.length(gap).alias("gap"), F.length(text).alias("size")))
+        step = lambda so_far, p: F.struct((so_far["at"] + p["gap"] + p["size"]).alias("at"), F.concat(so_far["starts"], F.array(so_far["at"] + p["gap"])).alias("starts"))
+        starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda done: done["starts"])
+        return F.zip_with(found, starts, lambda text, start: F.struct(
+            start.alias("start"), F.lit(PII_SPECIFICITY.get(kind, 2)).alias("rank"), (-F.length(text)).alias("less"), F.lit(kind).alias("kind"), text.alias("text"), (start + F.length(text)).alias("end")))
+
+    found = F.regexp_extract_all(c, F.lit(_ALL[kind]), F.lit(0))
+    if kind in _WITH_AT:
+        found = F.when(F.contains(c, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
+    spans = _let(found, lambda found: F.when(F.size(found) > 0, placed(found).cast(_FINDINGS)).otherwise(F.array().cast(_FINDINGS)))
     return F.filter(spans, lambda s: F.call_function("luhn_check", s["text"])) if kind == "CREDIT_CARD" else spans
 
 
@@ -84,17 +100,18 @@ def pii_findings(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
     comes first; one that ends inside an earlier one is dropped. NULL and
     clean texts give no findings.
     """
-    kind = "array<struct<start:int,rank:int,less:int,kind:string,text:string,end:int>>"
-    spans = F.array_sort(F.concat(*[_spans(c, k) for k in kinds]))
-    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(kind).alias("kept"))
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(_FINDINGS).alias("kept"))
 
     def keep(so_far: Column, s: Column) -> Column:
         more = s["end"] > so_far["reach"]
         return F.struct(F.greatest(so_far["reach"], s["end"]).alias("reach"), F.when(more, F.concat(so_far["kept"], F.array(s))).otherwise(so_far["kept"]).alias("kept"))
 
-    # every identifier holds a digit or an @
-    found = F.when(c.rlike(r"\p{Nd}|@"), F.aggregate(spans.cast(kind), start, keep, lambda done: done["kept"]))
-    return F.coalesce(found, F.array().cast(kind))
+    def of(text: Column) -> Column:
+        spans = F.array_sort(F.concat(*[_spans(text, k) for k in kinds]))
+        # every identifier holds a digit or an @
+        return F.when(text.rlike(r"\p{Nd}|@"), F.aggregate(spans, start, keep, lambda done: done["kept"]))
+
+    return F.coalesce(_let(c, of), F.array().cast(_FINDINGS))
 
 
 def pii_values(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
@@ -105,5 +122,21 @@ def pii_values(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
 def redact(c: Column, kinds: list[str] = tuple(PII_KINDS)) -> Column:
     """Text with each finding replaced by its visible label, from the last to the first."""
     labels = F.create_map(*[F.lit(x) for pair in PII_LABELS.items() for x in pair])
-    put = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.element_at(labels, s["kind"]), F.substring(t, s["end"] + 1, F.length(t)))
-    return F.aggregate(F.reverse(pii_findings(c, kinds)), c, put)
+    label = lambda s: F.element_at(labels, s["kind"])
+
+    def joined(text: Column, found: Column) -> Column:
+        """Findings apart: the texts between them and their labels, once through."""
+        before = lambda i: F.when(i > 0, F.get(found, i - 1)["end"]).otherwise(0)
+        parts = F.transform(found, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), label(s)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(found, -1)["end"] + 1, F.length(text)))
+
+    def in_turn(text: Column, found: Column) -> Column:
+        put = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), label(s), F.substring(t, s["end"] + 1, F.length(t)))
+        return F.aggregate(F.reverse(found), text, put)
+
+    def of(z: Column) -> Column:
+        text, found = z["text"], z["found"]
+        apart = F.forall(F.zip_with(found, F.slice(found, F.lit(2), F.greatest(F.size(found), F.lit(1))), lambda s, after: F.coalesce(s["end"] <= after["start"], F.lit(True))), lambda ok: ok)
+        return F.when(F.size(found) == 0, text).when(apart, joined(text, found)).otherwise(in_turn(text, found))
+
+    return _let(_let(c, lambda text: F.struct(text.alias("text"), pii_findings(text, kinds).alias("found"))), of)
