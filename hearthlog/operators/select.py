@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import checkpoint
 from .ordered import layout, running
 
-SORT_LIMIT_ROWS = 100_000  # largest n answered by a sort-and-limit
+SORT_LIMIT_ROWS = 1_000  # largest n answered by a sort-and-limit, which hands n rows of every task to one
 GROUP_LIMIT_ROWS = 1_000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 _SLICES = 64
 
@@ -50,15 +50,30 @@ def numbered(df: DataFrame, order: list[str], out: str, rows_per_block: int | No
     return lay.done()
 
 
-def seeded_sample(
-    df: DataFrame, n: int, seed: int | str, ids: list[str], rows_per_block: int | None = None
-) -> DataFrame:
-    """Exactly min(n, rows) rows, chosen by the seeded order of `ids`."""
+def seeded_sample(df: DataFrame, n: int, seed: int | str, ids: list[str]) -> DataFrame:
+    """Exactly min(n, rows) rows, chosen by the seeded order of `ids`.
+
+    A large sample is cut by a threshold: counts by the leading hex digits of
+    the order key find the digits in which row n lies, digit by digit, and a
+    filter takes what is below. Only rows that share those digits are sorted.
+    """
     ordered = df.withColumn("_pick", seeded(seed, *ids))
+    order = [F.col("_pick"), *[F.col(c) for c in ids]]
     if n <= SORT_LIMIT_ROWS:
-        return top_rows(ordered, n, F.col("_pick"), *[F.col(c) for c in ids]).drop("_pick")
-    ranked = numbered(ordered, ["_pick", *ids], "_rank", rows_per_block)
-    return ranked.where(F.col("_rank") <= n).drop("_pick", "_rank")
+        return top_rows(ordered, n, *order).drop("_pick")
+    digits, left, inside = "", n, None
+    while len(digits) < 32 and (inside is None or inside > SORT_LIMIT_ROWS):
+        width = len(digits) + 3
+        cells = ordered.where(F.startswith("_pick", F.lit(digits))).groupBy(F.left("_pick", F.lit(width)).alias("cell")).count().collect()  # at most 4096
+        for cell, inside in sorted(map(tuple, cells)):
+            if inside > left:
+                break
+            left -= inside
+        else:  # no more rows than asked for
+            return df
+        digits = cell
+    rest = top_rows(ordered.where(F.startswith("_pick", F.lit(digits))), left, *order)
+    return ordered.where(F.col("_pick") < digits).unionByName(rest).drop("_pick")
 
 
 def within_budget(
@@ -66,10 +81,15 @@ def within_budget(
 ) -> DataFrame:
     """Rows in order while the running cost stays within the budget.
 
-    Every row costs at least `min_cost`, so the answer lies in the first
-    budget // min_cost rows and only those are sorted and summed.
+    Every row costs at least `min_cost` > 0, so the answer lies in the first
+    budget // min_cost rows. If those are few only they are sorted; otherwise
+    the order is cut into blocks whose costs carry over.
     """
-    head = top_rows(df.withColumn("cost", cost), budget // min_cost, *[F.col(c) for c in order])
+    priced = df.withColumn("cost", cost)
+    if budget // min_cost > SORT_LIMIT_ROWS:
+        lay = running(layout(priced, [], order), F.col("cost"), "sum", "used")
+        return lay.done(lay.df.where(F.col("used") <= budget))
+    head = top_rows(priced, budget // min_cost, *[F.col(c) for c in order])
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return head.withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 from ..session import checkpoint, small_side
-from .ordered import BLOCK, Layout, has_hot_keys, island_start, layout, look_back, sorted_stretches
+from .ordered import BLOCK, Layout, has_hot_keys, island_start, layout, look_back, running, sorted_stretches
 from .select import first_wins, seeded, top_per_group, top_rows
 
 # ---- fixed values ----
@@ -20,6 +20,8 @@ STANDALONE_WORDS, HISTORY_TURNS = 4, 8
 # ---- end of fixed values ----
 
 KEY, ORDER = ["conversation_id"], ["ts", "seq"]
+# bytes of a folded text before the next part begins
+PART_BYTES = 16 << 20
 
 
 def ordered_join(items: Column, separator: str) -> Column:
@@ -31,30 +33,46 @@ def _folded(order: list[str], value: str, separator: str) -> Column:
     return ordered_join(F.collect_list(F.struct(*order, F.col(value).alias("v"))), separator)
 
 
-def merge_runs(turns: DataFrame, rows_per_block: int | None = None, cold: bool = False) -> DataFrame:
+def in_parts(lay: Layout, is_start: Column, text: str, part_bytes: int) -> Layout:
+    """Add `part`, from 0 in each island: a part ends once its texts hold `part_bytes`.
+
+    Places in an island are differences of one running sum, so islands of any
+    size stay spread over the blocks of their key.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    lay = running(lay, size, "sum", "_upto")
+    lay = running(lay, F.when(is_start, F.col("_upto") - size), "max", "_base")
+    return lay.with_df(lay.df.withColumn("part", F.floor((F.col("_upto") - size - F.col("_base")) / part_bytes).cast("int")).drop("_upto", "_base"))
+
+
+def merge_runs(turns: DataFrame, rows_per_block: int | None = None, cold: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
     """Consecutive turns of one speaker become one turn.
 
-    (conversation_id, ts, seq) are those of the first turn, `last_ts` of the last.
+    (conversation_id, ts, seq) are those of the first turn, `last_ts` of the
+    last. A run of more than `part_bytes` gives several turns, numbered by `part`.
     """
     lay = layout(turns, KEY, ORDER, rows_per_block, cold)
     lay = look_back(lay, 1, _previous=lambda w: F.lag("speaker").over(w))
-    lay = island_start(lay, ~F.coalesce(F.col("speaker") == F.col("_previous"), F.lit(False)), "_run")
+    begins = ~F.coalesce(F.col("speaker") == F.col("_previous"), F.lit(False))
+    lay = in_parts(island_start(lay, begins, "_run"), begins, "text", part_bytes)
     return (
-        lay.df.groupBy(*KEY, "_run")
+        lay.df.groupBy(*KEY, "_run", "part")
         .agg(
             F.any_value("speaker").alias("speaker"),
             _folded(ORDER, "text", "\n").alias("text"),
+            F.min(F.struct(*ORDER)).alias("_first"),
             F.max("ts").alias("last_ts"),
             F.count(F.lit(1)).alias("merged"),
         )
-        .select(*KEY, F.col("_run.ts").alias("ts"), F.col("_run.seq").alias("seq"), "speaker", "text", "last_ts", "merged")
+        .select(*KEY, F.col("_first.ts").alias("ts"), F.col("_first.seq").alias("seq"), "speaker", "text", "last_ts", "merged", "part")
     )
 
 
-def merge_utterances(segments: DataFrame, gap_ms: int = UTTERANCE_GAP_MS, rows_per_block: int | None = None) -> DataFrame:
+def merge_utterances(segments: DataFrame, gap_ms: int = UTTERANCE_GAP_MS, rows_per_block: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Segments of one speaker less than `gap_ms` apart become one utterance.
 
-    The gap is measured from the end of the segment just before.
+    The gap is measured from the end of the segment just before. An utterance of
+    more than `part_bytes` gives several rows, numbered by `part`.
     """
     order = ["start_ms", "segment_id"]
     lay = layout(segments, ["audio_ref"], order, rows_per_block)
@@ -65,17 +83,18 @@ def merge_utterances(segments: DataFrame, gap_ms: int = UTTERANCE_GAP_MS, rows_p
     joins = F.coalesce(
         (F.col("speaker") == F.col("_speaker")) & (F.col("start_ms") - F.col("_end") < gap_ms), F.lit(False)
     )
-    lay = island_start(lay, ~joins, "_utterance")
+    lay = in_parts(island_start(lay, ~joins, "_utterance"), ~joins, "text", part_bytes)
     return (
-        lay.df.groupBy("audio_ref", "_utterance")
+        lay.df.groupBy("audio_ref", "_utterance", "part")
         .agg(
             F.any_value("speaker").alias("speaker"),
             tx.strip(_folded(order, "text", " ")).alias("text"),
+            F.min(F.struct(*order)).alias("_first"),
             F.count(F.lit(1)).alias("merged"),
         )
         .where(F.col("text") != "")
-        .select("audio_ref", F.col("_utterance.start_ms").alias("start_ms"),
-                F.col("_utterance.segment_id").alias("segment_id"), "speaker", "text", "merged")
+        .select("audio_ref", F.col("_first.start_ms").alias("start_ms"),
+                F.col("_first.segment_id").alias("segment_id"), "speaker", "text", "merged", "part")
     )
 
 
@@ -461,9 +480,15 @@ def evidence_turns(turns: DataFrame, min_ms: int = 1000, budget_ms: int = 60_000
     return longest.withColumn("before_ms", F.coalesce(F.sum("length_ms").over(w), F.lit(0))).where(F.col("before_ms") < budget_ms)
 
 
-def folded_by_file(rows: DataFrame, key: str, order: list[str], text: str, separator: str = " ") -> DataFrame:
-    """One text for each file: its pieces in order, blank results dropped."""
+def folded_by_file(rows: DataFrame, key: str, order: list[str], text: str, separator: str = " ", rows_per_block: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One text for each file: its pieces in order, blank results dropped.
+
+    A file of more than `part_bytes` gives several texts, numbered by `part`.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    lay = running(layout(rows, [key], order, rows_per_block), size, "sum", "_upto")
+    parts = lay.done().withColumn("part", F.floor((F.col("_upto") - size) / part_bytes).cast("int"))
     return (
-        rows.groupBy(key).agg(tx.strip(_folded(order, text, separator)).alias("text"), F.count(F.lit(1)).alias("pieces"))
-        .where(F.col("text") != "")
+        parts.groupBy(key, "part").agg(tx.strip(_folded(order, text, separator)).alias("text"), F.count(F.lit(1)).alias("pieces"))
+        .where(F.col("text") != "").select(key, "text", "pieces", "part")
     )

@@ -41,7 +41,7 @@ g AS (SELECT *, sum(start) OVER (PARTITION BY audio_ref ORDER BY start_ms, segme
 SELECT audio_ref, min(start_ms) AS start_ms, arg_min(segment_id, (start_ms, segment_id)) AS segment_id, min(speaker) AS speaker,
  string_agg(text, ' ' ORDER BY start_ms, segment_id) AS text, count(*) AS merged FROM g GROUP BY audio_ref, u""")
 def w2(spark, folder):
-    return seq.merge_utterances(t.segments(spark, folder))
+    return seq.merge_utterances(t.segments(spark, folder)).drop("part")
 
 
 _SCENES = """lines AS (

@@ -162,12 +162,38 @@ def test_seeded_sample_is_whole_and_repeatable(spark):
     small = sel.seeded_sample(df, 60, 1, ["id"])
     sel_limit, sel.SORT_LIMIT_ROWS = sel.SORT_LIMIT_ROWS, 10
     try:
-        big = sel.seeded_sample(df, 60, 1, ["id"], rows_per_block=40)
+        big = sel.seeded_sample(df, 60, 1, ["id"])
         assert same(small, big) == 60
     finally:
         sel.SORT_LIMIT_ROWS = sel_limit
 
 
+def test_large_samples_and_budgets_equal_the_sorted_ones(spark):
+    df = spark.range(3000).selectExpr("id", "id % 900 AS twin")
+    digest = {r.id: r.d for r in df.select("id", sel.seeded(5, "twin").alias("d")).collect()}
+    for n in (1, 1500, 2999, 3000, 5000):
+        got = sorted(digest[r.id] for r in sel.seeded_sample(df, n, 5, ["twin"]).collect())
+        assert got == sorted(digest.values())[:n]
+    spent = sel.within_budget(df, ["id"], F.lit(2), 4000, 2)
+    assert [(r.id, r.used) for r in spent.orderBy("id").collect()] == [(i, 2 * i + 2) for i in range(2000)]
+
+
+def test_long_runs_and_files_come_in_parts(spark):
+    rows = [("hot", i, "me" if i < 900 else "other", f"text {i} " + "é" * (i % 7)) for i in range(1000)] + [(f"c{i}", j, "me", "a b") for i in range(20) for j in range(3)]
+    turns = spark.createDataFrame(rows, "conversation_id string, seq long, speaker string, text string").withColumn("ts", F.timestamp_seconds("seq"))
+    for block in (None, BLOCK_ROWS):
+        whole = {(r.conversation_id, r.speaker): r.text for r in seq.merge_runs(turns, block).collect()}
+        parts = sorted(map(tuple, seq.merge_runs(turns, block, part_bytes=500).select("conversation_id", "seq", "speaker", "part", "text").collect()))
+        assert max(len(p[4].encode()) for p in parts) < 520 and sum(p[0] == "hot" for p in parts) > 20
+        for key in whole:
+            assert "\n".join(p[4] for p in parts if (p[0], p[2]) == key) == whole[key]
+        files = sorted(map(tuple, seq.folded_by_file(turns, "conversation_id", ["ts", "seq"], "text", "|", block, 700).select("conversation_id", "part", "text").collect()))
+        assert "|".join(f[2] for f in files if f[0] == "hot") == "|".join(r[3] for r in rows[:1000]).strip() or len(files) > 20
+    segments = spark.createDataFrame([("r", i, 10 * i, 10 * i + 9, "me", f"word{i}") for i in range(300)], "audio_ref string, segment_id long, start_ms long, end_ms long, speaker string, text string")
+    said = sorted(map(tuple, seq.merge_utterances(segments, part_bytes=200).select("part", "start_ms", "text").collect()))
+    assert " ".join(x[2] for x in said) == " ".join(f"word{i}" for i in range(300)) and len(said) > 8
+
+
 def test_large_group_limits(turns):
     order = [F.col("ts").desc(), F.col("seq")]
     want = sel.top_per_group(turns, ["conversation_id"], 150, *order)
