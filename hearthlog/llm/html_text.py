@@ -25,8 +25,11 @@ SAMPLE_PAGES, SAMPLE_BYTES = 100, 1 << 18
 # Pages scored at once.
 PAGES_AT_ONCE = 256
 
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = set("script style title noscript template iframe object svg math select option optgroup button textarea datalist canvas audio video head".split())
+INLINE = set("""a abbr acronym audio b bdi bdo big br canvas circle cite code data defs del dfn ellipse em font g i iframe img ins kbd label line map mark math maction menclose merror mfenced mfrac mi
+    mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none object path polygon polyline q rect rp rt ruby s samp semantics
+    small span strike strong sub sup svg symbol text time tspan tt u use var video wbr""".split())
+# form controls and what is never shown; all else is for the model to judge
+SILENT = set("script style title template select option optgroup button textarea datalist head".split())
 RAW = {"script", "style"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 KINDS = {k: i for i, group in enumerate((
@@ -78,7 +81,7 @@ def parse(html: str | None) -> tuple[list[tuple], list[str | None]]:
     names, open_, kids = [""], [0], [0]
     held: list[str] = []
     linked = links = silent = 0
-    silent_name = ""
+    silent_name, inside = "", {}
 
     def node(kind: int, mask: int, size: int = 0, link: int = 0, points: int = 0, words: int = 0) -> int:
         up = open_[-1]
@@ -127,13 +130,20 @@ def parse(html: str | None) -> tuple[list[tuple], list[str | None]]:
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                 at = stop.end() if stop else len(html)
             elif not attributes.endswith("/"):
+                if not silent:
+                    inside = {}
                 if not silent or name == silent_name:
                     silent, silent_name = silent + 1, name
             continue
         if silent:
-            if ends or name in INLINE or name in VOID or silent_name in ("svg", "math", "object", "template", "noscript", "audio", "video", "iframe"):
+            if ends and inside.get(name):
+                inside[name] -= 1
                 continue
-            silent = 0  # a block begins where head, title or a control should have ended
+            if ends and name not in names or not ends and (name in INLINE or name in VOID or silent_name == "template"):
+                if not ends and name not in VOID:
+                    inside[name] = inside.get(name, 0) + 1
+                continue
+            silent = 0  # the parent ends, or a block begins where head, title or a control should have ended
         if name in INLINE:
             if name == "a":
                 links = max(0, links - 1) if ends else 1

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,6 @@ from ..session import checkpoint
 from .common import lookup, read
 from .url_filter import host_and_path
 
-LANGUAGES = ("de", "en", "es", "fr")
 # Labelled documents that the text model is fitted on, by language, chosen by hash.
 SAMPLE_DOCS = 300
 BUCKETS = 1 << 15
@@ -31,7 +31,15 @@ EVIDENCE = 60.0
 # Weight of the level above in a smoothed prior, and of uniform counts in a likelihood.
 SMOOTH, PRIOR_COUNT = 8.0, 1.0
 
-_DROPPED = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+# what is not closed reaches to the end, so that no opening is tried twice
+_DROPPED = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|</?[a-zA-Z!?][^>]*(?:>|\Z)", re.S | re.I)
+
+
+class TextModel(NamedTuple):
+    """Languages in order and their log-probabilities (languages, BUCKETS)."""
+
+    names: tuple[str, ...]
+    weights: np.ndarray
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -47,14 +55,16 @@ def visible(markup: str) -> str:
     return unescape(_DROPPED.sub(" ", markup))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Log-probabilities (languages, BUCKETS) from at most `sample` labelled documents of each language."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> TextModel:
+    """A model of the languages that the labels name, from at most `sample` labelled documents of each."""
+    named = docs.where((F.col(lang) != "") & F.col(key).isNotNull())
+    names = tuple(sorted(r[0] for r in named.select(lang).distinct().collect()))  # one row for a language
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    ids = docs.where(F.col(lang).isin(*LANGUAGES) & F.col(key).isNotNull()).select(lang, key).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    ids = named.select(lang, key).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
     rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(ids.select(key, F.col(lang).alias("lang"))), key)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {name: np.zeros(BUCKETS, np.int64) for name in LANGUAGES}
+        total = {name: np.zeros(BUCKETS, np.int64) for name in names}
         for batch in batches:
             for name, t in zip(batch["lang"], batch["text"]):
                 total[name] += trigram_counts(t)
@@ -62,16 +72,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             at = np.flatnonzero(t)
             yield pd.DataFrame({"lang": name, "bucket": at, "n": t[at]})
 
-    counts = np.full((len(LANGUAGES), BUCKETS), 0.5)
+    counts = np.full((len(names), BUCKETS), 0.5)
     sums = rows.select("lang", "text").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     for row in sums.toPandas().itertuples():  # at most BUCKETS rows a language
-        counts[LANGUAGES.index(row.lang), row.bucket] += row.n
-    return np.log(counts / counts.sum(1, keepdims=True))
+        counts[names.index(row.lang), row.bucket] += row.n
+    return TextModel(names, np.log(counts / counts.sum(1, keepdims=True)))
 
 
-def with_text_odds(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """`rows` (content, is_markup) with `ll`: tempered log-likelihoods by LANGUAGES; zeros where there is no text."""
-    weights = model.T.astype(np.float64)
+def with_text_odds(rows: DataFrame, model: TextModel) -> DataFrame:
+    """`rows` (content, is_markup) with `ll`: tempered log-likelihoods by language; zeros where there is no text."""
+    weights = model.weights.T.astype(np.float64)
 
     @pandas_udf("array<double>")
     def likelihoods(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -94,15 +104,15 @@ def _normal(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _tally(rows: DataFrame, key: str, name: str) -> DataFrame:
+def _tally(rows: DataFrame, key: str, name: str, languages: int) -> DataFrame:
     """Soft counts of each language by a key that is never null."""
-    sums = [F.sum(F.col("soft")[i]) for i in range(len(LANGUAGES))]
+    sums = [F.sum(F.col("soft")[i]) for i in range(languages)]
     return checkpoint(rows.groupBy(key).agg(F.array(*sums).alias(name), F.count("*").alias("n")))
 
 
-def fused(rows: DataFrame) -> DataFrame:
+def fused(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """Stored `rows` (ll, declared, suffix, host, domain; null where unknown) with lang, confidence, text_lang."""
-    n = len(LANGUAGES)
+    n = len(languages)
     for c in ("declared", "suffix", "host", "domain"):
         rows = rows.withColumn(f"__{c}", F.coalesce(c, F.lit("")))
     rows = checkpoint(rows.withColumn("soft", _normal(F.col("ll"))))
@@ -110,7 +120,7 @@ def fused(rows: DataFrame) -> DataFrame:
     whole = [everything[i] for i in range(n)]
     share = F.array(*[F.lit((w + 1.0) / (sum(whole) + n)) for w in whole])
     for c in ("declared", "suffix", "host", "domain"):
-        rows = lookup(rows, _tally(rows, f"__{c}", f"by_{c}"), [f"__{c}"], "n")
+        rows = lookup(rows, _tally(rows, f"__{c}", f"by_{c}", n), [f"__{c}"], "n")
     kinds = {c: rows.select(F.col(f"__{c}")).distinct().count() + 1 for c in ("declared", "suffix")}
 
     def others(c: str) -> Column:
@@ -129,7 +139,7 @@ def fused(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("declaration", likelihood("declared")).withColumn("address", likelihood("suffix"))
     logs = F.array(*[F.col("ll")[i] + F.log(F.col("prior")[i]) + F.col("declaration")[i] + F.col("address")[i] for i in range(n)])
     rows = rows.withColumn("posterior", _normal(logs))
-    names = F.array(*[F.lit(x) for x in LANGUAGES])
+    names = F.array(*[F.lit(x) for x in languages])
     best = lambda p: names[F.array_position(p, F.array_max(p)).cast("int") - 1]
     return (rows.withColumn("lang", best(F.col("posterior"))).withColumn("confidence", F.array_max("posterior"))
             .withColumn("text_lang", F.when(F.array_max("ll") < 0, best(F.col("ll")))))
@@ -155,13 +165,19 @@ def document_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
 def identified(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """One row for every document and page: kind, doc_id, page_id, lang, confidence, text_lang, declared, suffix, host.
 
-    Null and empty texts are judged by the other evidence alone. Without any,
-    the most frequent language stands. Repeated rows get a row each; ties go
-    to the first of LANGUAGES. Columns not named are not read.
+    The languages are those that `lang` of the documents names. Null and empty
+    texts are judged by the other evidence alone. Without any, the most frequent
+    language stands. Repeated rows get a row each; ties go to the first language
+    in alphabetical order. Without a labelled document lang and text_lang are
+    null. Columns not named are not read.
     """
     model = fit(docs)
+    if not model.names:
+        rows = document_rows(docs).unionByName(page_rows(pages))
+        none = F.lit(None).cast("string")
+        return rows.select("kind", "doc_id", "page_id", none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), "declared", "suffix", "host")
     rows = checkpoint(with_text_odds(document_rows(docs).unionByName(page_rows(pages)), model))
-    return fused(rows).select("kind", "doc_id", "page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "host")
+    return fused(rows, model.names).select("kind", "doc_id", "page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "host")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
