@@ -1,7 +1,7 @@
 """Table upkeep on plain parquet: insert-or-ignore, upserts, slices, marks.
 
-A change is computed as a new DataFrame; `publish` writes it as the table's next
-version, so a lost executor or a failed job leaves the old one.
+A change is computed as a new DataFrame; `buckets.change` writes only the hash
+buckets that it touches.
 """
 from __future__ import annotations
 
@@ -132,31 +132,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(make(path))
 
 
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """Folders of the complete versions of the table at `path`, oldest first."""
-    fs, make = _fs(spark, path)
-    if not fs.exists(make(path)):
-        return []
-    folders = [str(f.getPath()) for f in fs.listStatus(make(path))]
-    return sorted(f for f in folders if fs.exists(make(f"{f}/_SUCCESS")))
-
-
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The last complete version of the table at `path`."""
-    return spark.read.parquet(versions(spark, path)[-1])
-
-
-def publish(df: DataFrame, path: str) -> None:
-    """Write `df` as the next version of the table at `path`; `df` may read from earlier ones.
-
-    A version counts once its job has ended, so readers see the old table or
-    the new one; what a failed attempt left is overwritten by the next.
-    """
-    done = versions(df.sparkSession, path)
-    number = int(done[-1].rpartition("-")[2]) + 1 if done else 0
-    df.write.mode("overwrite").parquet(f"{path}/version-{number:09d}")
-
-
 def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     writer = df.write.mode("append")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import moods as md
+from ..operators import moods as md, tables as tb
 from ..session import scratch_dir
 from ..sources import tables as t
 from ..streaming import streams as st
@@ -26,6 +26,16 @@ def st1(spark, folder):
     return spark.read.parquet(path).select("conversation_id", "seq", "speaker", F.md5("text").alias("text_md5"))
 
 
+@query("st1_claimed_ingest", f"""
+WITH {q.MESSAGES} SELECT conversation_id, seq, speaker, md5(text) AS text_md5 FROM messages""")
+def st1_claimed(spark, folder):
+    path, state = st.fresh_paths(spark, "claimed")
+    for again in ("", "-again"):  # the second run finds every file done
+        stream = st.read_table_stream(spark, folder, "conversations").select("*", F.col("_metadata.file_path").alias("file"))
+        st.ingest_claimed(stream, lambda rows: tb.insert_messages(t.as_messages(rows.drop("file")), path), path + "-ledger", state + again)
+    return spark.read.parquet(path).select("conversation_id", "seq", "speaker", F.md5("text").alias("text_md5"))
+
+
 @query("st2_stream_dedup", f"""
 WITH {q.EVENT_TURNS} SELECT conversation_id, min(seq) AS seq FROM turns GROUP BY source, conversation_id, ts, speaker_name, text""")
 def st2(spark, folder):

@@ -4,13 +4,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths, text as tx, times
-from ..operators import feedback as fb, tables as tb
+from ..operators import buckets as bk, feedback as fb, tables as tb
 from ..session import scratch_dir
 from ..sources import chat, documents as docs, files, tables as t
 from . import sql as q
 from .catalog import query
 from .queries_functions import AS_OF, OWNERS, _PATHS, _SUFFIX, _paths
 
+BUCKETS = 16  # of tables that a query makes and changes
+
 # ---- scans -----------------------------------------------------------------------
 
 
@@ -86,6 +88,30 @@ def sc5(spark, folder):
     return files.unseen(d, manifest).select("path")
 
 
+@query("sc5_file_hashes", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, sha256(string_agg(props || chr(10), '' ORDER BY event_id)) AS sha256 FROM events GROUP BY 1""")
+def sc5_hashes(spark, folder):
+    """A file for each day of events, hashed where it lies."""
+    e = t.table(spark, folder, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", F.col("props").alias("value"))
+    path = scratch_dir(spark, "days")
+    e.repartition("day").sortWithinPartitions("day", "event_id").select("day", "value").write.partitionBy("day").text(path)
+    hashed = files.file_hashes(files.listing(spark, path, ["txt"]))
+    return hashed.select(F.regexp_extract("path", "day=([0-9-]+)/", 1).alias("day"), "sha256")
+
+
+@query("sc3_listings", """
+SELECT 'audio' AS kind, count(DISTINCT CASE WHEN user_id % 2 = 0 THEN user_id END) AS files FROM events
+UNION ALL SELECT 'video', count(DISTINCT CASE WHEN user_id % 2 = 1 THEN user_id END) FROM events""")
+def sc3_listings(spark, folder):
+    """Audio and video files that are written first, a folder for each user; only names are read."""
+    e = t.table(spark, folder, "events").groupBy("user_id").agg(F.max("props").alias("value"))
+    path = scratch_dir(spark, "media")
+    for rest, suffix in ((0, "m4a"), (1, "mp4")):
+        e.where(F.col("user_id") % 2 == rest).repartition(4, "user_id").write.option("extension", suffix).partitionBy("user_id").csv(f"{path}/{suffix}")
+    count = lambda df, kind: df.agg(F.count("*").alias("files")).select(F.lit(kind).alias("kind"), "files")
+    return count(files.audio_files(spark, path), "audio").unionByName(count(files.video_files(spark, path), "video"))
+
+
 @query("sc6_profile_facts", """
 WITH s AS (SELECT n_name, s_name, s_suppkey, s_acctbal FROM supplier JOIN nation ON n_nationkey = s_nationkey)
 SELECT s_name || ' is a supplier. How I talk to them: politely. Typical topics: ' || n_name || ', money' AS text, s_name AS counterpart FROM s
@@ -180,14 +206,13 @@ def sk3(spark, folder):
     e = t.table(spark, folder, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("item_count"), F.struct("ts", "event_id").alias("at"))
     is_before = (F.col("item_count") % 2 == 0) & (F.col("path") % 2 == 0)  # the paths of the others are new
     before, results = e.where(is_before), e.where(~is_before)
-    path = scratch_dir(spark, "manifest")
-    tb.publish(tb.upserted(before.limit(0), before, ["path"], "at"), path)
-    stored = tb.current(spark, path)
-    claims = tb.claimed(stored, results, "path", "item_count").withColumn("at", F.lit(None).cast(stored.schema["at"].dataType))
-    tb.publish(stored.unionByName(claims), path)  # claimed before any file is worked on
+    path, keys = scratch_dir(spark, "manifest"), ["path"]
+    bk.create(tb.upserted(before.limit(0), before, keys, "at"), path, keys, BUCKETS)
+    claims = tb.claimed(bk.read(spark, path), results, "path", "item_count").withColumn("at", F.lit(None).cast(e.schema["at"].dataType))
+    bk.change(spark, path, keys, BUCKETS, claims, lambda rows, new: rows.unionByName(new))  # claimed before any file is worked on
     for _ in range(2):  # the same results a second time change nothing
-        tb.publish(tb.upserted(tb.current(spark, path), results, ["path"], "at"), path)
-    return tb.current(spark, path).select("path", "item_count")
+        bk.change(spark, path, keys, BUCKETS, results, lambda rows, new: tb.upserted(rows, new, keys, "at"))
+    return bk.read(spark, path).select("path", "item_count")
 
 
 @query("sk4_upsert_digest", """
@@ -286,12 +311,11 @@ def sk9(spark, folder):
     d = t.table(spark, folder, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 2 == 1, "before").alias("indexed_at"), F.col("source").alias("person"))
     labels = t.table(spark, folder, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("person"))
-    path = scratch_dir(spark, "marks")
-    tb.publish(d, path)
+    path, keys = scratch_dir(spark, "marks"), ["doc_id"]
+    bk.create(d, path, keys, BUCKETS)
     for when in ("now", "later"):  # marks that are there stay
-        table = tb.marked(tb.current(spark, path), labels, ["doc_id"], "indexed_at", F.lit(when))
-        tb.publish(tb.assigned(table, labels, ["doc_id"], "person"), path)
-    return tb.current(spark, path).select("doc_id", "indexed_at", "person")
+        bk.change(spark, path, keys, BUCKETS, labels, lambda rows, new: tb.assigned(tb.marked(rows, new, keys, "indexed_at", F.lit(when)), new, keys, "person"))  # noqa: B023
+    return bk.read(spark, path).select("doc_id", "indexed_at", "person")
 
 
 @query("sk10_resets", f"""
@@ -368,9 +392,9 @@ def sk14(spark, folder):
     raw = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(". "), F.lit(".  "))).otherwise(F.col("text"))
     d = t.table(spark, folder, "documents").select("doc_id", raw.alias("text"))
     path = scratch_dir(spark, "texts")
-    tb.publish(d.withColumn("changed", F.lit(False)), path)
+    keys = ["doc_id"]
+    bk.create(d.withColumn("changed", F.lit(False)), path, keys, BUCKETS)
     for _ in range(2):  # the second pass finds nothing to change
-        table = tb.current(spark, path)
-        changed = tb.changed_rows(table, {"text": tx.squeeze_pairs(F.col("text"))}).withColumn("changed", F.lit(True))
-        tb.publish(tb.rewritten(table, changed, "doc_id"), path)
-    return tb.current(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "changed")
+        changed = tb.changed_rows(bk.read(spark, path), {"text": tx.squeeze_pairs(F.col("text"))}).withColumn("changed", F.lit(True))
+        bk.change(spark, path, keys, BUCKETS, changed, lambda rows, new: tb.rewritten(rows, new, "doc_id"))
+    return bk.read(spark, path).select("doc_id", F.md5("text").alias("text_md5"), "changed")

@@ -83,6 +83,51 @@ def ingest(stream: DataFrame, path: str, state: str) -> None:
     run_batches(stream, state, handle)
 
 
+# states of a file in the ledger, the last to come counts
+CLAIMED, ALONE, ASIDE, DONE = 1, 2, 3, 4
+
+
+def ledger_states(spark: SparkSession, ledger: str) -> DataFrame:
+    """file, state of every file the ledger names."""
+    if not tb.exists(spark, ledger):
+        return spark.createDataFrame([], "file string, state int")
+    return spark.read.parquet(ledger).groupBy("file").agg(F.max("state").alias("state"))
+
+
+def ingest_claimed(stream: DataFrame, work: Callable[[DataFrame], None], ledger: str, state: str) -> None:
+    """`work` on the rows of each new file of a file stream, with a ledger of claims.
+
+    `stream` has the column `file` (`_metadata.file_path`). A batch claims its
+    files before the work and closes the claims after it. If the work died, the
+    next start finds open claims and gives those files to the work one by one;
+    a file that dies alone is set aside at the start after that, and the stream
+    goes on without it. Work must bear repetition, as in any batch that is
+    tried again.
+    """
+
+    def note(files: DataFrame, what: int, batch: int) -> None:
+        files.select("file", F.lit(batch).alias("batch"), F.lit(what).alias("state"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(ledger)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        files = batch.select("file").distinct().join(ledger_states(spark, ledger), "file", "left")
+        known = checkpoint(files)
+        fresh = known.where("state IS NULL").select("file")
+        open_ones = [r["file"] for r in known.where(F.col("state") == CLAIMED).orderBy("file").collect()]  # files of one trigger
+        note(known.where(F.col("state") == ALONE), ASIDE, number)
+        for file in open_ones:
+            one = known.where(F.col("file") == file).select("file")
+            note(one, ALONE, number)
+            work(batch.where(F.col("file") == file))
+            note(one, DONE, number)
+        if not fresh.isEmpty():
+            note(fresh, CLAIMED, number)
+            work(batch.join(F.broadcast(fresh), "file", "left_semi"))  # files of one trigger
+            note(fresh, DONE, number)
+
+    run_batches(stream, state, handle)
+
+
 def deduplicated(messages: DataFrame, ts: str = "ts", delay: str = "7 days") -> DataFrame:
     """First row of each content hash within the watermark delay."""
     return tb.with_hash(messages).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"])

@@ -1,12 +1,15 @@
 """Operators without SQL twins against plain loops on small fixtures."""
+import math
 import random
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthlog.operators import clustering as cl, joins, retrieval as rt, sequence as seq, tables as tb
+from hearthlog.operators import clustering as cl, joins, retrieval as rt, sequence as seq, tables as tb, terms
 from hearthlog.plans import training
 from hearthlog.sources import chat, documents as docs
 from hearthlog.streaming import streams as st
@@ -84,8 +87,37 @@ def test_dense_and_keyword_do_not_depend_on_passes(spark):
         ok = [r[0] for r in rows if i != 2 or r[5] < datetime(2018, 1, 1)]
         sims = sorted(((-round(1 - float(((v[j] - v[i]) ** 2).sum()), 9), j) for j in ok))[:9]
         assert [x[1] for x in sorted((x for x in dense if x[0] == i), key=lambda x: x[3])] == [j for _, j in sims]
-    kw = sorted(tuple(r) for r in rt.keyword_top(q, m, 9).collect())
-    assert kw == sorted(tuple(r) for r in rt.keyword_top(q, m, 9, per_pass=3).collect()) and kw
+
+
+def bm25(rows, asked, allowed, k):
+    """Best (score, id) of one query by a plain loop over all texts."""
+    words = {r[0]: re.findall(r"\w+", r[2].lower()) for r in rows}
+    mean = sum(map(len, words.values())) / len(rows)
+    df = Counter(w for ws in words.values() for w in set(ws))
+    score = lambda ws: sum(math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in set(asked.lower().split()) if w in ws)
+    found = [(-round(score(words[r[0]]), 9), r[0]) for r in rows if allowed(r)]
+    return sorted(x for x in found if x[0] < 0)[:k]
+
+
+@pytest.mark.parametrize("halves, seed_rows", [(False, 0), (True, 8)])
+def test_keyword_search_equals_a_plain_loop(spark, monkeypatch, halves, seed_rows):
+    monkeypatch.setattr(terms, "SEED_ROWS", seed_rows)
+    monkeypatch.setattr(terms, "BLOCK_BITS", 3)
+    rows, m = memories(spark)
+    extra = [(1000 + i, None, "rare%d train river" % (i % 4), "diary", "s", datetime(2016, 1, 1), "c", "", "public") for i in range(60)]
+    rows, m = rows + extra, m.unionByName(spark.createDataFrame(extra, m.schema))
+    asked = [(0, "rare1 train", None, None, None), (1, "College trip photo", None, datetime(2016, 6, 1), None), (2, "train river exam", datetime(2015, 6, 1), None, ["diary", "photo"]), (3, "unknown words", None, None, None), (4, "", None, None, None)]
+    q = spark.createDataFrame(asked, "query_id long, text string, lo timestamp, hi timestamp, kinds array<string>")
+    table = rt.term_table(m.where("memory_id % 3 = 0")) if halves else None
+    if halves:
+        table.append(m)
+        table.append(m)  # nothing is new
+    got = {}
+    for r in rt.keyword_top(q, m, 5, table).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.memory_id))
+    for query_id, text, lo, hi, kinds in asked:
+        allowed = lambda r: (lo is None or r[5] >= lo) and (hi is None or r[5] < hi) and (kinds is None or r[3] in kinds)  # noqa: B023, E731
+        assert sorted(got.get(query_id, [])) == bm25(rows, text, allowed, 5)
 
 
 def test_diversify_matches_greedy_loop(spark):
@@ -270,17 +302,10 @@ def test_spoken_turns_match_a_plain_loop(spark, tmp_path):
     assert sorted(map(tuple, run().collect())) == sorted(want)  # a turn open at the cut goes on
 
 
-def test_table_upkeep(spark, tmp_path):
+def test_table_upkeep(spark):
     a = spark.createDataFrame([(1, "x", 1), (2, "y", 1)], "k int, v string, t int")
     b = spark.createDataFrame([(2, "z", 1), (3, "w", 0), (2, "old", 0)], "k int, v string, t int")
     assert sorted(map(tuple, tb.upserted(a, b, ["k"], "t").collect())) == [(1, "x", 1), (2, "z", 1), (3, "w", 0)]
-    path = str(tmp_path / "table")
-    tb.publish(a, path)
-    tb.publish(tb.current(spark, path).where("k = 2"), path)  # reads the version before
-    (tmp_path / "table" / "version-000000002").mkdir()  # an attempt that failed
-    assert [r["k"] for r in tb.current(spark, path).collect()] == [2] and len(tb.versions(spark, path)) == 2
-    tb.publish(a, path)
-    assert tb.current(spark, path).count() == 2
     assert [tuple(r) for r in tb.claimed(a, b, "k", "t").collect()] == [(3, -1)]
     assert sorted(map(tuple, tb.rewritten(a, b.where("v = 'z'"), "k").collect())) == [(1, "x", 1), (2, "z", 1)]
 
