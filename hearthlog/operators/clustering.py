@@ -155,6 +155,89 @@ def _pivot_table(sample: np.ndarray, angle: float, rows: int, most: int) -> np.n
     return sample[:best]
 
 
+SIGNATURES, SIGNATURE_BITS, PER_ROUND = 24, 62, 6
+
+
+def signature_links(vectors: DataFrame, threshold: float, signatures: int = SIGNATURES, chunk_rows: int = CHUNK_ROWS, per_round: int = PER_ROUND) -> DataFrame:
+    """(src, dst) links of pairs with cosine >= threshold, nearly enough to connect what all such pairs connect.
+
+    For wide angles, where `similar_links` must let every cell meet every other.
+    Each of `signatures` rounds of random hyperplanes gives a row a bit string;
+    rows sorted by it lie near rows at small angles, and stretches of `chunk_rows`
+    rows, half overlapping, are compared. So a round moves and compares a row a
+    fixed number of times, whatever the table's size, and equal strings fill no
+    single task. After every `per_round` signatures what is connected is
+    contracted, and rows of one group are not compared again. Every link is
+    verified; a pair whose signatures keep apart in all rounds may be missed, and
+    a table of at most `chunk_rows` rows misses none.
+    """
+    spark = vectors.sparkSession
+    same = checkpoint(vectors.groupBy("vector").agg(F.min("id").alias("_rep")))
+    copies = vectors.join(same, "vector").where(F.col("id") != F.col("_rep")).select(F.col("_rep").alias("src"), F.col("id").alias("dst"))
+    items = same.select(F.col("_rep").alias("id"), "vector")
+    first = items.select(F.size("vector").alias("n")).first()
+    if first is None:
+        return copies
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in ("src", "dst")])
+    state, found = items.withColumn("label", F.col("id")), copies
+    for begin in range(0, signatures, per_round):
+        planes = np.random.default_rng(begin).normal(size=(per_round, first["n"], SIGNATURE_BITS))
+
+        def placed(frames: Iterator[pd.DataFrame], planes=planes) -> Iterator[pd.DataFrame]:
+            weights = 1 << np.arange(SIGNATURE_BITS, dtype=np.int64)
+            for pdf in frames:
+                if len(pdf):
+                    v = _unit_rows(pdf["vector"])
+                    for number, plane in enumerate(planes):
+                        yield pd.DataFrame({"number": number, "signature": ((v @ plane > 0) @ weights), "id": pdf["id"], "label": pdf["label"], "vector": list(v)})
+
+        def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: pd.DataFrame | None = None
+            for pdf in frames:
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+                while len(held) >= 2 * chunk_rows:
+                    yield _spanning(held[:chunk_rows], threshold)
+                    held = held[chunk_rows // 2:]
+            while held is not None and len(held):
+                yield _spanning(held[:chunk_rows], threshold)
+                held = held[chunk_rows // 2:] if len(held) > chunk_rows else None
+
+        rows = state.mapInPandas(placed, "number int, signature long, id long, label long, vector array<double>")
+        dealt = rows.repartitionByRange(parts if state.count() * per_round > parts * chunk_rows else per_round, "number", "signature", "id").sortWithinPartitions("number", "signature", "id")
+        new = checkpoint(dealt.mapInPandas(compared, kind).distinct())
+        found = found.unionByName(new)
+        if begin + per_round < signatures:
+            labels = connected_components(state.select("id"), checkpoint(found))
+            state = checkpoint(items.join(labels.withColumnRenamed("component", "label"), "id"))
+    return found
+
+
+def _spanning(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links between rows of one signature that connect their groups as all close pairs would."""
+    out: list[tuple[int, int]] = []
+    for _, pdf in rows.groupby("number"):
+        ids, labels = pdf["id"].to_numpy(), pdf["label"].to_numpy()
+        if (labels == labels[0]).all():
+            continue
+        v = np.stack(pdf["vector"].to_numpy())
+        a, b = np.nonzero(np.triu(np.round(v @ v.T, 9) >= threshold, 1) & (labels[:, None] != labels[None, :]))
+        root = {x: x for x in labels.tolist()}
+
+        def find(x: int, root=root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, j in zip(a.tolist(), b.tolist()):
+            p, q = find(int(labels[i])), find(int(labels[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(ids[i]), int(ids[j])))
+    return pd.DataFrame(out, columns=["src", "dst"], dtype=np.int64)
+
+
 def connected_components(ids: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the links.
 

@@ -119,7 +119,20 @@ def v4(spark, folder):
     return out.select("query_id", "key", F.round("similarity", 6).alias("similarity"), F.round("rrf", 9).alias("rrf"))
 
 
-@query("v5_diversified")
+@query("v5_diversified", f"""
+WITH RECURSIVE {q.MEMORIES}, {CENTROIDS},
+scored AS (SELECT CAST(c.label AS BIGINT) AS query_id, memory_id, m.vector::DOUBLE[] AS v, round(list_cosine_similarity(c.vector, m.vector::DOUBLE[]), 9) AS score FROM centroids c JOIN memories m ON m.vector IS NOT NULL),
+cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) - 1 AS pos FROM scored QUALIFY pos < 48),
+alike AS MATERIALIZED (SELECT a.query_id, a.pos AS i, b.pos AS j, list_cosine_similarity(a.v, b.v) AS s FROM cand a JOIN cand b USING (query_id)),
+walk AS (SELECT query_id, 1 AS k, [0::BIGINT] AS picked FROM cand WHERE pos = 0
+ UNION ALL SELECT query_id, k + 1, list_append(picked, best) FROM (
+  SELECT query_id, k, picked, arg_max(pos, (value, -pos)) AS best FROM (
+   SELECT w.query_id, w.k, w.picked, c.pos, round(c.score - 0.45 * max(a.s), 12) AS value FROM walk w JOIN cand c ON c.query_id = w.query_id AND NOT list_contains(w.picked, c.pos)
+   JOIN alike a ON a.query_id = w.query_id AND a.i = c.pos AND list_contains(w.picked, a.j) WHERE w.k < 8 GROUP BY w.query_id, w.k, w.picked, c.pos, c.score)
+  GROUP BY query_id, k, picked)),
+last AS (SELECT query_id, arg_max(picked, k) AS picked FROM walk GROUP BY query_id),
+picks AS (SELECT query_id, unnest(picked) AS pos, CAST(generate_subscripts(picked, 1) AS INTEGER) AS pick FROM last)
+SELECT query_id, memory_id, pick FROM picks JOIN cand USING (query_id, pos)""")
 def v5(spark, folder):
     m = t.memories(spark, folder)
     d = rt.dense_top(label_queries(spark, folder).drop("lo", "hi"), m, 48, "cosine")

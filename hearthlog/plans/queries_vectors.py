@@ -39,16 +39,25 @@ def a12(spark, folder):
 SIMILAR = 0.45
 
 
-@query("j10_similarity_components", f"""
+_COMPONENTS = f"""
 WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 links AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM e a JOIN e b ON a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.v, b.v), 9) >= {SIMILAR}),
 reach AS (SELECT vec_id AS id, vec_id AS root FROM e UNION SELECT l.dst, r.root FROM reach r JOIN links l ON l.src = r.id WHERE r.root < l.dst)
-SELECT id, min(root) AS component FROM reach GROUP BY id""")
+SELECT id, min(root) AS component FROM reach GROUP BY id"""
+
+
+@query("j10_similarity_components", _COMPONENTS)
 def j10(spark, folder):
     e = t.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return cl.connected_components(e, cl.similar_links(e, SIMILAR))
 
 
+@query("j10_signature_components", _COMPONENTS)  # the same groups where the table fits a stretch
+def j10_signatures(spark, folder):
+    e = t.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return cl.connected_components(e, cl.signature_links(e, SIMILAR))
+
+
 def _leaders(test: str) -> str:
     """Leaders one row after another in id order, then every row to its nearest."""
     return f"""
