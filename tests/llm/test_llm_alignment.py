@@ -9,7 +9,6 @@ import pytest
 import sentencepiece
 from hearthlog.llm import alignment
 from hearthlog.llm.perfect_hash import PerfectHash
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
