@@ -2,7 +2,6 @@
 import hashlib
 import os
 
-import pytest
 from hearthlog.operators import buckets as bk, tables as tb
 from hearthlog.sources import files
 from hearthlog.streaming import streams as st
