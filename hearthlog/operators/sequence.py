@@ -316,9 +316,9 @@ def context_candidates(
 
 
 def first_with_cap(
-    candidates: DataFrame, key: str, group: str, order: list[str], cap: int, may_fill: bool = True
+    candidates: DataFrame, key: str, group: str, order: list[str], cap: int | None, may_fill: bool = True
 ) -> tuple[DataFrame, DataFrame | None]:
-    """First row of each key, taking the groups in turn, each stopping at `cap` kept rows.
+    """First row of each key, taking the groups in turn, each stopping at `cap` kept rows, if there is a cap.
 
     Keys met after a group stopped stay free for later groups. Each round finds
     who owns each key, cuts the groups that reached the cap and frees what lay
@@ -327,7 +327,7 @@ def first_with_cap(
     `may_fill=False` says that no group has `cap` candidates.
     """
     turn = [F.col(group), *[F.col(c) for c in order]]
-    if not may_fill or not has_hot_keys(candidates, [group], cap - 1):
+    if cap is None or not may_fill or not has_hot_keys(candidates, [group], cap - 1):
         return first_wins(candidates, [key], *turn), None
     ids = checkpoint(candidates.select(key, group, *order))
     here = F.struct(*order)

@@ -11,7 +11,7 @@ from ..session import checkpoint
 
 def candidates_with_drops(
     messages: DataFrame, exclude_sources: list[str] = ("video",), context_turns: int = seq.CONTEXT_TURNS,
-    min_words: int = seq.MIN_WORDS, max_words: int = seq.MAX_WORDS, cap: int = seq.CONVERSATION_CAP,
+    min_words: int = seq.MIN_WORDS, max_words: int = seq.MAX_WORDS, cap: int | None = seq.CONVERSATION_CAP,
     rows_per_block: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(candidates, kept, cuts): every owner turn with its drop reason, the first of
@@ -24,7 +24,7 @@ def candidates_with_drops(
 
 def candidates(
     messages: DataFrame, exclude_sources: list[str] = ("video",), context_turns: int = seq.CONTEXT_TURNS,
-    min_words: int = seq.MIN_WORDS, max_words: int = seq.MAX_WORDS, cap: int = seq.CONVERSATION_CAP,
+    min_words: int = seq.MIN_WORDS, max_words: int = seq.MAX_WORDS, cap: int | None = seq.CONVERSATION_CAP,
     rows_per_block: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """(owner turns with context and drop reason, whether a conversation can reach the cap).
@@ -40,11 +40,11 @@ def candidates(
     merged = seq.merge_runs(rows, rows_per_block, cold)
     return (
         seq.context_candidates(merged, context_turns, min_words, max_words, rows_per_block, cold),
-        (largest[1] or 0) >= cap,
+        cap is not None and (largest[1] or 0) >= cap,
     )
 
 
-def example_drops(messages: DataFrame, cap: int = seq.CONVERSATION_CAP, **options) -> DataFrame:
+def example_drops(messages: DataFrame, cap: int | None = seq.CONVERSATION_CAP, **options) -> DataFrame:
     """Drop counts of a build; works on the keys and reasons of the candidates only."""
     cands, may_fill = candidates(messages, cap=cap, **options)
     narrow = checkpoint(cands.select("conversation_id", *seq.ORDER, "pair_key", "drop_reason"))
