@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check_oracle import compare
+from hearthlog.operators import clustering as cl
 from hearthlog.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
@@ -31,3 +32,9 @@ def test_drop_counts_of_a_long_conversation(spark, tmp_path):
 
 def test_examples_of_a_long_conversation(spark, tmp_path):
     assert against_sql(spark, tmp_path, "sft_examples", documents=long_conversation(spark)).startswith("ok")
+
+
+def test_owner_among_clusters_in_equally_many_calls(spark):
+    rows = [(1, 200, [0.0, 1.0]), (7, 200, [1.0, 0.0]), (8, 150, [1.0, 0.0])]
+    clusters = spark.createDataFrame(rows, "leader int, calls long, vector array<double>")
+    assert cl.pick_owner(clusters, 200, [1.0, 0.0]).first()["leader"] == 7
