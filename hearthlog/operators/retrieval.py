@@ -85,14 +85,18 @@ class _Keeper:
         self.k = k
         self.ids = [np.empty(0, np.int64) for _ in range(n)]
         self.scores = [np.empty(0) for _ in range(n)]
+        self.floor = np.full(n, -np.inf)  # what a row needs to be kept
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: rows x queries; -inf where a row is not eligible."""
         scores = np.round(scores, _SCORE_DIGITS)
-        for q in range(scores.shape[1]):
+        top = scores.max(axis=0, initial=-np.inf)
+        for q in np.flatnonzero((top >= self.floor) & (top > -np.inf)).tolist():
             s, i = np.concatenate([self.scores[q], scores[:, q]]), np.concatenate([self.ids[q], ids])
             keep = _best(s, i, self.k)
             self.scores[q], self.ids[q] = s[keep], i[keep]
+            if len(keep) == self.k:
+                self.floor[q] = s[keep[-1]]
 
     def frame(self, query_ids: list[int]) -> pd.DataFrame:
         counts = [len(i) for i in self.ids]
@@ -108,7 +112,8 @@ def _eligible(pdf: pd.DataFrame, limits: list[tuple]) -> np.ndarray:
     ts = pdf["_ts"].to_numpy(np.float64)
     lo = np.array([-np.inf if w[0] is None else w[0] for w in limits])
     hi = np.array([np.inf if w[1] is None else w[1] for w in limits])
-    ok = (ts[:, None] >= lo) & (ts[:, None] < hi)
+    # a row without a time lies in no window, but a query without one takes it
+    ok = ((ts[:, None] >= lo) | (lo == -np.inf)) & ((ts[:, None] < hi) | (hi == np.inf))
     for q, (_, _, kinds) in enumerate(limits):
         if kinds is not None:
             ok[:, q] &= pdf["kind"].isin(list(kinds)).to_numpy()

@@ -2,22 +2,29 @@
 
 A batch of memories is read once. Its postings lie in folders by a hash of the
 term; the postings of a term are cut into blocks by memory number, so a common
-term is many rows, each with the largest count and the least length in it.
+term is many rows. Memories travel once, to the task of their block, which counts.
 Document frequencies and totals are kept by batch and summed by a search, so an
 append reads nothing but its own rows.
 
-A search scores the rarest terms of each query first. What the k-th best row has
-by then is a floor. Terms that could not reach it together are not followed to
-new rows: only rows that other terms found, and that can still reach the floor,
-are looked up in them, in the blocks they lie in.
+A search takes a batch of queries at a time. The postings of their terms come
+together by block of memory numbers, a block is scored for all queries in one
+product of matrices, and a task hands on the best rows of each query alone. So
+what is shuffled is the postings of the terms asked for, once for a batch, and
+never a row for each query and memory that share a term.
 """
 from __future__ import annotations
 
+import math
 import uuid
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import checkpoint, small_side
+from ..session import checkpoint
 from .select import top_per_group
 
 # ---- fixed values ----
@@ -28,8 +35,9 @@ BM25_K1, BM25_B = 1.2, 0.75
 FOLDERS = 32  # folders by hash of the term
 BLOCK_BITS = 10  # a block spans 2 ** BLOCK_BITS memory numbers
 ROWS_PER_FILE = 2_000_000
-SEED_ROWS = 8  # rows that the terms of the first round have for each row asked for
-SCORE_DIGITS = 9  # scores are compared at this precision so that ties are ties
+ROWS_PER_BATCH = 10_000
+TERMS_PER_PRODUCT = 512  # terms that a block is scored for at a time
+SEED_ROWS = 8  # not read any more; tests set it
 
 
 def term_text(text: Column) -> Column:
@@ -45,9 +53,34 @@ def _folder(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
-def _gain(tf: Column, length: Column, mean: float) -> Column:
+def _gain(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     """What a term adds to a score but for its rarity."""
-    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * ((1 - BM25_B) + BM25_B * length / F.lit(mean)))
+    return tf * (BM25_K1 + 1) / (tf + BM25_K1 * ((1 - BM25_B) + BM25_B * length / mean))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of each block of memories, which come block by block."""
+    found: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    last = None
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        names = list(found)
+        for at in range(0, len(names), ROWS_PER_BATCH):
+            some = names[at:at + ROWS_PER_BATCH]
+            held = [found[w] for w in some]
+            lists = [pa.array([[p[i] for p in ps] for ps in held], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([last] * len(some), pa.int64()), pa.array(list(map(len, held)), pa.int64()), *lists],
+                                             names=["term", "block", "n", "ids", "tf", "length"])
+        found.clear()
+
+    for batch in batches:
+        for number, text, length, block in zip(*(batch.column(c).to_pylist() for c in ("memory_id", "text", "length", "block"))):
+            if block != last:
+                yield from rows()
+                last = block
+            for word, n in Counter(text.split(" ")).items():
+                found[word].append((number, n, length))
+    yield from rows()
 
 
 class TermTable:
@@ -72,23 +105,21 @@ class TermTable:
 
     def append(self, memories: DataFrame) -> None:
         """Add the memories (memory_id, text) that the table does not have; rows that repeat an id in one batch count once."""
-        new = memories.select("memory_id", terms(F.coalesce("text", F.lit(""))).alias("words")).dropDuplicates(["memory_id"])
+        new = memories.select("memory_id", term_text(F.coalesce("text", F.lit(""))).alias("text")).dropDuplicates(["memory_id"])
         if (held := self._read("lengths")) is not None:
             new = new.join(held.select("memory_id"), "memory_id", "left_anti")
         batch = uuid.uuid4().hex
-        new = checkpoint(new.select("memory_id", "words", F.size("words").alias("length")))
+        length = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " ")))
+        new = checkpoint(new.select("memory_id", "text", length.alias("length"), F.shiftright("memory_id", BLOCK_BITS).alias("block")))
         new.select("memory_id", "length").write.parquet(f"{self.path}/lengths/batch={batch}")
-        postings = new.select("memory_id", "length", F.explode("words").alias("term")).groupBy("term", "memory_id", "length").agg(F.count("*").cast("int").alias("tf"))
-        numbers = new.agg(F.count("*").alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+        numbers = new.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         files = max(1, numbers["words"] // ROWS_PER_FILE // FOLDERS)
-        block = F.shiftright("memory_id", BLOCK_BITS)
-        placed = postings.select("*", _folder(F.col("term")).alias("folder"), block.alias("block"))
-        placed = placed.withColumn("file", F.pmod(F.xxhash64("term", "block"), F.lit(files)).cast("int"))
-        blocks = (placed.repartition(FOLDERS * files, "folder", "file").groupBy("folder", "file", "term", "block")
-                  .agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"), F.collect_list(F.struct("memory_id", "tf", "length")).alias("items")))
-        blocks.drop("file").sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{self.path}/blocks/batch={batch}")
-        stored = self.spark.read.parquet(f"{self.path}/blocks/batch={batch}") if numbers["words"] else blocks.drop("file")
-        (stored.groupBy("folder", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.min("shortest").alias("shortest"))
+        blocks = new.where("length > 0").repartition("block").sortWithinPartitions("block").mapInArrow(
+            _blocks, "term string, block long, n long, ids array<long>, tf array<int>, length array<int>")
+        placed = blocks.withColumn("folder", _folder(F.col("term"))).repartition(FOLDERS * files, "folder", F.pmod(F.xxhash64("term", "block"), F.lit(files)))
+        placed.sortWithinPartitions("folder", "term", "block").write.partitionBy("folder").parquet(f"{self.path}/blocks/batch={batch}")
+        stored = self.spark.read.parquet(f"{self.path}/blocks/batch={batch}") if numbers["words"] else placed
+        (stored.groupBy("folder", "term").agg(F.sum("n").alias("df"))
          .repartition(FOLDERS, "folder").sortWithinPartitions("term").write.parquet(f"{self.path}/terms/batch={batch}"))
         # a batch counts from here on
         new.agg(F.count("*").alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).write.parquet(f"{self.path}/totals/batch={batch}")
@@ -101,68 +132,84 @@ class TermTable:
     def _within(self, kind: str, folders: list[int]) -> DataFrame:
         return self._read(kind).where(F.col("folder").isin(folders))
 
-    def top(self, queries: DataFrame, eligible: DataFrame, fetch: int) -> DataFrame:
+    def top(self, queries: DataFrame, eligible: DataFrame, fetch: int, per_pass: int | None = None) -> DataFrame:
         """query_id, memory_id, score, rank (from 0): best BM25 matches with a score above 0 among `eligible`.
 
         `queries`: query_id, text and optional lo, hi, kinds; `eligible`: memory_id,
         ts, kind. Frequencies describe the whole table, whatever is eligible.
         """
+        from .retrieval import QUERIES_PER_PASS, _chunks, _union, _with_limits
+
         rows, words = self.totals()
-        asked = checkpoint(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).withColumn("folder", _folder(F.col("term"))))
-        folders = [r[0] for r in asked.select("folder").distinct().collect()]  # at most FOLDERS
-        if not rows or not folders:
-            return self.spark.createDataFrame([], "query_id long, memory_id long, score double, rank int")
-        mean = words / rows
-        known = self._within("terms", folders).groupBy("folder", "term").agg(F.sum("df").alias("df"), F.max("most").alias("most"), F.min("shortest").alias("shortest"))
-        rarity = F.log(1.0 + (F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        found = known.join(small_side(asked), ["folder", "term"]).withColumn("rarity", rarity)
-        found = found.withColumn("bound", F.col("rarity") * _gain(F.col("most"), F.col("shortest"), mean))
-        of_query = Window.partitionBy("query_id")
-        rare_first = of_query.orderBy(F.col("bound").desc(), "term")
-        onward = rare_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        weights = checkpoint(found.select("query_id", "folder", "term", "rarity", F.sum("bound").over(onward).alias("reach"),
-                                          F.coalesce(F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before")))
-        allowed = self._allowed(queries, eligible)
-
-        def gathered(some: DataFrame) -> DataFrame:
-            """Score so far of every eligible row that holds one of the terms."""
-            blocks = self._within("blocks", folders).select("folder", "term", F.explode("items").alias("i"))
-            parts = blocks.join(small_side(some), ["folder", "term"]).select("query_id", F.col("i.memory_id").alias("memory_id"), (F.col("rarity") * _gain(F.col("i.tf"), F.col("i.length"), mean)).alias("part"))
-            return allowed(parts.groupBy("query_id", "memory_id").agg(F.sum("part").alias("part")))
-
-        seeds = gathered(weights.where(F.col("rows_before") < SEED_ROWS * fetch))
-        kth = top_per_group(seeds, ["query_id"], fetch, F.col("part").desc()).groupBy("query_id").agg(F.count("*").alias("n"), F.min("part").alias("kth"))
-        floor = small_side(checkpoint(kth.where(F.col("n") >= fetch).select("query_id", (F.col("kth") - 1e-8).alias("floor"))))
-        marked = checkpoint(weights.join(floor, "query_id", "left").withColumn("leads", F.col("reach") >= F.coalesce("floor", F.lit(0.0))))
-        others = marked.where("NOT leads")
-        left = small_side(others.groupBy("query_id").agg(F.max("reach").alias("reach"), F.first("floor").alias("floor")))
-        first = checkpoint(gathered(marked.where("leads")).join(left, "query_id", "left").where(F.col("floor").isNull() | (F.col("part") + F.col("reach") >= F.col("floor"))).select("query_id", "memory_id", "part"))
-        wanted = first.withColumn("block", F.shiftright("memory_id", BLOCK_BITS)).join(small_side(others.select("query_id", "folder", "term", "rarity")), "query_id")
-        by_block = self._within("blocks", folders).select("folder", "term", "block", "items").join(small_side(wanted), ["folder", "term", "block"])
-        # arrays of a block are in no order, so the item is filtered out
-        item = F.get(F.filter("items", lambda i: i["memory_id"] == F.col("memory_id")), F.lit(0))
-        late = by_block.withColumn("i", item).where(F.col("i").isNotNull()).select("query_id", "memory_id", (F.col("rarity") * _gain(F.col("i.tf"), F.col("i.length"), mean)).alias("part"))
-        score = first.unionByName(late).groupBy("query_id", "memory_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
-        best = top_per_group(score.where("score > 0"), ["query_id"], fetch, F.col("score").desc(), F.col("memory_id"))
+        asked = _with_limits(queries).withColumn("_words", F.array_distinct(terms(F.coalesce("text", F.lit("")))))
+        parts = []
+        if words:
+            for chunk in _chunks(asked, ["query_id", "_words", "_lo", "_hi", "kinds"], per_pass or QUERIES_PER_PASS):
+                parts.append(self._scored(chunk, eligible, fetch, rows, words / rows))
+        best = top_per_group(_union(parts, self.spark), ["query_id"], fetch, F.col("score").desc(), F.col("memory_id"))
         return best.select("query_id", "memory_id", "score", (F.col("rank") - 1).alias("rank"))
 
-    @staticmethod
-    def _allowed(queries: DataFrame, eligible: DataFrame):
-        """Keeps the (query_id, memory_id) rows that lie in the query's half-open window and kinds."""
-        limits = [c for c in ("lo", "hi", "kinds") if c in queries.columns]
-        own = queries.select("query_id", *limits)
-
-        def keep(found: DataFrame) -> DataFrame:
-            if not limits:
-                return found.join(eligible.select("memory_id"), "memory_id", "left_semi")
-            rows = found.join(eligible.select("memory_id", "ts", "kind"), "memory_id").join(small_side(own), "query_id")
-            inside = F.lit(True)
-            if "lo" in limits:
-                inside &= F.col("lo").isNull() | (F.col("ts") >= F.col("lo"))
-            if "hi" in limits:
-                inside &= F.col("hi").isNull() | (F.col("ts") < F.col("hi"))
-            if "kinds" in limits:
-                inside &= F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind"))
-            return rows.where(inside).select("query_id", "memory_id", "part")
-
-        return keep
+    def _scored(self, chunk: list, eligible: DataFrame, fetch: int, rows: int, mean: float) -> DataFrame:
+        """query_id, memory_id, score: the `fetch` best of each task for the queries of one batch."""
+        from .retrieval import _PARTIAL, _eligible, _Keeper
+
+        spark = self.spark
+        column = {w: i for i, w in enumerate(sorted({w for r in chunk for w in r["_words"]}))}
+        names = spark.createDataFrame(list(column.items()), "term string, column int").withColumn("folder", _folder(F.col("term")))
+        folders = [r[0] for r in names.select("folder").distinct().collect()]  # at most FOLDERS
+        known = self._within("terms", folders).join(F.broadcast(names), ["folder", "term"]).groupBy("column").agg(F.sum("df").alias("df")).collect()  # terms of the batch
+        rarity = {r["column"]: math.log(1.0 + (rows - r["df"] + 0.5) / (r["df"] + 0.5)) for r in known}
+        weights = np.zeros((len(column), len(chunk)))
+        for q, r in enumerate(chunk):
+            for w in r["_words"]:
+                weights[column[w], q] = rarity.get(column[w], 0.0)
+        batch = spark.sparkContext.broadcast(([r["query_id"] for r in chunk], weights, [(r["_lo"], r["_hi"], r["kinds"]) for r in chunk]))
+        postings = self._within("blocks", folders).join(F.broadcast(names), ["folder", "term"]).select(
+            "block", "column", "ids", "tf", "length")
+        ts = F.unix_micros("ts") if "ts" in eligible.columns else F.lit(None).cast("long")
+        kind = F.col("kind") if "kind" in eligible.columns else F.lit(None).cast("string")
+        present = eligible.select("memory_id", ts.alias("ts"), kind.alias("kind")).groupBy(F.shiftright("memory_id", BLOCK_BITS).alias("block")).agg(F.collect_list(F.struct("memory_id", "ts", "kind")).alias("m"))
+        present = present.select("block", F.lit(-1).alias("column"), F.col("m.memory_id").alias("ids"), F.col("m.ts").alias("ts"), F.col("m.kind").alias("kind"))
+
+        def block_scores(of: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray] | None:
+            """Scores of a block's eligible rows (rows x queries, -inf where there is none) and their ids."""
+            _, weights, limits = batch.value
+            pdf = pd.concat(of, ignore_index=True)
+            own, found = pdf[pdf["column"] < 0], pdf[pdf["column"] >= 0]
+            if not len(own) or not len(found):
+                return None
+            ids, first = np.unique(np.concatenate(own["ids"].to_list()), return_index=True)
+            about = pd.DataFrame({"_ts": np.concatenate(own["ts"].to_list())[first], "kind": np.concatenate(own["kind"].to_list())[first]})
+            held = np.concatenate(found["ids"].to_list())
+            place = np.minimum(np.searchsorted(ids, held), len(ids) - 1)
+            here = ids[place] == held
+            used, at = np.unique(np.repeat(found["column"].to_numpy(), found["ids"].map(len))[here], return_inverse=True)
+            place = place[here]
+            gain = _gain(np.concatenate(found["tf"].to_list())[here].astype(np.float64), np.concatenate(found["length"].to_list())[here], mean)
+            order = np.argsort(at, kind="stable")
+            place, at, gain = place[order], at[order], gain[order]
+            scores = np.zeros((len(ids), weights.shape[1]))
+            for lo in range(0, len(used), TERMS_PER_PRODUCT):
+                p, q = np.searchsorted(at, (lo, lo + TERMS_PER_PRODUCT))
+                matrix = np.zeros((len(ids), min(TERMS_PER_PRODUCT, len(used) - lo)))
+                matrix[place[p:q], at[p:q] - lo] = gain[p:q]
+                scores += matrix @ weights[used[lo:lo + TERMS_PER_PRODUCT]]
+            scores[(scores <= 0) | ~_eligible(about, limits)] = -np.inf
+            return scores, ids
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked = batch.value[0]
+            keeper, of, last = _Keeper(len(asked), fetch), [], None
+            for pdf in frames:
+                for block, some in pdf.groupby("block"):
+                    if of and block != last:
+                        if (scored := block_scores(of)) is not None:
+                            keeper.add(*scored)
+                        of = []
+                    last = block
+                    of.append(some)
+            if of and (scored := block_scores(of)) is not None:
+                keeper.add(*scored)
+            yield keeper.frame(asked)
+
+        return postings.unionByName(present, allowMissingColumns=True).repartition("block").sortWithinPartitions("block").mapInPandas(run, _PARTIAL)

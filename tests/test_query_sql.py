@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from check_oracle import compare
-from hearthlog.operators import clustering as cl
+from hearthlog.operators import clustering as cl, retrieval as rt
 from hearthlog.plans import catalog
 
 duckdb = pytest.importorskip("duckdb")
@@ -38,3 +38,16 @@ def test_owner_among_clusters_in_equally_many_calls(spark):
     rows = [(1, 200, [0.0, 1.0]), (7, 200, [1.0, 0.0]), (8, 150, [1.0, 0.0])]
     clusters = spark.createDataFrame(rows, "leader int, calls long, vector array<double>")
     assert cl.pick_owner(clusters, 200, [1.0, 0.0]).first()["leader"] == 7
+
+
+def test_keyword_search_makes_no_row_for_each_query_and_memory(spark):
+    texts = [(i, f"common words w{i % 7} n{i}") for i in range(300)]
+    m = spark.createDataFrame(texts, "memory_id long, text string")
+    q = spark.createDataFrame([(i, f"common w{i}") for i in range(7)], "query_id long, text string")
+    table = rt.term_table(m)
+    found = table.top(q, m, 5, per_pass=3)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.memory_id)
+    assert got == {i: [i + 7 * k for k in range(5)] for i in range(7)}
