@@ -1,4 +1,5 @@
 """Queries against their SQL over small tables made to reach a limit or a tie."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,11 @@ def test_keyword_search_makes_no_row_for_each_query_and_memory(spark):
     for r in found.orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.memory_id)
     assert got == {i: [i + 7 * k for k in range(5)] for i in range(7)}
+
+
+def test_leaders_do_not_pass_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "id long, vector array<double>")
+    want = {tuple(r) for r in cl.leader_clusters(e, 0.9).collect()}
+    monkeypatch.setattr(type(e), "toPandas", lambda *_: pytest.fail("rows at the driver"))
+    assert {tuple(r) for r in cl.leader_clusters(e, 0.9, leaders_per_pass=7).collect()} == want
