@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import guard
 from ..operators import tables as tb
 from ..operators.moods import FRESH_MINUTES, MOODS, usable
-from ..session import checkpoint, scratch_dir, small_side
+from ..session import checkpoint, is_small, scratch_dir
 
 # ---- fixed values ----
 FRAME_MS, SPEECH_PROBABILITY = 32, 0.5
@@ -307,14 +307,14 @@ def next_starts(at: np.ndarray, wanted: np.ndarray, end: int) -> tuple[np.ndarra
 
 
 def long_stretch_starts(rows: DataFrame, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
-    """(session, part, at) of the turns of long stretches from their speech frames (session, part, at).
+    """The rows of `rows` (session, part, at and others), the speech frames of long stretches, that begin a turn.
 
     A turn's start fixes the next one: the first speech after it is full. A block
     of frames maps every place where a start may be wanted to the place where
     the next block is asked; the maps are composed along the stretch, and each
     block then follows its own turns. No task reads a whole stretch.
     """
-    width = turns_per_block * _LONGEST
+    width, names = turns_per_block * _LONGEST, rows.columns
     blocks = rows.withColumn("block", F.floor((F.col("at") - F.col("part")) / width).cast("long"))
     maps = "session long, part long, block long, places array<long>, asked array<long>"
 
@@ -336,11 +336,11 @@ def long_stretch_starts(rows: DataFrame, turns_per_block: int = TURNS_PER_BLOCK)
     def followed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         at = np.sort(pdf["at"].to_numpy(np.int64))
         _, starts = next_starts(at, np.array([pdf["entry"].iloc[0]], np.int64), key[1] + (key[2] + 1) * width)
-        return pd.DataFrame({"session": key[0], "part": key[1], "at": starts})
+        return pdf.loc[pdf["at"].isin(starts), names]
 
-    steps = blocks.groupBy("session", "part", "block").applyInPandas(mapped, maps)
+    steps = blocks.select("session", "part", "at", "block").groupBy("session", "part", "block").applyInPandas(mapped, maps)
     entries = steps.groupBy("session", "part").applyInPandas(composed, "session long, part long, block long, entry long")
-    return blocks.join(entries, ["session", "part", "block"]).groupBy("session", "part", "block").applyInPandas(followed, "session long, part long, at long")
+    return blocks.join(entries.hint("merge"), ["session", "part", "block"]).groupBy("session", "part", "block").applyInPandas(followed, rows.schema)
 
 
 def spoken_turns(frames: DataFrame, rows_per_block: int | None = None, turns_per_block: int = TURNS_PER_BLOCK) -> DataFrame:
@@ -358,20 +358,26 @@ def spoken_turns(frames: DataFrame, rows_per_block: int | None = None, turns_per
     lay = running(lay, F.when(speech, F.col("at")), "max", "_before", inclusive=False)
     begins = speech & (F.col("_before").isNull() | (F.col("at") - F.col("_before") > _QUIET))
     lay = running(running(lay, F.when(begins, F.col("at")), "max", "part"), speech.cast("long"), "sum", "said")
-    last = lay.done().groupBy("session").agg(F.max("at").alias("_frames"))
-    spoken = checkpoint(lay.done().where(speech).select("session", "part", "at", "frame", "said"))
-    stretches = checkpoint(spoken.groupBy("session", "part").agg(F.max("at").alias("_end"), F.max("said").alias("_said")))
+    last = frames.groupBy("session").agg(F.count(F.lit(1)).alias("_frames"))
+    path = scratch_dir(frames.sparkSession, "spoken")
+    lay.done().where(speech).select("session", "part", "at", "frame", "said").write.parquet(path)
+    spoken = frames.sparkSession.read.parquet(path)
+    stretches = checkpoint(spoken.groupBy("session", "part").agg(
+        F.min("frame").alias("frame"), F.min("said").alias("said"), F.max("at").alias("_end"), F.max("said").alias("_said")))
     is_long = F.col("_end") + _QUIET - F.col("part") >= _LONGEST
-    long_ones = small_side(stretches.where(is_long).select("session", "part"))
-    starts = stretches.where(~is_long).select("session", "part", F.col("part").alias("at")).unionByName(
-        long_stretch_starts(spoken.join(long_ones, ["session", "part"]).select("session", "part", "at"), turns_per_block))
-    turns = starts.join(spoken, ["session", "part", "at"]).join(stretches, ["session", "part"]).join(small_side(last), "session")
+    short = stretches.where(~is_long).withColumns({"at": F.col("part"), "_heard": F.col("_said") - F.col("said") + 1})
+    long_ones = stretches.where(is_long).drop("frame", "said")
+    # joins of many narrow rows are merged: small on disk, they would be large as a table at the driver
+    named = long_ones.select("session", "part")
+    in_long = spoken.join(F.broadcast(named) if is_small(named) else named.hint("merge"), ["session", "part"])
     ordered = Window.partitionBy("session", "part").orderBy("at")  # one row for a turn
-    heard = (F.coalesce(F.lead("said").over(ordered) - 1, F.col("_said")) - F.col("said") + 1) * FRAME_MS
+    heard = F.coalesce(F.lead("said").over(ordered) - 1, F.col("_said")) - F.col("said") + 1
+    followed = long_stretch_starts(in_long, turns_per_block).join(long_ones.hint("merge"), ["session", "part"]).withColumn("_heard", heard)
+    turns = short.unionByName(followed).join(last.hint("merge"), "session")
     quiet_end = F.col("_end") + _QUIET - F.col("at") + 1  # frames of a turn that silence ends
     by_silence = quiet_end <= _LONGEST
     length = F.when(by_silence, quiet_end).otherwise(_LONGEST)
-    turns = turns.select("session", F.col("frame").alias("first_frame"), length.cast("int").alias("frames"), heard.cast("int").alias("speech_ms"), by_silence.alias("_silence"), (F.col("at") + length - 1 <= F.col("_frames")).alias("_ended"))
+    turns = turns.select("session", F.col("frame").alias("first_frame"), length.cast("int").alias("frames"), (F.col("_heard") * FRAME_MS).cast("int").alias("speech_ms"), by_silence.alias("_silence"), (F.col("at") + length - 1 <= F.col("_frames")).alias("_ended"))
     return turns.where(F.col("_ended") & (~F.col("_silence") | (F.col("speech_ms") >= MIN_SPEECH_MS))).drop("_silence", "_ended")
 
 

@@ -48,3 +48,13 @@ def test_one_session_of_continuous_speech_is_spread(spark):
     blocks = df.selectExpr("session", "0L AS part", "frame AS at")
     starts = st.long_stretch_starts(blocks, 4)
     assert sorted(r["at"] for r in starts.collect()) == list(range(0, 60_000, st._LONGEST))
+
+
+def test_no_table_of_turns_is_broadcast(spark):
+    """However small they lie on disk, frames and turns are merged; only checked-small names of stretches are broadcast."""
+    rows = frames(3, 3, 3000, 0.1, 45)
+    out = st.spoken_turns(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, out.collect())) == plain(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]  # what ran, where it is adaptive
+    assert plan.count("BroadcastHashJoin") <= 2  # the long stretches, named for the maps and for the turns
