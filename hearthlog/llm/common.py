@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import checkpoint, is_small, scratch_dir
+from ..session import checkpoint, is_small, stored  # noqa: F401
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,13 +40,6 @@ def with_uid(df: DataFrame, bucket: str | None = None, rows_per_bucket: int = RO
     return df.withColumn(bucket, F.pmod(F.xxhash64("__uid"), F.lit(buckets)).cast("int"))
 
 
-def stored(df: DataFrame, name: str = "rounds") -> DataFrame:
-    """A small frame written and read. A checkpoint would keep its constraints, which multiply from round to round in the planner."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def ranked(df: DataFrame, keys: list[str], bucket: str, order: list, name: str) -> DataFrame:
     """Gapless ranks from 0 within `keys`, without one task for a key.
 
