@@ -76,3 +76,10 @@ def test_promoted_messages_of_segments_and_turns_without_length(spark, tmp_path)
     events = spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string, value double").select(
         "event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", F.lit('{"k": 1}').alias("props"))
     assert against_sql(spark, tmp_path, "v11_promoted_messages", events=events).startswith("ok")
+
+
+def test_promoted_messages_keep_repeated_texts(spark, tmp_path):
+    events = spark.range(12).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(600)).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"),
+        F.when(F.col("id") < 11, "view").otherwise("signup").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 98}').alias("props"))
+    assert against_sql(spark, tmp_path, "v11_promoted_messages", events=events).startswith("ok")
