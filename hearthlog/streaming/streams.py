@@ -256,6 +256,38 @@ def _step(state: tuple, frame: int, speech: bool) -> tuple[tuple, tuple | None]:
     return (first, collected, silence, spoken), None
 
 
+def _steps(state: tuple, frames: np.ndarray, speech: np.ndarray) -> tuple[tuple, list[tuple]]:
+    """`_step` over frames in order, turn by turn: next state, and the turns completed."""
+    first, collected, silence, spoken = state
+    n, i, done = len(frames), 0, []
+    said = np.concatenate(([0], np.cumsum(speech)))
+    spoke = np.flatnonzero(speech)
+    gaps = np.diff(np.append(spoke, n)) - 1
+    ends = spoke[gaps >= _QUIET] + _QUIET  # where silence that follows speech is long enough
+    while i < n:
+        if first < 0:
+            place = np.searchsorted(spoke, i)
+            if place == len(spoke):
+                break
+            i = int(spoke[place])
+            first, collected, silence, spoken = int(frames[i]), 0, 0, 0
+        quiet = i + _QUIET - silence // FRAME_MS - 1  # if no speech comes before
+        if said[min(quiet + 1, n)] > said[i]:
+            place = np.searchsorted(ends, i)
+            quiet = int(ends[place]) if place < len(ends) else n
+        end = min(quiet, i + _LONGEST - collected - 1)
+        last = min(end + 1, n)
+        spoken += int(said[last] - said[i]) * FRAME_MS
+        collected += last - i
+        if end >= n:
+            silence = (n - 1 - int(spoke[-1])) * FRAME_MS if said[n] > said[i] else silence + (n - i) * FRAME_MS
+            return (first, collected, silence, spoken), done
+        if end < quiet or spoken >= MIN_SPEECH_MS:
+            done.append((first, collected, spoken))
+        (first, collected, silence, spoken), i = _IDLE, end + 1
+    return (first, collected, silence, spoken), done
+
+
 class TurnDetector(StatefulProcessor):
     """Keeps the open turn of each session between micro-batches."""
 
@@ -263,15 +295,12 @@ class TurnDetector(StatefulProcessor):
         self._open = handle.getValueState("open", "first long, collected int, silence int, spoken int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
-        state = tuple(self._open.get()) if self._open.exists() else _IDLE
+        state = tuple(self._open.get() or _IDLE)
         frames = pd.concat(list(rows)).sort_values("frame")
-        done = []
-        for frame, p in zip(frames["frame"], frames["probability"]):
-            state, turn = _step(state, int(frame), p >= SPEECH_PROBABILITY)
-            if turn:
-                done.append((key[0], *turn))
-        self._open.update(tuple(int(x) for x in state))
-        yield pd.DataFrame(done, columns=TURN_SCHEMA.fieldNames())
+        after, done = _steps(state, frames["frame"].to_numpy(np.int64), frames["probability"].to_numpy() >= SPEECH_PROBABILITY)
+        if after != state:
+            self._open.update(tuple(int(x) for x in after))
+        yield pd.DataFrame([(key[0], *turn) for turn in done], columns=TURN_SCHEMA.fieldNames())
 
     def close(self) -> None:
         pass

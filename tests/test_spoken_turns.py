@@ -1,6 +1,7 @@
 """Endpointing of long sessions by composed block maps against the frame-by-frame machine."""
 import random
 
+import pandas as pd
 import pytest
 from hearthlog.streaming import streams as st
 
@@ -58,3 +59,32 @@ def test_no_table_of_turns_is_broadcast(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[0]  # what ran, where it is adaptive
     assert plan.count("BroadcastHashJoin") <= 2  # the long stretches, named for the maps and for the turns
+
+
+class Held:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("quiet, pause", [(0.0, 0), (0.3, 28), (0.1, 45), (0.5, 60), (0.9, 10), (0.97, 30)])
+@pytest.mark.parametrize("batch", [1, 7, 29, 500, 20_000])
+def test_the_stream_goes_from_turn_to_turn_and_not_from_frame_to_frame(monkeypatch, quiet, pause, batch):
+    rows = frames(11, 1, 4000, quiet, pause)
+    want = plain(rows)
+    monkeypatch.setattr(st, "_step", lambda *_: pytest.fail("a call for a frame"))
+    detector = st.TurnDetector()
+    detector._open, got = Held(), []
+    for at in range(0, len(rows), batch):
+        part = pd.DataFrame(rows[at:at + batch], columns=["session", "frame", "probability"])
+        for out in detector.handleInputRows((0,), iter([part]), None):
+            got += list(out.itertuples(index=False, name=None))
+    assert [tuple(map(int, r)) for r in got] == want
