@@ -288,6 +288,16 @@ def _steps(state: tuple, frames: np.ndarray, speech: np.ndarray) -> tuple[tuple,
     return (first, collected, silence, spoken), done
 
 
+def packed_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row (session, frames, speech) for each session of a batch of (session, frame, probability)."""
+    for pdf in batches:
+        if len(pdf):
+            order = np.argsort(pdf["session"].to_numpy(), kind="stable")
+            sessions, starts = np.unique(pdf["session"].to_numpy()[order], return_index=True)
+            speech = pdf["probability"].to_numpy()[order] >= SPEECH_PROBABILITY
+            yield pd.DataFrame({"session": sessions, "frames": np.split(pdf["frame"].to_numpy(np.int64)[order], starts[1:]), "speech": np.split(speech, starts[1:])})
+
+
 class TurnDetector(StatefulProcessor):
     """Keeps the open turn of each session between micro-batches."""
 
@@ -296,8 +306,10 @@ class TurnDetector(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         state = tuple(self._open.get() or _IDLE)
-        frames = pd.concat(list(rows)).sort_values("frame")
-        after, done = _steps(state, frames["frame"].to_numpy(np.int64), frames["probability"].to_numpy() >= SPEECH_PROBABILITY)
+        runs = pd.concat(list(rows))
+        frames, speech = np.concatenate(runs["frames"].to_list()), np.concatenate(runs["speech"].to_list())
+        order = np.argsort(frames, kind="stable")
+        after, done = _steps(state, frames[order], speech[order].astype(bool))
         if after != state:
             self._open.update(tuple(int(x) for x in after))
         yield pd.DataFrame([(key[0], *turn) for turn in done], columns=TURN_SCHEMA.fieldNames())
@@ -307,8 +319,11 @@ class TurnDetector(StatefulProcessor):
 
 
 def spoken_turns_stream(frames: DataFrame) -> DataFrame:
-    """Completed turns from (session, frame, probability); needs the RocksDB state store."""
-    return frames.groupBy("session").transformWithStateInPandas(
+    """Completed turns from (session, frame, probability); needs the RocksDB state store.
+
+    A session's frames of a batch of rows travel as one row, as the state's side takes rows one by one.
+    """
+    return frames.select("session", "frame", "probability").mapInPandas(packed_frames, "session long, frames array<long>, speech array<boolean>").groupBy("session").transformWithStateInPandas(
         statefulProcessor=TurnDetector(), outputStructType=TURN_SCHEMA, outputMode="Append", timeMode="None"
     )
 

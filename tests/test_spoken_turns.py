@@ -85,6 +85,8 @@ def test_the_stream_goes_from_turn_to_turn_and_not_from_frame_to_frame(monkeypat
     detector._open, got = Held(), []
     for at in range(0, len(rows), batch):
         part = pd.DataFrame(rows[at:at + batch], columns=["session", "frame", "probability"])
-        for out in detector.handleInputRows((0,), iter([part]), None):
+        (packed,) = st.packed_frames(iter([part]))
+        assert len(packed) == 1  # one row of a session for a batch
+        for out in detector.handleInputRows((0,), iter([packed]), None):
             got += list(out.itertuples(index=False, name=None))
     assert [tuple(map(int, r)) for r in got] == want
