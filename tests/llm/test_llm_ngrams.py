@@ -110,3 +110,26 @@ def test_elias_fano_gives_back_and_finds(values):
 def test_columns_come_back():
     columns = [np.array([], np.int64), np.array([0, 3, 255]), np.array([70_000, 1]), np.array([2 ** 64 - 1, 4], np.uint64)]
     assert [c.tolist() for c in ngram_trie._spread(ngram_trie._squeezed(columns))] == [c.tolist() for c in columns]
+
+
+@pytest.mark.parametrize("split_tokens, frequent", [(1, 1 << 18), (3, 1 << 18), (3, 4)])
+def test_parts_of_contexts_move_work_and_no_scores(spark, monkeypatch, split_tokens, frequent):
+    monkeypatch.setattr(ngram_trie, "SPLIT_TOKENS", split_tokens)
+    monkeypatch.setattr(ngram_trie, "COUNTED", 4)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in ODD], DOCS).repartition(3)
+    same(ngram_trie.scored(docs, shard_tokens=500, frequent_words=frequent).collect(), brute_force(ODD, 1 << 60, frequent))
+
+
+def test_documents_in_parts_equal_whole_contexts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_trie, "SPLIT_TOKENS", 20)
+    monkeypatch.setattr(ngram_trie, "CHUNK_BYTES", 100_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    same(ngram_trie.scored(docs, shard_tokens=2000).collect(), brute_force([(r.doc_id, r.text) for r in docs.collect()], 1 << 60))
+
+
+def test_a_context_of_many_tokens_is_one_context(spark):
+    # the digest of the word before each "the" tells the word after it
+    digit = lambda v: int(hashlib.md5(v.encode()).hexdigest()[:8], 16) % 2
+    rows = [(i, " ".join(f"{v} the w{digit(v)}" for v in (f"v{(1500 * i + j) % 499}" for j in range(1500)))) for i in range(200)]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], DOCS)
+    same(ngram_trie.scored(docs).collect(), brute_force(rows, 1 << 60))
