@@ -1,7 +1,11 @@
 """Near-duplicates by the share of word runs in common, exact at any threshold.
 
 Two texts link if their sets of runs of WORDS words have a Jaccard similarity
-of at least SHARE. Put in any one order, the first |x| - ceil(SHARE * |x|) + 1
+of at least SHARE. SimHash comes first: texts whose fingerprints are equal or
+differ in few bits, as `simhash` finds them, are compared by their whole sets and
+linked. Fingerprints of two linked texts may differ in more bits than can be
+searched for, so what they leave is found exactly, and pairs in one group are
+not compared again. Put in any one order, the first |x| - ceil(SHARE * |x|) + 1
 runs of two linked sets have one in common (prefix filter), so only texts that
 meet at such a run are compared, by their whole sets. The order decides the
 work, never the result: runs of a fixed part of the hash space come first, rare
@@ -33,6 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..session import checkpoint, small_side
+from . import simhash
 from .common import lookup, stored, whole, without
 from .simhash import components
 
@@ -145,9 +150,19 @@ def meetings(texts: DataFrame, words: int = WORDS, share: tuple[int, int] = SHAR
     return checkpoint(rows.join(met, "run").select("run", "node", "size", "bits", "pos", "home"))
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of (node, text): equal fingerprints with one of their nodes, and enough to connect those that differ in few bits."""
+    prints = checkpoint(simhash.fingerprints(texts, "node"))
+    firsts = checkpoint(prints.groupBy("fingerprint").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    equal = lookup(prints, firsts, ["fingerprint"], "n").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    node = lambda end: firsts.select(F.col("fingerprint").alias(end), F.col("first").alias(f"node_{end}"))
+    near = simhash.links(firsts.select("fingerprint")).join(node("a"), "a").join(node("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return equal.unionByName(near)
+
+
 def links(texts: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """Pairs (a, b) of nodes that are alike, enough to connect all that are; `texts` has one row (node, text) a node and gives the same rows when read twice."""
-    state = meetings(texts, words, share).withColumn("label", F.col("node"))
+    state = meetings(texts, words, share)
     sets = checkpoint(sets_of(texts.join(small_side(checkpoint(state.select("node").distinct())), "node", "left_semi"), words))
 
     @pandas_udf(T.BooleanType())
@@ -156,7 +171,19 @@ def links(texts: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE)
 
     differing = reduce(lambda x, y: x + y, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_a", F.lit(i)))) for i in range(BITMAP)])
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found, leaders = texts.sparkSession.createDataFrame([], "a long, b long"), LEADERS
+
+    def alike_ones(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a")
+                .join(sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b"))
+        return both.where(verified("runs_a", "runs_b"))
+
+    def joined(new: DataFrame) -> DataFrame:
+        ends = stored(new.select(F.explode(F.array("a", "b")).alias("label")).distinct().select(F.col("label").alias("node"), F.col("label").alias("rank")))
+        return components(ends, new).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+
+    found, leaders = stored(alike_ones(fingerprint_pairs(texts)).select("a", "b")), LEADERS
+    state = state.join(small_side(joined(found)), state["node"] == F.col("label"), "left").select(
+        "run", "node", "size", "bits", "pos", "home", F.coalesce("joined", "node").alias("label"))
     while True:
         of_run = Window.partitionBy("run")
         ends = [F.min("label").over(of_run).alias("low"), F.max("label").over(of_run).alias("high"), F.max("home").over(of_run).alias("any_home")]
@@ -174,14 +201,10 @@ def links(texts: DataFrame, words: int = WORDS, share: tuple[int, int] = SHARE)
         low = F.col("a") < F.col("node")
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.when(low, F.col("label_a")).otherwise(F.col("label")).alias("label_a"),
                              F.when(low, F.col("label")).otherwise(F.col("label_a")).alias("label_b")).distinct()
-        both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a")
-                .join(sets.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b"))
         # a label is a node of its group, so links of labels connect the same groups
-        new = both.where(verified("runs_a", "runs_b")).select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
+        new = alike_ones(pairs).select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).distinct()
         new = stored(new)
-        ends = stored(new.select(F.explode(F.array("a", "b")).alias("label")).distinct().select(F.col("label").alias("node"), F.col("label").alias("rank")))
-        joined = components(ends, new).select(F.col("node").alias("label"), F.col("label").alias("joined"))
-        state = stored(live.where(F.col("turn") > leaders).join(joined, "label", "left")
+        state = stored(live.where(F.col("turn") > leaders).join(joined(new), "label", "left")
                         .select("run", "node", "size", "bits", "pos", "home", F.coalesce("joined", "label").alias("label")))
         found = found.unionByName(new)
         leaders *= MORE

@@ -102,3 +102,16 @@ def test_every_pair_of_a_whole_table_is_connected(spark):
     rows = list({" ".join((t or "").lower().split()): (k, t) for k, t in rows}.values())
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((r.doc_id, r.text) for r in similar.representatives(docs).collect()), key=str) == brute_force(rows)
+
+
+def test_fingerprints_bring_near_copies_together_before_runs_do(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(3000)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "more"])), (2, " ".join(rng.sample(words, 3000))), (3, " ".join(words).replace(" ", "\n"))]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    assert similar.simhash.fingerprint(rows[0][1]) == similar.simhash.fingerprint(rows[3][1])
+    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in similar.fingerprint_pairs(texts).collect()}
+    assert (0, 3) in pairs and pairs & {(0, 1), (1, 3)} and not any(2 in p for p in pairs)
+    asked = []
+    monkeypatch.setattr(similar, "fingerprint_pairs", lambda t, make=similar.fingerprint_pairs: asked.append(t) or make(t))
+    assert len(similar.links(texts).collect()) == 2 and asked
