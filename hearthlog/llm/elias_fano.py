@@ -55,7 +55,7 @@ class EliasFano:
         """Places of ascending `values` in a sequence without repeats, -1 for those it has not; chunk after chunk."""
         values, out = values.astype(np.uint64), np.full(len(values), -1, np.int64)
         of = np.searchsorted(self.firsts, values, "right") - 1
-        for number in np.unique(of[of >= 0]).tolist():
+        for number in of[np.flatnonzero(np.diff(of, prepend=-1))].tolist():  # ascending as well
             a, b = np.searchsorted(of, [number, number + 1])
             held = self.chunk(number)
             at = np.minimum(np.searchsorted(held, values[a:b]), len(held) - 1)

@@ -1,10 +1,12 @@
 """Scores against a plain model of dictionaries; Elias-Fano sequences against arrays."""
 import hashlib
 import math
+import pickle
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hearthlog.llm import elias_fano, ngram_trie
 
@@ -133,3 +135,35 @@ def test_a_context_of_many_tokens_is_one_context(spark):
     rows = [(i, " ".join(f"{v} the w{digit(v)}" for v in (f"v{(1500 * i + j) % 499}" for j in range(1500)))) for i in range(200)]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], DOCS)
     same(ngram_trie.scored(docs).collect(), brute_force(rows, 1 << 60))
+
+
+def test_counts_travel_in_few_bytes_and_come_back():
+    rng = np.random.default_rng(2)
+    words, counts = rng.permutation(100_000).astype(np.int64) << 40, np.append(rng.integers(0, 2000, 99_999), 1_700_000)
+    held = ngram_trie.Frequent(words, counts, 700_000, 5)
+    held.parts[7] = 9
+    raw = pickle.dumps(held)
+    assert len(raw) < 16 * len(words)  # every worker gets them with each of its tasks
+    back = pickle.loads(raw)
+    for name in ("words", "counts", "context_words", "context_counts", "parts"):
+        assert (getattr(back, name) == getattr(held, name)).all()
+
+
+def test_texts_come_to_workers_in_small_batches(spark, monkeypatch):
+    key, seen, counted = "spark.sql.execution.arrow.maxRecordsPerBatch", [], ngram_trie.vocabulary
+    monkeypatch.setattr(ngram_trie, "vocabulary", lambda rows: (seen.append(rows.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["key"]) for b in bs), "key long").agg({"key": "max"}).first()[0]), counted(rows))[1])
+    before = spark.conf.get(key)
+    rows = [(i, "a b") for i in range(5000)]
+    assert ngram_trie.scored(spark.createDataFrame([(k, t, "x") for k, t in rows], DOCS).coalesce(1)).count() == 5000
+    assert seen[0] <= 1000 and spark.conf.get(key) == before
+
+
+def test_blocks_have_every_word_and_every_row():
+    texts = ["", " \n", "A b\tÉ\x0bc ", "x\x85y\x00 z\x1cw", "  the The"] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[p:p + 4])], names=["text"]) for p in range(0, len(texts), 4)]
+    for most in (0, 1, 10, 1000):
+        got = []
+        for chunk in ngram_trie._chunks(iter(batches), "text", most):
+            known, tokens, starts = ngram_trie._flat(chunk.column("text"))
+            got += [[known[t] for t in tokens[p:q]] for p, q in zip(starts, [*starts[1:], len(tokens)])]
+        assert got == [[*t.encode().lower().split(), b""] for t in texts]
