@@ -114,9 +114,12 @@ def _eligible(pdf: pd.DataFrame, limits: list[tuple]) -> np.ndarray:
     hi = np.array([np.inf if w[1] is None else w[1] for w in limits])
     # a row without a time lies in no window, but a query without one takes it
     ok = ((ts[:, None] >= lo) | (lo == -np.inf)) & ((ts[:, None] < hi) | (hi == np.inf))
+    asked: dict[tuple, list[int]] = {}
     for q, (_, _, kinds) in enumerate(limits):
         if kinds is not None:
-            ok[:, q] &= pdf["kind"].isin(list(kinds)).to_numpy()
+            asked.setdefault(tuple(kinds), []).append(q)
+    for kinds, of in asked.items():
+        ok[:, of] &= pdf["kind"].isin(list(kinds)).to_numpy()[:, None]
     return ok
 
 

@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint
@@ -36,7 +36,10 @@ FOLDERS = 32  # folders by hash of the term
 BLOCK_BITS = 10  # a block spans 2 ** BLOCK_BITS memory numbers
 ROWS_PER_FILE = 2_000_000
 ROWS_PER_BATCH = 10_000
+BYTES_PER_BLOCK = 64 << 20  # text whose postings are made at a time
 TERMS_PER_PRODUCT = 512  # terms that a block is scored for at a time
+RARE = 32  # a term is added pair by pair if fewer than 1 / RARE of a block's (row, question) pairs share it
+PAIRS_AT_A_TIME = 1 << 20
 SEED_ROWS = 8  # not read any more; tests set it
 
 
@@ -59,30 +62,75 @@ def _gain(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of each block of memories, which come block by block."""
-    found: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-    last = None
+    """The postings of each block of memories, which come block by block; a block of much text is several rows for a term."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
 
     def rows() -> Iterator[pa.RecordBatch]:
-        names = list(found)
-        for at in range(0, len(names), ROWS_PER_BATCH):
-            some = names[at:at + ROWS_PER_BATCH]
-            held = [found[w] for w in some]
-            lists = [pa.array([[p[i] for p in ps] for ps in held], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([last] * len(some), pa.int64()), pa.array(list(map(len, held)), pa.int64()), *lists],
-                                             names=["term", "block", "n", "ids", "tf", "length"])
-        found.clear()
+        if not held:
+            return
+        some = pa.concat_batches(held)
+        held.clear()
+        words = pc.split_pattern(some.column("text").cast(pa.string()), " ")
+        found = words.flatten().dictionary_encode()
+        n = some.num_rows
+        of = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        pairs, tf = np.unique(found.indices.to_numpy().astype(np.int64) * n + of, return_counts=True)
+        starts = np.flatnonzero(np.diff(pairs // n, prepend=-1))  # every word occurs
+        offsets, row = np.append(starts, len(pairs)).astype(np.int32), pairs % n
+        ids, length = (some.column(c).to_numpy(zero_copy_only=False)[row] for c in ("memory_id", "length"))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, kind)) for v, kind in ((ids, pa.int64()), (tf, pa.int32()), (length, pa.int32()))]
+        out = pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.full(len(starts), last), pa.int64()), pa.array(np.diff(offsets), pa.int64()), *lists],
+                                         names=["term", "block", "n", "ids", "tf", "length"])
+        for at in range(0, len(starts), ROWS_PER_BATCH):
+            yield out.slice(at, ROWS_PER_BATCH)
 
     for batch in batches:
-        for number, text, length, block in zip(*(batch.column(c).to_pylist() for c in ("memory_id", "text", "length", "block"))):
-            if block != last:
+        block = batch.column("block").to_numpy()
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        for p, q in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+            if block[p] != last or size > BYTES_PER_BLOCK:
                 yield from rows()
-                last = block
-            for word, n in Counter(text.split(" ")).items():
-                found[word].append((number, n, length))
+                size, last = 0, int(block[p])
+            held.append(batch.slice(p, q - p))
+            size += int(pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0)
     yield from rows()
 
 
+def _products(place: np.ndarray, term: np.ndarray, gain: np.ndarray, rows: int, weights: np.ndarray, asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rows x questions: the sum of gain * weight over the postings (row, term, gain) of a block.
+
+    Terms that many pairs share make a product of matrices, all others are added
+    pair by pair. `asked`: the questions of each term, term after term, and where a term's begin.
+    """
+    question, begin = asked
+    questions, of = weights.shape[1], np.diff(begin)
+    order = np.argsort(term, kind="stable")
+    place, term, gain = place[order], term[order], gain[order]
+    shared = np.bincount(term, minlength=len(of)) * of * RARE >= rows * questions
+    often = shared[term]
+    scores = np.zeros((rows, questions))
+    used, at = np.unique(term[often], return_inverse=True)
+    p, g = place[often], gain[often]
+    for lo in range(0, len(used), TERMS_PER_PRODUCT):
+        a, b = np.searchsorted(at, (lo, lo + TERMS_PER_PRODUCT))
+        matrix = np.zeros((rows, min(TERMS_PER_PRODUCT, len(used) - lo)))
+        matrix[p[a:b], at[a:b] - lo] = g[a:b]
+        scores += matrix @ weights[used[lo:lo + TERMS_PER_PRODUCT]]
+    place, term, gain = place[~often], term[~often], gain[~often]
+    ends = np.cumsum(of[term])
+    a = 0
+    while a < len(term):
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + PAIRS_AT_A_TIME, "right")))
+        n = of[term[a:b]]
+        src = np.repeat(np.arange(a, b), n)
+        q = question[np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n) + begin[term[src]]]
+        scores += np.bincount(place[src] * questions + q, gain[src] * weights[term[src], q], rows * questions).reshape(rows, questions)
+        a = b
+    return scores
+
+
 class TermTable:
     """The term table of a folder; appends make batches, a search sees all of them."""
 
@@ -159,11 +207,14 @@ class TermTable:
         folders = [r[0] for r in names.select("folder").distinct().collect()]  # at most FOLDERS
         known = self._within("terms", folders).join(F.broadcast(names), ["folder", "term"]).groupBy("column").agg(F.sum("df").alias("df")).collect()  # terms of the batch
         rarity = {r["column"]: math.log(1.0 + (rows - r["df"] + 0.5) / (r["df"] + 0.5)) for r in known}
-        weights = np.zeros((len(column), len(chunk)))
-        for q, r in enumerate(chunk):
-            for w in r["_words"]:
-                weights[column[w], q] = rarity.get(column[w], 0.0)
-        batch = spark.sparkContext.broadcast(([r["query_id"] for r in chunk], weights, [(r["_lo"], r["_hi"], r["kinds"]) for r in chunk]))
+        questions: dict[frozenset, int] = {}  # queries that differ in their limits alone are one
+        number = np.array([questions.setdefault(frozenset(r["_words"]), len(questions)) for r in chunk], np.int64)
+        weights, has = np.zeros((len(column), len(questions))), np.zeros((len(column), len(questions)), bool)
+        for words, q in questions.items():
+            for w in words:
+                weights[column[w], q], has[column[w], q] = rarity.get(column[w], 0.0), True
+        asked = np.nonzero(has)[1], np.append(0, np.cumsum(has.sum(axis=1)))
+        batch = spark.sparkContext.broadcast(([r["query_id"] for r in chunk], weights, [(r["_lo"], r["_hi"], r["kinds"]) for r in chunk], number, asked))
         postings = self._within("blocks", folders).join(F.broadcast(names), ["folder", "term"]).select(
             "block", "column", "ids", "tf", "length")
         ts = F.unix_micros("ts") if "ts" in eligible.columns else F.lit(None).cast("long")
@@ -173,7 +224,7 @@ class TermTable:
 
         def block_scores(of: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray] | None:
             """Scores of a block's eligible rows (rows x queries, -inf where there is none) and their ids."""
-            _, weights, limits = batch.value
+            _, weights, limits, number, asked = batch.value
             pdf = pd.concat(of, ignore_index=True)
             own, found = pdf[pdf["column"] < 0], pdf[pdf["column"] >= 0]
             if not len(own) or not len(found):
@@ -183,17 +234,9 @@ class TermTable:
             held = np.concatenate(found["ids"].to_list())
             place = np.minimum(np.searchsorted(ids, held), len(ids) - 1)
             here = ids[place] == held
-            used, at = np.unique(np.repeat(found["column"].to_numpy(), found["ids"].map(len))[here], return_inverse=True)
-            place = place[here]
+            term = np.repeat(found["column"].to_numpy(), found["ids"].map(len))[here]
             gain = _gain(np.concatenate(found["tf"].to_list())[here].astype(np.float64), np.concatenate(found["length"].to_list())[here], mean)
-            order = np.argsort(at, kind="stable")
-            place, at, gain = place[order], at[order], gain[order]
-            scores = np.zeros((len(ids), weights.shape[1]))
-            for lo in range(0, len(used), TERMS_PER_PRODUCT):
-                p, q = np.searchsorted(at, (lo, lo + TERMS_PER_PRODUCT))
-                matrix = np.zeros((len(ids), min(TERMS_PER_PRODUCT, len(used) - lo)))
-                matrix[place[p:q], at[p:q] - lo] = gain[p:q]
-                scores += matrix @ weights[used[lo:lo + TERMS_PER_PRODUCT]]
+            scores = _products(place[here], term, gain, len(ids), weights, asked)[:, number]
             scores[(scores <= 0) | ~_eligible(about, limits)] = -np.inf
             return scores, ids
 

@@ -342,3 +342,34 @@ def test_streams_drop_late_rows_and_close_windows(spark, tmp_path):
     out = st.run_to_end(sessions, sink, state).where("outcome IS NOT NULL")
     assert sorted((r["outcome"], r["first"].day, r["last"].hour, r["n"]) for r in out.collect()) == [
         ("answered", 1, 0, 1), ("answered", 1, 9, 1), ("answered", 3, 1, 1), ("refused", 3, 6, 3)]
+
+
+def test_postings_of_a_block_equal_counts_of_its_words():
+    import pyarrow as pa
+    from collections import Counter
+    from hearthlog.operators import terms
+
+    rows = [(5, "a b a", 0), (3, "é a", 0), (1030, "b", 1), (1031, "b b a", 1), (1040, "z", 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some]), pa.array([len(r[1].split()) for r in some], pa.int32()),
+                                           pa.array([r[2] for r in some], pa.int64())], names=["memory_id", "text", "length", "block"]) for some in (rows[:3], rows[3:])]
+    got = [r for b in terms._blocks(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == len({(r["term"], r["block"]) for r in got}) and all(r["n"] == len(r["ids"]) for r in got)
+    assert Counter({(r["term"], r["block"], i, n): t for r in got for i, t, n in zip(r["ids"], r["tf"], r["length"])}) == Counter(
+        {(w, block, i, len(text.split())): n for i, text, block in rows for w, n in Counter(text.split()).items()})
+
+
+def test_rare_and_common_terms_add_up(monkeypatch):
+    import numpy as np
+    from hearthlog.operators import terms
+
+    rng = np.random.default_rng(3)
+    rows, names, questions = 50, 40, 30
+    has = rng.random((names, questions)) < np.linspace(0.01, 0.9, names)[:, None]
+    weights = np.where(has, rng.random((names, questions)), 0)
+    gains = np.where(rng.random((rows, names)) < np.linspace(0.02, 0.9, names), rng.random((rows, names)), 0)
+    place, term = np.nonzero(gains)
+    asked = np.nonzero(has)[1], np.append(0, np.cumsum(has.sum(axis=1)))
+    for rare, pairs in ((0, 7), (1, 7), (32, 1 << 20), (10 ** 9, 100)):
+        monkeypatch.setattr(terms, "RARE", rare)
+        monkeypatch.setattr(terms, "PAIRS_AT_A_TIME", pairs)
+        assert np.allclose(terms._products(place, term, gains[place, term], rows, weights, asked), gains @ weights)
